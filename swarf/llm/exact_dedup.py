@@ -41,6 +41,7 @@ def compact(runs: DataFrame, *keys: str) -> DataFrame:
 def differing(runs: DataFrame, level: DataFrame) -> DataFrame:
     """The digests under which some row's bytes differ from those of the row that stays."""
     hits = runs.join(level.where("group_size > 1"), "digest").select("digest", "uid", "keep_uid", normalised(F.col("row.text")).alias("norm"), F.ceil(F.col("group_size") / COPIES_A_TEXT).alias("salts"))
+    hits = stage(hits, "hits")
     stays = hits.where("uid = keep_uid").select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     copies = hits.where("uid <> keep_uid").select("digest", "norm", F.pmod(F.xxhash64("uid"), F.col("salts")).alias("salt"))
     return stage(copies.join(stays, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct(), "differing")
