@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarf.llm import exact_dedup, mixing, quality_rules, secrets, sharding
+from swarf.llm import exact_dedup, mixing, quality_model, quality_rules, secrets, sentencepiece, sharding, simhash
 from swarf.llm.common import read
 
 SHARDS = 40
+#: Where the public tokenizers' files lie on every machine.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,17 +30,30 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.classify(docs, quality_model.train(docs, read(spark, sf_dir, "labels"))).drop("row")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(read(spark, sf_dir, "documents"), MODEL_FILE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_secrets, op4_exact_dedup, op6_sharding, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op3_secrets, op4_exact_dedup, op5_quality_classifier, op6_sharding, op8_simhash, op9_quality_rules, op10_sentencepiece)}
 
 
 W = r"[^\x20\x09-\x0D]+"
@@ -73,7 +88,7 @@ def _secrets_sql() -> str:
     for k, r in enumerate(secrets.RULES):
         pat = r.pattern.replace("'", "''")
         kinds.append(
-            f"SELECT row, {k} AS k, '{r.kind}' AS kind, list_transform(range(1, len(m) + 1), i -> {{'s': list_sum(list_transform(p[1:i], x -> length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0)::BIGINT, 'n': length(m[i]), 'g': length(g[i])}}) AS spans "
+            f"SELECT row, {k} AS k, '{r.kind}' AS kind, list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::BIGINT, 'n': length(m[i]), 'g': length(g[i])}}) AS spans "
             f"FROM (SELECT row, regexp_extract_all(text, '{pat}', 0) AS m, regexp_extract_all(text, '{pat}', {r.group}) AS g, string_split_regex(text, '{pat}') AS p FROM d)"
         )
     least = "CASE kind " + " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secrets.RULES) + " END"
