@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarf.llm import exact_dedup, mixing, quality_model, quality_rules, secrets, sentencepiece, sharding, simhash
+from swarf.llm import exact_dedup, mixing, pii, quality_model, quality_rules, secrets, sentencepiece, sharding, simhash, substring_dedup
 from swarf.llm.common import read
 
 SHARDS = 40
+#: For the registered query alone; a real run passes a secret.
+PII_KEY = "a key for tests"
 #: Where the public tokenizers' files lie on every machine.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -19,6 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("path"), "text"))
     counts = [secrets.counted(F.col("found"), r).alias(f"n_{r.kind}") for r in secrets.BASE]
@@ -39,6 +45,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
@@ -52,8 +62,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(read(spark, sf_dir, "documents"), MODEL_FILE)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_secrets, op4_exact_dedup, op5_quality_classifier, op6_sharding, op8_simhash, op9_quality_rules, op10_sentencepiece)}
+    ops = (op1_mixing, op2_substring_dedup, op3_secrets, op4_exact_dedup, op5_quality_classifier, op6_sharding, op7_pii, op8_simhash, op9_quality_rules, op10_sentencepiece)
+    return {f.__name__: f for f in (*ops, pipeline)}
 
 
 W = r"[^\x20\x09-\x0D]+"
