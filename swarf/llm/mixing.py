@@ -42,19 +42,22 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int
     return left.select("no_source", "source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies, row (the whole input row as a struct).
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", carry: bool = True) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies, and with carry row (the whole input row).
 
     Null and empty texts have size 0 and take nothing away from the words; a source of only such rows has target 0 and no
     copies. A null source is one source, the last. Repeated rows are numbered apart; an empty table gives an empty result.
+    Only sizes are put in order: texts, whose bytes would pile up where the long ones come together, join by row at the end.
     """
-    rows = docs.select(document(docs).alias("row"), F.monotonically_increasing_id().alias("_u"))
-    rows = rows.select("row", "_u", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").isNull().alias("no_source"), F.coalesce("row.source", F.lit("")).alias("source"), F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    placed = ranked(rows, ["no_source", "source"], ["size", "_h", "doc_id", "_u"])
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), *[document(docs).alias("row")] * carry)
+    rows = stage(rows.select("uid", "doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("size"), *["row"] * carry), "numbered")
+    narrow = rows.select("uid", "doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    narrow = narrow.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    placed = ranked(narrow, ["no_source", "source"], ["size", "_h", "doc_id", "uid"])
     per_source = stage(targets(placed.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     offset = uniform(F.lit(seed), F.col("no_source").cast("string"), F.col("source"))
     crossed = F.floor(rate * (F.col("rank") + 1) + offset) - F.floor(rate * F.col("rank") + offset)
     out = placed.join(per_source, ["no_source", "source"]).withColumn("copies", crossed.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "row")
+    out = out.select("uid", "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return (out.join(rows.select("uid", "row"), "uid") if carry else out).drop("uid")

@@ -18,7 +18,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf_dir, "documents"), carry=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
