@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from swarf.plans import part_queries  # noqa: F401
+    from swarf.plans import part_queries, stack_queries  # noqa: F401
 
 
 def queries() -> dict:
