@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    return simhash.near_dedup(docs).where("kept").select("row.*")
+    """Keep one document of each group whose sets of five-word shingles are 0.8 alike or more."""
+    return simhash.similar_dedup(docs).where("kept").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,44 +27,63 @@ SUBTREE, DEEPEST = 1024, 22
 FRONTIER = 1 << 18
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the XXH64 of all word shingles; 0 without words."""
+def shingles(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of all word shingles, of the whole sequence if that is shorter; none without words."""
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and the six ASCII spaces alone
-    if not words:
-        return 0
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    h = np.array(hashes, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] * bool(words), np.uint64)
+    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """From n rows of 64-bit words: the words whose bits are 1 where over half of the rows have a 1."""
+    ones = np.zeros(h.shape[1] * 64, np.int64)
     for i in range(0, len(h), 4096):
-        ones += np.unpackbits(h[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+        ones += np.unpackbits(h[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, h.shape[1] * 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash over all word shingles; 0 without words."""
+    return int(majority(shingles(text, width, seed)[:, None])[0])
 
 
-def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """uid, doc_id, fp (as a signed long) and the whole input row."""
+def wide_fingerprint(text: str | None, width: int = 5, seed: int = 42) -> bytes:
+    """256-bit SimHash over the distinct word shingles: four words mixed from each hash; zeros without words."""
+    h = np.unique(shingles(text, width, seed))
+    with np.errstate(over="ignore"):
+        z = h[:, None] + np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return majority(z).tobytes()
+
+
+def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, wide: bool = False) -> DataFrame:
+    """uid, doc_id, fp (a signed long, or 32 bytes if wide) and the whole input row."""
     ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), document(docs).alias("row"))
-    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), rows.schema["row"]])
+    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType() if wide else T.LongType()), rows.schema["row"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(fps), b.column("row")], ["uid", "doc_id", "fp", "row"])
+            if wide:
+                fps = pa.array([wide_fingerprint(t.as_py(), width, seed) for t in b.column("text")], pa.binary())
+            else:
+                fps = pa.array(np.array([fingerprint(t.as_py(), width, seed) for t in b.column("text")], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), fps, b.column("row")], ["uid", "doc_id", "fp", "row"])
 
     return rows.mapInArrow(run, schema)
 
 
-def join_subtrees(x: np.ndarray, y: np.ndarray, same: bool, depth: int, start: list[tuple[int, int, int, int, int]], budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def join_subtrees(x: np.ndarray, y: np.ndarray, same: bool, depth: int, start: list[tuple[int, int, int, int, int]], budget: int, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of sorted distinct x and y (the same array if `same`) within `budget` bits, in chunks.
 
     start: node pairs (from, to, from, to, differing bits) at `depth`. A node is a range of a sorted array; its children
-    part where the next bit turns 1. A node paired with itself (same, equal ranges) gives one mixed pair of children.
+    part where the next bit turns 1; leaves lie `bits` deep. A node paired with itself (same, equal ranges) gives one mixed pair of children.
     """
     stack = [(depth, np.array(start, np.int64).reshape(-1, 5).T)]
     while stack:
@@ -74,7 +93,7 @@ def join_subtrees(x: np.ndarray, y: np.ndarray, same: bool, depth: int, start: l
             stack += [(level, f[:, :half]), (level, f[:, half:])]
             continue
         a, b, c, d, e = f
-        if level == 64:
+        if level == bits:
             yield (a, c)
             continue
         bit = np.uint64(1) << np.uint64(63 - level)
@@ -112,6 +131,18 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def node_pairs(x: np.ndarray, y: np.ndarray, depth: int, budget: int, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the budget, of the distinct keys x of one subtree, and of x with the keys y of others after x."""
+    yield from join_subtrees(x, x, True, depth, [(0, len(x), 0, len(x), 0)], budget, bits)
+    if len(y):
+        top = lambda k: k >> np.uint64(64 - depth)
+        tops, first = np.unique(top(y), return_index=True)
+        apart = np.bitwise_count(tops ^ top(x[0])).tolist()
+        start = list(zip([0] * len(tops), [len(x)] * len(tops), first.tolist(), [*first[1:].tolist(), len(y)], apart, strict=True))
+        for a, c in join_subtrees(x, y, False, depth, start, budget, bits):
+            yield a, c + len(x)
+
+
 def links_at(depth: int, budget: int):
     """The applyInPandas function for one subtree (home rows) and the parts of others that visit it."""
 
@@ -119,22 +150,7 @@ def links_at(depth: int, budget: int):
         fp = group["fp"].to_numpy().view(np.uint64)
         home = group["home"].to_numpy()
         x, y = np.sort(fp[home]), np.sort(fp[~home])
-        if not len(x):
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
-
-        def pairs():
-            yield from join_subtrees(x, x, True, depth, [(0, len(x), 0, len(x), 0)], budget)
-            if len(y):
-                shift = np.uint64(64 - depth)
-                tops, first = (y >> shift, None) if depth else (np.zeros(len(y), np.uint64), None)
-                tops, first = np.unique(tops, return_index=True)
-                last = np.append(first[1:], len(y))
-                mine = (x[0] >> shift) if depth else np.uint64(0)
-                start = [(0, len(x), int(i), int(j), int(np.bitwise_count(t ^ mine))) for t, i, j in zip(tops, first, last, strict=True)]
-                for a, c in join_subtrees(x, y, False, depth, start, budget):
-                    yield a, c + len(x)
-
-        root = forest(len(x) + len(y), pairs())
+        root = forest(len(x) + len(y), node_pairs(x, y, depth, budget)) if len(x) else np.arange(0)
         linked = np.flatnonzero(root != np.arange(len(root)))
         both = np.concatenate([x, y]).view(np.int64)
         return pd.DataFrame({"a": both[linked], "b": both[root[linked]]})
@@ -153,14 +169,19 @@ def trie_links(fps: DataFrame, budget: int = 2, subtree: int = SUBTREE) -> DataF
     n = fps.count()
     prefix = lambda depth: F.shiftrightunsigned("fp", 64 - depth)
     depth = min(DEEPEST, max(4, math.ceil(math.log2(max(n, 1) / subtree))))
-    while depth < min(DEEPEST, depth + 1) and (fps.groupBy(prefix(depth).alias("p")).count().agg(F.max("count")).first()[0] or 0) > 8 * subtree:
+    while depth < DEEPEST and (fps.groupBy(prefix(depth).alias("p")).count().agg(F.max("count")).first()[0] or 0) > 8 * subtree:
         depth = min(DEEPEST, depth + 2)
-    masks = [0] + [1 << i for i in range(depth)] + [1 << i | 1 << j for i in range(depth) for j in range(i)] * (budget >= 2)
+    far = visits(fps.withColumn("p", prefix(depth)), depth, budget)
+    return far.groupBy("subtree").applyInPandas(links_at(depth, budget), "a long, b long")
+
+
+def visits(keys: DataFrame, depth: int, budget: int) -> DataFrame:
+    """Each row with the subtrees that it goes to, by its prefix `p` of `depth` bits: adds subtree and home."""
+    masks = [0] + [1 << i for i in range(depth)] * (budget >= 1) + [1 << i | 1 << j for i in range(depth) for j in range(i)] * (budget >= 2)
     mixed = lambda c: ((c * 2654435761) % (1 << depth))
-    far = fps.select("fp", prefix(depth).alias("p")).withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+    far = keys.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
     far = far.withColumn("subtree", F.col("p").bitwiseXOR(F.col("mask"))).withColumn("home", F.col("mask") == 0)
-    far = far.where(F.col("home") | (mixed(F.col("subtree")) < mixed(F.col("p"))))
-    return far.groupBy("subtree").applyInPandas(links_at(depth, budget), "a long, b long")
+    return far.where(F.col("home") | (mixed(F.col("subtree")) < mixed(F.col("p"))))
 
 
 def near_dedup(docs: DataFrame, budget: int = 2, width: int = 3, seed: int = 42, subtree: int = SUBTREE) -> DataFrame:
@@ -173,11 +194,122 @@ def near_dedup(docs: DataFrame, budget: int = 2, width: int = 3, seed: int = 42,
     if not 0 <= budget <= 2:
         raise ValueError("the cut of the trie allows for a budget of 0 to 2 bits")
     rows = stage(with_fingerprints(docs, width, seed), "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("least")
-    classes = stage(rows.groupBy("fp").agg(least), "classes")
-    roots = components(trie_links(classes.select("fp"), budget, subtree))
-    linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = stage(by_class(rows).withColumn("id", F.col("fp")), "classes")
+    out = kept(rows, classes, components(trie_links(classes.select("fp"), budget, subtree)))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept", "row")
+
+
+def by_class(rows: DataFrame) -> DataFrame:
+    """fp, least (doc_id, then row, of those that share it)."""
+    return rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("least"))
+
+
+def kept(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with component_id and kept, from classes (fp, id, least) and the roots of linked ids."""
+    linked = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = linked.groupBy("root").agg(F.min("least").alias("first"))
     found = linked.join(first, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.uid").alias("keep_uid"))
-    out = rows.join(stage(found, "components"), "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("uid") == F.col("keep_uid")).alias("kept"), "row")
+    return rows.join(stage(found, "components"), "fp").withColumn("kept", F.col("uid") == F.col("keep_uid"))
+
+
+#: Chance to find a pair just at the similarity asked for, before its fingerprints are compared.
+FOUND = 0.98
+#: Keys aimed at in a subtree of one table.
+TABLE = 1 << 16
+
+
+def apart(similarity: float) -> float:
+    """The share of bits that differ between SimHashes of sets of one size with that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables(n: int, similarity: float) -> tuple[int, int]:
+    """(bits of a key, number of tables): random pairs stay in proportion to n, and FOUND of those alike meet in a table."""
+    bits, p = min(60, max(12, math.ceil(math.log2(max(n, 2))) + 6)), apart(similarity)
+    meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return bits, max(1, math.ceil(math.log(1 - FOUND) / math.log(1 - meet)))
+
+
+def positions(table: int, bits: int) -> np.ndarray:
+    """The bits of a 256-bit fingerprint that make up the key of a table."""
+    return np.random.default_rng([17, table]).choice(256, bits, replace=False)
+
+
+def keys_of(bits: int, count: int):
+    """The mapInArrow function from (id, fp) to (tab, key, id, fp), one row for each table."""
+    where = [positions(t, bits) for t in range(count)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, 32)
+            ones = np.unpackbits(flat, axis=1, bitorder="little")
+            for t, at in enumerate(where):
+                key = np.zeros((len(flat), 64), np.uint8)
+                key[:, :bits] = ones[:, at]
+                key = np.packbits(key, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), t, np.int32)), pa.array(key), b.column("id"), b.column("fp")], ["tab", "key", "id", "fp"])
+
+    return run
+
+
+def alike_at(depth: int, bits: int, limit: int):
+    """The applyInPandas function for one subtree of one table: links of rows whose fingerprints differ in few bits."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["home", "key"], ascending=[False, True], ignore_index=True)
+        key, ids, home = group["key"].to_numpy().view(np.uint64), group["id"].to_numpy(), group["home"].to_numpy()
+        words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(-1, 4)
+        mine = int(home.sum())
+        x, fx = np.unique(key[:mine], return_index=True)
+        y, fy = np.unique(key[mine:], return_index=True)
+        if not mine:
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        first = np.concatenate([fx, fy + mine])
+        size = np.diff(np.concatenate([fx, fy + mine, [len(key)]]))
+
+        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= limit
+            return a[ok], b[ok]
+
+        def across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i in range(0, len(left), step := max(1, FRONTIER // max(1, len(right)))):
+                part = left[i : i + step]
+                yield near(np.repeat(part, len(right)), np.tile(right, len(part)))
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for k in np.flatnonzero(size[: len(x)] > 1).tolist():  # rows of one key: those near the first are one already
+                rows = np.arange(first[k], first[k] + size[k])
+                a, b = near(np.full(len(rows) - 1, rows[0]), rows[1:])
+                yield a, b
+                yield from across(np.setdiff1d(rows[1:], b), rows)
+            for a, b in node_pairs(x, y, depth, 2, bits):
+                small = size[a] * size[b] == 1
+                yield near(first[a[small]], first[b[small]])
+                for i, j in zip(a[~small].tolist(), b[~small].tolist(), strict=True):
+                    yield from across(np.arange(first[i], first[i] + size[i]), np.arange(first[j], first[j] + size[j]))
+
+        root = forest(len(key), pairs())
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
+
+    return run
+
+
+def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, slack: int = 8, subtree: int = TABLE) -> DataFrame:
+    """As near_dedup, for texts whose sets of word shingles are that similar: doc_id, component_id, kept, row.
+
+    Such texts differ in more bits than a trie can afford to allow for. So 256 bits are taken, a number of tables hold a few
+    of them each, the trie of each table is joined with itself within two bits, and the pairs it finds are compared in all
+    bits: linked if they differ in no more than the share expected at that similarity, plus `slack`. Null, empty and blank
+    texts are alike; an empty table gives an empty result.
+    """
+    rows = stage(with_fingerprints(docs, width, seed, wide=True), "wide-fingerprints")
+    classes = stage(by_class(rows).withColumn("id", F.col("least.uid")), "classes")
+    n = classes.count()
+    bits, count = tables(n, similarity)
+    depth = min(bits, DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
+    keys = classes.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
+    keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
+    limit = round(256 * apart(similarity)) + slack
+    links = keys.select("tab", "subtree", "home", "key", "id", "fp").groupBy("tab", "subtree").applyInPandas(alike_at(depth, bits, limit), "a long, b long")
+    return kept(rows, classes, components(links)).select("doc_id", "component_id", "kept", "row")
