@@ -13,6 +13,9 @@ from swarf.functions import geometry as g
 from swarf.operators.validate import listed
 from swarf.params import DEFAULT, Params
 
+#: Running lengths that reach a share exactly count, whatever the order of a sum leaves in the last bits.
+TIE = 1e-9
+
 
 def _measured(parts: DataFrame, seg: DataFrame, p: Params) -> DataFrame:
     """One row a part: what its segments say, in inches. Parts without segments stay."""
@@ -38,7 +41,7 @@ def _measured(parts: DataFrame, seg: DataFrame, p: Params) -> DataFrame:
     keys = ["part_id", "part_no", "units", "method", "validation_passed", "overall", "crop_partial", "ranged", "rm_od_allowance", "rm_len_allowance", "finish_len", "max_od"]
     return s.groupBy(*keys).agg(
         F.count("seq").alias("n_segments"), F.coalesce(F.max(F.when(F.col("at_max"), F.col("confidence"))), F.lit(0.0)).alias("seg_conf"), F.coalesce(F.sum(F.when(F.col("at_max"), F.col("len"))), F.lit(0.0)).alias("support"),
-        F.min(F.when((F.col("w_od") > 0) & (F.col("run_od") >= 0.5 * F.col("all_od")), F.col("od"))).alias("od_median"), F.min(F.when((F.col("w_id") > 0) & (F.col("run_id") >= 0.85 * F.col("all_id")), F.col("bore"))).alias("id_p85"), F.sum("w_id").alias("bore_len"),
+        F.min(F.when((F.col("w_od") > 0) & (F.col("run_od") >= 0.5 * F.col("all_od") - TIE), F.col("od"))).alias("od_median"), F.min(F.when((F.col("w_id") > 0) & (F.col("run_id") >= 0.85 * F.col("all_id") - TIE), F.col("bore"))).alias("id_p85"), F.sum("w_id").alias("bore_len"),
     )
 
 

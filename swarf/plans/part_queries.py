@@ -186,7 +186,7 @@ def rfq_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s6 AS (SELECT *, coalesce(pool AND abs(od - mo) <= 1e-6, false) AS atm, CASE WHEN pool AND od > 0 THEN len ELSE 0 END AS wo, CASE WHEN isb THEN len ELSE 0 END AS wi FROM s5),
     s7 AS (SELECT *, sum(wo) OVER (w ORDER BY od RANGE UNBOUNDED PRECEDING) AS ro, sum(wi) OVER (w ORDER BY bore RANGE UNBOUNDED PRECEDING) AS ri, sum(wo) OVER w AS ao, sum(wi) OVER w AS ai FROM s6 WINDOW w AS (PARTITION BY part_id)),
     m AS (SELECT part_id, part_no, units, method = 'anchor_dimension' AS anchor, validation_passed AS valid, overall, crop_partial, ranged, fl, mo, count(seq) AS n, coalesce(max(confidence) FILTER (atm), 0) AS sc, coalesce(sum(len) FILTER (atm), 0) AS support,
-      min(od) FILTER (wo > 0 AND ro >= 0.5 * ao) AS med, min(bore) FILTER (wi > 0 AND ri >= 0.85 * ai) AS p85, sum(wi) AS bl FROM s7 GROUP BY ALL),
+      min(od) FILTER (wo > 0 AND ro >= 0.5 * ao - 1e-9) AS med, min(bore) FILTER (wi > 0 AND ri >= 0.85 * ai - 1e-9) AS p85, sum(wi) AS bl FROM s7 GROUP BY ALL),
     n AS (SELECT *, n = 0 AND NOT ranged AS none, NOT coalesce(fl > 0, false) AS bad_len, NOT coalesce(mo > 0, false) AS bad_od, coalesce(p85 > greatest(0, mo - 0.02), false) AS clamped, p85 IS NOT NULL AS hb FROM m),
     o AS (SELECT *, coalesce(CASE WHEN clamped THEN greatest(0, mo - 0.02) ELSE p85 END, 0) AS fid, CASE WHEN hb THEN least(greatest(100.0 * bl / fl, 0), 100) ELSE 0 END AS cov, coalesce(NOT bad_len AND mo > med + 0.2 AND support / fl < 0.05, false) AS spike FROM n),
     q AS (SELECT *, least(greatest(0.6::DOUBLE + CASE WHEN anchor THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN valid THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN sc > 0.85 THEN 0.05 ELSE 0 END::DOUBLE - CASE WHEN overall < 0.7 THEN 0.15 ELSE 0 END::DOUBLE - CASE WHEN spike THEN 0.1 ELSE 0 END::DOUBLE, 0), 1) AS oc,
