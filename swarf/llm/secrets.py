@@ -84,8 +84,9 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
         fresh = fresh.withColumn("scanned", F.array().cast("array<string>"))
     old = F.coalesce("scanned", F.array().cast("array<string>"))
     new = [F.when(F.array_contains(old, r.key), F.array().cast("array<struct<rule: string, start: int, end: int>>")).otherwise(matches(F.col("text"), r)) for r in rules]
-    already = [F.coalesce("found", new[0])] if ledger is not None else []
-    scanned = stage(fresh.select("blob", F.array_union(old, keys).alias("scanned"), F.concat(*already, *new).alias("found")), "ledger")
+    already = F.col("found") if ledger is not None else F.lit(None)
+    already = F.coalesce(already, F.array()).cast("array<struct<rule: string, start: int, end: int>>")
+    scanned = stage(fresh.select("blob", F.array_union(old, keys).alias("scanned"), F.concat(already, *new).alias("found")), "ledger")
     after = scanned if ledger is None else seen.join(scanned.select("blob"), "blob", "left_anti").unionByName(scanned)
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     ours = F.transform(F.filter("found", lambda f: F.array_contains(keys, f["rule"])), lambda f: F.struct(f["start"].alias("start"), rank[f["rule"]].alias("k"), f["end"].alias("end"), f["rule"].alias("rule")))

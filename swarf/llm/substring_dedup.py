@@ -58,14 +58,12 @@ def boundaries(data: np.ndarray, c: Chunking) -> np.ndarray:
     cuts = np.flatnonzero(((h >> np.uint64(32 - c.bits)) & np.uint64((1 << c.bits) - 1) == 0) & starts) + 1
     ends, last = [], 0
     for cut in [*cuts.tolist(), n]:
-        if cut - last < c.least and cut < n:
-            continue
         while cut - last > c.most:
             last += c.most
             while not starts[last - 1]:
                 last -= 1
             ends.append(last)
-        if cut > last:
+        if cut - last >= c.least or cut == n > last:
             ends.append(cut)
             last = cut
     return np.array(ends, np.int64)
