@@ -114,10 +114,11 @@ def substring_dedup(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = stage(chunked(rows, c), "chunks")
     twice = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    repeated = stage(chunks.join(twice, "digest"), "repeated")  # most chunks occur once and go no further
+    # staged, the small sides of both joins leave Spark free to split a digest that very many chunks share
+    repeated = stage(chunks.join(stage(twice, "twice"), "digest"), "repeated")  # most chunks occur once and go no further
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "at")
     owners = repeated.groupBy("digest").agg(F.min(order).alias("owner")).select("digest", F.col("owner.uid").alias("owner_uid"), F.col("owner.at").alias("owner_at"))
-    again = repeated.join(owners, "digest").where("uid <> owner_uid or at <> owner_at").select("uid", "at")
+    again = repeated.join(stage(owners, "owners"), "digest").where("uid <> owner_uid or at <> owner_at").select("uid", "at")
     lists = again.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("repeated"))
     joined = rows.join(lists, "uid", "left").select("doc_id", "text", "repeated")
     names = ["doc_id", "text", "n_chunks", "n_repeated", "removed"]
