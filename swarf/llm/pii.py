@@ -124,13 +124,14 @@ class Kind:
 
 
 _NAMES = "|".join(n for ns in GIVEN.values() for n in [*ns, *map(str.upper, ns)])
-#: In order of precedence; where matches meet, the leftmost wins, then the earlier kind.
+#: In order of precedence; where matches meet, the leftmost wins, then the earlier kind. Each pattern gives up at once
+#: inside a word: addresses only start where such a run starts, and names with a capital.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
+    Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     Kind("card", r"(?<![0-9A-Za-z.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])", card),
-    Kind("ipv4", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])", ipv4),
+    Kind("ipv4", r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])", ipv4),
     Kind("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", phone),
-    Kind("person", rf"(?<![\p{{L}}\p{{N}}])(?:{_NAMES}) (?:\p{{Lu}}[\p{{L}}'-]+)(?![\p{{L}}\p{{N}}])", person),
+    Kind("person", rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{_NAMES}) (?:\p{{Lu}}[\p{{L}}'-]+)(?![\p{{L}}\p{{N}}])", person),
 )
 ANY = "|".join(f"(?:{k.pattern})" for k in KINDS)
 
