@@ -23,8 +23,8 @@ from swarf.llm.common import components, document, ship, stage
 
 #: Fingerprints aimed at in a subtree, and the deepest cut.
 SUBTREE, DEEPEST = 1024, 22
-#: Node pairs expanded at once.
-FRONTIER = 1 << 18
+#: Node pairs expanded at once; node pairs of so few key pairs are compared key by key instead.
+FRONTIER, SMALL = 1 << 18, 96
 
 
 def shingles(text: str | None, width: int, seed: int) -> np.ndarray:
@@ -92,8 +92,10 @@ def join_subtrees(x: np.ndarray, y: np.ndarray, same: bool, depth: int, start: l
             half = f.shape[1] // 2
             stack += [(level, f[:, :half]), (level, f[:, half:])]
             continue
-        a, b, c, d, e = f
-        if level == bits:
+        few = (f[1] - f[0]) * (f[3] - f[2]) <= SMALL
+        yield from _compared(x, y, same, f[:4, few], budget)
+        a, b, c, d, e = f[:, ~few]
+        if level == bits or not len(a):
             yield (a, c)
             continue
         bit = np.uint64(1) << np.uint64(63 - level)
@@ -115,6 +117,21 @@ def join_subtrees(x: np.ndarray, y: np.ndarray, same: bool, depth: int, start: l
             stack.append((level + 1, grown))
 
 
+def _compared(x: np.ndarray, y: np.ndarray, same: bool, f: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the budget among the keys of small node pairs."""
+    step = max(1, 4 * FRONTIER // SMALL)
+    for k in range(0, f.shape[1], step):
+        a, b, c, d = f[:, k : k + step]
+        n = (b - a) * (d - c)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(d - c, n)
+        i, j = np.repeat(a, n) + at // wide, np.repeat(c, n) + at % wide
+        ok = np.bitwise_count(x[i] ^ y[j]) <= budget
+        if same:
+            ok &= (i < j) | np.repeat(a != c, n)
+        yield i[ok], j[ok]
+
+
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """For each of n nodes the least node that it is linked with, directly or not."""
     root = np.arange(n)
