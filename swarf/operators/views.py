@@ -82,3 +82,26 @@ def scales(views: DataFrame, best: DataFrame) -> DataFrame:
     """Inches a pixel of each view (view_id, h): by its anchor, else as if 70 % of the height were 1.25 inches."""
     estimate = F.when(F.col("h") > 0, 1.25 / F.when(F.col("h") > 0, F.col("h") * 0.7)).otherwise(0.01)
     return views.join(best.select("view_id", "name", "inch_per_pixel"), "view_id", "left").select("view_id", F.when(F.col("name").isNotNull(), "anchor_dimension").otherwise("estimated").alias("method"), F.coalesce("inch_per_pixel", estimate).alias("inch_per_pixel"))
+
+
+def normalised_axis(lines: DataFrame) -> DataFrame:
+    """From view_id, x1, y1, x2, y2, angle, w, h of the axis: the rotation that makes it vertical, and the shift that centres it.
+
+    Points map by the same two steps: turned about the middle of the view, then moved along x.
+    """
+    c = F.col
+    turn = F.when(F.abs("angle") < 90, 90 - c("angle")).otherwise(-(90 + c("angle")))
+    cx, cy = F.floor(c("w") / 2), F.floor(c("h") / 2)
+    rad = F.radians("turn")
+    at = lambda x, y: F.cos(rad) * (x - cx) + F.sin(rad) * (y - cy) + cx
+    out = lines.withColumn("turn", turn)
+    return out.select("view_id", c("turn").alias("rotation_angle"), (c("w") / 2 - (at(c("x1"), c("y1")) + at(c("x2"), c("y2"))) / 2).alias("translation_x"))
+
+
+def contour_roles(contours: DataFrame) -> DataFrame:
+    """From view_id, i, area, cx, w: which contours belong to the outside and which to a bore."""
+    view = Window.partitionBy("view_id")
+    ratio = F.try_divide("area", F.max("area").over(view))
+    c = contours.withColumn("ratio", ratio).withColumn("axis", F.floor(F.col("w") / 2))
+    inner = (F.col("ratio") < 0.01) & (F.col("area") > 0) & ((F.col("cx") < F.col("axis")) | (F.abs(F.col("cx") - F.col("axis")) < F.col("w") * 0.1))
+    return c.select("view_id", "i", F.coalesce(F.col("ratio") > 0.05, F.lit(False)).alias("is_od"), F.coalesce(inner, F.lit(False)).alias("is_id"))
