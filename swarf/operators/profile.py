@@ -39,8 +39,11 @@ def near(ax: Column, ay: Column, bx: Column, by: Column, tolerance: float = CLOS
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) <= tolerance
 
 
-def loop_checks(loop: DataFrame, tolerance: float = CLOSE) -> DataFrame:
-    """One row a loop: n, degenerate primitives, open joints (cyclic), signed area, winding, perimeter, least radius."""
+def loop_checks(loop: DataFrame, tolerance: float = CLOSE, crossing: bool = False) -> DataFrame:
+    """One row a loop: n, degenerate primitives, open joints (cyclic), signed area, winding, perimeter, least radius.
+
+    crossing adds n_crossings, from the same pass over the loop.
+    """
     by, part = Window.partitionBy("part_id").orderBy("i"), Window.partitionBy("part_id")
     c = F.col
     nx = F.coalesce(F.lead("sx").over(by), F.first("sx").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -48,24 +51,48 @@ def loop_checks(loop: DataFrame, tolerance: float = CLOSE) -> DataFrame:
     s = loop.select("*", nx.alias("nx"), ny.alias("ny"))
     t = s.groupBy("part_id").agg(
         F.count("*").alias("n"), F.count_if(near(c("sx"), c("sy"), c("ex"), c("ey"), tolerance)).alias("n_degenerate"), F.count_if(~near(c("ex"), c("ey"), c("nx"), c("ny"), tolerance)).alias("n_open"),
-        (F.sum(c("sx") * c("ny") - c("nx") * c("sy")) / 2).alias("area"), F.sum(F.sqrt((c("ex") - c("sx")) * (c("ex") - c("sx")) + (c("ey") - c("sy")) * (c("ey") - c("sy")))).alias("perimeter"), F.min(F.least("sx", "ex")).alias("least_radius"),
+        (F.sum(c("sx") * c("ny") - c("nx") * c("sy")) / 2).alias("area"), F.sum(F.sqrt((c("ex") - c("sx")) * (c("ex") - c("sx")) + (c("ey") - c("sy")) * (c("ey") - c("sy")))).alias("perimeter"), F.min(F.least("sx", "ex")).alias("least_radius"), *[F.collect_list(F.expr(PRIMITIVE)).alias("all")] * crossing,
     )
+    if crossing:
+        t = t.withColumn("all", F.sort_array("all"))
+        hits = _pairs(t.select("part_id", "all")).groupBy("part_id").agg(F.count_if(_meeting(F.col("a"), F.col("b"), F.col("n"), 1e-9)[0]).alias("n_crossings"))
+        t = t.drop("all").join(hits, "part_id", "left").withColumn("n_crossings", F.coalesce("n_crossings", F.lit(0)))
     return t.withColumn("closed", (c("n") >= 2) & (c("n_open") == 0)).withColumn("counterclockwise", (c("n") >= 3) & (c("area") > 0))
 
 
-def crossings(loop: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(part_id, i, j, x, y): lines of a loop that cross, neighbours and shared end points left out."""
-    n = loop.groupBy("part_id").agg(F.count("*").alias("n"))
-    a, b = loop.alias("a"), loop.join(n, "part_id").alias("b")
-    p = lambda t, k: F.col(f"{t}.{k}")
-    pair = (p("a", "part_id") == p("b", "part_id")) & (p("a", "i") < p("b", "i") - 1) & ~((p("a", "i") == 1) & (p("b", "i") == p("b", "n"))) & (p("b", "n") >= 3)
-    touch = near(p("a", "sx"), p("a", "sy"), p("b", "sx"), p("b", "sy"), tolerance) | near(p("a", "sx"), p("a", "sy"), p("b", "ex"), p("b", "ey"), tolerance) | near(p("a", "ex"), p("a", "ey"), p("b", "sx"), p("b", "sy"), tolerance) | near(p("a", "ex"), p("a", "ey"), p("b", "ex"), p("b", "ey"), tolerance)
-    dx1, dy1, dx2, dy2 = p("a", "ex") - p("a", "sx"), p("a", "ey") - p("a", "sy"), p("b", "ex") - p("b", "sx"), p("b", "ey") - p("b", "sy")
-    dx3, dy3 = p("b", "sx") - p("a", "sx"), p("b", "sy") - p("a", "sy")
+def _meeting(a: Column, b: Column, n: Column, tolerance: float) -> tuple[Column, Column, Column]:
+    """Whether two primitives (structs) of a loop of n cross, and where; neighbours and shared end points don't count."""
+    pair = (a["i"] < b["i"] - 1) & ~((a["i"] == 1) & (b["i"] == n)) & (n >= 3)
+    touch = F.lit(False)
+    for p in "se":
+        for q in "se":
+            touch = touch | near(a[f"{p}x"], a[f"{p}y"], b[f"{q}x"], b[f"{q}y"], tolerance)
+    dx1, dy1, dx2, dy2 = a["ex"] - a["sx"], a["ey"] - a["sy"], b["ex"] - b["sx"], b["ey"] - b["sy"]
+    dx3, dy3 = b["sx"] - a["sx"], b["sy"] - a["sy"]
     det = dx1 * dy2 - dy1 * dx2
     safe = F.when(F.abs(det) >= tolerance, det)
     t, u = (dx3 * dy2 - dy3 * dx2) / safe, (dx3 * dy1 - dy3 * dx1) / safe
-    return a.join(b, pair & ~touch & t.between(0, 1) & u.between(0, 1)).select(p("a", "part_id"), p("a", "i").alias("i"), p("b", "i").alias("j"), (p("a", "sx") + t * dx1).alias("x"), (p("a", "sy") + t * dy1).alias("y"))
+    return pair & ~touch & F.coalesce(t.between(0, 1) & u.between(0, 1), F.lit(False)), a["sx"] + t * dx1, a["sy"] + t * dy1
+
+
+PRIMITIVE = "struct(i, sx, sy, ex, ey)"
+
+
+def crossings(loop: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(part_id, i, j, x, y): lines of a loop that cross.
+
+    A loop has tens of lines, so its pairs are made within its row: one scan and one shuffle, no self-join.
+    """
+    whole = loop.groupBy("part_id").agg(F.sort_array(F.collect_list(F.expr(PRIMITIVE))).alias("all"))
+    crosses, x, y = _meeting(F.col("a"), F.col("b"), F.col("n"), tolerance)
+    return _pairs(whole).where(crosses).select("part_id", "a.i", F.col("b.i").alias("j"), x.alias("x"), y.alias("y"))
+
+
+def _pairs(loops: DataFrame) -> DataFrame:
+    """Rows with `all`, the ordered primitives, to pairs (a, b) of them that aren't neighbours; a loop without pairs is lost."""
+    later = lambda: F.slice("all", F.least(F.col("a.i") + 2, F.col("n") + 1).cast("int"), F.col("n"))
+    one = loops.withColumn("n", F.size("all")).withColumn("a", F.explode("all"))
+    return one.withColumn("b", F.explode(later())).drop("all")
 
 
 def topology(loop: DataFrame, strict: bool = False) -> DataFrame:
@@ -73,9 +100,7 @@ def topology(loop: DataFrame, strict: bool = False) -> DataFrame:
 
     strict: NEGATIVE_RADIUS comes first, and an area under 1e-6 fails last.
     """
-    checks = loop_checks(loop)
-    hit = crossings(loop).groupBy("part_id").agg(F.count("*").alias("n_crossings"))
-    t = checks.join(hit, "part_id", "left").withColumn("n_crossings", F.coalesce("n_crossings", F.lit(0)))
+    t = loop_checks(loop, crossing=True)
     none = F.abs("area") < (1e-6 if strict else 1e-12)
     if strict:
         stage = F.when(F.col("least_radius") < -1e-6, "NEGATIVE_RADIUS").when(F.col("n_degenerate") > 0, "DEGENERATE").when(~F.col("closed"), "OPEN").when(F.col("n_crossings") > 0, "CROSSING").when(none, "NO_AREA").otherwise("OK")

@@ -19,7 +19,8 @@ TIE = 1e-9
 
 def _measured(parts: DataFrame, seg: DataFrame, p: Params) -> DataFrame:
     """One row a part: what its segments say, in inches. Parts without segments stay."""
-    s = parts.join(seg.select("part_id", F.col("seq"), "z_start", "z_end", "od_diameter", "id_diameter", "confidence", "low_flag"), "part_id", "left")
+    more = [c for c in ("z0", "z1") if c not in parts.columns]
+    s = parts.join(seg.select("part_id", "seq", "z_start", "z_end", "od_diameter", "id_diameter", "confidence", "low_flag", *more), "part_id", "left")
     inch = lambda c: g.to_inches(F.col(c), F.col("units"))
     part = Window.partitionBy("part_id")
     s = s.select("*", inch("z_start").alias("a"), inch("z_end").alias("b"), inch("od_diameter").alias("od"), inch("id_diameter").alias("bore"))
@@ -50,7 +51,7 @@ def autofill(parts: DataFrame, seg: DataFrame, p: Params = DEFAULT) -> DataFrame
 
     parts: part_id, part_no, units, method, validation_passed (null is true), overall, crop_partial, z0, z1 (nullable),
     rm_od_allowance, rm_len_allowance (null: defaults). seg: part_id, seq, z_start, z_end, od_diameter, id_diameter,
-    confidence, low_flag.
+    confidence, low_flag, and z0, z1 where parts lack them.
     """
     m = _measured(parts, seg, p)
     c = F.col

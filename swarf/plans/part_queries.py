@@ -167,12 +167,12 @@ def t07_sorted_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rfq_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts, and segments that also carry the z range of their part; one in five has none."""
+    part, ranged = Window.partitionBy("part_id"), F.col("part_id") % 5 != 0
     seg = segments(spark, d).withColumn("low_flag", F.col("confidence") < 0.6)
-    span = seg.groupBy("part_id").agg(F.min("z_start").alias("z0"), F.max("z_end").alias("z1"))
-    p = parts(spark, d).join(span, "part_id", "left")
-    z = lambda c: F.when(F.col("has_z_range"), F.col(c))
+    seg = seg.select("*", F.when(ranged, F.min("z_start").over(part)).alias("z0"), F.when(ranged, F.max("z_end").over(part)).alias("z1"))
     null = F.lit(None).cast("double")
-    return p.withColumn("z0", z("z0")).withColumn("z1", z("z1")).withColumn("rm_od_allowance", null).withColumn("rm_len_allowance", null), seg
+    return parts(spark, d).withColumn("rm_od_allowance", null).withColumn("rm_len_allowance", null), seg
 
 
 @query(f"""WITH {SEG}, {PARTS_SQL}, span AS (SELECT part_id, min(z_start) AS z0, max(z_end) AS z1 FROM segments GROUP BY part_id),
