@@ -273,10 +273,10 @@ def alike_at(depth: int, bits: int, limit: int):
     """The applyInPandas function for one subtree of one table: links of rows whose fingerprints differ in few bits."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["home", "key"], ascending=[False, True], ignore_index=True)
-        key, ids, home = group["key"].to_numpy().view(np.uint64), group["id"].to_numpy(), group["home"].to_numpy()
-        words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(-1, 4)
-        mine = int(home.sum())
+        key, home = group["key"].to_numpy().view(np.uint64), group["home"].to_numpy()
+        order = np.lexsort((key, ~home))  # those at home first, keys unsigned
+        key, ids, mine = key[order], group["id"].to_numpy()[order], int(home.sum())
+        words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(-1, 4)[order]
         x, fx = np.unique(key[:mine], return_index=True)
         y, fy = np.unique(key[mine:], return_index=True)
         if not mine:
