@@ -395,6 +395,30 @@ def test_similar_texts(spark, odd, empty):
     assert len(out) == odd.count() and sum(r["kept"] for r in out) == len({tuple(words(r["row"]["text"])) for r in out}) - 1  # the two long ones are alike
 
 
+@pytest.mark.parametrize("depth", [0, 3])
+def test_one_table_links_all_that_it_holds(depth):
+    """Every pair of rows whose keys are within two bits and whose fingerprints are near, across subtrees as well."""
+    import pandas as pd
+
+    rng, bits, limit = np.random.default_rng(depth), 14, 60
+    base = rng.integers(0, 256, (120, 32)).astype(np.uint8)
+    flips = lambda f: np.bitwise_xor(f, np.packbits(rng.random((1, 256)) < rng.choice([0.0, 0.05, 0.1, 0.3]), axis=1)[0])
+    fps = [flips(base[i]).tobytes() for i in rng.integers(0, 120, 1500)]
+    ones = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, 32), axis=1, bitorder="little")[:, simhash.positions(0, bits)]
+    key = (ones.astype(np.uint64) << np.arange(63, 63 - bits, -1, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    words = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 4)
+    near = (np.bitwise_count(key[:, None] ^ key[None]) <= 2) & (np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= limit)
+    want = grouped(len(fps), zip(*map(list, np.nonzero(np.triu(near, 1)))))
+    top = (key >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(key), np.int64)
+    links = []
+    for tree in range(1 << depth):
+        d = np.bitwise_count(top ^ tree)
+        here = (d == 0) | (d <= 2) & (top > tree)
+        part = pd.DataFrame({"key": key[here].view(np.int64), "id": np.flatnonzero(here), "home": (d == 0)[here], "fp": [f for f, h in zip(fps, here) if h]})
+        links += simhash.alike_at(depth, bits, limit)(part).itertuples(index=False)
+    assert grouped(len(fps), links) == want and len(set(want)) < 1000
+
+
 # ---- 9 ----
 
 
