@@ -119,5 +119,30 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN s USING (row) GROUP BY row"""
 
 
+def _rules_sql() -> str:
+    """Repeated windows by counting them exactly, and the distances of both histograms as sums over their bins."""
+    limits, classes = quality_rules.Limits(), list(quality_rules.CLASSES.values())
+    known = [f"n_chars - length(regexp_replace(text, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for p in classes]
+    listed = "[" + ", ".join(f"'{w}'" for w in quality_rules.WORDS) + "]"
+    near = lambda k, n, least, limit, slack: f"({n} < {least} OR {k} <= {limit}::DOUBLE + {slack}::DOUBLE / sqrt(greatest({n}, 1)))"
+    part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, length(text) AS n_chars, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{W}')) AS ls FROM d),
+        g AS (SELECT row, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        r AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n FROM g) WHERE n > 1) GROUP BY row),
+        b AS (SELECT w.*, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, n_chars - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (row)),
+        f AS (SELECT *, n_words < {limits.base_words} OR 100 * n_repeat_words > {limits.base_repeat_percent} * n_words AS base_failed, [{", ".join(known)}] AS cs, list_transform({listed}, lambda c: len(list_filter(list_transform(ws, lambda x: lower(x)), lambda x: x = c))) AS cw FROM b),
+        h AS (SELECT row, lang, base_failed, 'c' AS kind, unnest(list_append(cs, n_chars - list_sum(cs)))::DOUBLE AS v, generate_subscripts(list_append(cs, 0), 1) AS k FROM f
+          UNION ALL SELECT row, lang, base_failed, 'w', unnest(list_append(cw, n_words - list_sum(cw)))::DOUBLE, generate_subscripts(list_append(cw, 0), 1) FROM f),
+        s AS (SELECT lang, kind, k, coalesce(sum(v) FILTER (NOT base_failed), 0) AS own, count(*) FILTER (NOT base_failed) AS n FROM h GROUP BY ALL),
+        t AS (SELECT lang, kind, k, CASE WHEN n >= {limits.least_docs} THEN own ELSE sum(own) OVER (PARTITION BY kind, k) END AS q FROM s),
+        a AS (SELECT row, kind, v / nullif(sum(v) OVER (PARTITION BY row, kind), 0) AS p, q / nullif(sum(q) OVER (PARTITION BY row, kind), 0) AS q FROM h JOIN t USING (lang, kind, k)),
+        z AS (SELECT row, kind, coalesce(sqrt(greatest(sum(({part("p", "q")} + {part("q", "p")}) / 2), 0)), 0) AS dist FROM a WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY row, kind),
+        y AS (SELECT f.*, coalesce(c.dist, 0) AS dc, coalesce(x.dist, 0) AS dw FROM f LEFT JOIN z c ON c.row = f.row AND c.kind = 'c' LEFT JOIN z x ON x.row = f.row AND x.kind = 'w')
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND {near("dc", "n_chars", limits.least_chars, limits.chars, limits.chars_slack)} AND {near("dw", "n_words", limits.least_words, limits.words, limits.words_slack)} AS kept FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {"op3_secrets": _secrets_sql()}
+    return ORACLE | {"op3_secrets": _secrets_sql(), "op9_quality_rules": _rules_sql()}
