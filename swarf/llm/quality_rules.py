@@ -2,7 +2,8 @@
 
 Each document's histogram of character classes, and that of the common words of several languages, is compared with the
 mean histogram of its language by Jensen-Shannon distance. The references are aggregates over all documents of the
-language that pass the base rules; a language with few such documents is held against all languages together.
+language that pass the base rules; a language with few such documents is held against all languages together. A text of
+several languages is also held against their references mixed by its own shares of words that only one language has.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ COMMON = {
     "es": ["el", "la", "los", "las", "de", "del", "que", "y", "en", "un", "una", "por", "con", "para", "se", "su", "no", "es", "al", "lo"],
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
+#: Of each language, the places in WORDS of those that no other has.
+ALONE = {k: [WORDS.index(w) for w in ws if not any(w in other for j, other in COMMON.items() if j != k)] for k, ws in COMMON.items()}
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r"[.,;:?!'\"()-]", "symbol": r"[#*$%&|<>]", "space": SPACE}
 
 
@@ -104,8 +107,19 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     every = Window.partitionBy()
     pick = lambda c: F.when(F.col("n") >= limits.least_docs, F.col(c)).otherwise(F.sum(c).over(every))
     ref = ref.select("lang", F.array(*[F.coalesce(pick(f"chars{i}"), F.lit(0.0)) for i in range(nc)]).alias("ref_chars"), F.array(*[F.coalesce(pick(f"words{i}"), F.lit(0.0)) for i in range(nw)]).alias("ref_words"))
-    ref = stage(ref, "references")
-    out = rows.join(ref, "lang").withColumn("char_distance", distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", distance(F.col("words"), F.col("ref_words")))
+    total = F.aggregate("ref_words", F.lit(0.0), lambda s, v: s + v)
+    even = F.when(total > 0, F.transform("ref_words", lambda v: v / total))
+    known = [F.coalesce(F.max(F.when(F.col("lang") == k, even)).over(every), F.array_repeat(F.lit(0.0), nw)).alias(f"known_{k}") for k in COMMON]
+    ref = stage(ref.select("*", *known), "references")
+    out = rows.join(ref, "lang").withColumn("char_distance", distance(F.col("chars"), F.col("ref_chars")))
+    own = {k: sum((F.col("words")[i] for i in at), F.lit(0.0)) for k, at in ALONE.items()}
+    weighed = lambda k: F.transform(f"known_{k}", lambda v: v * own[k])
+    parts = [weighed(k) for k in ALONE]
+    mixed = parts[0]
+    for part in parts[1:]:
+        mixed = F.zip_with(mixed, part, lambda a, b: a + b)
+    some = F.aggregate(mixed, F.lit(0.0), lambda s, v: s + v) > 0
+    out = out.withColumn("word_distance", F.least(distance(F.col("words"), F.col("ref_words")), F.when(some, distance(F.col("words"), mixed))))
     near = lambda d, n, least, limit, slack: (F.col(n) < least) | (F.col(d) <= limit + slack / F.sqrt(F.greatest(F.col(n), F.lit(1))))
     verdict = near("char_distance", "n_chars", limits.least_chars, limits.chars, limits.chars_slack) & near("word_distance", "n_words", limits.least_words, limits.words, limits.words_slack)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "char_distance", "word_distance")

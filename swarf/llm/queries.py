@@ -130,6 +130,7 @@ def _rules_sql() -> str:
     listed = "[" + ", ".join(f"'{w}'" for w in quality_rules.WORDS) + "]"
     near = lambda k, n, least, limit, slack: f"({n} < {least} OR {k} <= {limit}::DOUBLE + {slack}::DOUBLE / sqrt(greatest({n}, 1)))"
     part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    alone = ", ".join(f"('{k}', {i + 1})" for k, at in quality_rules.ALONE.items() for i in at)
     return rf"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, length(text) AS n_chars, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{W}')) AS ls FROM d),
@@ -143,7 +144,12 @@ def _rules_sql() -> str:
         t AS (SELECT lang, kind, k, CASE WHEN n >= {limits.least_docs} THEN own ELSE sum(own) OVER (PARTITION BY kind, k) END AS q FROM s),
         a AS (SELECT row, kind, v / nullif(sum(v) OVER (PARTITION BY row, kind), 0) AS p, q / nullif(sum(q) OVER (PARTITION BY row, kind), 0) AS q FROM h JOIN t USING (lang, kind, k)),
         z AS (SELECT row, kind, coalesce(sqrt(greatest(sum(({part("p", "q")} + {part("q", "p")}) / 2), 0)), 0) AS dist FROM a WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY row, kind),
-        y AS (SELECT f.*, coalesce(c.dist, 0) AS dc, coalesce(x.dist, 0) AS dw FROM f LEFT JOIN z c ON c.row = f.row AND c.kind = 'c' LEFT JOIN z x ON x.row = f.row AND x.kind = 'w')
+        e AS (SELECT lang, k, q / nullif(sum(q) OVER (PARTITION BY lang), 0) AS q FROM t WHERE kind = 'w' AND lang IN ({", ".join(f"'{k}'" for k in quality_rules.COMMON)})),
+        o AS (SELECT row, lang, sum(v) AS n FROM (SELECT row, k, v FROM h WHERE kind = 'w') JOIN (SELECT * FROM (VALUES {alone}) AS l(lang, k)) USING (k) GROUP BY ALL),
+        m AS (SELECT row, k, sum(n * q) AS q FROM o JOIN e USING (lang) WHERE q IS NOT NULL GROUP BY ALL),
+        u AS (SELECT row, v / nullif(sum(v) OVER (PARTITION BY row), 0) AS p, q / nullif(sum(q) OVER (PARTITION BY row), 0) AS q FROM (SELECT row, k, v FROM h WHERE kind = 'w') JOIN m USING (row, k)),
+        v AS (SELECT row, sqrt(greatest(sum(({part("p", "q")} + {part("q", "p")}) / 2), 0)) AS dist FROM u WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY row),
+        y AS (SELECT f.*, coalesce(c.dist, 0) AS dc, least(coalesce(x.dist, 0), v.dist) AS dw FROM f LEFT JOIN z c ON c.row = f.row AND c.kind = 'c' LEFT JOIN z x ON x.row = f.row AND x.kind = 'w' LEFT JOIN v ON v.row = f.row)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
           NOT base_failed AND {near("dc", "n_chars", limits.least_chars, limits.chars, limits.chars_slack)} AND {near("dw", "n_words", limits.least_words, limits.words, limits.words_slack)} AS kept FROM y"""
 
