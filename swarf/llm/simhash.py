@@ -224,7 +224,7 @@ def by_class(rows: DataFrame) -> DataFrame:
 def kept(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows with component_id and kept, from classes (fp, id, least) and the roots of linked ids."""
     linked = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = linked.groupBy("root").agg(F.min("least").alias("first"))
+    first = stage(linked.groupBy("root").agg(F.min("least").alias("first")), "roots")  # staged, so that a hot root can be split
     found = linked.join(first, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.uid").alias("keep_uid"))
     return rows.join(stage(found, "components"), "fp").withColumn("kept", F.col("uid") == F.col("keep_uid"))
 
