@@ -5,6 +5,8 @@ Every operator reads only the columns it needs by name, so further columns, also
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,10 +24,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_swarf_shared", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="swarf-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        own = tempfile.mkdtemp(prefix="swarf-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = context._swarf_shared = f"file://{own}"
     return found.rstrip("/")
 
 

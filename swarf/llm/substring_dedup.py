@@ -112,6 +112,7 @@ def substring_dedup(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     chunks. An empty table gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = stage(rows, "numbered")  # one numbering for the chunks and for the texts that they are cut from
     chunks = stage(chunked(rows, c), "chunks")
     twice = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     # staged, the small sides of both joins leave Spark free to split a digest that very many chunks share
