@@ -36,8 +36,7 @@ def v13_t01_view_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BOXES} SELECT page, count(*) AS n FROM cand WHERE place <= 10 GROUP BY page UNION ALL SELECT -1, count(*) FROM cand WHERE place <= 10")
 def a16_view_totals(spark: SparkSession, d: str) -> DataFrame:
-    c = vw.candidates(boxes(spark, d))
-    return c.groupBy("page").agg(F.count("*").alias("n")).unionByName(c.groupBy(F.lit(-1).cast("long").alias("page")).agg(F.count("*").alias("n")))
+    return vw.candidates(boxes(spark, d)).rollup("page").agg(F.count("*").alias("n")).select(F.coalesce("page", F.lit(-1)).alias("page"), "n")
 
 
 @query(f"WITH {BOXES} SELECT page, view_index, area FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY area DESC, view_index) AS k FROM cand) WHERE k = 1")
@@ -245,10 +244,10 @@ def io05_io08_p18_job_states(spark: SparkSession, d: str) -> DataFrame:
     return s.select("job_id", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"), "status", "mode", jb.progress(F.col("status")).cast("long").alias("progress"))
 
 
-@query(f"WITH {LOG} SELECT job_id, row_number() OVER (ORDER BY created_at DESC, job_id) AS place FROM js")
+@query(f"WITH {LOG} SELECT job_id, epoch_us(created_at) AS created_us FROM js ORDER BY created_at DESC, job_id")
 def io07_newest_first(spark: SparkSession, d: str) -> DataFrame:
-    """One row a job is small against the log, but a place over all still needs one order."""
-    return jb.latest(log(spark, d)).select("job_id", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "job_id")).cast("long").alias("place"))
+    """A range-partitioned sort of one row a job."""
+    return jb.latest(log(spark, d)).select("job_id", F.unix_micros("created_at").alias("created_us")).orderBy(F.col("created_us").desc(), "job_id")
 
 
 @query(f"WITH {LOG} SELECT job_id, status FROM js WHERE job_id = 8")

@@ -103,3 +103,8 @@ def test_log_as_a_stream(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in other_queries.jb.latest(rows).select("job_id", "status", "mode").collect()}
     assert {tuple(r) for r in spark.sql("select job_id, status, mode from states").collect()} == want
+
+
+def test_newest_jobs_come_first(spark):
+    got = [(-r["created_us"], r["job_id"]) for r in other_queries.io07_newest_first(spark, SF).collect()]
+    assert got == sorted(got) and len(got) > 10
