@@ -58,7 +58,7 @@ def repeat_words(words: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
         return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
-    return F.when(F.size(words) >= 6, let(words, counted)).when((F.size(words) >= 4), let(words, counted)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) >= 4, let(words, counted)).otherwise(F.lit(0).cast("long"))
 
 
 def distance(p: Column, q: Column) -> Column:
