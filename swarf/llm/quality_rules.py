@@ -8,6 +8,7 @@ several languages is also held against their references mixed by its own shares
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,13 +62,24 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 4, let(words, counted)).otherwise(F.lit(0).cast("long"))
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two arrays of counts; 0 if either is all zero."""
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def share(x: Column) -> Column:
+    """Counts as shares of their sum; null without any."""
+    return let(total(x), lambda t: F.when(t > 0, F.transform(x, lambda v: v / t)))
+
+
+def apart(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of two arrays of shares; 0 if one is null."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    share = lambda x: let(total(x), lambda t: F.transform(x, lambda v: v / t))
-    apart = total(F.zip_with(share(p), share(q), lambda a, b: (part(a, b) + part(b, a)) / 2))
-    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(apart, F.lit(0.0)))).otherwise(F.lit(0.0))
+    return F.coalesce(F.sqrt(F.greatest(total(F.zip_with(p, q, lambda a, b: (part(a, b) + part(b, a)) / 2)), F.lit(0.0))), F.lit(0.0))
+
+
+def distance(p: Column, q: Column) -> Column:
+    """The same of two arrays of counts."""
+    return let(share(p), lambda a: let(share(q), lambda b: F.when(a.isNotNull() & b.isNotNull(), apart(a, b)).otherwise(F.lit(0.0))))
 
 
 def histograms(docs: DataFrame, limits: Limits) -> DataFrame:
@@ -107,19 +119,22 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     every = Window.partitionBy()
     pick = lambda c: F.when(F.col("n") >= limits.least_docs, F.col(c)).otherwise(F.sum(c).over(every))
     ref = ref.select("lang", F.array(*[F.coalesce(pick(f"chars{i}"), F.lit(0.0)) for i in range(nc)]).alias("ref_chars"), F.array(*[F.coalesce(pick(f"words{i}"), F.lit(0.0)) for i in range(nw)]).alias("ref_words"))
-    total = F.aggregate("ref_words", F.lit(0.0), lambda s, v: s + v)
-    even = F.when(total > 0, F.transform("ref_words", lambda v: v / total))
-    known = [F.coalesce(F.max(F.when(F.col("lang") == k, even)).over(every), F.array_repeat(F.lit(0.0), nw)).alias(f"known_{k}") for k in COMMON]
+    ref = ref.withColumn("ref_chars", share(F.col("ref_chars"))).withColumn("ref_words", share(F.col("ref_words")))
+    known = [F.coalesce(F.max(F.when(F.col("lang") == k, F.col("ref_words"))).over(every), F.array_repeat(F.lit(0.0), nw)).alias(f"known_{k}") for k in COMMON]
     ref = stage(ref.select("*", *known), "references")
-    out = rows.join(ref, "lang").withColumn("char_distance", distance(F.col("chars"), F.col("ref_chars")))
-    own = {k: sum((F.col("words")[i] for i in at), F.lit(0.0)) for k, at in ALONE.items()}
-    weighed = lambda k: F.transform(f"known_{k}", lambda v: v * own[k])
-    parts = [weighed(k) for k in ALONE]
-    mixed = parts[0]
-    for part in parts[1:]:
-        mixed = F.zip_with(mixed, part, lambda a, b: a + b)
-    some = F.aggregate(mixed, F.lit(0.0), lambda s, v: s + v) > 0
-    out = out.withColumn("word_distance", F.least(distance(F.col("words"), F.col("ref_words")), F.when(some, distance(F.col("words"), mixed))))
+    own = F.array(*[sum((F.col("words")[i] for i in at), F.lit(0.0)) for at in ALONE.values()])
+
+    def blend(o: Column) -> Column:
+        """The references weighed by o; each weight is worked out once a row."""
+        times = lambda k, weight: F.transform(f"known_{k}", lambda v: v * weight)
+        weighed = [times(k, o[i]) for i, k in enumerate(ALONE)]
+        return functools.reduce(lambda x, y: F.zip_with(x, y, lambda a, b: a + b), weighed)
+
+    def nearest(p: Column) -> Column:
+        mixed = let(share(let(own, blend)), lambda q: F.when(q.isNotNull(), apart(p, q)))
+        return F.least(apart(p, F.col("ref_words")), mixed)
+
+    out = rows.join(ref, "lang").withColumn("char_distance", apart(share(F.col("chars")), F.col("ref_chars"))).withColumn("word_distance", let(share(F.col("words")), nearest))
     near = lambda d, n, least, limit, slack: (F.col(n) < least) | (F.col(d) <= limit + slack / F.sqrt(F.greatest(F.col(n), F.lit(1))))
     verdict = near("char_distance", "n_chars", limits.least_chars, limits.chars, limits.chars_slack) & near("word_distance", "n_words", limits.least_words, limits.words, limits.words_slack)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "char_distance", "word_distance")
