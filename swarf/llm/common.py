@@ -84,20 +84,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a long, b long); root is the least node of its connected component.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014), each a min by node with map-side combine and one
-    join, staged; the state is one edge for each node once stars remain. Empty edges give an empty table.
+    join, staged; the state is one edge for each node once stars remain. The small side of a join is staged too, so that
+    adaptive execution may split the edges of a node that very many share. Empty edges give an empty table.
     """
     state = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = low_large = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = stage(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = low_small = stage(large.groupBy("a").agg(F.min("b").alias("low")), "low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         after = stage(small.where("a <> b").distinct(), "small-star")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in (state, large):
+        for old in (state, large, low_large, low_small):
             unstage(old)
         state = after
         if now == mark:
