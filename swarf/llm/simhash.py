@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swarf.llm.common import components, document, ship, stage
+from swarf.llm.common import components, document, ship, stage, unstage
 
 #: Fingerprints aimed at in a subtree, and the deepest cut.
 SUBTREE, DEEPEST = 1024, 22
@@ -230,7 +230,11 @@ def kept(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 #: Chance to find a pair just at the similarity asked for, before its fingerprints are compared.
-FOUND = 0.98
+FOUND = 0.99
+#: Added to the share of differing bits: small sets of even size have more ties (measured over unions of 6 to 60 shingles).
+TIES = 0.011
+#: Rounds that hold each row against two candidates alone, before all candidates that are still apart are compared.
+STARS = 2
 #: Keys aimed at in a subtree of one table.
 TABLE = 1 << 16
 
@@ -242,7 +246,7 @@ def apart(similarity: float) -> float:
 
 def tables(n: int, similarity: float) -> tuple[int, int]:
     """(bits of a key, number of tables): random pairs stay in proportion to n, and FOUND of those alike meet in a table."""
-    bits, p = min(60, max(12, math.ceil(math.log2(max(n, 2))) + 6)), apart(similarity)
+    bits, p = min(60, max(12, math.ceil(math.log2(max(n, 2))) + 6)), apart(similarity) + TIES
     meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     return bits, max(1, math.ceil(math.log(1 - FOUND) / math.log(1 - meet)))
 
@@ -269,23 +273,31 @@ def keys_of(bits: int, count: int):
     return run
 
 
-def alike_at(depth: int, bits: int, limit: int):
-    """The applyInPandas function for one subtree of one table: links of rows whose fingerprints differ in few bits."""
+def alike_at(depth: int, bits: int, limit: int, give: str = "forest", turn: int = 0):
+    """The applyInPandas function for one subtree of one table: rows whose fingerprints differ in few bits.
+
+    forest gives links (a, b) with the components of all such pairs. The others leave out pairs of one `comp`: stars gives
+    of each row a the first and the last b by place, a mixing of ids that changes with the turn, and all gives every pair.
+    """
+    mixing = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * turn & (1 << 64) - 1 | 1)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        key, home = group["key"].to_numpy().view(np.uint64), group["home"].to_numpy()
-        order = np.lexsort((key, ~home))  # those at home first, keys unsigned
-        key, ids, mine = key[order], group["id"].to_numpy()[order], int(home.sum())
+        key, home, ids = group["key"].to_numpy().view(np.uint64), group["home"].to_numpy(), group["id"].to_numpy()
+        with np.errstate(over="ignore"):
+            place = (ids.view(np.uint64) * mixing).view(np.int64)
+        order = np.lexsort((place, key, ~home))  # those at home first, keys unsigned
+        key, ids, place, mine = key[order], ids[order], place[order], int(home.sum())
+        comp = group["comp"].to_numpy()[order] if give != "forest" else None
         words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(-1, 4)[order]
         x, fx = np.unique(key[:mine], return_index=True)
         y, fy = np.unique(key[mine:], return_index=True)
-        if not mine:
-            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
         first = np.concatenate([fx, fy + mine])
         size = np.diff(np.concatenate([fx, fy + mine, [len(key)]]))
 
         def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= limit
+            if comp is not None:
+                ok &= comp[a] != comp[b]
             return a[ok], b[ok]
 
         def across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -293,40 +305,126 @@ def alike_at(depth: int, bits: int, limit: int):
                 part = left[i : i + step]
                 yield near(np.repeat(part, len(right)), np.tile(right, len(part)))
 
+        def within(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Rows of one key."""
+            if give == "all":  # each component with those after it
+                rows = rows[np.argsort(comp[rows], kind="stable")]
+                ends = np.flatnonzero(np.diff(comp[rows])) + 1
+                for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+                    yield from across(rows[i:j], rows[j:])
+                return
+            a, b = near(np.full(len(rows) - 1, rows[0]), rows[1:])  # those near the first are one already, or meet it first
+            yield a, b
+            yield from across(np.setdiff1d(rows[1:], b), rows)
+
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for k in np.flatnonzero(size[: len(x)] > 1).tolist():  # rows of one key: those near the first are one already
-                rows = np.arange(first[k], first[k] + size[k])
-                a, b = near(np.full(len(rows) - 1, rows[0]), rows[1:])
-                yield a, b
-                yield from across(np.setdiff1d(rows[1:], b), rows)
+            for k in np.flatnonzero(size[: len(x)] > 1).tolist():
+                yield from within(np.arange(first[k], first[k] + size[k]))
             for a, b in node_pairs(x, y, depth, 2, bits):
                 small = size[a] * size[b] == 1
                 yield near(first[a[small]], first[b[small]])
                 for i, j in zip(a[~small].tolist(), b[~small].tolist(), strict=True):
                     yield from across(np.arange(first[i], first[i] + size[i]), np.arange(first[j], first[j] + size[j]))
 
-        root = forest(len(key), pairs())
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
+        found = pairs() if mine else iter(())
+        if give == "forest":
+            root = forest(len(key), found)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
+        if give == "all":
+            both = [np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1) for a, b in found if len(a)]
+            both = np.unique(np.concatenate(both), axis=0) if both else np.zeros((0, 2), np.int64)
+            return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+        by_place = np.argsort(place)
+        rank = np.empty(len(key), np.int64)
+        rank[by_place] = np.arange(len(key))
+        low, high = np.full(len(key), len(key)), np.full(len(key), -1)
+        for a, b in found:
+            for p, q in ((a, b), (b, a)):
+                np.minimum.at(low, p, rank[q])
+                np.maximum.at(high, p, rank[q])
+        some = np.flatnonzero(high >= 0)
+        low, high = by_place[low[some]], by_place[high[some]]
+        return pd.DataFrame({"a": np.tile(ids[some], 2), "b": ids[np.concatenate([low, high])], "place": place[np.concatenate([low, high])]})
 
     return run
 
 
-def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, slack: int = 8, subtree: int = TABLE) -> DataFrame:
+def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """From (id, text): id, hashes, the sorted distinct shingles' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
+                sets = pa.array([np.unique(shingles(t.as_py(), width, seed)).tobytes() for t in b.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id"), sets], ["id", "hashes"])
+
+    return texts.mapInArrow(run, "id long, hashes binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the distinct pairs (a, b) those whose sets have that Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one = stage(pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a"), "half-pairs")  # staged, so that a hot row can be split in both joins
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    out = stage(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    unstage(one)
+    return out
+
+
+def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, slack: int = 18, subtree: int = TABLE) -> DataFrame:
     """As near_dedup, for texts whose sets of word shingles are that similar: doc_id, component_id, kept, row.
 
     Such texts differ in more bits than a trie can afford to allow for. So 256 bits are taken, a number of tables hold a few
-    of them each, the trie of each table is joined with itself within two bits, and the pairs it finds are compared in all
-    bits: linked if they differ in no more than the share expected at that similarity, plus `slack`. Null, empty and blank
-    texts are alike; an empty table gives an empty result.
+    of them each, the trie of each table is joined with itself within two bits, and the pairs it finds are candidates if they
+    differ in no more bits than the share expected at that similarity, plus `slack` (three standard deviations). A candidate
+    pair is linked if its sets of shingles themselves are that similar. Each row is held against two candidates first, which
+    joins most of a large group of copies; then all candidates that are still in different components are compared. Texts
+    with equal fingerprints count as alike. So do null, empty and blank ones; an empty table gives an empty result.
     """
     rows = stage(with_fingerprints(docs, width, seed, wide=True), "wide-fingerprints")
     classes = stage(by_class(rows).withColumn("id", F.col("least.uid")), "classes")
     n = classes.count()
     bits, count = tables(n, similarity)
     depth = min(bits, DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
-    keys = classes.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
-    keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
-    limit = round(256 * apart(similarity)) + slack
-    links = keys.select("tab", "subtree", "home", "key", "id", "fp").groupBy("tab", "subtree").applyInPandas(alike_at(depth, bits, limit), "a long, b long")
-    return kept(rows, classes, components(links)).select("doc_id", "component_id", "kept", "row")
+    limit = round(256 * (apart(similarity) + TIES)) + slack
+
+    def candidates(of: DataFrame, give: str, turn: int, schema: str) -> DataFrame:
+        keys = of.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
+        if "comp" in of.columns:
+            keys = keys.join(of.select("id", "comp"), "id")
+        else:
+            keys = keys.withColumn("comp", F.col("id"))
+        keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
+        return keys.select("tab", "subtree", "home", "key", "id", "fp", "comp").groupBy("tab", "subtree").applyInPandas(alike_at(depth, bits, limit, give, turn), schema)
+
+    of, sets, seen, links, roots = classes, None, None, None, None
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            first, last = (f(F.struct("place", "b")).alias(k) for k, f in (("first", F.min), ("last", F.max)))
+            ends = stage(candidates(of, "stars", turn, "a long, b long, place long").groupBy("a").agg(first, last), "stars")
+            pairs = ends.select("a", F.explode(F.array("first.b", "last.b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        else:
+            pairs = candidates(of, "all", turn, "a long, b long")
+        pairs = pairs.distinct()
+        pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        if sets is None:  # whoever has a candidate at all is in the first stars; the others go no further
+            some = stage(ends.select(F.col("a").alias("id")), "candidates")
+            of = stage(classes.select("id", "fp").join(some, "id"), "candidate-classes")
+            sets = stage(shingle_sets(rows.select(F.col("uid").alias("id"), F.col("row.text").alias("text")).join(some, "id"), width, seed), "shingle-sets")
+        good = verified(pairs, sets, similarity)
+        seen, links = (pairs, good) if seen is None else (seen.unionByName(pairs), links.unionByName(good))
+        roots = components(links)
+        if turn < STARS:
+            of = stage(of.drop("comp").join(roots.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "candidate-components")
+    unstage(sets)
+    return kept(rows, classes, roots).select("doc_id", "component_id", "kept", "row")

@@ -395,6 +395,35 @@ def test_similar_texts(spark, odd, empty):
     assert len(out) == odd.count() and sum(r["kept"] for r in out) == len({tuple(words(r["row"]["text"])) for r in out}) - 1  # the two long ones are alike
 
 
+def test_similar_texts_on_both_sides_of_the_threshold(spark):
+    """Pairs of one-word-longer spans of fresh words, whose sets of 200 shingles share as many as wanted."""
+    rng, rows, want = random.Random(11), [], {}
+    fresh = lambda k: [f"w{rng.getrandbits(50):x}" for _ in range(k)]
+    for k in range(240):
+        share = (178, 178, 177, 176, 172, 163)[k % 6]  # of 200 each: 178 / 222 is 0.802, 177 / 223 is 0.794
+        head = fresh(share + 4)
+        rows += [(2 * k, " ".join(head + fresh(200 - share))), (2 * k + 1, " ".join(head + fresh(200 - share)))]
+        want[k] = share / (400 - share) >= 0.8
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string"), subtree=128).collect()}
+    linked = {k: comp[2 * k] == comp[2 * k + 1] for k in want}
+    assert not [k for k in want if linked[k] and not want[k]]
+    assert sum(linked[k] for k in want if want[k]) >= 0.96 * sum(want.values())
+
+
+def test_similar_texts_are_not_chained_by_a_template(spark):
+    """A common template with its own part in each text: all 0.7 alike, and among them true near copies of some."""
+    rng, rows = random.Random(12), []
+    fresh = lambda k: [f"w{rng.getrandbits(50):x}" for _ in range(k)]
+    head = fresh(169)
+    for k in range(60):
+        own = fresh(35)
+        rows.append((2 * k, " ".join(head + own)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, " ".join(head + own[:-5] + fresh(5))))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 @pytest.mark.parametrize("depth", [0, 3])
 def test_one_table_links_all_that_it_holds(depth):
     """Every pair of rows whose keys are within two bits and whose fingerprints are near, across subtrees as well."""
