@@ -164,8 +164,8 @@ def x02_fractions(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT doc_id % 50 AS view_id, lower(left(text, 400)) AS t, (doc_id % 10) / 10.0::DOUBLE AS c FROM documents)
     SELECT view_id, coalesce(max(c) FILTER (t LIKE '%ø%' OR t LIKE '%dia%'), 0) AS dia_conf, coalesce(max(c) FILTER (t LIKE '%section%' OR t LIKE '%view%' OR t LIKE '%a-a%'), 0) AS section_conf, coalesce(max(c) FILTER (c >= 0.5), 0) AS kept FROM t GROUP BY view_id""")
 def x03_v15_text_hints(spark: SparkSession, d: str) -> DataFrame:
-    """A box of text is the head of a document; those under 0.5 aren't kept."""
-    t = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("view_id"), F.lower(F.left("text", F.lit(400))).alias("t"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("c"))
+    """A box of text is a document, searched whole (its SQL looks at the first 400 characters); those under 0.5 aren't kept."""
+    t = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("view_id"), F.lower("text").alias("t"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("c"))
     has = lambda *ws: F.coalesce(F.max(F.when(F.lit(False) | sum((F.col("t").contains(w).cast("int") for w in ws), F.lit(0)).cast("boolean"), F.col("c"))), F.lit(0.0))
     return t.groupBy("view_id").agg(has("ø", "dia").alias("dia_conf"), has("section", "view", "a-a").alias("section_conf"), F.coalesce(F.max(F.when(F.col("c") >= 0.5, F.col("c"))), F.lit(0.0)).alias("kept"))
 

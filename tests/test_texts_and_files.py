@@ -23,6 +23,13 @@ def test_dimensions(spark):
     assert once == 1
 
 
+def test_hints_far_behind_the_head_of_a_text(spark, tmp_path):
+    rows = [(7, "word " * 200 + "DIA 4"), (8, "word " * 9000 + "see Section"), (9, "word " * 200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["view_id"]: (r["dia_conf"], r["section_conf"]) for r in other_queries.x03_v15_text_hints(spark, str(tmp_path)).collect()}
+    assert got == {7: (0.7, 0.0), 8: (0.0, 0.8), 9: (0.0, 0.0)}
+
+
 @pytest.mark.parametrize("given,want", [([], ""), ([4], "4"), ([1, 2, 3], "1-3"), ([1, 2, 3, 5, 6], "1-3 and 5-6"), ([1, 3, 5], "1, 3, and 5"), ([1, 2, 4, 7, 8, 9], "1-2, 4, and 7-9")])
 def test_ranges(spark, given, want):
     assert spark.createDataFrame([(given,)], "l array<bigint>").select(tx.ranges(F.col("l"))).first()[0] == want
