@@ -23,6 +23,12 @@ def test_dimensions(spark):
     assert once == 1
 
 
+def test_dimensions_of_documents_include_fractions(spark, tmp_path):
+    spark.createDataFrame([(1, "bore 1-1/4 deep"), (2, "od 1.5")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in other_queries.x01_dimensions(spark, str(tmp_path)).collect()}
+    assert got == {(1, 3, 1.25, "1-1/4"), (2, 2, 1.5, "1.5")}
+
+
 def test_hints_far_behind_the_head_of_a_text(spark, tmp_path):
     rows = [(7, "word " * 200 + "DIA 4"), (8, "word " * 9000 + "see Section"), (9, "word " * 200)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
