@@ -3,8 +3,8 @@
 A text becomes a lattice of pieces with the scores of the model file. Forward Viterbi gives the best score of every
 prefix; a backward A* search takes these as its exact heuristic, so it walks complete segmentations in order of score.
 Where no piece of the model holds two neighbouring characters, no segmentation crosses between them, and the lattice falls
-apart into units; units repeat, and each worker remembers what it has solved. The N best of a text are merged from the
-units that have the cheapest second choices.
+apart into units. Each distinct unit of a batch is searched by A* for its best and second-best segmentation; the N best
+of a text differ from its best in the N - 1 units with the cheapest second choices alone, and of these A* gives N each.
 
 The model's merge ranks, where it was built by merging, serve as additive scores: results are the N best of that lattice,
 not the merges. Characters without a piece become their bytes, so decoding returns each text exactly.
@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +25,20 @@ from pyspark.sql import types as T
 
 from swarf.llm.common import ship
 
-SPACE = "▁"
+#: How the model files write a space.
+MARK = "▁"
 #: Units a worker remembers, in two generations, and the longest one it does.
 REMEMBERED, LONGEST = 200_000, 48
-#: Units solved in one numpy batch.
-BATCH = 2048
+#: Code points of the texts taken together; a longer text is taken alone.
+TOGETHER = 1 << 21
 #: Below the worst piece, as the public library has it for unigram models.
 UNKNOWN_PENALTY = 10.0
+#: Open nodes kept beyond the number wanted before the queue is cut back to those that can still count.
+OPEN = 32
 
 
 class Lattice:
-    """The pieces of a model file, the units they make, and what has been solved."""
+    """The pieces of a model file, the units that they make, and what has been solved."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -43,194 +46,166 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         usual = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.text = {i: sp.id_to_piece(i) for i in usual}
-        self.ids = {p: i for i, p in self.text.items()}
-        self.score = {i: sp.get_score(i) for i in usual}
+        self.pieces = {sp.id_to_piece(i).replace(MARK, " "): (i, sp.get_score(i)) for i in usual}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.of_byte = {i: b for b, i in enumerate(self.bytes)}
         if not all(sp.is_byte(i) for i in self.bytes):
             raise ValueError("the model has no byte pieces, so it can't return every text")
-        self.longest = max(map(len, self.ids))
-        self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
-        chars = sorted({c for p in self.ids if len(p) > 1 for c in p})
+        raw = [b""] * n
+        for p, (i, _) in self.pieces.items():
+            raw[i] = p.encode()
+        for b, i in enumerate(self.bytes):
+            raw[i] = bytes([b])
+        self.raw = pa.array(raw, pa.binary())
+        self.longest = max(map(len, self.pieces))
+        self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
+        self.walk = {p[:k]: -np.inf for p in self.pieces for k in range(1, len(p))}  # beginnings of pieces, to stop early
+        self.walk |= {p: s for p, (_, s) in self.pieces.items()}
+        chars = sorted({c for p in self.pieces if len(p) > 1 for c in p})
         self.place = np.zeros(0x110000, np.uint16)  # of a character that longer pieces hold, else 0
         self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        for p in self.ids:
+        for p in self.pieces:
             at = self.place[[ord(c) for c in p]]
             self.joined[at[:-1], at[1:]] = True
         self.joined[0], self.joined[:, 0] = False, False
-        self._plant()
-        self.raw = [self.text.get(i, "").replace(SPACE, " ").encode() for i in range(n)]
-        for i, b in self.of_byte.items():
-            self.raw[i] = bytes([b])
-        self.pieces = {p: (i, self.score[i]) for p, i in self.ids.items()}
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.several = lru_cache(20_000)(lambda unit, n: list(islice(self.ranked(unit, n), n)))
 
-    def _plant(self) -> None:
-        """A trie over the places of characters: children by node, and the piece and score at each; node 1 is a dead end."""
-        rows = [{}, {}]
-        at_piece, at_score = [-1, -1], [-np.inf, -np.inf]
-        for p, i in self.ids.items():
-            places = self.place[[ord(c) for c in p]].tolist()
-            if 0 in places:
-                continue
-            node = 0
-            for c in places:
-                if c not in rows[node]:
-                    rows[node][c] = len(rows)
-                    rows.append({})
-                    at_piece.append(-1)
-                    at_score.append(-np.inf)
-                node = rows[node][c]
-            at_piece[node], at_score[node] = i, self.score[i]
-        self.child = np.ones((len(rows), len(self.joined)), np.uint16 if len(rows) < 1 << 16 else np.int32)
-        for k, r in enumerate(rows):
-            self.child[k, list(r)] = list(r.values())
-        self.at_piece, self.at_score = np.array(at_piece, np.int32), np.array(at_score)
-
-    def solve_many(self, units: list[str]) -> None:
-        """Remember the best segmentation and the second-best score of many units at once: forward Viterbi, keeping two
-        scores a prefix, as numpy steps over units of like length.
+    def forward(self, unit: str) -> list[float]:
+        """The best score of every prefix, by Viterbi."""
+        n, score, longest = len(unit), self.walk.get, self.longest
+        best = [0.0] + [-np.inf] * n
+        for start in range(n):
+            base = best[start]
+            if unit[start] not in self.pieces and base + self.unknown > best[start + 1]:
+                best[start + 1] = base + self.unknown
+            for end in range(start + 1, min(n, start + longest) + 1):
+                s = score(unit[start:end])
+                if s is None:
+                    break
+                if base + s > best[end]:
+                    best[end] = base + s
+        return best
+
+    def ranked(self, unit: str, n: int = 1 << 30) -> Iterator[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations of a unit by falling score: backward A*, ordered by score so far plus best prefix.
+
+        Of equal nodes the one nearest to the start comes first, so ties don't widen the search. Open nodes hold different
+        segmentations and each has one of just its order, so beyond the n first ones a node can't count any more.
         """
-        units = sorted((u for u in units if 1 < len(u) <= LONGEST), key=len)
-        for first in range(0, len(units), BATCH):
-            some = units[first : first + BATCH]
-            lens = np.array([len(u) for u in some])
-            longest, rows = int(lens[-1]), np.arange(len(some))
-            flat = self.place[np.frombuffer("".join(u.ljust(longest, "\0") for u in some).encode("utf-32-le"), np.uint32)].reshape(len(some), longest)
-            best, second = np.full((longest + 1, len(some)), -np.inf), np.full((longest + 1, len(some)), -np.inf)
-            back, piece = np.ones((longest + 1, len(some)), np.int16), np.full((longest + 1, len(some)), -1, np.int32)
-            best[0] = 0
-            for start in range(longest):
-                node = np.zeros(len(some), np.int32)
-                for size in range(1, min(self.longest, longest - start) + 1):
-                    node = self.child[node, flat[:, start + size - 1]]
-                    score, end = self.at_score[node], start + size
-                    if size == 1:
-                        score = np.where(self.at_piece[node] < 0, self.unknown, score)
-                    elif (node == 1).all():
-                        break
-                    one = best[start] + score
-                    wins = one > best[end]
-                    second[end] = np.maximum(np.maximum(second[end], second[start] + score), np.minimum(best[end], one))
-                    best[end] = np.where(wins, one, best[end])
-                    back[end] = np.where(wins, size, back[end])
-                    piece[end] = np.where(wins, self.at_piece[node], piece[end])
-            at, steps = lens.copy(), []
-            while at.any():
-                steps.append(np.where(at > 0, piece[at, rows], -2))
-                at = np.where(at > 0, at - back[at, rows], 0)
-            gap = best[lens, rows] - second[lens, rows]
-            for u, path, score, less in zip(some, np.stack(steps[::-1], 1).tolist(), best[lens, rows].tolist(), gap.tolist(), strict=True):
-                if -1 not in path:
-                    self._remember(u, (tuple(x for x in path if x != -2), score, less))
-
-    def _remember(self, unit: str, found: tuple) -> None:
-        if len(self.new) >= REMEMBERED:
-            self.old = dict(self.new)
-            self.new.clear()
-        self.new[unit] = found
-
-    def forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
-        """The best score of every prefix, and the edges (start, piece, score) into every position; piece -1: bytes."""
-        n, best, edges = len(unit), [0.0], []
-        find, longest = self.pieces.get, self.longest
-        for end in range(1, n + 1):
-            into, top = [], -np.inf
-            for start in range(end - longest if end > longest else 0, end):
-                if hit := find(unit[start:end]):
-                    into.append((start, *hit))
-                    if (s := best[start] + hit[1]) > top:
-                        top = s
-            if not into or into[-1][0] != end - 1:
-                into.append((end - 1, -1, self.unknown))
-                top = max(top, best[end - 1] + self.unknown)
-            best.append(top)
-            edges.append(into)
-        return best, edges
-
-    def ranked(self, unit: str) -> Iterator[tuple[float, tuple[int, ...]]]:
-        """Segmentations of a unit by falling score: backward A*, the queue ordered by score so far plus best prefix."""
-        best, edges = self.forward(unit)
-        queue, serial = [(-best[-1], 0, len(unit), 0.0, ())], 0
-        while queue:
-            top, _, at, tail, path = heapq.heappop(queue)
+        best, find = self.forward(unit), self.pieces.get
+        queue, serial, found = [(-best[-1], len(unit), 0, 0.0, ())], 0, 0
+        while queue and found < n:
+            top, at, _, tail, path = heapq.heappop(queue)
             if not at:
                 ids: list[int] = []
                 while path:
-                    (start, piece), path = path
-                    ids += [self.bytes[b] for b in unit[start].encode()] if piece < 0 else [piece]
+                    (piece, char), path = path
+                    ids += [self.bytes[b] for b in char.encode()] if piece < 0 else [piece]
                 yield -top, tuple(ids)
+                found += 1
                 continue
-            for start, piece, score in edges[at - 1]:
+            for start in range(at - 1, max(-1, at - 1 - self.longest), -1):
+                hit = find(unit[start:at])
+                if hit is None:
+                    if start < at - 1:
+                        continue
+                    hit = (-1, self.unknown)
                 serial += 1
-                heapq.heappush(queue, (-(best[start] + score + tail), serial, start, score + tail, ((start, piece), path)))
+                score = hit[1] + tail
+                heapq.heappush(queue, (-(best[start] + score), start, serial, score, ((hit[0], unit[start]), path)))
+            if len(queue) > n + OPEN:
+                queue = heapq.nsmallest(n - found, queue)
 
-    def solve(self, unit: str) -> tuple:
+    def solve(self, unit: str) -> tuple[tuple[int, ...], float, float]:
         """(ids, score, how much less the second choice scores; inf without one)"""
         if found := self.new.get(unit):
             return found
         if not (found := self.old.get(unit)):
-            way = self.ranked(unit)
-            score, ids = next(way)
-            second = next(way, None)
-            found = (ids, score, score - second[0] if second else np.inf)
+            (score, ids), *second = self.ranked(unit, 2)
+            found = (ids, score, score - second[0][0] if second else np.inf)
         if len(unit) <= LONGEST:
-            self._remember(unit, found)
+            if len(self.new) >= REMEMBERED:
+                self.old, self.new = self.new, {}
+            self.new[unit] = found
         return found
 
-    def cut(self, text: str) -> list[str]:
-        """Units of a text whose spaces are marked."""
-        at = self.place[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        ends = (np.flatnonzero(~self.joined[at[:-1], at[1:]]) + 1).tolist()
-        return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)] if text else []
-
-    def split(self, text: str) -> list[str]:
-        """Units, the first with the leading space that the model adds; a literal U+2581 is a unit '' and becomes bytes."""
-        if SPACE not in text:
-            return self.cut(SPACE + text.replace(" ", SPACE))
-        out: list[str] = []
-        for i, part in enumerate(text.split(SPACE)):
-            out += [""] * bool(i) + self.cut(SPACE * (not i) + part.replace(" ", SPACE))
+    def units(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The units of all texts, each with the leading space that the model adds, and where each text's units begin and end."""
+        whole = " " + " ".join(texts)
+        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        last = np.cumsum([len(t) + 1 for t in texts])  # where a text ends, in code points
+        place = self.place[code]
+        apart = np.append(~self.joined[place[:-1], place[1:]], True)
+        apart[last - 1] = True
+        ends = np.flatnonzero(apart) + 1
+        width = 1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF)
+        offsets = np.concatenate(([0], np.cumsum(width)[ends - 1])).astype(np.int32)
+        cut = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+        return cut, np.concatenate(([0], np.searchsorted(ends, last, "right")))
+
+    def choices(self, units: list[str], less: np.ndarray, best: float, n: int) -> list[tuple[float, dict[int, int]]]:
+        """The n best segmentations of a text as (score, {unit: rank}), from the units and how much their second choices lose."""
+        near = np.argsort(less, kind="stable")[: n - 1] if len(less) <= 64 else (c := np.sort(np.argpartition(less, n)[:n]))[np.argsort(less[c], kind="stable")][: n - 1]
+        out = [(best, {})]
+        for u in (int(u) for u in near if less[u] < np.inf):
+            scores = [s for s, _ in self.several(units[u], n)]
+            out = heapq.nsmallest(n, ((t + s - scores[0], c | ({u: k} if k else {})) for t, c in out for k, s in enumerate(scores)), key=lambda x: -x[0])
         return out
 
-    def encode(self, text: str, n: int = 1, units: list[str] | None = None) -> tuple[np.ndarray, list[float], list[str], list[tuple[float, dict[int, int]]]]:
-        """(ids of the best segmentation, its score and those of up to n - 1 more, units, each choice as {unit: rank})."""
-        units = self.split(text) if units is None else units
-        literal = (tuple(self.bytes[b] for b in SPACE.encode()), self.unknown, np.inf)
-        known, solve = self.new.get, self.solve
-        solved = [known(u) or (solve(u) if u else literal) for u in units]
-        ids = np.fromiter(chain.from_iterable(map(itemgetter(0), solved)), np.int32)
-        best = float(sum(map(itemgetter(1), solved)))
-        choices = [(best, {})]
-        if n > 1:
-            less = np.fromiter(map(itemgetter(2), solved), float, len(solved))
-            near = np.argsort(less, kind="stable")[: n - 1] if len(less) < 4 * n else (c := np.argpartition(less, n - 2)[: n - 1])[np.argsort(less[c], kind="stable")]
-            for u in (int(u) for u in near if less[u] < np.inf):
-                ranked = [s for s, _ in zip((s for s, _ in self.ranked(units[u])), range(n), strict=False)]
-                choices = heapq.nsmallest(n, ((t + s - ranked[0], c | ({u: k} if k else {})) for t, c in choices for k, s in enumerate(ranked)), key=lambda x: -x[0])
-        return ids, [c[0] for c in choices], units, choices
-
-    def alternatives(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations in full: (score, ids)."""
-        _, _, units, choices = self.encode(text, n)
+    def encode(self, texts: list[str], n: int = 1) -> list[list[tuple[float, np.ndarray]]]:
+        """Of each text the n best segmentations: (score, ids), best first."""
+        if not texts:
+            return []
+        cut, begin = self.units(texts)
+        coded = cut.dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        solved = [self.solve(u) for u in distinct]
+        sizes = np.fromiter((len(s[0]) for s in solved), np.int64, len(solved))
+        flat = np.fromiter(chain.from_iterable(s[0] for s in solved), np.int32, sizes.sum())
+        score, less = (np.fromiter((s[k] for s in solved), float, len(solved)) for k in (1, 2))
+        size, first = sizes[code], (np.cumsum(sizes) - sizes)[code]
+        end = np.cumsum(size)
+        ids = flat[np.repeat(first - (end - size), size) + np.arange(end[-1])]
+        at = np.concatenate(([0], end))  # where a unit's ids begin
+        total = np.add.reduceat(score[code], begin[:-1])
         out = []
-        for score, changed in choices:
-            ids: list[int] = []
-            for k, u in enumerate(units):
-                rank = changed.get(k, 0)
-                if u and not rank:
-                    ids += self.solve(u)[0]
-                    continue
-                ids += next(x for i, (_, x) in enumerate(self.ranked(u)) if i == rank) if u else [self.bytes[b] for b in SPACE.encode()]
-            out.append((score, ids))
+        for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+            mine = code[a:b]
+            best = ids[at[a] : at[b]]
+            ways = [(float(total[k]), best)]
+            if n > 1:
+                names = _Named(distinct, mine)
+                for worth, changed in self.choices(names, less[mine], float(total[k]), n)[1:]:
+                    parts, last = [], at[a]
+                    for u, rank in sorted(changed.items()):
+                        parts += [ids[last : at[a + u]], np.array(self.several(names[u], n)[rank][1], np.int32)]
+                        last = at[a + u + 1]
+                    ways.append((worth, np.concatenate([*parts, ids[last : at[b]]])))
+            out.append(ways)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces with spaces put back, runs of byte pieces as UTF-8, less the leading space."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")[1:]
+        return self.joined_bytes([ids])[0].decode(errors="replace")[1:]
+
+    def joined_bytes(self, lists: list) -> list[bytes]:
+        """The bytes of each list of ids, with the leading space."""
+        whole = self.raw.take(pa.array(np.concatenate([np.asarray(x, np.int32) for x in lists])))
+        offsets = np.frombuffer(whole.buffers()[1], np.int32)[: len(whole) + 1]
+        data, cut = memoryview(whole.buffers()[2] or b""), offsets[np.cumsum([0, *map(len, lists)])].tolist()
+        return [bytes(data[a:b]) for a, b in zip(cut, cut[1:])]
+
+
+class _Named:
+    """The units of a text by place, without making a list of all of them."""
+
+    def __init__(self, distinct: list[str], code: np.ndarray):
+        self.distinct, self.code = distinct, code
+
+    def __getitem__(self, k: int) -> str:
+        return self.distinct[self.code[k]]
 
 
 _LOADED: dict[str, Lattice] = {}
@@ -243,30 +218,53 @@ def lattice(model_file: str) -> Lattice:
     return _LOADED[model_file]
 
 
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of up to TOGETHER code points."""
+    part, n = [], 0
+    for t in texts:
+        if part and n + len(t) > TOGETHER:
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t)
+    if part:
+        yield part
+
+
 def encode(docs: DataFrame, model_file: str, n: int = 4) -> DataFrame:
-    """One row per input row: doc_id, ids, n_pieces, scores (best first, up to n), round_trip (decoding gives the text).
+    """One row per input row: doc_id, ids and n_pieces (the best segmentation), scores (best first, up to n), others (the ids
+    of the segmentations after the best, in the order of scores), round_trip (decoding each of them gives the text).
 
-    A null text counts as empty, which is the one piece of the leading space. Repeated rows are encoded alike; very long
-    texts in linear time. An empty table gives an empty result. The model file must lie at the same path on all machines.
+    A null text counts as empty, which is the one piece of the leading space; a text has fewer than n segmentations only if
+    there are no more. Equal scores come in a fixed order, so repeated rows are encoded alike; very long texts take time in
+    proportion. An empty table gives an empty result. The model file must lie at the same path on all machines.
     """
     ship(docs.sparkSession)
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("round_trip", T.BooleanType())]
+    whole = T.ArrayType(T.IntegerType())
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("ids", whole), T.StructField("n_pieces", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(whole)), T.StructField("round_trip", T.BooleanType())]
     names = [f.name for f in fields]
 
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_file)
-        for big in batches:
-            for b in (big.slice(i, 200) for i in range(0, big.num_rows, 200)):
-                got = []
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                units = [model.split(t) for t in texts]
-                model.solve_many([u for u in set(chain.from_iterable(units)) if u not in model.new and u not in model.old])
-                for text, cut in zip(texts, units, strict=True):
-                    ids, scores, _, _ = model.encode(text, n, cut)
-                    got.append((ids, len(ids), scores, model.decode(ids.tolist()) == text))
-                ids, lens, scores, same = zip(*got, strict=True)
-                offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(lens, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)], names)
+        for b in batches:
+            done = 0
+            for texts in together([t or "" for t in b.column("text").to_pylist()]):
+                found = model.encode(texts, n)
+                every = [ids for ways in found for _, ids in ways]
+                back = iter(model.joined_bytes(every))
+                same = [all([next(back) == want for _ in ways]) for ways, want in zip(found, ((" " + t).encode() for t in texts), strict=True)]
+                counts = np.concatenate(([0], np.cumsum([len(ways) - 1 for ways in found]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").slice(done, len(texts)), lists([w[0][1] for w in found]), pa.array([len(w[0][1]) for w in found], pa.int64()), pa.array([[s for s, _ in w] for w in found], pa.list_(pa.float64())),
+                        pa.ListArray.from_arrays(pa.array(counts), lists([ids for w in found for _, ids in w[1:]])), pa.array(same),
+                    ],
+                    names,
+                )
+                done += len(texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, T.StructType(fields))

@@ -499,8 +499,9 @@ def every(m, unit):
     out = []
     for n in range(1, len(unit) + 1):
         head = unit[:n]
-        if head in m.ids:
-            edge = (m.score[m.ids[head]], (m.ids[head],))
+        if head in m.pieces:
+            i, score = m.pieces[head]
+            edge = (score, (i,))
         elif n == 1:
             edge = (m.unknown, tuple(m.bytes[b] for b in head.encode()))
         else:
@@ -509,52 +510,71 @@ def every(m, unit):
     return out
 
 
-@pytest.mark.parametrize("unit", ["▁the", "ing", "▁token", "aaaa", "▁", "日本", "é", "▁Straße", "x\x01"])
+@pytest.mark.parametrize("unit", [" the", "ing", " token", "aaaa", " ", "日本", "é", " Straße", "x\x01", "▁"])
 def test_astar_walks_in_order_of_score(lattice, unit):
     got = list(itertools.islice(lattice.ranked(unit), 200))
     want = sorted(every(lattice, unit), key=lambda x: -x[0])
     assert [s for s, _ in got] == pytest.approx([s for s, _ in want[:200]])
     assert {ids for _, ids in got} <= {ids for _, ids in want} and len({ids for _, ids in got}) == len(got)
+    assert [list(itertools.islice(lattice.ranked(unit, n), n)) for n in (1, 2, 4)] == [got[:n] for n in (1, 2, 4)]  # a cut queue loses nothing
 
 
-def test_batches_solve_as_astar_does(lattice):
+def test_astar_of_random_units(lattice):
     rng = random.Random(4)
-    units = {"".join(rng.choices("abcdefghiklmnorstué", k=rng.randint(2, 12))) for _ in range(300)}
-    units = sorted({u for x in units for u in lattice.cut("▁" + x)})
-    lattice.new.clear(), lattice.old.clear()
-    lattice.solve_many(units)
-    for u in units:
-        way = lattice.ranked(u)
-        first, second = next(way), next(way, None)
+    for u in {"".join(rng.choices("abcdeg einrst", k=rng.randint(1, 11))) for _ in range(150)}:
+        want = sorted((s for s, _ in every(lattice, u)), reverse=True)
         ids, score, less = lattice.solve(u)
-        assert score == first[0] and less == (score - second[0] if second else np.inf)
-        assert sum(lattice.score[i] for i in ids) == score if all(i in lattice.score for i in ids) else True
+        assert score == want[0] and less == (want[0] - want[1] if len(want) > 1 else np.inf)
+        assert [s for s, _ in lattice.several(u, 4)] == pytest.approx(want[:4]) and lattice.joined_bytes([ids]) == [u.encode()]
+
+
+def test_long_units_of_equal_scores(lattice):
+    """Very many segmentations score alike; the search stays as narrow as the N wanted."""
+    unit = "a" * 20_000
+    got = lattice.several(unit, 4)
+    assert len({ids for _, ids in got}) == 4 and got[0][0] == lattice.forward(unit)[-1] and all(lattice.joined_bytes([ids]) == [unit.encode()] for _, ids in got)
 
 
-@pytest.mark.parametrize("text", ["", "the thing", "a ▁ b", " two  spaces ", "line\nline", "日本 é\x00", "in in in"])
+@pytest.mark.parametrize("text", ["", "the thing", "a ▁ b", " two  spaces ", "line\nline", "日本 é\x00", "in in in", "x" * 9 + " yy"])
 def test_n_best_of_a_text(lattice, text):
     n = 5
-    _, scores, units, _ = lattice.encode(text, n)
-    alternatives = lattice.alternatives(text, n)
-    assert [s for s, _ in alternatives] == scores and all(lattice.decode(ids) == text for _, ids in alternatives)
-    assert len({tuple(ids) for _, ids in alternatives}) == len(alternatives)
+    (found,) = lattice.encode([text], n)
+    scores = [s for s, _ in found]
+    assert all(lattice.decode(ids) == text for _, ids in found) and len({tuple(ids) for _, ids in found}) == len(found)
+    cut, begin = lattice.units([text])
+    units = cut.to_pylist()
+    assert "".join(units) == " " + text and begin.tolist() == [0, len(units)]
     sums = [0.0]
     for u in units:
-        one = [s for s, _ in itertools.islice(lattice.ranked(u), n)] if u else [lattice.unknown]
-        sums = sorted((a + b for a in sums for b in one), reverse=True)[:n]
+        sums = sorted((a + s for a in sums for s, _ in itertools.islice(lattice.ranked(u), n)), reverse=True)[:n]
     assert scores == pytest.approx(sums)
-    if len(text) < 12 and "▁" not in text:
-        whole = sorted((s for s, _ in every(lattice, "▁" + text.replace(" ", "▁"))), reverse=True)[:n]
+    value = {i: s for i, s in lattice.pieces.values()}
+    if "▁" not in text and all(c in lattice.pieces for c in text):
+        assert scores == pytest.approx([sum(value[i] for i in ids.tolist()) for _, ids in found])
+    if len(text) < 12:
+        whole = sorted((s for s, _ in every(lattice, " " + text)), reverse=True)[:n]
         assert scores == pytest.approx(whole)  # cutting into units loses nothing
 
 
+def test_n_best_of_many_texts_together(lattice):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 200))) for _ in range(40)] + ["", "é" * 3]
+    for text, found, alone in zip(texts, lattice.encode(texts, 4), (lattice.encode([t], 4)[0] for t in texts)):
+        assert [(s, ids.tolist()) for s, ids in found] == [(s, ids.tolist()) for s, ids in alone]
+        assert all(lattice.decode(ids) == text for _, ids in found)
+
+
 def test_sentencepiece_round_trip(spark, odd, docs, empty):
     df = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
     out = sentencepiece.encode(df, MODEL).collect()
-    assert len(out) == df.count() and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["scores"] == sorted(r["scores"], reverse=True) for r in out)
+    assert len(out) == df.count() and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["scores"] == sorted(r["scores"], reverse=True) and len(r["scores"]) == 1 + len(r["others"]) for r in out)
     m = sentencepiece.lattice(MODEL)
-    assert Counter((r["doc_id"], m.decode(r["ids"])) for r in out) == Counter((r["doc_id"], r["text"] or "") for r in df.collect())
+    texts = Counter((r["doc_id"], r["text"] or "") for r in df.collect())
+    assert Counter((r["doc_id"], m.decode(r["ids"])) for r in out) == texts
+    assert all((r["doc_id"], m.decode(ids)) in texts for r in out for ids in r["others"])
+    assert all(len({tuple(r["ids"]), *map(tuple, r["others"])}) == len(r["scores"]) for r in out) and sum(len(r["others"]) == 3 for r in out) > 0.9 * len(out)
     assert sentencepiece.encode(empty, MODEL).count() == 0
+    assert sentencepiece.encode(odd, MODEL).count() == odd.count()
 
 
 # ---- shared ----
