@@ -303,14 +303,89 @@ def test_surrogates(spark, odd, empty):
     assert n.count() == odd.count() and n.where("n_entities > 0").count() == 1 and pii.pseudonymise(empty, "k").count() == 0
 
 
-def test_surrogates_stay_distinct(spark):
-    """More names than there are to choose from, so that many draws collide."""
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """Over 500 names, all in two cases, so that draws collide: one surrogate for each person, and none for two."""
     rng = random.Random(3)
-    names = {f"{g} {f}" for g in pii.GIVEN["latin_f"] for f in ("".join(rng.choices("aeioubdfgk", k=5)).title() for _ in range(60))}
-    entities = spark.createDataFrame([("person", n) for n in names], "kind string, value string")
-    out = pii.surrogates(entities, "k").collect()
-    assert len(out) == len(names) == len({r["surrogate"] for r in out})
-    assert not {r["surrogate"] for r in out} & names
+    names = sorted({f"{g} {f}" for g in pii.GIVEN["latin_f"] for f in ("".join(rng.choices("aeioubdfgk", k=5)).title() for _ in range(40))})
+    src = spark.createDataFrame([(i, f"{n} and {n.upper()} met.") for i, n in enumerate(names)], "doc_id long, text string")
+    out = {r["doc_id"]: re.fullmatch(r"(.+) and (.+) met\.", r["text"]).groups() for r in pii.pseudonymise(src, "k").collect()}
+    assert len(names) > 500 and all(a.upper() == b and a != b for a, b in out.values())
+    assert len({a.lower() for a, _ in out.values()}) == len(names)
+    assert not {a.lower() for a, _ in out.values()} & {n.lower() for n in names}
+    few = spark.createDataFrame([("phone", f"+49{i:02d}", "") for i in range(100)], "kind string, identity string, gender string")
+    monkeypatch.setattr(pii, "STRICT", 2)
+    got = pii.surrogates(few.where("identity < '+4960'"), "k").collect()  # 60 of the 100 numbers of that form: real ones must serve
+    assert len({r["surrogate"] for r in got}) == 60 and all(r["surrogate"] != r["identity"] for r in got)
+
+
+def holds(kind, value):
+    if kind == "card":
+        return luhn(value) % 10 == 0 or re.fullmatch("[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}", value) is not None
+    return kind != "email" or not re.search(r"\.\.|@[.-]", value)
+
+
+def found_by_hand(text):
+    """(kind, start, end, identity) in Python, from the same patterns: kinds by group, names' words on their own by a second walk."""
+    import regex
+
+    whole = regex.compile("|".join(f"(?P<{k.name}>{k.pattern})" for k in pii.KINDS))
+    names = list(dict.fromkeys(m[0] for m in whole.finditer(text) if m.lastgroup == "person" and " " in m[0]))
+    words = {x for n in names for w in n.split(" ") if len(w) > 2 and not w.endswith(".") for x in (w, w.upper(), w.title())}
+    if words:
+        whole = regex.compile(whole.pattern + r"|(?<![\p{L}\p{N}])(?P<word>" + "|".join(sorted(words, key=len, reverse=True)) + r")(?![\p{L}\p{N}])")
+    out = []
+    for m in whole.finditer(text):
+        kind, v = m.lastgroup.replace("word", "person"), m[0]
+        if holds(kind, v):
+            digits = "".join(c for c in v if c.isdigit())
+            of = next((n for n in names if v.lower() in n.lower().split(" ")), v) if kind == "person" and " " not in v else v
+            out.append((kind, m.start(), m.end(), {"card": digits, "phone": "+" * v.startswith("+") + digits, "ipv4": v}.get(kind, of.lower()), v, of))
+    return out
+
+
+def test_pii_against_a_walk_in_python(spark, docs, odd):
+    amex = next(c for c in (f"37828224631{k:04d}" for k in range(9999)) if luhn(c) % 10 == 0)
+    rows = [
+        (1000, "Mr. James Brown wrote. Later Brown and JAMES said that Michael O'Neill-Smith, no, Mrs Robin Blake called; my name is Ulla Q. Berg. Brown's dog. Dr. Who"),
+        (1001, "+49 30 901820, +33 6 12 34 56 78, +44 20 7946 0958, phone 5551234567, 5551234567, 06 12 34 56 78, 030 901 82012, Tel.: 030-901820, +1 (555) 123-4567; +1 555.123.4567; 2024-01-02"),
+        (1002, f"{amex} {amex[:4]} {amex[4:10]} {amex[10:]} 378282246310006 1234567890123 4111111111111112 4111-1111-1111-1112 4222222222222"),
+        (1003, "x@" + "a." * 4000 + "com"), (1004, "a@b..com A.B@C.ORG a.b@c.org a.b@c.org. q@-x.com " + "@" * 3000), (1005, "Anna Meier traf Anna Schmidt. Meier, Anna und SCHMIDT. Frau Meier ging."),
+        (1006, "Иван Петров и Анна Петрова; меня зовут Ольга Смирнова. ПЕТРОВ"), (1007, "10.0.0.1 256.1.1.1 1.2.3.4.5 010.1.1.1"), (1008, "word " * 200_000 + "John Lennon, john@x.org"), (1009, "( ( ( +" * 5000 + "0" * 5000),
+    ]
+    src = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text")).unionByName(odd.where("doc_id is not null").select("doc_id", "text").where("doc_id < 9"))
+    texts = defaultdict(list)
+    for r in src.collect():
+        texts[r["doc_id"]].append(r["text"] or "")
+    to, back = {}, {}
+    for r in pii.pseudonymise(src, "k").collect():
+        for t in texts[r["doc_id"]]:
+            want = found_by_hand(t)
+            if ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in want) == r["entities"] and r["n_entities"] == len(want):
+                between = [t[x:y] for x, y in zip([0, *(w[2] for w in want)], [*(w[1] for w in want), len(t)])]
+                m = re.fullmatch("(.+?)".join(map(re.escape, between)), r["text"], re.S)
+                if m:
+                    break
+        else:
+            raise AssertionError((r["doc_id"], r["entities"], [found_by_hand(t) for t in texts[r["doc_id"]]][:1]))
+        for (kind, _, _, identity, v, of), new in zip(want, m.groups()):
+            digits = "".join(c for c in new if c.isdigit())
+            if kind in ("card", "phone"):
+                assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", v)
+                new = "+" * new.startswith("+") + digits
+            if kind == "person" and " " not in v and " " in of:
+                continue
+            assert v.isupper() <= new.isupper()
+            assert to.setdefault((kind, identity), new.lower()) == new.lower() and back.setdefault((kind, new.lower()), identity) == identity
+    assert not {k for k in back if k in to}  # nobody's real value
+    kinds = Counter(k for k, _ in to)
+    assert kinds["person"] >= 10 and kinds["phone"] >= 10 and kinds["card"] >= 4 and kinds["email"] > 5
+    assert {("phone", "5551234567"), ("phone", "+4930901820"), ("card", amex), ("email", "a.b@c.org"), ("person", "michael")} - set(to) == {("person", "michael")}
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(src.where("doc_id between 1000 and 1007"), "k").collect()}
+    assert " 5551234567," in out[1001] and out[1001].startswith("+49 ") and "+33 " in out[1001] and " 378282246310006 1234567890123 " in out[1002]
+    full, later = re.match(r"Mr\. (\S+ \S+) wrote\. Later (\S+) and (\S+) said", out[1000]).group(1, 2), re.search(r"Later \S+ and (\S+) said", out[1000])[1]
+    assert full[0].split()[1] == full[1] and full[0].split()[0].upper() == later and full[0].split()[0] in pii.GIVEN["latin_m"]
+    assert re.search(r"Mrs (\S+)", out[1000])[1] in pii.GIVEN["latin_f"] and full[1] + "'s dog" in out[1000]
+    assert out[1006].split()[0] in pii.GIVEN["cyrillic_m"] and re.search(r"и (\S+) \S+а;", out[1006])[1] in pii.GIVEN["cyrillic_f"]
 
 
 # ---- 8 ----
