@@ -6,6 +6,7 @@ Every operator reads only the columns it needs by name, so further columns, also
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,10 +24,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset and all is one process (tests).
+
+    On a cluster without that setting it raises, as what executors write to disks of their own is lost to the others.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_swarf_shared", None)
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="swarf-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = context._swarf_shared = f"file://{own}"
@@ -37,15 +43,32 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and outlives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
+    context = df.sparkSession.sparkContext
+    context._swarf_staged = [*getattr(context, "_swarf_staged", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all that this session has staged. For the caller, once results are written: they read staged tables until then."""
+    for folder in getattr(spark.sparkContext, "_swarf_staged", []):
+        _remove(spark, folder)
+    spark.sparkContext._swarf_staged = []
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,8 +2,8 @@
 
 Within a source each document is expected target / source_size times. The prefix sums of that, shifted by one random
 offset of the source, cross integers; a document is emitted once for each integer it crosses. Documents are ordered by
-size first, so every stretch of sizes gets its share, and of SHIFTS evenly spaced shifts of the random offset the source takes
-the one whose words come nearest its target.
+size first, so every stretch of sizes gets its share and the words taken differ from the target by about one large document
+at most.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from swarf.llm.common import WORD, document, ranked, stage
 
 WEIGHTS = (5, 2, 1)
-SHIFTS = 16
 
 
 def uniform(*of: Column) -> Column:
@@ -49,7 +48,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int
 
     Null and empty texts have size 0 and take nothing away from the words; a source of only such rows has target 0 and no
     copies. A null source is one source, the last. Repeated rows are numbered apart; an empty table gives an empty result.
-    Only sizes are put in order: texts, whose bytes would pile up where the long ones come together, join by row at the end.
+    Rows of one size are ordered by a hash of their id; rows that tie in all of it are alike and share the copies. Only sizes
+    are put in order: texts, whose bytes would pile up where the long ones come together, join by row at the end.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), *[document(docs).alias("row")] * carry)
     rows = stage(rows.select("uid", "doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("size"), *["row"] * carry), "numbered")
@@ -59,11 +59,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int
     per_source = stage(targets(placed.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     offset = uniform(F.lit(seed), F.col("no_source").cast("string"), F.col("source"))
-    crossed = lambda u: (F.floor(rate * (F.col("rank") + 1) + u) - F.floor(rate * F.col("rank") + u)).cast("long")
-    shifted = lambda j: F.pmod(F.col("offset") + j / SHIFTS, F.lit(1.0))
-    out = placed.join(per_source.withColumn("offset", offset), ["no_source", "source"])
-    off = [F.floor(F.abs(F.sum(crossed(shifted(j)) * F.col("size")) - F.first("target")) * 1000) for j in range(SHIFTS)]
-    tried = out.groupBy("no_source", "source").agg(F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("j")) for j, d in enumerate(off)]))["j"].alias("j"))
-    out = out.join(stage(tried, "shifts"), ["no_source", "source"]).withColumn("copies", crossed(shifted(F.col("j"))))
+    crossed = F.floor(rate * (F.col("rank") + 1) + F.col("offset")) - F.floor(rate * F.col("rank") + F.col("offset"))
+    out = placed.join(per_source.withColumn("offset", offset), ["no_source", "source"]).withColumn("copies", crossed.cast("long"))
     out = out.select("uid", "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
     return (out.join(rows.select("uid", "row"), "uid") if carry else out).drop("uid")

@@ -120,20 +120,24 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Forest:
-    """Fit on at most `sample` labelled documents outside the held-out fifth; only their statistics reach the driver."""
+    """Fit on at most `sample` labelled documents outside the held-out fifth; only their statistics reach the driver.
+
+    Of texts that share an id one counts, the first by its statistics, and of labels that do the greater one; null ids and
+    labels don't count. Without any row left all scores are one half.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")  # at most `sample` ids
-    rows = with_statistics(mine).groupBy("doc_id").agg(*[F.min(f).alias(f) for f in FEATURES]).join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
+    rows = with_statistics(mine).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "x.*").join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
     return fit(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
 def classify(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, row (the whole input row).
 
-    Only the text is an input of a score; null, empty and blank texts share one. Repeated rows score alike; an empty table
-    gives an empty result.
+    Only the text is an input of a score; null, empty and blank texts share one, and very long ones are read whole. Repeated
+    rows score alike, and a score of just the threshold is predicted 1. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("text"), document(docs).alias("row"))

@@ -25,8 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
 
 
-def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("path"), "text"))
+def op3_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """ledger: the folder of a ledger to go on with; the registered query scans all blobs anew."""
+    versions = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("path"), "text")
+    found = secrets.scan_into(versions, ledger) if ledger else secrets.scan(versions)[0]
     counts = [secrets.counted(F.col("found"), r).alias(f"n_{r.kind}") for r in secrets.BASE]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("found"), secrets.BASE), 256).alias("base_sha256"), secrets.listed(F.col("found"), secrets.RULES).alias("spans"))
 
@@ -88,14 +90,10 @@ ORACLE = {
         t AS (SELECT no_source, source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE
                 (first_value(lvl) OVER (ORDER BY is_full, k)) * w END AS target FROM c),
         r AS (SELECT *, row_number() OVER (PARTITION BY no_source, source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank FROM d),
-x AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
+        x AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
                 ('0x' || substr(md5('mix/' || no_source::VARCHAR || '/' || source), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-              FROM r JOIN t USING (no_source, source)),
-        j AS (SELECT *, unnest(range(0, 16)) AS j FROM x), y AS (SELECT *, fmod(u + j / 16::DOUBLE, 1) AS v FROM j),
-        z AS (SELECT *, ((floor(rate * (rank + 1) + v) - floor(rate * rank + v)) * size)::BIGINT AS taken FROM y),
-        o AS (SELECT no_source, source, j, floor(abs(sum(taken) - any_value(target)) * 1000) AS d FROM z GROUP BY ALL),
-        p AS (SELECT no_source, source, j FROM (SELECT *, row_number() OVER (PARTITION BY no_source, source ORDER BY d, j) AS k FROM o) WHERE k = 1)
-        SELECT doc_id, size, source_size, target, taken FROM z JOIN p USING (no_source, source, j)""",
+              FROM r JOIN t USING (no_source, source))
+        SELECT doc_id, size, source_size, target, ((floor(rate * (rank + 1) + u) - floor(rate * rank + u)) * size)::BIGINT AS taken FROM x""",
     "op4_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS points FROM documents),
         r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)

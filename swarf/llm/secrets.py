@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of every path is content-addressed by the sha256 of its text. The ledger has one row for each blob: which
-rule versions have scanned it, and what they found. A run scans only blobs and rule versions not seen yet, once however
-many paths hold the blob, appends to the ledger, and joins findings back to all paths.
+Every version of every path is content-addressed by the sha256 of its text. A ledger row says of a blob which rule versions
+scanned it in one run, and what they found. A run first compares digests with the ledger, then fetches and scans only blobs
+and rule versions not seen yet, once however many paths hold the blob, appends what it has scanned to the ledger, and joins
+the findings of all runs back to all paths.
 """
 
 from __future__ import annotations
@@ -12,20 +13,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarf.llm.common import stage
+from swarf.llm.common import exists, stage
 
 LEDGER = "blob string, scanned array<string>, found array<struct<rule: string, start: int, end: int>>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern whose matches, scanned leftmost and without overlap, count if `group` has `least` code points."""
+    """A pattern whose matches, scanned leftmost and without overlap, count if `group` has `least` code points.
+
+    fast, where given, finds the same matches in linear time in Spark's regex engine, each from where its run of characters
+    starts; the match itself begins at the first `begins` therein.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     version: int = 1
+    fast: str | None = None
+    begins: str = ""
 
     @property
     def key(self) -> str:
@@ -39,59 +46,72 @@ BASE = (
 )
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", fast=r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", begins="eyJ"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
 )
 RULES = (*BASE, *MORE)
 
 
+NONE = "array<struct<rule: string, start: int, end: int>>"
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """array<struct<rule, start, end>> in code points: what lies between matches and the matches' own lengths add up."""
-    pat = F.lit(rule.pattern)
-    between = F.split(text, rule.pattern, -1)
+    pattern = rule.fast or rule.pattern
+    pat = F.lit(pattern)
+    between = F.split(text, pattern, -1)
     whole, part = F.regexp_extract_all(text, pat, F.lit(0)), F.regexp_extract_all(text, pat, F.lit(rule.group))
-    steps = F.zip_with(F.zip_with(whole, part, lambda w, g: F.struct(F.length(w).alias("w"), F.length(g).alias("g"))), between, lambda m, b: F.struct(m["w"].alias("w"), m["g"].alias("g"), F.length(b).alias("b")))
-    none = F.array().cast("array<struct<rule: string, start: int, end: int>>")
-    span = lambda at, s: F.array(F.struct(F.lit(rule.key).alias("rule"), (at + s["b"]).alias("start"), (at + s["b"] + s["w"]).alias("end")))
+    lead = lambda w: F.length(F.substring_index(w, rule.begins, 1)) if rule.begins else F.lit(0)
+    steps = F.zip_with(F.zip_with(whole, part, lambda w, g: F.struct(F.length(w).alias("w"), F.length(g).alias("g"), lead(w).alias("lead"))), between, lambda m, b: F.struct(m["w"].alias("w"), m["g"].alias("g"), m["lead"].alias("lead"), F.length(b).alias("b")))
+    none = F.array().cast(NONE)
+    span = lambda at, s: F.array(F.struct(F.lit(rule.key).alias("rule"), (at + s["b"] + s["lead"]).alias("start"), (at + s["b"] + s["w"]).alias("end")))
     walked = F.aggregate(
         F.filter(steps, lambda s: s["w"].isNotNull()),
         F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda acc, s: F.struct((acc["at"] + s["b"] + s["w"]).alias("at"), F.when(s["g"] >= rule.least, F.concat(acc["out"], span(acc["at"], s))).otherwise(acc["out"]).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.when(F.rlike(text, pat), walked).otherwise(none)
+    found = F.rlike(text, pat)
+    return F.when(F.contains(text, F.lit(rule.begins)) & found if rule.begins else found, walked).otherwise(none)
 
 
 def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger) of versions (path, text).
+    """(findings, additions to the ledger) of versions (path, text).
 
     findings has one row for each version: path, blob, found (array of rule, start, end by start, then in the order of
-    rules). A null text is the empty blob. Repeated versions are one blob; an empty table gives empty results.
+    rules). A null text is the empty blob; very long texts are scanned whole, in time in proportion. Repeated versions and
+    equal texts are one blob, scanned once. An empty table gives empty results.
     """
-    seen = ledger if ledger is not None else versions.sparkSession.createDataFrame([], LEDGER)
-    text = F.coalesce("text", F.lit(""))
+    text, keys = F.coalesce("text", F.lit("")), F.array(*[F.lit(r.key) for r in rules])
+    nothing = F.array().cast("array<string>")
     paths = versions.select("path", F.sha2(text, 256).alias("blob"))
     fresh = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
-    keys = F.array(*[F.lit(r.key) for r in rules])
-    if ledger is not None:
-        done = seen.where(F.size(F.array_except(keys, "scanned")) == 0).select("blob")
-        fresh = fresh.join(done, "blob", "left_anti")
-    fresh = fresh.dropDuplicates(["blob"])
-    if ledger is not None:
-        fresh = fresh.join(seen, "blob", "left")
-    else:
-        fresh = fresh.withColumn("scanned", F.array().cast("array<string>"))
-    old = F.coalesce("scanned", F.array().cast("array<string>"))
-    new = [F.when(F.array_contains(old, r.key), F.array().cast("array<struct<rule: string, start: int, end: int>>")).otherwise(matches(F.col("text"), r)) for r in rules]
-    already = F.col("found") if ledger is not None else F.lit(None)
-    already = F.coalesce(already, F.array()).cast("array<struct<rule: string, start: int, end: int>>")
-    scanned = stage(fresh.select("blob", F.array_union(old, keys).alias("scanned"), F.concat(already, *new).alias("found")), "ledger")
-    after = scanned if ledger is None else seen.join(scanned.select("blob"), "blob", "left_anti").unionByName(scanned)
+    if ledger is None:
+        fresh = fresh.dropDuplicates(["blob"]).withColumn("scanned", nothing)
+    else:  # digests first: texts of known blobs go no further than the scan, and if few are new, no text is shuffled but theirs
+        known = ledger.groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("scanned"))
+        todo = paths.select("blob").distinct().join(known, "blob", "left").withColumn("scanned", F.coalesce("scanned", nothing))
+        todo = stage(todo.where(F.size(F.array_except(keys, "scanned")) > 0), "unseen")
+        fresh = fresh.join(todo.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]).join(todo, "blob")
+    found = F.concat(*[F.when(F.array_contains("scanned", r.key), F.array().cast(NONE)).otherwise(matches(F.col("text"), r)) for r in rules])
+    added = stage(fresh.select("blob", F.array_except(keys, "scanned").alias("scanned"), found.alias("found")), "ledger")
+    every = added if ledger is None else ledger.select("blob", "scanned", "found").unionByName(added)
+    if ledger is not None:  # a blob has as many rows as runs that scanned it: one for each change of rules
+        every = every.join(paths.select("blob").distinct(), "blob", "left_semi").groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     ours = F.transform(F.filter("found", lambda f: F.array_contains(keys, f["rule"])), lambda f: F.struct(f["start"].alias("start"), rank[f["rule"]].alias("k"), f["end"].alias("end"), f["rule"].alias("rule")))
-    found = F.transform(F.sort_array(ours), lambda f: F.struct(f["rule"].alias("rule"), f["start"].alias("start"), f["end"].alias("end")))
-    return paths.join(after.select("blob", found.alias("found")), "blob").select("path", "blob", "found"), after
+    listed = F.transform(F.sort_array(ours), lambda f: F.struct(f["rule"].alias("rule"), f["start"].alias("start"), f["end"].alias("end")))
+    return paths.join(every.select("blob", listed.alias("found")), "blob").select("path", "blob", "found"), added
+
+
+def scan_into(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of scan(), against the ledger kept in a folder, to which this run's additions are appended."""
+    spark = versions.sparkSession
+    ledger = spark.read.schema(LEDGER).parquet(folder) if exists(spark, folder) else None  # its files are listed here, so without what is appended below
+    findings, added = scan(versions, rules, ledger)
+    added.write.mode("append").parquet(folder)
+    return findings
 
 
 def listed(found: Column, rules: tuple[Rule, ...]) -> Column:

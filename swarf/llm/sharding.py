@@ -15,7 +15,7 @@ from swarf.llm.common import ranked
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 12).cast("double") + 0.5) / float(1 << 52)  # 52 bits: with more, the half would round up to 1
     return -F.lit(float(weight)) / F.ln(u)
 
 
@@ -27,8 +27,9 @@ def best(key: Column, weights: Sequence[float], first: int = 0) -> Column:
 def shard(docs: DataFrame, weights: Sequence[float], grown: float = 1.0) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law 'key', shard, slot, grown_shard (with one more shard of weight `grown`).
 
-    A null text has no bytes, so size 16. Rows with equal doc_id, null ones included, share a shard by the law; slots are
-    ordered by a hash of key and text, and range partitioned, so a hot shard or key is numbered by many tasks.
+    A null text has no bytes, so size 16, as an empty one; very long ones count like any other. Rows with equal doc_id, null
+    ones included, share a shard by the law. Slots are ordered by a hash of key and text and range partitioned, so a hot shard
+    or key is numbered by many tasks; repeated rows get slots of their own. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     rows = rows.withColumn("b", best(F.col("doc_id"), weights)).withColumn("g", best(F.col("doc_id"), [grown], len(weights)))
