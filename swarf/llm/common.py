@@ -48,7 +48,7 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -56,13 +56,13 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, folder)
+        remove(df.sparkSession, folder)
 
 
 def sweep(spark: SparkSession) -> None:
     """Remove all that this session has staged. For the caller, once results are written: they read staged tables until then."""
     for folder in getattr(spark.sparkContext, "_swarf_staged", []):
-        _remove(spark, folder)
+        remove(spark, folder)
     spark.sparkContext._swarf_staged = []
 
 
@@ -71,6 +71,12 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)) if exists(spark, folder) else []
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row, however often body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -1,22 +1,32 @@
 """Exact dedup: a log-structured merge index over text digests.
 
-Memtables are the input tasks: each sorts its rows by digest and flushes them as one Parquet run with min/max statistics
-and a Bloom filter on the digest, so point lookups skip runs. Compaction merges all runs into one level that keeps, for
-each digest, the best identifier and the count; it combines map-side, so a group of any size leaves one row a task. Rows
-that hit a digest of two or more rows are compared byte by byte with the row that stays.
+Memtables are the input tasks: each sorts its rows by digest and flushes them as one Parquet run. Compaction merges the
+runs of a batch into one level that keeps, for each digest, the best identifier and the count; it combines map-side, so a
+group of any size leaves one row a task. Rows that hit a digest of two or more rows are compared byte by byte with the row
+that stays.
+
+An index in a folder takes further batches. Of each batch it holds a level (sorted by digest), the texts of its new
+entries, and a filter: a bitmap of the hashed digests in small rows. A new batch's digests go to the filters of earlier
+levels first; only what these let through is joined with the levels, and hits are verified by their bytes. When the levels
+get too many they are compacted into one, which keeps each entry's best identifier.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarf.llm.common import SPACE, document, stage
+from swarf.llm.common import SPACE, document, exists, listed, remove, stage
 
 #: So many copies share one shipped text of the row that stays, when bytes are compared.
 COPIES_A_TEXT = 1000
+#: Levels of an index before they are compacted into one.
+LEVELS = 8
+#: Bits of a filter's row, and the rows of a filter for each so many digests: some 16 bits a digest.
+FILTER_BITS, DIGESTS_A_ROW = 32768, 2048
 
 
 def normalised(text: Column) -> Column:
@@ -24,45 +34,157 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
+def whole_digest(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
 def flush_runs(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Level 0: one sorted, filtered run for each input task."""
+    """Level 0: one sorted run for each input task."""
     norm = normalised(F.col("row.text"))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), document(docs).alias("row"))
     rows = rows.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("row.text"), F.lit(0)).alias("points"), F.sha2(norm, 256).alias("text_sha256"), digest(norm).alias("digest"), "row")
-    return stage(rows.sortWithinPartitions("digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
+    return stage(rows.sortWithinPartitions("digest"), "runs")
+
+
+def rank(of: str = "") -> list[Column]:
+    """What makes a row stay: most code points, smallest doc_id, nulls last."""
+    return [(-F.col(f"{of}points")).alias("p"), F.col(f"{of}doc_id").isNull().alias("z"), F.col(f"{of}doc_id").alias("doc_id")]
 
 
 def compact(runs: DataFrame, *keys: str) -> DataFrame:
-    """Level 1: of each key the row that stays (most code points, smallest doc_id, nulls last, first row) and the count."""
-    first = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("first")
-    return runs.groupBy(*keys).agg(first, F.count("*").alias("group_size")).select(*keys, F.col("first.uid").alias("keep_uid"), F.col("first.doc_id").alias("keep_id"), "group_size")
+    """Level 1: of each key the row that stays (the first row where these tie) and the count."""
+    first = F.min(F.struct(*rank(), "uid")).alias("first")
+    return runs.groupBy(*keys).agg(first, F.count("*").alias("group_size")).select(*keys, F.col("first.uid").alias("keep_uid"), F.col("first.doc_id").alias("keep_id"), (-F.col("first.p")).alias("points"), "group_size")
 
 
 def differing(runs: DataFrame, level: DataFrame) -> DataFrame:
     """The digests under which some row's bytes differ from those of the row that stays."""
-    hits = runs.join(level.where("group_size > 1"), "digest").select("digest", "uid", "keep_uid", normalised(F.col("row.text")).alias("norm"), F.ceil(F.col("group_size") / COPIES_A_TEXT).alias("salts"))
+    hits = runs.join(level.where("group_size > 1").select("digest", "keep_uid", "group_size"), "digest").select("digest", "uid", "keep_uid", normalised(F.col("row.text")).alias("norm"), F.ceil(F.col("group_size") / COPIES_A_TEXT).alias("salts"))
     hits = stage(hits, "hits")
     stays = hits.where("uid = keep_uid").select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     copies = hits.where("uid <> keep_uid").select("digest", "norm", F.pmod(F.xxhash64("uid"), F.col("salts")).alias("salt"))
     return stage(copies.join(stays, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct(), "differing")
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = lambda norm: F.sha2(norm, 256)) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row (the whole input row as a struct).
-
-    Null texts equal empty ones and each other. Ties go to the smaller doc_id, a null one last; of repeated rows with one
-    doc_id just one is kept. An empty table gives an empty result. Should bytes differ under one digest, the rows of that
-    digest are grouped by their bytes as well.
-    """
+def grouped(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """The runs of a batch with the digest and bytes ('' unless digests clash) that tell its groups apart, and its level by these."""
     runs = flush_runs(docs, digest)
-    level = stage(compact(runs, "digest").sortWithinPartitions("digest"), "level")
+    level = stage(compact(runs, "digest").withColumn("bytes", F.lit("")).sortWithinPartitions("digest"), "level")
     clashing = differing(runs, level)
     if not clashing.take(1):
-        out = runs.join(level.where("group_size > 1"), "digest", "left")
-    else:
-        marked = runs.join(clashing.withColumn("clash", F.lit(True)), "digest", "left").withColumn("bytes", F.when(F.col("clash"), normalised(F.col("row.text"))).otherwise(F.lit("")))
-        out = marked.join(compact(marked, "digest", "bytes"), ["digest", "bytes"])
+        return runs.withColumn("bytes", F.lit("")), level
+    marked = runs.join(clashing.withColumn("clash", F.lit(True)), "digest", "left").withColumn("bytes", F.when(F.col("clash"), normalised(F.col("row.text"))).otherwise(F.lit(""))).drop("clash")
+    return marked, stage(compact(marked, "digest", "bytes").sortWithinPartitions("digest"), "level")
+
+
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = whole_digest) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row (the whole input row as a struct).
+
+    Null texts equal empty ones and each other; very long ones are compared whole. Ties go to the smaller doc_id, a null one
+    last; of repeated rows with one doc_id just one is kept. An empty table gives an empty result. Should bytes differ under
+    one digest, the rows of that digest are grouped by their bytes as well.
+    """
+    runs, level = grouped(docs, digest)
+    out = runs.join(level.where("group_size > 1").select("digest", "bytes", "keep_uid", "keep_id", "group_size"), ["digest", "bytes"], "left")
     return out.select(
         "doc_id", F.when(F.col("keep_uid").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (F.coalesce("keep_uid", "uid") == F.col("uid")).alias("kept"), "text_sha256", "row",
     )
+
+
+def place(digest: Column, rows: Column) -> tuple[Column, Column]:
+    """Where the bit of a digest stands: the filter's row and the bit in it."""
+    return F.pmod(F.xxhash64(digest, F.lit("row")), rows), F.pmod(F.xxhash64(digest, F.lit("bit")), F.lit(FILTER_BITS).cast("long"))
+
+
+def filter_of(digests: DataFrame, n: int) -> DataFrame:
+    """rows, row, bits: a bitmap of hashed digests, 4 KB a row."""
+    rows = max(1, -(-n // DIGESTS_A_ROW))
+    row, bit = place(F.col("digest"), F.lit(rows).cast("long"))
+    return digests.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).select(F.lit(rows).cast("long").alias("rows"), "row", "bits")
+
+
+def passed(digests: DataFrame, filters: DataFrame) -> DataFrame:
+    """Of distinct digests those that some filter may hold."""
+    sizes = sorted(r["rows"] for r in filters.select("rows").distinct().collect())  # at most one for each level
+    looked = digests.select("digest", F.explode(F.array(*[F.lit(r).cast("long") for r in sizes])).alias("rows"))
+    row, bit = place(F.col("digest"), F.col("rows"))
+    looked = looked.select("digest", "rows", row.alias("row"), bit.alias("bit")).join(filters, ["rows", "row"])
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return looked.withColumn("byte", byte).where("(byte >> cast(bit % 8 as int)) & 1 = 1").select("digest").distinct()
+
+
+class Index:
+    """Levels, filters and texts in a folder. Each compaction begins a generation; the newest one with a finished level counts,
+    and in it the levels that are finished, so that a batch or a compaction which fails midway leaves the index as it was.
+    """
+
+    ENTRY = "digest string, entry string, doc_id long, points int, group_size long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        done = {}
+        for g in listed(spark, self.folder):
+            batches = [b for b in listed(spark, f"{self.folder}/{g}") if exists(spark, f"{self.folder}/{g}/{b}/level/_SUCCESS")]
+            if batches:
+                done[g] = batches
+        self.generation = max(done, default="g000000")
+        self.batches = sorted(done.get(self.generation, []))
+
+    def read(self, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{self.generation}/{b}/{part}" for b in self.batches])
+
+    def entries(self) -> DataFrame:
+        """One row an entry: what stays so far, and how many rows were equal to it."""
+        best = F.min(F.struct(*rank())).alias("first")
+        e = self.read("level", self.ENTRY).groupBy("digest", "entry").agg(best, F.sum("group_size").alias("group_size"))
+        return e.select("digest", "entry", F.col("first.doc_id").alias("doc_id"), (-F.col("first.p")).cast("int").alias("points"), "group_size")
+
+    def filters(self) -> DataFrame:
+        return self.read("filter", "rows long, row long, bits binary")
+
+    def texts(self) -> DataFrame:
+        return self.read("texts", "digest string, entry string, norm string")
+
+    def write(self, batch: str, texts: DataFrame, level: DataFrame, generation: str | None = None) -> None:
+        """The level last: only then does the batch count."""
+        at = f"{self.folder}/{generation or self.generation}/{batch}"
+        texts.select("digest", "entry", "norm").write.option("compression", "zstd").parquet(f"{at}/texts")
+        filter_of(level, level.count()).write.parquet(f"{at}/filter")
+        level.select("digest", "entry", "doc_id", "points", "group_size").sortWithinPartitions("digest").write.parquet(f"{at}/level")
+
+    def compact(self) -> None:
+        """All levels into one of the next generation; what was before goes."""
+        old = self.generation
+        self.write("b" + uuid.uuid4().hex, self.texts(), stage(self.entries(), "entries"), f"g{int(old[1:]) + 1:06d}")
+        remove(self.spark, f"{self.folder}/{old}")
+
+
+def add(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = whole_digest) -> DataFrame:
+    """exact_dedup() of a batch against the index in a folder, which takes the batch in.
+
+    Rows as of exact_dedup(), as things stand after this batch: keep_id and group_size cover all batches so far, and kept is
+    true for the row of this batch that stays, if one does. A later batch may hold a longer original; ties stay with the
+    earlier one. Texts of the index are only read where a filter lets a digest through.
+    """
+    spark, index, batch = docs.sparkSession, Index(docs.sparkSession, folder), "b" + uuid.uuid4().hex
+    runs, level = grouped(docs, digest)
+    norms = runs.select("digest", "bytes", "uid", normalised(F.col("row.text")).alias("norm"))
+    mine = level.select("digest", "bytes", "keep_uid", F.col("keep_id").alias("doc_id"), "points", "group_size")
+    if index.batches:
+        maybe = stage(passed(level.select("digest").distinct(), index.filters()), "maybe")
+        here = mine.join(maybe, "digest", "left_semi").join(norms.select("digest", "bytes", F.col("uid").alias("keep_uid"), "norm"), ["digest", "bytes", "keep_uid"])
+        there = index.texts().join(maybe, "digest", "left_semi").withColumnRenamed("norm", "old_norm")
+        same = here.join(there, "digest").where("norm = old_norm").select("digest", "bytes", "entry")
+        old = index.entries().join(maybe, "digest", "left_semi").select("digest", "entry", *[F.col(c).alias(f"old_{c}") for c in ("doc_id", "points", "group_size")])
+        mine = mine.join(same.join(old, ["digest", "entry"]), ["digest", "bytes"], "left")
+    else:
+        mine = mine.select("*", F.lit(None).cast("string").alias("entry"), F.lit(None).cast("long").alias("old_doc_id"), F.lit(None).cast("int").alias("old_points"), F.lit(None).cast("long").alias("old_group_size"))
+    wins = F.col("entry").isNull() | (F.struct(*rank()) < F.struct(*rank("old_")))
+    mine = stage(mine.withColumn("known", F.col("entry").isNotNull()).withColumn("wins", wins).withColumn("entry", F.coalesce("entry", F.concat(F.lit(batch), F.lit("-"), F.col("keep_uid").cast("string")))), "entries")
+    fresh = mine.where("not known").select("digest", "bytes", F.col("keep_uid").alias("uid"), "entry").join(norms, ["digest", "bytes", "uid"])
+    index.write(batch, fresh, mine.select("digest", "entry", "doc_id", "points", "group_size"))
+    if len(index.batches) + 1 > LEVELS:
+        Index(spark, folder).compact()
+    stands = mine.select("digest", "bytes", "keep_uid", F.when(F.col("wins"), F.col("doc_id")).otherwise(F.col("old_doc_id")).alias("keep_id"), (F.col("group_size") + F.coalesce("old_group_size", F.lit(0))).alias("group_size"), "wins")
+    return runs.join(stands, ["digest", "bytes"]).select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("uid") == F.col("keep_uid"))).alias("kept"), "text_sha256", "row")

@@ -218,6 +218,31 @@ def test_exact_dedup(spark, odd, docs, digest):
         assert not r["kept"] or r["doc_id"] == r["keep_id"]
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.whole_digest, lambda n: F.substring(F.sha2(n, 256), 1, 2)])
+def test_batches_into_an_index(spark, odd, docs, empty, tmp_path, monkeypatch, digest):
+    """Batches, with compactions between, end where one run over all of them ends."""
+    monkeypatch.setattr(exact_dedup, "LEVELS", 2)
+    folder, every = f"file://{tmp_path}/index", odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    batches = [every.where("pmod(xxhash64(text), 4) = 0 or doc_id % 2 = 0"), every.where("doc_id % 2 = 1 and pmod(xxhash64(text), 4) <> 0"), empty.select("doc_id", "text"), every.where("doc_id is null and pmod(xxhash64(text), 4) <> 0"), docs.select((F.col("doc_id") + 10_000).alias("doc_id"), F.concat(F.lit(" "), "text").alias("text"))]
+    whole = None
+    for b in batches:
+        got = common.stage(exact_dedup.add(b, folder, digest).drop("row"), "got")
+        whole = b if whole is None else whole.unionByName(b)
+        want = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(whole).collect()}
+        assert got.count() == b.count()
+        for r in got.collect():
+            assert (r["keep_id"], r["group_size"]) == want[r["text_sha256"]] and (not r["kept"] or r["doc_id"] == r["keep_id"])
+    index = exact_dedup.Index(spark, folder)
+    assert len(index.batches) <= 2 and index.generation > "g000000" and len(common.listed(spark, folder)) == 1
+    entries = index.entries()
+    assert Counter(map(tuple, entries.select("doc_id", "group_size").collect())) == Counter(want.values())
+    held = entries.select("digest").distinct()
+    assert exact_dedup.passed(held, index.filters()).count() == held.count()
+    if digest is exact_dedup.whole_digest:
+        other = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+        assert exact_dedup.passed(other, index.filters()).count() < 4000
+
+
 def test_exact_dedup_of_nothing(empty, odd):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert exact_dedup.exact_dedup(odd).select("row.*").columns == odd.columns
