@@ -32,8 +32,8 @@ WINDOW = 16
 class Chunking:
     """bits: a boundary every 2**bits bytes on average; least and most: bytes of a chunk; words: of a removed run, grown.
 
-    What two texts share lies less than a longest chunk and the WINDOW bytes of the rolling hash beyond the whole chunks that
-    they share, so no more than `beside` bytes beside an owner are looked at. Half of 50 words is far more than chance repeats hold.
+    What two texts share lies hardly ever more than two longest chunks beyond the whole chunks that they share, so no more than
+    `beside` bytes beside an owner are looked at. Half of 50 words is far more than chance repeats hold.
     """
 
     bits: int = 5
@@ -43,7 +43,7 @@ class Chunking:
 
     @property
     def beside(self) -> int:
-        return self.most + WINDOW
+        return 2 * self.most
 
 
 @lru_cache(1)
