@@ -13,6 +13,7 @@ not the merges. Characters without a piece become their bytes, so decoding retur
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -29,12 +30,12 @@ from swarf.llm.common import ship
 MARK = "▁"
 #: Units a worker remembers, in two generations, and the longest one it does.
 REMEMBERED, LONGEST = 200_000, 48
+#: The longest unit whose pieces are kept by place.
+WIDE = 1 << 14
 #: Code points of the texts taken together; a longer text is taken alone.
 TOGETHER = 1 << 21
 #: Below the worst piece, as the public library has it for unigram models.
 UNKNOWN_PENALTY = 10.0
-#: Open nodes kept beyond the number wanted before the queue is cut back to those that can still count.
-OPEN = 32
 
 
 class Lattice:
@@ -58,8 +59,7 @@ class Lattice:
         self.raw = pa.array(raw, pa.binary())
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
-        self.walk = {p[:k]: -np.inf for p in self.pieces for k in range(1, len(p))}  # beginnings of pieces, to stop early
-        self.walk |= {p: s for p, (_, s) in self.pieces.items()}
+        self.walk = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}  # beginnings of pieces, to stop early
         chars = sorted({c for p in self.pieces if len(p) > 1 for c in p})
         self.place = np.zeros(0x110000, np.uint16)  # of a character that longer pieces hold, else 0
         self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -72,51 +72,68 @@ class Lattice:
         self.old: dict[str, tuple] = {}
         self.several = lru_cache(20_000)(lambda unit, n: list(islice(self.ranked(unit, n), n)))
 
-    def forward(self, unit: str) -> list[float]:
-        """The best score of every prefix, by Viterbi."""
-        n, score, longest = len(unit), self.walk.get, self.longest
-        best = [0.0] + [-np.inf] * n
+    def forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
+        """The best score of every prefix, by Viterbi, and the pieces (start, piece, score) that end at each place; piece -1: bytes.
+
+        Of a unit over WIDE the pieces aren't kept, so that memory stays in proportion to its text.
+        """
+        n, find, walk, longest = len(unit), self.pieces.get, self.walk, self.longest
+        best, into = [0.0] + [-np.inf] * n, [[] for _ in range(n + 1)] if n <= WIDE else None
         for start in range(n):
-            base = best[start]
-            if unit[start] not in self.pieces and base + self.unknown > best[start + 1]:
-                best[start + 1] = base + self.unknown
-            for end in range(start + 1, min(n, start + longest) + 1):
-                s = score(unit[start:end])
-                if s is None:
+            base, end = best[start], start + 1
+            hit = find(unit[start])
+            if hit is None:
+                hit = (-1, self.unknown)
+            while True:
+                if hit is not None:
+                    piece, score = hit
+                    if into is not None:
+                        into[end].append((start, piece, score))
+                    if base + score > best[end]:
+                        best[end] = base + score
+                end += 1
+                if end > n or end > start + longest or (part := unit[start:end]) not in walk:
                     break
-                if base + s > best[end]:
-                    best[end] = base + s
-        return best
+                hit = find(part)
+        return best, into
+
+    def ending(self, unit: str, at: int) -> list[tuple[int, int, float]]:
+        """The same pieces that end at one place."""
+        hits = [(start, self.pieces.get(unit[start:at])) for start in range(max(0, at - self.longest), at)]
+        if hits[-1][1] is None:
+            hits[-1] = (at - 1, (-1, self.unknown))
+        return [(start, *hit) for start, hit in hits if hit]
 
     def ranked(self, unit: str, n: int = 1 << 30) -> Iterator[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a unit by falling score: backward A*, ordered by score so far plus best prefix.
 
         Of equal nodes the one nearest to the start comes first, so ties don't widen the search. Open nodes hold different
-        segmentations and each has one of just its order, so beyond the n first ones a node can't count any more.
+        segmentations and each has one of just its order, so a node that n others precede can't count any more.
         """
-        best, find = self.forward(unit), self.pieces.get
-        queue, serial, found = [(-best[-1], len(unit), 0, 0.0, ())], 0, 0
-        while queue and found < n:
-            top, at, _, tail, path = heapq.heappop(queue)
+        best, into = self.forward(unit)
+        queue, serial = [(-best[-1], len(unit), 0, 0.0, ())], 0
+        while queue and n:
+            top, at, _, tail, path = queue.pop(0)
             if not at:
                 ids: list[int] = []
                 while path:
-                    (piece, char), path = path
+                    piece, char, path = path
                     ids += [self.bytes[b] for b in char.encode()] if piece < 0 else [piece]
                 yield -top, tuple(ids)
-                found += 1
+                n -= 1
                 continue
-            for start in range(at - 1, max(-1, at - 1 - self.longest), -1):
-                hit = find(unit[start:at])
-                if hit is None:
-                    if start < at - 1:
-                        continue
-                    hit = (-1, self.unknown)
+            full = len(queue) >= n
+            worst = queue[-1][0] if full else np.inf
+            for start, piece, score in into[at] if into is not None else self.ending(unit, at):
+                f = -(best[start] + score + tail)
+                if f > worst or f == worst and start >= queue[-1][1]:
+                    continue
+                if full:
+                    queue.pop()
                 serial += 1
-                score = hit[1] + tail
-                heapq.heappush(queue, (-(best[start] + score), start, serial, score, ((hit[0], unit[start]), path)))
-            if len(queue) > n + OPEN:
-                queue = heapq.nsmallest(n - found, queue)
+                insort(queue, (f, start, serial, score + tail, (piece, unit[start], path)))
+                if full := len(queue) >= n:
+                    worst = queue[-1][0]
 
     def solve(self, unit: str) -> tuple[tuple[int, ...], float, float]:
         """(ids, score, how much less the second choice scores; inf without one)"""

@@ -719,11 +719,16 @@ def test_astar_of_random_units(lattice):
         assert [s for s, _ in lattice.several(u, 4)] == pytest.approx(want[:4]) and lattice.joined_bytes([ids]) == [u.encode()]
 
 
+def test_pieces_are_found_again(lattice):
+    for u in (" the", "aaaaa", "é日x", "internationalisation"):
+        assert [sorted(lattice.ending(u, k)) for k in range(1, len(u) + 1)] == [sorted(x) for x in lattice.forward(u)[1][1:]]
+
+
 def test_long_units_of_equal_scores(lattice):
     """Very many segmentations score alike; the search stays as narrow as the N wanted."""
     unit = "a" * 20_000
     got = lattice.several(unit, 4)
-    assert len({ids for _, ids in got}) == 4 and got[0][0] == lattice.forward(unit)[-1] and all(lattice.joined_bytes([ids]) == [unit.encode()] for _, ids in got)
+    assert len({ids for _, ids in got}) == 4 and got[0][0] == lattice.forward(unit)[0][-1] and all(lattice.joined_bytes([ids]) == [unit.encode()] for _, ids in got)
 
 
 @pytest.mark.parametrize("text", ["", "the thing", "a ▁ b", " two  spaces ", "line\nline", "日本 é\x00", "in in in", "x" * 9 + " yy"])
