@@ -20,7 +20,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,7 @@ class Lattice:
             raw[i] = p.encode()
         for b, i in enumerate(self.bytes):
             raw[i] = bytes([b])
-        self.raw = pa.array(raw, pa.binary())
+        self.raw, self.raw_bytes = pa.array(raw, pa.binary()), raw
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.walk = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}  # beginnings of pieces, to stop early
@@ -171,38 +171,41 @@ class Lattice:
             out = heapq.nsmallest(n, ((t + s - scores[0], c | ({u: k} if k else {})) for t, c in out for k, s in enumerate(scores)), key=lambda x: -x[0])
         return out
 
-    def encode(self, texts: list[str], n: int = 1) -> list[list[tuple[float, np.ndarray]]]:
-        """Of each text the n best segmentations: (score, ids), best first."""
+    def encode(self, texts: list[str], n: int = 1) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+        """Of each text the ids of the best segmentation, and the n best ones as (score, changes), best first.
+
+        A change (at, size, ids) puts other ids in place of `size` of them from `at` on.
+        """
         if not texts:
             return []
         cut, begin = self.units(texts)
         coded = cut.dictionary_encode()
         code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         solved = [self.solve(u) for u in distinct]
-        sizes = np.fromiter((len(s[0]) for s in solved), np.int64, len(solved))
+        sizes = np.fromiter((len(s[0]) for s in solved), np.int32, len(solved))
         flat = np.fromiter(chain.from_iterable(s[0] for s in solved), np.int32, sizes.sum())
         score, less = (np.fromiter((s[k] for s in solved), float, len(solved)) for k in (1, 2))
-        size, first = sizes[code], (np.cumsum(sizes) - sizes)[code]
-        end = np.cumsum(size)
-        ids = flat[np.repeat(first - (end - size), size) + np.arange(end[-1])]
+        size, first = sizes[code], (np.cumsum(sizes, dtype=np.int32) - sizes)[code]
+        end = np.cumsum(size, dtype=np.int32)
+        ids = flat[np.repeat(first - (end - size), size) + np.arange(end[-1], dtype=np.int32)]
         at = np.concatenate(([0], end))  # where a unit's ids begin
-        total = np.add.reduceat(score[code], begin[:-1])
+        total = np.add.reduceat(score[code], begin[:-1]).tolist()
         out = []
         for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-            mine = code[a:b]
-            best = ids[at[a] : at[b]]
-            ways = [(float(total[k]), best)]
+            start, ways = int(at[a]), [(total[k], [])]
             if n > 1:
+                mine = code[a:b]
                 names = _Named(distinct, mine)
-                for worth, changed in self.choices(names, less[mine], float(total[k]), n)[1:]:
-                    parts, last = [], at[a]
-                    for u, rank in sorted(changed.items()):
-                        parts += [ids[last : at[a + u]], np.array(self.several(names[u], n)[rank][1], np.int32)]
-                        last = at[a + u + 1]
-                    ways.append((worth, np.concatenate([*parts, ids[last : at[b]]])))
-            out.append(ways)
+                for worth, changed in self.choices(names, less[mine], total[k], n)[1:]:
+                    changes = [(int(at[a + u]) - start, int(size[a + u]), self.several(names[u], n)[rank][1]) for u, rank in sorted(changed.items())]
+                    ways.append((worth, changes))
+            out.append((ids[start : at[b]], ways))
         return out
 
+    def same(self, ids: np.ndarray, ways: list[tuple[float, list]]) -> bool:
+        """Whether each change decodes to the bytes that it takes the place of, so that all ways decode alike."""
+        return all(b"".join(map(self.raw_bytes.__getitem__, new)) == b"".join(map(self.raw_bytes.__getitem__, ids[at : at + size].tolist())) for _, changes in ways for at, size, new in changes)
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces with spaces put back, runs of byte pieces as UTF-8, less the leading space."""
         return self.joined_bytes([ids])[0].decode(errors="replace")[1:]
@@ -248,22 +251,30 @@ def together(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def changed(ids: np.ndarray, changes: list[tuple[int, int, tuple[int, ...]]]) -> np.ndarray:
+    """The ids with changes applied."""
+    parts, last = [], 0
+    for at, size, new in changes:
+        parts += [ids[last:at], np.array(new, np.int32)]
+        last = at + size
+    return np.concatenate([*parts, ids[last:]])
+
+
+CHANGE = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
 def encode(docs: DataFrame, model_file: str, n: int = 4) -> DataFrame:
-    """One row per input row: doc_id, ids and n_pieces (the best segmentation), scores (best first, up to n), others (the ids
-    of the segmentations after the best, in the order of scores), round_trip (decoding each of them gives the text).
+    """One row per input row: doc_id, ids and n_pieces (the best segmentation), scores (best first, up to n), others (the
+    segmentations after the best, in the order of scores, each as its changes to ids: at, size, ids), round_trip (decoding each
+    of them gives the text). segmentations() writes them out.
 
     A null text counts as empty, which is the one piece of the leading space; a text has fewer than n segmentations only if
     there are no more. Equal scores come in a fixed order, so repeated rows are encoded alike; very long texts take time in
     proportion. An empty table gives an empty result. The model file must lie at the same path on all machines.
     """
     ship(docs.sparkSession)
-    whole = T.ArrayType(T.IntegerType())
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("ids", whole), T.StructField("n_pieces", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(whole)), T.StructField("round_trip", T.BooleanType())]
-    names = [f.name for f in fields]
-
-    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-        offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(T.ArrayType(CHANGE))), T.StructField("round_trip", T.BooleanType())]
+    names, others = [f.name for f in fields], pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_file)
@@ -271,17 +282,28 @@ def encode(docs: DataFrame, model_file: str, n: int = 4) -> DataFrame:
             done = 0
             for texts in together([t or "" for t in b.column("text").to_pylist()]):
                 found = model.encode(texts, n)
-                every = [ids for ways in found for _, ids in ways]
-                back = iter(model.joined_bytes(every))
-                same = [all([next(back) == want for _ in ways]) for ways, want in zip(found, ((" " + t).encode() for t in texts), strict=True)]
-                counts = np.concatenate(([0], np.cumsum([len(ways) - 1 for ways in found]))).astype(np.int32)
+                whole = [ids for ids, _ in found]
+                back = model.joined_bytes(whole)
+                same = [got == b" " + t.encode() and model.same(*f) for got, t, f in zip(back, texts, found, strict=True)]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in whole]))).astype(np.int32)
+                changes = [[[{"at": at, "size": size, "ids": new} for at, size, new in c] for _, c in ways[1:]] for _, ways in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").slice(done, len(texts)), lists([w[0][1] for w in found]), pa.array([len(w[0][1]) for w in found], pa.int64()), pa.array([[s for s, _ in w] for w in found], pa.list_(pa.float64())),
-                        pa.ListArray.from_arrays(pa.array(counts), lists([ids for w in found for _, ids in w[1:]])), pa.array(same),
+                        b.column("doc_id").slice(done, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(whole))), pa.array(np.diff(offsets).astype(np.int64)),
+                        pa.array([[s for s, _ in ways] for _, ways in found], pa.list_(pa.float64())), pa.array(changes, others), pa.array(same),
                     ],
                     names,
                 )
                 done += len(texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, T.StructType(fields))
+
+
+def segmentations(encoded: DataFrame) -> DataFrame:
+    """From rows of encode(): also segmentations, the ids of each of the N best, best first."""
+
+    def put(ids: Column, c: Column) -> Column:
+        return F.concat(F.slice(ids, F.lit(1), c["at"]), c["ids"], F.slice(ids, c["at"] + c["size"] + 1, F.size(ids)))
+
+    applied = F.transform("others", lambda changes: F.aggregate(F.reverse(changes), F.col("ids"), put))  # the last first, so places hold
+    return encoded.withColumn("segmentations", F.concat(F.array("ids"), applied))

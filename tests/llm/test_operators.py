@@ -734,7 +734,9 @@ def test_long_units_of_equal_scores(lattice):
 @pytest.mark.parametrize("text", ["", "the thing", "a ▁ b", " two  spaces ", "line\nline", "日本 é\x00", "in in in", "x" * 9 + " yy"])
 def test_n_best_of_a_text(lattice, text):
     n = 5
-    (found,) = lattice.encode([text], n)
+    ((best, ways),) = lattice.encode([text], n)
+    found = [(s, sentencepiece.changed(best, c)) for s, c in ways]
+    assert lattice.same(best, ways) and not ways[0][1]
     scores = [s for s, _ in found]
     assert all(lattice.decode(ids) == text for _, ids in found) and len({tuple(ids) for _, ids in found}) == len(found)
     cut, begin = lattice.units([text])
@@ -756,20 +758,26 @@ def test_n_best_of_many_texts_together(lattice):
     rng = random.Random(9)
     texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 200))) for _ in range(40)] + ["", "é" * 3]
     for text, found, alone in zip(texts, lattice.encode(texts, 4), (lattice.encode([t], 4)[0] for t in texts)):
-        assert [(s, ids.tolist()) for s, ids in found] == [(s, ids.tolist()) for s, ids in alone]
-        assert all(lattice.decode(ids) == text for _, ids in found)
+        assert found[0].tolist() == alone[0].tolist() and found[1] == alone[1]
+        assert all(lattice.decode(sentencepiece.changed(found[0], c)) == text for _, c in found[1])
 
 
 def test_sentencepiece_round_trip(spark, odd, docs, empty):
     df = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
-    out = sentencepiece.encode(df, MODEL).collect()
-    assert len(out) == df.count() and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["scores"] == sorted(r["scores"], reverse=True) and len(r["scores"]) == 1 + len(r["others"]) for r in out)
+    out = sentencepiece.segmentations(sentencepiece.encode(df, MODEL)).collect()
+    assert len(out) == df.count() and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["scores"] == sorted(r["scores"], reverse=True) for r in out)
     m = sentencepiece.lattice(MODEL)
     texts = Counter((r["doc_id"], r["text"] or "") for r in df.collect())
     assert Counter((r["doc_id"], m.decode(r["ids"])) for r in out) == texts
-    assert all((r["doc_id"], m.decode(ids)) in texts for r in out for ids in r["others"])
-    assert all(len({tuple(r["ids"]), *map(tuple, r["others"])}) == len(r["scores"]) for r in out) and sum(len(r["others"]) == 3 for r in out) > 0.9 * len(out)
-    assert sentencepiece.encode(empty, MODEL).count() == 0
+    for r in out:
+        whole = r["segmentations"]
+        assert whole[0] == r["ids"] and len({tuple(ids) for ids in whole}) == len(whole) == len(r["scores"]) == 1 + len(r["others"])
+        assert all((r["doc_id"], m.decode(ids)) in texts for ids in whole)
+        if not any(i in m.bytes for i in r["ids"]):
+            value = {i: s for i, s in m.pieces.values()}
+            assert r["scores"] == pytest.approx([sum(map(value.__getitem__, ids)) for ids in whole])
+    assert sum(len(r["others"]) == 3 for r in out) > 0.9 * len(out)
+    assert sentencepiece.encode(empty, MODEL).count() == 0 and sentencepiece.segmentations(sentencepiece.encode(empty, MODEL)).count() == 0
     assert sentencepiece.encode(odd, MODEL).count() == odd.count()
 
 
