@@ -205,7 +205,7 @@ def near_dedup(docs: DataFrame, budget: int = 2, width: int = 3, seed: int = 42,
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, kept, row (the whole input row).
 
     component_id is the smallest doc_id within reach, so null only where all of them are. Null, empty and blank texts have
-    fingerprint zero and link like any other. Of each component one row is kept, that of the smallest doc_id (nulls last),
+    fingerprint zero and link like any other; very long ones are read whole. Of each component one row is kept, that of the smallest doc_id (nulls last),
     the first of repeated rows. An empty table gives an empty result.
     """
     if not 0 <= budget <= 2:
@@ -235,8 +235,8 @@ FOUND = 0.99
 TIES = 0.011
 #: Rounds that hold each row against two candidates alone, before all candidates that are still apart are compared.
 STARS = 2
-#: Keys aimed at in a subtree of one table.
-TABLE = 1 << 16
+#: Keys aimed at in a subtree of one table; a subtree of over HOT times as many, by equal keys, is dealt to tasks in blocks.
+TABLE, HOT = 1 << 16, 4
 
 
 def apart(similarity: float) -> float:
@@ -350,6 +350,19 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", turn: int
     return run
 
 
+def in_blocks(keys: DataFrame, most: int) -> DataFrame:
+    """Adds block to rows (tab, subtree, ...): subtrees of over `most` rows are cut into blocks of about half of that, and each
+    row goes to one task for each pair of blocks that has its own, so every two rows of a subtree still meet, whatever its size.
+    """
+    hot = keys.groupBy("tab", "subtree").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = stage(hot.select("tab", "subtree", F.ceil(2 * F.col("n") / most).alias("blocks")), "hot")
+    if not hot.take(1):
+        return keys.withColumn("block", F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    pairs = lambda b: F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(b, other) * F.col("blocks") + F.greatest(b, other)))
+    return keys.join(hot, ["tab", "subtree"], "left").withColumn("block", F.explode(pairs(own))).drop("blocks")
+
+
 def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
     """From (id, text): id, hashes, the sorted distinct shingles' hashes."""
 
@@ -389,7 +402,8 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     differ in no more bits than the share expected at that similarity, plus `slack` (three standard deviations). A candidate
     pair is linked if its sets of shingles themselves are that similar. Each row is held against two candidates first, which
     joins most of a large group of copies; then all candidates that are still in different components are compared. Texts
-    with equal fingerprints count as alike. So do null, empty and blank ones; an empty table gives an empty result.
+    with equal fingerprints count as alike. So do null, empty and blank ones; very long texts are one sorted set of hashes, and
+    of repeated rows one is kept. An empty table gives an empty result.
     """
     rows = stage(with_fingerprints(docs, width, seed, wide=True), "wide-fingerprints")
     classes = stage(by_class(rows).withColumn("id", F.col("least.uid")), "classes")
@@ -405,7 +419,8 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         else:
             keys = keys.withColumn("comp", F.col("id"))
         keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
-        return keys.select("tab", "subtree", "home", "key", "id", "fp", "comp").groupBy("tab", "subtree").applyInPandas(alike_at(depth, bits, limit, give, turn), schema)
+        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp"), HOT * subtree)
+        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit, give, turn), schema)
 
     of, sets, seen, links, roots = classes, None, None, None, None
     for turn in range(STARS + 1):

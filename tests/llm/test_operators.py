@@ -579,8 +579,9 @@ def test_similar_texts(spark, odd, empty):
             rows.append((10 * k + v, " ".join(t)))
             want[10 * k + v] = 10 * k
     src = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_dedup(src, subtree=32).collect()}
-    assert got == want
+    for subtree in (8, 32):  # with blocks of hot subtrees, and without
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_dedup(src, subtree=subtree).collect()}
+        assert got == want
     assert simhash.similar_dedup(empty).count() == 0
     out = simhash.similar_dedup(odd).collect()
     assert len(out) == odd.count() and sum(r["kept"] for r in out) == len({tuple(words(r["row"]["text"])) for r in out}) - 1  # the two long ones are alike
@@ -601,6 +602,16 @@ def test_similar_texts_on_both_sides_of_the_threshold(spark):
     assert sum(linked[k] for k in want if want[k]) >= 0.96 * sum(want.values())
 
 
+def test_blocks_let_all_rows_meet(spark):
+    keys = spark.range(1000).select(F.lit(0).alias("tab"), F.when(F.col("id") < 900, 5).otherwise(F.col("id")).alias("subtree"), "id")
+    rows = [(r["subtree"], r["block"], r["id"]) for r in simhash.in_blocks(keys, 200).collect()]
+    assert max(Counter(r[:2] for r in rows).values()) < 400
+    met = defaultdict(set)
+    for s, b, i in rows:
+        met[i].add((s, b))
+    assert all(met[i] & met[j] for i in range(0, 900, 7) for j in range(900)) and all(len(met[i]) == 1 for i in range(900, 1000))
+
+
 def test_similar_texts_are_not_chained_by_a_template(spark):
     """A common template with its own part in each text: all 0.7 alike, and among them true near copies of some."""
     rng, rows = random.Random(12), []

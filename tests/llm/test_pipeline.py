@@ -81,5 +81,36 @@ def test_pieces_decode(stages):
     assert Counter((r["doc_id"], m.decode(r["ids"])) for r in after.collect()) == Counter((r["doc_id"], r["text"]) for r in before.collect())
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated and equal rows, and columns with the operators' names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, uid long, digest string, kept boolean"
+    prose = "The of and to in is that for it was with by on this from be are as at an. " * 8
+    rows = [(1, prose, "en", "a"), (1, prose, "en", "a"), (2, None, None, None), (3, "", "en", "b"), (None, prose + "More words here. " * 9, "en", None), (None, None, None, None), (4, " \t", "", ""), (5, prose * 300, "fr", "a"), (6, prose + " end", "en", "a"), (7, "short", "en", "c")]
+    return spark.createDataFrame([(*r, None, "clash", 7, "clash", None) for r in rows], schema)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_take_odd_tables(spark, odd, name):
+    f = dict(cp.STAGES)[name]
+    plain = lambda df: Counter(map(str, df.collect()))
+    before, after, none = plain(odd), f(spark, odd, SF), f(spark, odd.limit(0), SF)
+    assert none.count() == 0 and after.count() > 0
+    if name == "pieces":
+        m = sentencepiece.lattice(MODEL_FILE)
+        assert Counter((r["doc_id"], m.decode(r["ids"])) for r in after.collect()) == Counter((r["doc_id"], r["text"] or "") for r in odd.collect())
+        return
+    assert after.columns == odd.columns == none.columns and set(plain(after)) <= set(before)
+    if name in ("exact", "near"):
+        texts = [" ".join((r["text"] or "").split()) for r in after.collect()]
+        assert plain(after) <= before and len(texts) == len(set(texts)) and set(texts) <= {" ".join((r["text"] or "").split()) for r in odd.collect()}
+    if name == "exact":
+        assert len(texts) == len({"".join((r["text"] or "").split()) for r in odd.collect()}) and 1 in [r["doc_id"] for r in after.collect()]
+    if name == "quality":
+        assert plain(after) <= before
+    if name == "mixed":
+        assert all(k <= 2 * before[r] for r, k in plain(after).items())
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert rows(cp.run(spark, SF).select("doc_id", "n_pieces")) == rows(stages["pieces"][1].select("doc_id", "n_pieces"))
