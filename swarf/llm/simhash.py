@@ -233,8 +233,9 @@ def kept(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
 FOUND = 0.99
 #: Added to the share of differing bits: small sets of even size have more ties (measured over unions of 6 to 60 shingles).
 TIES = 0.011
-#: Rounds that hold each row against two candidates alone, before all candidates that are still apart are compared.
-STARS = 2
+#: Candidates that a row is held against in each round, the nearest first, before all that are still apart are compared; and
+#: the rows of one key that are all compared in those rounds (of more, each with the first and its next ones alone).
+STARS, ALL_OF_A_KEY = (2, 6), 4096
 #: Keys aimed at in a subtree of one table; a subtree of over HOT times as many, by equal keys, is dealt to tasks in blocks.
 TABLE, HOT = 1 << 16, 4
 
@@ -273,83 +274,93 @@ def keys_of(bits: int, count: int):
     return run
 
 
-def alike_at(depth: int, bits: int, limit: int, give: str = "forest", turn: int = 0):
+def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int = 0, similarity: float = 0.0):
     """The applyInPandas function for one subtree of one table: rows whose fingerprints differ in few bits.
 
-    forest gives links (a, b) with the components of all such pairs. The others leave out pairs of one `comp`: stars gives
-    of each row a the first and the last b by place, a mixing of ids that changes with the turn, and all gives every pair.
+    forest gives links (a, b) with the components of all such pairs. The others leave out pairs of one `comp`, and pairs
+    whose sets can't be that similar by their sizes and how many of their shingles other sets have (`common`): stars gives of
+    each row a the `pick` nearest b with the bits that differ, and all gives every pair.
     """
-    mixing = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * turn & (1 << 64) - 1 | 1)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         key, home, ids = group["key"].to_numpy().view(np.uint64), group["home"].to_numpy(), group["id"].to_numpy()
-        with np.errstate(over="ignore"):
-            place = (ids.view(np.uint64) * mixing).view(np.int64)
-        order = np.lexsort((place, key, ~home))  # those at home first, keys unsigned
-        key, ids, place, mine = key[order], ids[order], place[order], int(home.sum())
-        comp = group["comp"].to_numpy()[order] if give != "forest" else None
+        order = np.lexsort((ids, key, ~home))  # those at home first, keys unsigned
+        key, ids, mine = key[order], ids[order], int(home.sum())
+        comp, size, common = (group[c].to_numpy()[order] for c in ("comp", "size", "common")) if give != "forest" else (None, None, None)
         words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(-1, 4)[order]
         x, fx = np.unique(key[:mine], return_index=True)
         y, fy = np.unique(key[mine:], return_index=True)
         first = np.concatenate([fx, fy + mine])
-        size = np.diff(np.concatenate([fx, fy + mine, [len(key)]]))
+        many = np.diff(np.concatenate([fx, fy + mine, [len(key)]]))
 
-        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ok = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= limit
+        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            off = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
+            ok = off <= limit
             if comp is not None:
-                ok &= comp[a] != comp[b]
-            return a[ok], b[ok]
+                ok &= (comp[a] != comp[b]) & ((1 + similarity) * np.minimum(common[a], common[b]) >= similarity * (size[a] + size[b]) - 1e-6)
+            return a[ok], b[ok], off[ok]
 
-        def across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for i in range(0, len(left), step := max(1, FRONTIER // max(1, len(right)))):
                 part = left[i : i + step]
                 yield near(np.repeat(part, len(right)), np.tile(right, len(part)))
 
-        def within(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def within(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             """Rows of one key."""
-            if give == "all":  # each component with those after it
-                rows = rows[np.argsort(comp[rows], kind="stable")]
-                ends = np.flatnonzero(np.diff(comp[rows])) + 1
-                for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False):
-                    yield from across(rows[i:j], rows[j:])
+            if give == "all" or give == "stars" and len(rows) <= ALL_OF_A_KEY:
+                for i in range(0, len(rows), step := max(1, FRONTIER // len(rows))):
+                    a, b, off = near(np.repeat(rows[i : i + step], len(rows)), np.tile(rows, len(rows[i : i + step])))
+                    yield a[a < b], b[a < b], off[a < b]
                 return
-            a, b = near(np.full(len(rows) - 1, rows[0]), rows[1:])  # those near the first are one already, or meet it first
-            yield a, b
+            if give == "stars":
+                for ahead in (*range(1, 33), 0):
+                    yield near(rows[:-ahead], rows[ahead:]) if ahead else near(np.full(len(rows) - 1, rows[0]), rows[1:])
+                return
+            a, b, off = near(np.full(len(rows) - 1, rows[0]), rows[1:])  # those near the first are one already
+            yield a, b, off
             yield from across(np.setdiff1d(rows[1:], b), rows)
 
-        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for k in np.flatnonzero(size[: len(x)] > 1).tolist():
-                yield from within(np.arange(first[k], first[k] + size[k]))
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for k in np.flatnonzero(many[: len(x)] > 1).tolist():
+                yield from within(np.arange(first[k], first[k] + many[k]))
             for a, b in node_pairs(x, y, depth, 2, bits):
-                small = size[a] * size[b] == 1
+                small = many[a] * many[b] == 1
                 yield near(first[a[small]], first[b[small]])
                 for i, j in zip(a[~small].tolist(), b[~small].tolist(), strict=True):
-                    yield from across(np.arange(first[i], first[i] + size[i]), np.arange(first[j], first[j] + size[j]))
+                    yield from across(np.arange(first[i], first[i] + many[i]), np.arange(first[j], first[j] + many[j]))
 
         found = pairs() if mine else iter(())
         if give == "forest":
-            root = forest(len(key), found)
+            root = forest(len(key), ((a, b) for a, b, _ in found))
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
         if give == "all":
-            both = [np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1) for a, b in found if len(a)]
+            both = [np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1) for a, b, _ in found if len(a)]
             both = np.unique(np.concatenate(both), axis=0) if both else np.zeros((0, 2), np.int64)
             return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-        by_place = np.argsort(place)
-        rank = np.empty(len(key), np.int64)
-        rank[by_place] = np.arange(len(key))
-        low, high = np.full(len(key), len(key)), np.full(len(key), -1)
-        for a, b in found:
-            for p, q in ((a, b), (b, a)):
-                np.minimum.at(low, p, rank[q])
-                np.maximum.at(high, p, rank[q])
-        some = np.flatnonzero(high >= 0)
-        low, high = by_place[low[some]], by_place[high[some]]
-        return pd.DataFrame({"a": np.tile(ids[some], 2), "b": ids[np.concatenate([low, high])], "place": place[np.concatenate([low, high])]})
+        best, held = np.zeros((3, 0), np.int64), []
+        for a, b, off in found:
+            held += [np.stack([a, b, off]), np.stack([b, a, off])]
+            if sum(h.shape[1] for h in held) > 4 * FRONTIER:
+                best, held = nearest(np.concatenate([best, *held], axis=1), pick), []
+        a, b, off = nearest(np.concatenate([best, *held], axis=1), pick)
+        return pd.DataFrame({"a": ids[a], "b": ids[b], "off": off})
 
     return run
 
 
+def nearest(found: np.ndarray, pick: int) -> np.ndarray:
+    """Of pairs (a, b, bits that differ) as columns the `pick` nearest of each a, by b where these tie."""
+    found = found[:, np.lexsort((found[1], found[2], found[0]))]
+    twice = np.zeros(found.shape[1], bool)
+    twice[1:] = (found[:2, 1:] == found[:2, :-1]).all(0)
+    found = found[:, ~twice]
+    place = np.arange(found.shape[1])
+    starts = np.flatnonzero(np.diff(found[0], prepend=-1)) if found.shape[1] else place
+    rank = place - np.repeat(starts, np.diff([*starts.tolist(), len(place)]))
+    return found[:, rank < pick]
+
+
 def in_blocks(keys: DataFrame, most: int) -> DataFrame:
     """Adds block to rows (tab, subtree, ...): subtrees of over `most` rows are cut into blocks of about half of that, and each
     row goes to one task for each pair of blocks that has its own, so every two rows of a subtree still meet, whatever its size.
@@ -375,6 +386,21 @@ def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, hashes binary")
 
 
+def set_sizes(sets: DataFrame) -> DataFrame:
+    """id, size, common: the shingles of each set, and how many of them other sets have as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
+                flat = [np.frombuffer(v.as_buffer(), np.int64) for v in b.column("hashes")]
+                ids = np.repeat(b.column("id").to_numpy(), [len(v) for v in flat])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*flat, np.zeros(0, np.int64)]))], ["id", "h"])
+
+    alone = sets.mapInArrow(run, "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    size = (F.octet_length("hashes") / 8).cast("int")
+    return sets.select("id", size.alias("size")).join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("common"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the distinct pairs (a, b) those whose sets have that Jaccard similarity or more."""
 
@@ -400,8 +426,9 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     Such texts differ in more bits than a trie can afford to allow for. So 256 bits are taken, a number of tables hold a few
     of them each, the trie of each table is joined with itself within two bits, and the pairs it finds are candidates if they
     differ in no more bits than the share expected at that similarity, plus `slack` (three standard deviations). A candidate
-    pair is linked if its sets of shingles themselves are that similar. Each row is held against two candidates first, which
-    joins most of a large group of copies; then all candidates that are still in different components are compared. Texts
+    pair is linked if its sets of shingles themselves are that similar. Each row is held against its nearest candidates first,
+    which joins most of a large group of copies; then all candidates are compared that are still in different components and
+    that may be similar enough by the shingles which they have for themselves. Texts
     with equal fingerprints count as alike. So do null, empty and blank ones; very long texts are one sorted set of hashes, and
     of repeated rows one is kept. An empty table gives an empty result.
     """
@@ -412,34 +439,34 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     depth = min(bits, DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
     limit = round(256 * (apart(similarity) + TIES)) + slack
 
-    def candidates(of: DataFrame, give: str, turn: int, schema: str) -> DataFrame:
+    def candidates(of: DataFrame, give: str, pick: int, schema: str) -> DataFrame:
         keys = of.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
         if "comp" in of.columns:
-            keys = keys.join(of.select("id", "comp"), "id")
-        else:
-            keys = keys.withColumn("comp", F.col("id"))
+            keys = keys.join(of.select("id", "comp", "size", "common"), "id")
+        else:  # nothing is known of the sets yet
+            keys = keys.select("*", F.col("id").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"))
         keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
-        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp"), HOT * subtree)
-        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit, give, turn), schema)
+        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp", "size", "common"), HOT * subtree)
+        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit, give, pick, similarity), schema)
 
     of, sets, seen, links, roots = classes, None, None, None, None
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            first, last = (f(F.struct("place", "b")).alias(k) for k, f in (("first", F.min), ("last", F.max)))
-            ends = stage(candidates(of, "stars", turn, "a long, b long, place long").groupBy("a").agg(first, last), "stars")
-            pairs = ends.select("a", F.explode(F.array("first.b", "last.b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn, pick in enumerate((*STARS, 0)):
+        if pick:
+            ends = candidates(of, "stars", pick, "a long, b long, off long").groupBy("a").agg(F.collect_set(F.struct("off", "b")).alias("b"))  # at most pick from each table
+            ends = stage(ends.select("a", F.slice(F.sort_array("b"), 1, pick)["b"].alias("b")), "stars")
+            pairs = ends.select("a", F.explode("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            pairs = candidates(of, "all", turn, "a long, b long")
+            pairs = candidates(of, "all", 0, "a long, b long")
         pairs = pairs.distinct()
         pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if sets is None:  # whoever has a candidate at all is in the first stars; the others go no further
             some = stage(ends.select(F.col("a").alias("id")), "candidates")
-            of = stage(classes.select("id", "fp").join(some, "id"), "candidate-classes")
             sets = stage(shingle_sets(rows.select(F.col("uid").alias("id"), F.col("row.text").alias("text")).join(some, "id"), width, seed), "shingle-sets")
+            of = stage(classes.select("id", "fp").join(set_sizes(sets), "id"), "candidate-classes")
         good = verified(pairs, sets, similarity)
         seen, links = (pairs, good) if seen is None else (seen.unionByName(pairs), links.unionByName(good))
         roots = components(links)
-        if turn < STARS:
+        if pick:
             of = stage(of.drop("comp").join(roots.select(F.col("node").alias("id"), F.col("root").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "candidate-components")
     unstage(sets)
     return kept(rows, classes, roots).select("doc_id", "component_id", "kept", "row")

@@ -602,6 +602,37 @@ def test_similar_texts_on_both_sides_of_the_threshold(spark):
     assert sum(linked[k] for k in want if want[k]) >= 0.96 * sum(want.values())
 
 
+def test_set_sizes_and_nearest(spark):
+    rng = random.Random(2)
+    sets = {i: sorted(rng.sample(range(40), rng.randint(0, 12))) for i in range(30)}
+    df = spark.createDataFrame([(i, np.array(v, np.int64).tobytes()) for i, v in sets.items()], "id long, hashes binary")
+    n = Counter(h for v in sets.values() for h in v)
+    assert {tuple(r) for r in simhash.set_sizes(df).collect()} == {(i, len(v), sum(n[h] > 1 for h in v)) for i, v in sets.items()}
+    pairs = [(rng.randrange(5), rng.randrange(20), rng.randrange(9)) for _ in range(200)]
+    pairs = list({(a, b): (a, b, a * b % 7) for a, b, _ in pairs}.values()) * 2
+    got = set(map(tuple, simhash.nearest(np.array(pairs).T, 3).T.tolist()))
+    assert got == {(a, b, d) for k in range(5) for d, b, a in sorted({(d, b, a) for a, b, d in pairs if a == k})[:3]}
+    assert simhash.nearest(np.zeros((3, 0), np.int64), 3).shape == (3, 0)
+
+
+def test_near_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    """A group whose rows have up to eight changes each: links as by brute force, and far fewer pairs than the group has."""
+    rng, rows, made = random.Random(13), [], []
+    base = [f"w{rng.getrandbits(40):x}" for _ in range(150)]
+    for k in range(700):
+        t = list(base)
+        for at in rng.sample(range(150), 0 if k < 12 else rng.randint(1, 8)):
+            t[at] = f"c{rng.getrandbits(40):x}"
+        rows.append((k, " ".join(t) + f" e{k}"))
+    real = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: (made.append(pairs.count()), real(pairs, *a))[1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = grouped(700, [(i, j) for i in range(700) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])])
+    assert sum(got[i] != want[i] for i in range(700)) <= 7 and all(got[i] in (want[i], i) for i in range(700))
+    assert sum(made) < 20_000, made  # of 244,650
+
+
 def test_blocks_let_all_rows_meet(spark):
     keys = spark.range(1000).select(F.lit(0).alias("tab"), F.when(F.col("id") < 900, 5).otherwise(F.col("id")).alias("subtree"), "id")
     rows = [(r["subtree"], r["block"], r["id"]) for r in simhash.in_blocks(keys, 200).collect()]
