@@ -51,11 +51,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(majority(shingles(text, width, seed)[:, None])[0])
 
 
-def wide_fingerprint(text: str | None, width: int = 5, seed: int = 42) -> bytes:
-    """256-bit SimHash over the distinct word shingles: four words mixed from each hash; zeros without words."""
-    h = np.unique(shingles(text, width, seed))
+#: 64-bit words of the fingerprint that tables are made from, and of the one that their candidates are told apart by.
+WIDE, WIDEST = 4, 16
+
+
+def wide_fingerprint(h: np.ndarray, n: int = WIDE) -> bytes:
+    """SimHash of a set of distinct hashes in n words of 64 bits, mixed from each hash; zeros if it is empty."""
     with np.errstate(over="ignore"):
-        z = h[:, None] + np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
@@ -71,7 +74,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, wide: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if wide:
-                fps = pa.array([wide_fingerprint(t.as_py(), width, seed) for t in b.column("text")], pa.binary())
+                fps = pa.array([wide_fingerprint(np.unique(shingles(t.as_py(), width, seed))) for t in b.column("text")], pa.binary())
             else:
                 fps = pa.array(np.array([fingerprint(t.as_py(), width, seed) for t in b.column("text")], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), fps, b.column("row")], ["uid", "doc_id", "fp", "row"])
@@ -253,7 +256,7 @@ def tables(n: int, similarity: float) -> tuple[int, int]:
 
 
 def positions(table: int, bits: int) -> np.ndarray:
-    """The bits of a 256-bit fingerprint that make up the key of a table."""
+    """The bits of a fingerprint, of its first 256, that make up the key of a table."""
     return np.random.default_rng([17, table]).choice(256, bits, replace=False)
 
 
@@ -263,7 +266,7 @@ def keys_of(bits: int, count: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, 32)
+            flat = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)[:, : 8 * WIDE] if b.num_rows else np.zeros((0, 8 * WIDE), np.uint8)
             ones = np.unpackbits(flat, axis=1, bitorder="little")
             for t, at in enumerate(where):
                 key = np.zeros((len(flat), 64), np.uint8)
@@ -287,7 +290,7 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
         order = np.lexsort((ids, key, ~home))  # those at home first, keys unsigned
         key, ids, mine = key[order], ids[order], int(home.sum())
         comp, size, common = (group[c].to_numpy()[order] for c in ("comp", "size", "common")) if give != "forest" else (None, None, None)
-        words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(-1, 4)[order]
+        words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)[order]
         x, fx = np.unique(key[:mine], return_index=True)
         y, fy = np.unique(key[mine:], return_index=True)
         first = np.concatenate([fx, fy + mine])
@@ -375,19 +378,20 @@ def in_blocks(keys: DataFrame, most: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """From (id, text): id, hashes, the sorted distinct shingles' hashes."""
+    """From (id, text): id, hashes (of the distinct shingles, sorted), fp (of WIDEST words; its first ones are those of WIDE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 500) for i in range(0, big.num_rows, 500)):
-                sets = pa.array([np.unique(shingles(t.as_py(), width, seed)).tobytes() for t in b.column("text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id"), sets], ["id", "hashes"])
+                sets = [np.unique(shingles(t.as_py(), width, seed)) for t in b.column("text")]
+                fps = pa.array([wide_fingerprint(h, WIDEST) for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([h.tobytes() for h in sets], pa.binary()), fps], ["id", "hashes", "fp"])
 
-    return texts.mapInArrow(run, "id long, hashes binary")
+    return texts.mapInArrow(run, "id long, hashes binary, fp binary")
 
 
 def set_sizes(sets: DataFrame) -> DataFrame:
-    """id, size, common: the shingles of each set, and how many of them other sets have as well."""
+    """id, fp, size, common: the shingles of each set, and how many of them other sets have as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -398,7 +402,7 @@ def set_sizes(sets: DataFrame) -> DataFrame:
 
     alone = sets.mapInArrow(run, "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
     size = (F.octet_length("hashes") / 8).cast("int")
-    return sets.select("id", size.alias("size")).join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("common"))
+    return sets.select("id", "fp", size.alias("size")).join(alone, "id", "left").select("id", "fp", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("common"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -423,7 +427,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, slack: int = 18, subtree: int = TABLE) -> DataFrame:
     """As near_dedup, for texts whose sets of word shingles are that similar: doc_id, component_id, kept, row.
 
-    Such texts differ in more bits than a trie can afford to allow for. So 256 bits are taken, a number of tables hold a few
+    Such texts differ in more bits than a trie can afford to allow for. So 256 bits are taken (1024 of those that have a first
+    candidate), a number of tables hold a few
     of them each, the trie of each table is joined with itself within two bits, and the pairs it finds are candidates if they
     differ in no more bits than the share expected at that similarity, plus `slack` (three standard deviations). A candidate
     pair is linked if its sets of shingles themselves are that similar. Each row is held against its nearest candidates first,
@@ -437,17 +442,18 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     n = classes.count()
     bits, count = tables(n, similarity)
     depth = min(bits, DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
-    limit = round(256 * (apart(similarity) + TIES)) + slack
+    limit = lambda n: round(64 * n * (apart(similarity) + TIES) + slack * math.sqrt(n / WIDE))  # noqa: E731  bits, of n words
 
     def candidates(of: DataFrame, give: str, pick: int, schema: str) -> DataFrame:
         keys = of.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
+        words = WIDEST if "comp" in of.columns else WIDE
         if "comp" in of.columns:
             keys = keys.join(of.select("id", "comp", "size", "common"), "id")
         else:  # nothing is known of the sets yet
             keys = keys.select("*", F.col("id").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"))
         keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
         keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp", "size", "common"), HOT * subtree)
-        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit, give, pick, similarity), schema)
+        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit(words), give, pick, similarity), schema)
 
     of, sets, seen, links, roots = classes, None, None, None, None
     for turn, pick in enumerate((*STARS, 0)):
@@ -462,7 +468,7 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         if sets is None:  # whoever has a candidate at all is in the first stars; the others go no further
             some = stage(ends.select(F.col("a").alias("id")), "candidates")
             sets = stage(shingle_sets(rows.select(F.col("uid").alias("id"), F.col("row.text").alias("text")).join(some, "id"), width, seed), "shingle-sets")
-            of = stage(classes.select("id", "fp").join(set_sizes(sets), "id"), "candidate-classes")
+            of = stage(set_sizes(sets), "candidate-classes")
         good = verified(pairs, sets, similarity)
         seen, links = (pairs, good) if seen is None else (seen.unionByName(pairs), links.unionByName(good))
         roots = components(links)

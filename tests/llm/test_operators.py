@@ -605,9 +605,9 @@ def test_similar_texts_on_both_sides_of_the_threshold(spark):
 def test_set_sizes_and_nearest(spark):
     rng = random.Random(2)
     sets = {i: sorted(rng.sample(range(40), rng.randint(0, 12))) for i in range(30)}
-    df = spark.createDataFrame([(i, np.array(v, np.int64).tobytes()) for i, v in sets.items()], "id long, hashes binary")
+    df = spark.createDataFrame([(i, np.array(v, np.int64).tobytes(), b"") for i, v in sets.items()], "id long, hashes binary, fp binary")
     n = Counter(h for v in sets.values() for h in v)
-    assert {tuple(r) for r in simhash.set_sizes(df).collect()} == {(i, len(v), sum(n[h] > 1 for h in v)) for i, v in sets.items()}
+    assert {tuple(r) for r in simhash.set_sizes(df).drop("fp").collect()} == {(i, len(v), sum(n[h] > 1 for h in v)) for i, v in sets.items()}
     pairs = [(rng.randrange(5), rng.randrange(20), rng.randrange(9)) for _ in range(200)]
     pairs = list({(a, b): (a, b, a * b % 7) for a, b, _ in pairs}.values()) * 2
     got = set(map(tuple, simhash.nearest(np.array(pairs).T, 3).T.tolist()))
@@ -630,7 +630,7 @@ def test_near_copies_of_one_text_make_few_pairs(spark, monkeypatch):
     grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
     want = grouped(700, [(i, j) for i in range(700) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])])
     assert sum(got[i] != want[i] for i in range(700)) <= 7 and all(got[i] in (want[i], i) for i in range(700))
-    assert sum(made) < 20_000, made  # of 244,650
+    assert sum(made) < 12_000, made  # of 244,650
 
 
 def test_blocks_let_all_rows_meet(spark):
