@@ -277,12 +277,13 @@ def keys_of(bits: int, count: int):
     return run
 
 
-def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int = 0, similarity: float = 0.0):
+def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int = 0, similarity: float = 0.0, places: np.ndarray | None = None):
     """The applyInPandas function for one subtree of one table: rows whose fingerprints differ in few bits.
 
     forest gives links (a, b) with the components of all such pairs. The others leave out pairs of one `comp`, and pairs
     whose sets can't be that similar by their sizes and how many of their shingles other sets have (`common`): stars gives of
-    each row a the `pick` nearest b with the bits that differ, and all gives every pair.
+    each row a the `pick` nearest b with the bits that differ, and all gives every pair; with `places` (table by bit, 1 where
+    its key has the bit) only in the first table in which the pair meets.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -338,7 +339,9 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
         if give == "all":
-            both = [np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1) for a, b, _ in found if len(a)]
+            if places is not None:
+                found = (seldom(words, a, b, places[: int(group["tab"].iloc[0])]) for a, b, _ in found)
+            both = [np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1) for a, b, *_ in found if len(a)]
             both = np.unique(np.concatenate(both), axis=0) if both else np.zeros((0, 2), np.int64)
             return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
         best, held = np.zeros((3, 0), np.int64), []
@@ -352,6 +355,13 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
     return run
 
 
+def seldom(words: np.ndarray, a: np.ndarray, b: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose keys are over two bits apart in each of the earlier tables, so that no other has given them."""
+    off = np.unpackbits(np.ascontiguousarray(words[a, :WIDE] ^ words[b, :WIDE]).view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
+    new = (off.astype(np.float32) @ earlier.T > 2.5).all(1)
+    return a[new], b[new]
+
+
 def nearest(found: np.ndarray, pick: int) -> np.ndarray:
     """Of pairs (a, b, bits that differ) as columns the `pick` nearest of each a, by b where these tie."""
     found = found[:, np.lexsort((found[1], found[2], found[0]))]
@@ -444,6 +454,10 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     depth = min(bits, DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
     limit = lambda n: round(64 * n * (apart(similarity) + TIES) + slack * math.sqrt(n / WIDE))  # noqa: E731  bits, of n words
 
+    places = np.zeros((count, 64 * WIDE), np.float32)
+    for t in range(count):
+        places[t, positions(t, bits)] = 1
+
     def candidates(of: DataFrame, give: str, pick: int, schema: str) -> DataFrame:
         keys = of.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
         words = WIDEST if "comp" in of.columns else WIDE
@@ -453,7 +467,7 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
             keys = keys.select("*", F.col("id").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"))
         keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
         keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp", "size", "common"), HOT * subtree)
-        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit(words), give, pick, similarity), schema)
+        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit(words), give, pick, similarity, places), schema)
 
     of, sets, seen, links, roots = classes, None, None, None, None
     for turn, pick in enumerate((*STARS, 0)):

@@ -615,6 +615,20 @@ def test_set_sizes_and_nearest(spark):
     assert simhash.nearest(np.zeros((3, 0), np.int64), 3).shape == (3, 0)
 
 
+def test_pairs_are_given_by_their_first_table():
+    rng, bits = np.random.default_rng(6), 14
+    words = rng.integers(0, 2**63, (1, 4), np.uint64) ^ np.stack([np.packbits(rng.random(256) < 0.08).view("<u8") for _ in range(40)])
+    places = np.zeros((6, 256), np.float32)
+    for t in range(6):
+        places[t, simhash.positions(t, bits)] = 1
+    ones = np.unpackbits(words.view(np.uint8).reshape(40, 32), axis=1, bitorder="little").astype(int)
+    a, b = (x.ravel() for x in np.triu_indices(40, 1))
+    met = np.stack([(ones[a] != ones[b])[:, simhash.positions(t, bits)].sum(1) <= 2 for t in range(6)])
+    for t in range(6):
+        got = set(zip(*map(np.ndarray.tolist, simhash.seldom(words, a[met[t]], b[met[t]], places[:t]))))
+        assert got == {(i, j) for i, j, m in zip(a.tolist(), b.tolist(), met.T) if m[t] and not m[:t].any()}
+
+
 def test_near_copies_of_one_text_make_few_pairs(spark, monkeypatch):
     """A group whose rows have up to eight changes each: links as by brute force, and far fewer pairs than the group has."""
     rng, rows, made = random.Random(13), [], []
