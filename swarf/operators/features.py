@@ -72,12 +72,26 @@ def end_faces(axes: DataFrame, planes: DataFrame, parallel: float = 1e-3, distan
     return a.join(b, cond).select(F.col("a.part_id"), F.col("a.id").alias("axis"), F.col("b.id").alias("plane"), t.alias("t"))
 
 
+# What the surface of a hole's bottom makes of it; any other surface is UNKNOWN.
+BOTTOMS = {"PLANE": "FLAT", "CONE": "CONICAL", "SPHERE": "SPHERICAL"}
+
+
+def bottom_type(surface: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in BOTTOMS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, surface), F.lit("UNKNOWN"))
+
+
 def hole_shape(ends: DataFrame, holes: DataFrame) -> DataFrame:
-    """Depth of each hole by its end faces: none is through and endless, one gives |t|, more the span between them."""
-    t = ends.groupBy("part_id", F.col("axis").alias("id")).agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    """Depth of each hole by its end faces: none is through and endless, one gives |t|, more the span between them.
+
+    The bottom is the end face with the smallest id; `ends` may give its surface, else it counts as a plane.
+    """
+    if "surface" not in ends.columns:
+        ends = ends.withColumn("surface", F.lit("PLANE"))
+    t = ends.groupBy("part_id", F.col("axis").alias("id")).agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"), F.min_by(bottom_type(F.col("surface")), "plane").alias("bottom_type"))
     h = holes.select("part_id", "id").join(t, ["part_id", "id"], "left")
     depth = F.when(F.col("n") >= 2, F.col("high") - F.col("low")).when(F.col("n") == 1, F.abs("low")).otherwise(F.lit(float("inf")))
-    return h.select("part_id", "id", F.coalesce("n", F.lit(0)).cast("long").alias("n_end_faces"), depth.alias("depth"), F.when(F.col("n") >= 1, "FLAT").otherwise("NONE").alias("bottom_type"))
+    return h.select("part_id", "id", F.coalesce("n", F.lit(0)).cast("long").alias("n_end_faces"), depth.alias("depth"), F.coalesce("bottom_type", F.lit("NONE")).alias("bottom_type"))
 
 
 Match = Callable[[pd.DataFrame, int], np.ndarray]
@@ -124,29 +138,89 @@ def same_plane(parallel: float = 1e-3, distance: float = 1e-3) -> Match:
     return match
 
 
-def merge_holes(holes: DataFrame) -> DataFrame:
-    """From rows with seed: mean diameter, deepest finite depth, through without a bottom, first bottom, sources, completeness."""
-    finite = F.when(F.col("depth") < float("inf"), F.col("depth"))
+def numbered(merged: DataFrame, kind: str) -> DataFrame:
+    """A normal_id for each group of a part, counted from 0 in the order of the groups' seeds."""
+    place = F.row_number().over(Window.partitionBy("part_id").orderBy("seed")) - 1
+    return merged.withColumn("normal_id", F.concat(F.lit(f"normalized_{kind}_"), place.cast("string")))
+
+
+def _first(column: str) -> Column:
+    return F.min_by(column, "id")
+
+
+def _ids() -> Column:
+    return F.array_join(F.array_sort(F.collect_list("id")), ",").alias("sources")
+
+
+def _agree(column: str, tolerance: float) -> Column:
+    """HIGH for a group of one or of values that agree."""
+    return F.when((F.col("n") == 1) | (F.col(column) < tolerance), "HIGH").otherwise("MEDIUM").alias("confidence")
+
+
+def merge_holes(holes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """One row a group, from rows with part_id, seed, id, radius, depth (infinite if through), n_faces, bottom_face, bottom_type.
+
+    Without a bottom face in the group it is a through hole: endless, NONE, whatever depths its members have. Otherwise it is
+    blind, as deep as its deepest finite member, with the bottom of the first member that has one. Complete if it has a
+    cylindrical face. A single hole is sure if it is through and endless or blind; a merged one if its diameters agree.
+    """
+    finite, bottom = F.when(F.col("depth") < float("inf"), F.col("depth")), F.col("bottom_face").isNotNull()
     m = holes.groupBy("part_id", "seed").agg(
-        F.avg(2 * F.col("radius")).alias("diameter"), F.max(finite).alias("depth"), F.max(F.col("bottom_type") != "NONE").alias("bottom"),
-        F.min_by("bottom_type", F.struct(F.col("bottom_type") == "NONE", "id")).alias("bottom_type"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("sources"),
+        F.avg(2 * F.col("radius")).alias("diameter"), F.max(finite).alias("deepest"), F.max(bottom).alias("blind"), F.min_by("bottom_type", F.when(bottom, F.col("id"))).alias("bottom_type"),
+        F.count("*").alias("n"), (2 * (F.max("radius") - F.min("radius"))).alias("spread"), F.sum("n_faces").alias("n_faces"), _ids(),
     )
-    kind = F.when(F.col("bottom"), "BLIND").otherwise("THROUGH")
-    return m.select("part_id", "seed", "diameter", F.coalesce("depth", F.lit(float("inf"))).alias("depth"), kind.alias("hole_type"), "bottom_type", "sources", F.when(F.col("depth").isNotNull(), "COMPLETE").otherwise("PARTIAL").alias("completeness"), F.when(F.col("n") > 1, "HIGH").otherwise("MEDIUM").alias("confidence"))
+    blind, endless = F.col("blind"), F.lit(float("inf"))
+    sure = F.when(F.col("n") == 1, blind | F.col("deepest").isNull()).otherwise(F.col("spread") < tolerance)
+    return m.select(
+        "part_id", "seed", "diameter", F.when(blind, F.coalesce("deepest", endless)).otherwise(endless).alias("depth"), F.when(blind, "BLIND").otherwise("THROUGH").alias("hole_type"),
+        F.when(blind, F.col("bottom_type")).otherwise("NONE").alias("bottom_type"), "sources", F.when(F.col("n_faces") > 0, "COMPLETE").otherwise("INCOMPLETE").alias("completeness"),
+        F.when(sure, "HIGH").otherwise("MEDIUM").alias("confidence"),
+    )
+
 
+def merge_cylinders(cylinders: DataFrame, shaft: float = 50.0, tolerance: float = 1e-6) -> DataFrame:
+    """One row a group, from rows with part_id, seed, id, radius, height, dz, is_external, end_faces (array of ids).
 
-def merge_cylinders(cylinders: DataFrame) -> DataFrame:
-    """From rows with seed, radius, height, dz: mean radius, greatest finite height or endless, and the type of solid."""
-    m = cylinders.groupBy("part_id", "seed").agg(F.avg("radius").alias("radius"), F.max(F.when(F.col("height") < float("inf"), F.col("height"))).alias("height"), F.min_by("dz", "id").alias("dz"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("sources"))
+    Mean radius, greatest finite height or endless, the first two end faces. Type, orientation, side and completeness are those
+    of the first member: two end faces make it complete, one partial, none incomplete unless it is endless.
+    """
+    m = cylinders.groupBy("part_id", "seed").agg(
+        F.avg("radius").alias("radius"), F.max(F.when(F.col("height") < float("inf"), F.col("height"))).alias("height"), _first("dz").alias("dz"), _first("is_external").alias("is_external"),
+        F.size(_first("end_faces")).alias("n_ends"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "end_faces"))), lambda x: x["end_faces"])).alias("ends"),
+        F.count("*").alias("n"), (F.max("radius") - F.min("radius")).alias("spread"), _ids(),
+    )
     m = m.withColumn("height", F.coalesce("height", F.lit(float("inf"))))
     upright = F.abs("dz") > 0.9
-    return m.select("part_id", "seed", "radius", "height", F.when(F.col("height") > 50, "SHAFT").when(upright, "PILLAR").otherwise("BOSS").alias("cylinder_type"), "sources")
+    return m.select(
+        "part_id", "seed", "radius", "height", F.when(F.col("height") > shaft, "SHAFT").when(upright, "PILLAR").otherwise("BOSS").alias("cylinder_type"), "sources", "is_external",
+        F.when(upright, "VERTICAL").otherwise("HORIZONTAL").alias("orientation"), F.array_join(F.slice("ends", 1, 2), ",").alias("end_faces"),
+        F.when(F.col("n_ends") >= 2, "COMPLETE").when(F.col("n_ends") == 1, "PARTIAL").when(F.col("height") < float("inf"), "INCOMPLETE").otherwise("COMPLETE").alias("completeness"),
+        _agree("spread", tolerance),
+    )
 
 
 def merge_planes(planes: DataFrame) -> DataFrame:
-    """From rows with seed, area, dz: summed area and orientation of the first."""
-    m = planes.groupBy("part_id", "seed").agg(F.sum("area").alias("area"), F.min_by("dz", "id").alias("dz"), F.count("*").alias("n"))
-    return m.select("part_id", "seed", "area", plane_orientation(F.col("dz")).alias("orientation"), "n")
+    """From rows with part_id, seed, id, area, dz: summed area and orientation of the first; only a single face is sure."""
+    m = planes.groupBy("part_id", "seed").agg(F.sum("area").alias("area"), _first("dz").alias("dz"), F.count("*").alias("n"), _ids())
+    return m.select("part_id", "seed", "area", plane_orientation(F.col("dz")).alias("orientation"), "n", "sources", F.lit("COMPLETE").alias("completeness"), F.when(F.col("n") == 1, "HIGH").otherwise("MEDIUM").alias("confidence"))
+
+
+def grouped(rows: DataFrame, match: Match) -> DataFrame:
+    """Rows with the seed of their greedy group."""
+    return rows.join(greedy_groups(rows, match), ["part_id", "id"])
+
+
+def normalise(holes: DataFrame, cylinders: DataFrame, planes: DataFrame, parallel: float = 1e-6, distance: float = 1e-6) -> DataFrame:
+    """part_id, normal_id, kind, sources, completeness, confidence: coaxial holes and cylinders and coplanar faces, each grouped and merged."""
+    axis, plane = same_axis(parallel, distance), same_plane(parallel, distance)
+    merged = (("hole", merge_holes(grouped(holes, axis))), ("cylinder", merge_cylinders(grouped(cylinders, axis))), ("planar", merge_planes(grouped(planes, plane))))
+    out = [numbered(m, kind).select("part_id", "normal_id", F.lit(kind).alias("kind"), "sources", "completeness", "confidence") for kind, m in merged]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def normaliser_counts(normal: DataFrame) -> DataFrame:
+    """part_id, total_features, merged_count (features that went into another) of what normalise() gives."""
+    return normal.groupBy("part_id").agg(F.count("*").alias("total_features"), (F.sum(F.size(F.split("sources", ","))) - F.count("*")).cast("long").alias("merged_count"))
 
 
 def plane_orientation(nz: Column) -> Column:

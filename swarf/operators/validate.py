@@ -50,9 +50,13 @@ def sanity_gates(totals: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def step_gate(seg: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """approved or needs_review: overall confidence by length, segments of low confidence, thin walls."""
-    length, wall = F.col("z_end") - F.col("z_start"), g.wall_thickness(F.col("od_diameter"), F.col("id_diameter"))
-    t = seg.groupBy("part_id").agg(F.sum(length * F.col("confidence")).alias("w"), F.sum(length).alias("l"), F.avg("confidence").alias("mean"), F.count_if(F.col("confidence") < p.step_segment).alias("n_low"), F.count_if((wall > 0) & (wall < p.thin_wall)).alias("n_thin"))
+    """approved or needs_review: overall confidence by length, segments of low confidence, segments flagged thin_wall.
+
+    Segments without flags or without confidence count as sure.
+    """
+    seg = seg.withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
+    length, thin = F.col("z_end") - F.col("z_start"), F.array_contains("flags", "thin_wall")
+    t = seg.groupBy("part_id").agg(F.sum(length * F.col("confidence")).alias("w"), F.sum(length).alias("l"), F.avg("confidence").alias("mean"), F.count_if(F.col("confidence") < p.step_segment).alias("n_low"), F.count_if(thin).alias("n_thin"))
     t = t.withColumn("overall", F.floor(F.when(F.col("l") > 0, F.col("w") / F.col("l")).otherwise(F.col("mean")) * 1e6 + 0.5) / F.lit(1e6))
     reasons = listed((F.col("overall") < p.step_overall, "LOW_OVERALL"), (F.col("n_low") > 0, "LOW_SEGMENT"), (F.col("n_thin") > p.step_thin_walls, "THIN_WALLS"))
     return t.select("part_id", "overall", "n_low", "n_thin", F.when(F.size(reasons) == 0, "approved").otherwise("needs_review").alias("status"), F.array_join(reasons, ",").alias("reasons"))

@@ -83,12 +83,15 @@ def j08_r06_end_faces(spark: SparkSession, d: str) -> DataFrame:
     return fe.end_faces(a, a, distance=0.75).select("part_id", "axis", "plane", r6(F.col("t")).alias("t"))
 
 
-@query(f"""WITH {AXES}, {FACES}, g AS (SELECT part_id, axis AS id, count(*) AS n, min(t) AS lo, max(t) AS hi FROM ends WHERE axis <> plane GROUP BY ALL)
-    SELECT part_id, id, coalesce(n, 0) AS n_end_faces, {Q6('CASE WHEN n >= 2 THEN hi - lo WHEN n = 1 THEN abs(lo) ELSE -1 END')} AS depth, CASE WHEN n >= 1 THEN 'FLAT' ELSE 'NONE' END AS bottom_type FROM axes LEFT JOIN g USING (part_id, id)""")
+@query(f"""WITH {AXES}, {FACES}, g AS (SELECT part_id, axis AS id, count(*) AS n, min(t) AS lo, max(t) AS hi, min(plane) AS bottom FROM ends WHERE axis <> plane GROUP BY ALL)
+    SELECT part_id, id, coalesce(n, 0) AS n_end_faces, {Q6('CASE WHEN n >= 2 THEN hi - lo WHEN n = 1 THEN abs(lo) ELSE -1 END')} AS depth,
+      CASE WHEN bottom IS NULL THEN 'NONE' WHEN bottom % 4 = 0 THEN 'FLAT' WHEN bottom % 4 = 1 THEN 'CONICAL' WHEN bottom % 4 = 2 THEN 'SPHERICAL' ELSE 'UNKNOWN' END AS bottom_type FROM axes LEFT JOIN g USING (part_id, id)""")
 def c14_hole_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Endless depth is given as -1 here."""
+    """Endless depth is given as -1 here; surfaces of the faces follow their ids."""
     a = axes(spark, d)
-    h = fe.hole_shape(fe.end_faces(a, a, distance=0.75).where("axis <> plane"), a)
+    k = F.col("plane") % 4
+    ends = fe.end_faces(a, a, distance=0.75).where("axis <> plane").withColumn("surface", F.when(k == 0, "PLANE").when(k == 1, "CONE").when(k == 2, "SPHERE").otherwise("TORUS"))
+    h = fe.hole_shape(ends, a)
     return h.withColumn("depth", r6(F.when(F.col("depth") == float("inf"), -1.0).otherwise(F.col("depth"))))
 
 
@@ -107,40 +110,71 @@ def c04_coplanar_groups(spark: SparkSession, d: str) -> DataFrame:
     return fe.greedy_groups(axes(spark, d), fe.same_plane(distance=0.25))
 
 
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Axes with what the merging of holes, cylinders and planes looks at."""
+    k = F.col("id") % 4
+    depth = F.when(k == 0, float("inf")).otherwise(F.col("area"))
+    return axes(spark, d).select(
+        "*", depth.alias("depth"), (depth * 100).alias("height"), (F.col("id") % 5).alias("n_faces"), F.when(k >= 2, F.col("id")).alias("bottom_face"), F.when(k == 2, "CONICAL").when(k == 3, "FLAT").otherwise("NONE").alias("bottom_type"),
+        (k != 1).alias("is_external"), F.slice(F.array(F.col("id") * 10, F.col("id") * 10 + 1, F.col("id") * 10 + 2), F.lit(1), (F.col("id") % 3).cast("int")).alias("end_faces"),
+    )
+
+
 def seeded(spark: SparkSession, d: str) -> DataFrame:
-    """Groups that SQL can follow: the seed is the first of equal radius."""
-    a = axes(spark, d)
-    first = a.groupBy("part_id", "radius").agg(F.min("id").alias("seed"))
-    depth = F.when(F.col("id") % 4 == 0, float("inf")).otherwise(F.col("area"))
-    return a.join(first, ["part_id", "radius"]).withColumn("depth", depth).withColumn("height", depth * 100).withColumn("bottom_type", F.when(F.col("id") % 4 == 0, "NONE").when(F.col("id") % 4 == 1, "CONE").otherwise("FLAT"))
+    """Groups that SQL can follow: the seed is the first of the same whole radius."""
+    a = members(spark, d).withColumn("r", F.floor("radius"))
+    return a.join(a.groupBy("part_id", "r").agg(F.min("id").alias("seed")), ["part_id", "r"])
 
 
-SEEDED = f"{AXES}, s AS (SELECT *, min(id) OVER (PARTITION BY part_id, radius) AS seed, CASE WHEN id % 4 = 0 THEN NULL ELSE area END AS depth, CASE id % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'CONE' ELSE 'FLAT' END AS bottom_type FROM axes)"
+SEEDED = f"""{AXES}, s AS (SELECT *, min(id) OVER (PARTITION BY part_id, floor(radius)) AS seed, CASE WHEN id % 4 = 0 THEN NULL ELSE area END AS depth, id % 5 AS n_faces, id % 4 >= 2 AS has_bottom,
+    CASE id % 4 WHEN 2 THEN 'CONICAL' WHEN 3 THEN 'FLAT' ELSE 'NONE' END AS bottom_type, id % 4 <> 1 AS is_external, id % 3 AS n_ends FROM axes)"""
 
 
-@query(f"""WITH {SEEDED} SELECT part_id, seed, {Q6('avg(2 * radius)')} AS diameter, {Q6('coalesce(max(depth), -1)')} AS depth, CASE WHEN bool_or(bottom_type <> 'NONE') THEN 'BLIND' ELSE 'THROUGH' END AS hole_type,
-    arg_min(bottom_type, id + CASE WHEN bottom_type = 'NONE' THEN 1000000000 ELSE 0 END) AS bottom_type, string_agg(id::VARCHAR, ',' ORDER BY id) AS sources, CASE WHEN max(depth) IS NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness, CASE WHEN count(*) > 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM s GROUP BY part_id, seed""")
+@query(f"""WITH {SEEDED}, g AS (SELECT part_id, seed, avg(2 * radius) AS diameter, max(depth) AS deepest, bool_or(has_bottom) AS blind, arg_min(bottom_type, id) FILTER (has_bottom) AS bottom, string_agg(id::VARCHAR, ',' ORDER BY id) AS sources,
+      sum(n_faces) AS n_faces, count(*) AS n, 2 * (max(radius) - min(radius)) AS spread FROM s GROUP BY part_id, seed)
+    SELECT part_id, seed, 'normalized_hole_' || (row_number() OVER (PARTITION BY part_id ORDER BY seed) - 1) AS normal_id, {Q6('diameter')} AS diameter, {Q6('CASE WHEN blind THEN coalesce(deepest, -1) ELSE -1 END')} AS depth,
+      CASE WHEN blind THEN 'BLIND' ELSE 'THROUGH' END AS hole_type, CASE WHEN blind THEN bottom ELSE 'NONE' END AS bottom_type, sources, CASE WHEN n_faces > 0 THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS completeness,
+      CASE WHEN n = 1 AND (blind OR deepest IS NULL) OR n > 1 AND spread < 1e-6 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM g""")
 def c06_c09_merged_holes(spark: SparkSession, d: str) -> DataFrame:
-    m = fe.merge_holes(seeded(spark, d))
+    """Endless depth is given as -1 here."""
+    m = fe.numbered(fe.merge_holes(seeded(spark, d)), "hole")
     return m.withColumn("diameter", r6(F.col("diameter"))).withColumn("depth", r6(F.when(F.col("depth") == float("inf"), -1.0).otherwise(F.col("depth"))))
 
 
-@query(f"""WITH {SEEDED}, g AS (SELECT part_id, seed, avg(radius) AS radius, max(depth) * 100 AS h, arg_min(dz, id) AS dz, string_agg(id::VARCHAR, ',' ORDER BY id) AS sources FROM s GROUP BY part_id, seed)
-    SELECT part_id, seed, {Q6('radius')} AS radius, {Q6('coalesce(h, -1)')} AS height, CASE WHEN h IS NULL OR h > 50 THEN 'SHAFT' WHEN abs(dz) > 0.9 THEN 'PILLAR' ELSE 'BOSS' END AS cylinder_type, sources FROM g""")
+@query(f"""WITH {SEEDED}, e AS (SELECT part_id, seed, string_agg(face::VARCHAR, ',' ORDER BY face) AS end_faces FROM (SELECT part_id, seed, face, row_number() OVER (PARTITION BY part_id, seed ORDER BY face) AS k
+        FROM (SELECT part_id, seed, unnest(range(id * 10, id * 10 + n_ends)) AS face FROM s)) WHERE k <= 2 GROUP BY part_id, seed),
+    g AS (SELECT part_id, seed, avg(radius) AS radius, max(depth) * 100 AS h, arg_min(dz, id) AS dz, arg_min(is_external, id) AS is_external, arg_min(n_ends, id) AS n_ends, count(*) AS n, max(radius) - min(radius) AS spread,
+      string_agg(id::VARCHAR, ',' ORDER BY id) AS sources FROM s GROUP BY part_id, seed)
+    SELECT part_id, seed, 'normalized_cylinder_' || (row_number() OVER (PARTITION BY part_id ORDER BY seed) - 1) AS normal_id, {Q6('radius')} AS radius, {Q6('coalesce(h, -1)')} AS height,
+      CASE WHEN h IS NULL OR h > 50 THEN 'SHAFT' WHEN abs(dz) > 0.9 THEN 'PILLAR' ELSE 'BOSS' END AS cylinder_type, sources, is_external, CASE WHEN abs(dz) > 0.9 THEN 'VERTICAL' ELSE 'HORIZONTAL' END AS orientation,
+      coalesce(end_faces, '') AS end_faces, CASE WHEN n_ends >= 2 OR n_ends = 0 AND h IS NULL THEN 'COMPLETE' WHEN n_ends = 1 THEN 'PARTIAL' ELSE 'INCOMPLETE' END AS completeness,
+      CASE WHEN n = 1 OR spread < 1e-6 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM g LEFT JOIN e USING (part_id, seed)""")
 def c07_c10_merged_cylinders(spark: SparkSession, d: str) -> DataFrame:
-    m = fe.merge_cylinders(seeded(spark, d))
+    """Endless height is given as -1 here."""
+    m = fe.numbered(fe.merge_cylinders(seeded(spark, d)), "cylinder")
     return m.withColumn("radius", r6(F.col("radius"))).withColumn("height", r6(F.when(F.col("height") == float("inf"), -1.0).otherwise(F.col("height"))))
 
 
-@query(f"""WITH {SEEDED}, g AS (SELECT part_id, seed, sum(area) AS area, arg_min(dz, id) AS dz, count(*) AS n FROM s GROUP BY part_id, seed)
-    SELECT part_id, seed, {Q6('area')} AS area, CASE WHEN dz > 0.9 THEN 'TOP' WHEN dz < -0.9 THEN 'BOTTOM' ELSE 'SIDE' END AS orientation, n FROM g""")
+@query(f"""WITH {SEEDED}, g AS (SELECT part_id, seed, sum(area) AS area, arg_min(dz, id) AS dz, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS sources FROM s GROUP BY part_id, seed)
+    SELECT part_id, seed, 'normalized_planar_' || (row_number() OVER (PARTITION BY part_id ORDER BY seed) - 1) AS normal_id, {Q6('area')} AS area, CASE WHEN dz > 0.9 THEN 'TOP' WHEN dz < -0.9 THEN 'BOTTOM' ELSE 'SIDE' END AS orientation,
+      n, sources, 'COMPLETE' AS completeness, CASE WHEN n = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM g""")
 def c08_c13_merged_planes(spark: SparkSession, d: str) -> DataFrame:
-    return fe.merge_planes(seeded(spark, d)).withColumn("area", r6(F.col("area")))
+    return fe.numbered(fe.merge_planes(seeded(spark, d)), "planar").withColumn("area", r6(F.col("area")))
+
 
+def _normal(spark: SparkSession, d: str) -> DataFrame:
+    m = members(spark, d)
+    return fe.normalise(m, m, m, distance=0.75)
 
-@query(f"WITH {SEEDED} SELECT part_id, count(*) AS total_features, count(*) - count(DISTINCT seed) AS merged_count FROM s GROUP BY part_id")
+
+@query()
+def r10_normalised(spark: SparkSession, d: str) -> DataFrame:
+    return _normal(spark, d)
+
+
+@query()
 def c12_r10_normaliser_counts(spark: SparkSession, d: str) -> DataFrame:
-    return seeded(spark, d).groupBy("part_id").agg(F.count("*").alias("total_features"), (F.count("*") - F.count_distinct("seed")).alias("merged_count"))
+    return fe.normaliser_counts(_normal(spark, d))
 
 
 @query(f"""WITH {FEAT}, m AS (SELECT *, max(radius) OVER (PARTITION BY part_id) AS top FROM feat)

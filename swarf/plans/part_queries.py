@@ -127,11 +127,13 @@ def v11_sanity_gates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {SEG}, t AS (SELECT part_id, {Q6("sum((z_end - z_start) * confidence) / sum(z_end - z_start)")} AS overall, count(*) FILTER (confidence < 0.5) AS n_low,
-      count(*) FILTER (({WALL}) > 0 AND ({WALL}) < 0.05) AS n_thin FROM segments GROUP BY part_id),
+      count(*) FILTER (od_diameter - id_diameter < 0.1) AS n_thin FROM segments GROUP BY part_id),
     r AS (SELECT *, concat_ws(',', CASE WHEN overall < 0.75 THEN 'LOW_OVERALL' END, CASE WHEN n_low > 0 THEN 'LOW_SEGMENT' END, CASE WHEN n_thin > 1 THEN 'THIN_WALLS' END) AS reasons FROM t)
     SELECT part_id, overall, n_low, n_thin, CASE WHEN reasons = '' THEN 'approved' ELSE 'needs_review' END AS status, reasons FROM r""")
 def v12_a14_step_gate(spark: SparkSession, d: str) -> DataFrame:
-    return validate.step_gate(segments(spark, d))
+    """The flags are given with the segments, by a rule on diameters."""
+    thin = F.when(F.col("od_diameter") - F.col("id_diameter") < 0.1, F.array(F.lit("thin_wall")))
+    return validate.step_gate(segments(spark, d).withColumn("flags", thin))
 
 
 def _percentile_sql(p: float, name: str) -> str:

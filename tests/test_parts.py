@@ -190,3 +190,71 @@ def test_validators_on_nulls_and_nothing(spark):
 
 def test_queries_have_distinct_parts(spark):
     assert geometry_queries.features(spark, "/root/testdata/sf0.001").count() > 0
+
+
+INF = float("inf")
+HOLE = "part_id long, seed long, id long, radius double, depth double, n_faces long, bottom_face long, bottom_type string"
+# members (id, radius, depth, faces, bottom face, its type), and type, depth, bottom, completeness, confidence
+HOLES = [
+    ([(1, 2.0, INF, 1, None, "NONE")], ("THROUGH", INF, "NONE", "COMPLETE", "HIGH")),
+    ([(1, 2.0, 3.0, 1, None, "NONE")], ("THROUGH", INF, "NONE", "COMPLETE", "MEDIUM")),
+    ([(1, 2.0, 3.0, 1, 7, "CONICAL")], ("BLIND", 3.0, "CONICAL", "COMPLETE", "HIGH")),
+    ([(1, 2.0, INF, 1, None, "NONE"), (2, 2.0, 4.0, 1, 7, "SPHERICAL"), (3, 2.0, 5.0, 1, 8, "FLAT")], ("BLIND", 5.0, "SPHERICAL", "COMPLETE", "HIGH")),
+    ([(1, 2.0, 3.0, 1, 7, "FLAT"), (2, 2.1, 2.0, 1, 8, "FLAT")], ("BLIND", 3.0, "FLAT", "COMPLETE", "MEDIUM")),
+    ([(1, 2.0, INF, 0, None, "NONE")], ("THROUGH", INF, "NONE", "INCOMPLETE", "HIGH")),
+    ([(1, 2.0, INF, 1, 7, "UNKNOWN")], ("BLIND", INF, "UNKNOWN", "COMPLETE", "HIGH")),
+]
+
+
+def test_merged_holes(spark):
+    rows = [(p, 1, *m) for p, (members, _) in enumerate(HOLES) for m in members]
+    got = {r.part_id: r for r in fe.merge_holes(spark.createDataFrame(rows, HOLE)).collect()}
+    for p, (members, want) in enumerate(HOLES):
+        r = got[p]
+        assert (r.hole_type, r.depth, r.bottom_type, r.completeness, r.confidence) == want, p
+        assert r.sources == ",".join(str(m[0]) for m in members)
+        assert r.diameter == pytest.approx(2 * sum(m[1] for m in members) / len(members))
+
+
+CYLINDER = "part_id long, seed long, id long, radius double, height double, dz double, is_external boolean, end_faces array<long>"
+CYLINDERS = [
+    ([(1, 2.0, 10.0, 1.0, True, [4, 5])], ("PILLAR", 10.0, "VERTICAL", True, "4,5", "COMPLETE", "HIGH")),
+    ([(1, 2.0, 10.0, 0.0, False, [4]), (2, 2.0, 60.0, 1.0, True, [5, 6])], ("SHAFT", 60.0, "HORIZONTAL", False, "4,5", "PARTIAL", "HIGH")),
+    ([(1, 2.0, 10.0, 0.0, True, []), (2, 2.5, 20.0, 0.0, True, [])], ("BOSS", 20.0, "HORIZONTAL", True, "", "INCOMPLETE", "MEDIUM")),
+    ([(1, 2.0, INF, 0.0, True, [])], ("SHAFT", INF, "HORIZONTAL", True, "", "COMPLETE", "HIGH")),
+]
+
+
+def test_merged_cylinders(spark):
+    rows = [(p, 1, *m) for p, (members, _) in enumerate(CYLINDERS) for m in members]
+    got = {r.part_id: r for r in fe.merge_cylinders(spark.createDataFrame(rows, CYLINDER)).collect()}
+    for p, (_, want) in enumerate(CYLINDERS):
+        r = got[p]
+        assert (r.cylinder_type, r.height, r.orientation, r.is_external, r.end_faces, r.completeness, r.confidence) == want, p
+
+
+def test_normaliser_joins_groups_and_counts(spark):
+    axis = "part_id long, id long, ox double, oy double, oz double, dx double, dy double, dz double, radius double, depth double, n_faces long, bottom_face long, bottom_type string, height double, is_external boolean, end_faces array<long>, area double"
+    row = lambda i, x, r: (1, i, x, 0.0, float(i), 0.0, 0.0, 1.0, r, INF, 1, None, "NONE", 5.0, True, [i], 1.5)
+    m = spark.createDataFrame([row(1, 0.0, 2.0), row(2, 9.0, 2.0), row(3, 0.0, 2.0), row(4, 0.0, 2.5)], axis)
+    out = fe.normalise(m, m, m)
+    got = {(r.normal_id, r.sources, r.completeness, r.confidence) for r in out.collect()}
+    both = {("normalized_{}_0", "1,3,4"), ("normalized_{}_1", "2")}
+    assert {g[:2] for g in got if "planar" not in g[0]} == {(a.format(k), b) for k in ("hole", "cylinder") for a, b in both}
+    assert ("normalized_hole_0", "1,3,4", "COMPLETE", "MEDIUM") in got and ("normalized_hole_1", "2", "COMPLETE", "HIGH") in got
+    assert {g[1] for g in got if "planar" in g[0]} == {"1", "2", "3", "4"}
+    c = fe.normaliser_counts(out).first()
+    assert (c.total_features, c.merged_count) == (8, 4)
+
+
+def test_bottom_types(spark):
+    ends = spark.createDataFrame([(1, 1, 5, 0.0, "CONE"), (1, 1, 6, 2.0, "PLANE"), (1, 2, 7, -3.0, "SPHERE"), (1, 3, 8, 1.0, "TORUS"), (1, 5, 9, 1.0, None)], "part_id long, axis long, plane long, t double, surface string")
+    got = {r.id: (r.n_end_faces, r.depth, r.bottom_type) for r in fe.hole_shape(ends, spark.createDataFrame([(1, i) for i in range(1, 6)], "part_id long, id long")).collect()}
+    assert got == {1: (2, 2.0, "CONICAL"), 2: (1, 3.0, "SPHERICAL"), 3: (1, 1.0, "UNKNOWN"), 4: (0, INF, "NONE"), 5: (1, 1.0, "UNKNOWN")}
+
+
+def test_gate_counts_flags_not_walls(spark):
+    rows = [(1, 1, 0.0, 1.0, 2.0, 0.0, 0.9, ["thin_wall"]), (1, 2, 1.0, 2.0, 2.0, 0.0, 0.9, ["thin_wall", "x"]), (2, 1, 0.0, 1.0, 2.0, 1.99, 0.9, None), (2, 2, 1.0, 2.0, 2.0, 1.99, None, [])]
+    got = {r.part_id: (r.n_thin, r.status, r.reasons) for r in validate.step_gate(spark.createDataFrame(rows, SEG + ", flags array<string>")).collect()}
+    assert got[1] == (2, "needs_review", "THIN_WALLS")
+    assert got[2][0] == 0 and "THIN_WALLS" not in got[2][2]
