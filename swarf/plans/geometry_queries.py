@@ -121,12 +121,12 @@ def members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seeded(spark: SparkSession, d: str) -> DataFrame:
-    """Groups that SQL can follow: the seed is the first of the same whole radius."""
-    a = members(spark, d).withColumn("r", F.floor("radius"))
+    """Groups that SQL can follow: the seed is the first of the same area in twentieths."""
+    a = members(spark, d).withColumn("r", F.floor(F.col("area") * 20))
     return a.join(a.groupBy("part_id", "r").agg(F.min("id").alias("seed")), ["part_id", "r"])
 
 
-SEEDED = f"""{AXES}, s AS (SELECT *, min(id) OVER (PARTITION BY part_id, floor(radius)) AS seed, CASE WHEN id % 4 = 0 THEN NULL ELSE area END AS depth, id % 5 AS n_faces, id % 4 >= 2 AS has_bottom,
+SEEDED = f"""{AXES}, s AS (SELECT *, min(id) OVER (PARTITION BY part_id, floor(area * 20)) AS seed, CASE WHEN id % 4 = 0 THEN NULL ELSE area END AS depth, id % 5 AS n_faces, id % 4 >= 2 AS has_bottom,
     CASE id % 4 WHEN 2 THEN 'CONICAL' WHEN 3 THEN 'FLAT' ELSE 'NONE' END AS bottom_type, id % 4 <> 1 AS is_external, id % 3 AS n_ends FROM axes)"""
 
 
@@ -173,10 +173,15 @@ def r10_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def c12_r10_normaliser_counts(spark: SparkSession, d: str) -> DataFrame:
+def r10_normalised_counts(spark: SparkSession, d: str) -> DataFrame:
     return fe.normaliser_counts(_normal(spark, d))
 
 
+@query(f"WITH {SEEDED} SELECT part_id, count(DISTINCT seed) AS total_features, count(*) - count(DISTINCT seed) AS merged_count FROM s GROUP BY part_id")
+def c12_r10_normaliser_counts(spark: SparkSession, d: str) -> DataFrame:
+    return fe.normaliser_counts(fe.merge_planes(seeded(spark, d)))
+
+
 @query(f"""WITH {FEAT}, m AS (SELECT *, max(radius) OVER (PARTITION BY part_id) AS top FROM feat)
     SELECT part_id, id, CASE WHEN radius >= top - 1e-4 THEN 'OD' ELSE 'ID' END AS kind, row_number() OVER (PARTITION BY part_id ORDER BY radius DESC, t_min, id) AS place FROM m""")
 def c05_r03_unified_order(spark: SparkSession, d: str) -> DataFrame:
