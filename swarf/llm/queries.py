@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarf.llm import exact_dedup, mixing, pii, quality_model, quality_rules, secrets, sentencepiece, sharding, simhash, substring_dedup
+from swarf.llm import exact_dedup, fill_in_middle, lexical, line_dedup, mixing, pii, quality_model, quality_rules, secrets, sentencepiece, sharding, simhash, substring_dedup
 from swarf.llm.common import read
 
 SHARDS = 40
@@ -64,6 +64,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(read(spark, sf_dir, "documents"), MODEL_FILE)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"), carry=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -71,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixing, op2_substring_dedup, op3_secrets, op4_exact_dedup, op5_quality_classifier, op6_sharding, op7_pii, op8_simhash, op9_quality_rules, op10_sentencepiece)
+    ops = (op1_mixing, op2_substring_dedup, op3_secrets, op4_exact_dedup, op5_quality_classifier, op6_sharding, op7_pii, op8_simhash, op9_quality_rules, op10_sentencepiece, op11_line_dedup, op12_lexical_search, op13_fill_in_middle)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
@@ -98,6 +111,35 @@ ORACLE = {
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS points FROM documents),
         r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT row, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM d),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        s AS (SELECT key, true AS shared FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10),
+        r AS (SELECT row, count(*) AS n_lines, count(shared) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (shared IS NULL), '') AS kept FROM k LEFT JOIN s USING (key) GROUP BY row)
+        SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN r USING (row)""",
+    "op12_lexical_search": r"""
+        WITH p AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM documents),
+        t AS (SELECT row, term, count(*) AS tf FROM p GROUP BY ALL),
+        d AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM p GROUP BY row),
+        s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+        f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, s),
+        i AS (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        q AS (SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+        m AS (SELECT row, doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM d, s),
+        x AS (SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+          FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY item, row),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        h AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS d FROM d),
+        f AS (SELECT *, least(a, b) AS one, greatest(a, b) AS two, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substr(text, 1, one) AS pre, substr(text, one + 1, two - one) AS mid, substr(text, two + 1) AS suf FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN one END AS prefix_chars, CASE WHEN form <> 'plain' THEN two - one END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
 
 
