@@ -182,16 +182,21 @@ def trie_links(fps: DataFrame, budget: int = 2, subtree: int = SUBTREE) -> DataF
     """Links (a, b) of distinct fingerprints `fp`, whose components are those of all pairs within `budget` bits.
 
     The cut is as deep as needed for subtrees of about `subtree` fingerprints, and deeper while one holds over eight times
-    that. Each fingerprint goes to its own subtree and, of each pair of subtrees within the budget, to the one that a fixed
-    mixing of the prefixes puts first, so that half of the neighbours are visited and work is even.
+    that; what is still larger at the deepest cut is dealt to tasks in pairs of blocks. Each fingerprint goes to its own subtree
+    and, of each pair of subtrees within the budget, to the one that a fixed mixing of the prefixes puts first, so that half of
+    the neighbours are visited and work is even.
     """
     ship(fps.sparkSession)
     n = fps.count()
     prefix = lambda depth: F.shiftrightunsigned("fp", 64 - depth)
+    largest = lambda depth: fps.groupBy(prefix(depth).alias("p")).count().agg(F.max("count")).first()[0] or 0
     depth = min(DEEPEST, max(4, math.ceil(math.log2(max(n, 1) / subtree))))
-    while depth < DEEPEST and (fps.groupBy(prefix(depth).alias("p")).count().agg(F.max("count")).first()[0] or 0) > 8 * subtree:
+    while (hot := largest(depth) > 8 * subtree) and depth < DEEPEST:
         depth = min(DEEPEST, depth + 2)
     far = visits(fps.withColumn("p", prefix(depth)), depth, budget)
+    if hot:
+        far = in_blocks(far.select(F.lit(0).alias("tab"), F.col("fp").alias("id"), "fp", "subtree", "home"), 32 * subtree)
+        return far.groupBy("subtree", "block").applyInPandas(links_at(depth, budget), "a long, b long")
     return far.groupBy("subtree").applyInPandas(links_at(depth, budget), "a long, b long")
 
 
@@ -237,10 +242,14 @@ FOUND = 0.99
 #: Added to the share of differing bits: small sets of even size have more ties (measured over unions of 6 to 60 shingles).
 TIES = 0.011
 #: Candidates that a row is held against in each round, the nearest first, before all that are still apart are compared; and
-#: the rows of one key that are all compared in those rounds (of more, each with the first and its next ones alone).
+#: the rows of one key that are all compared in those rounds. Of more, each is held against the first and its next ones alone,
+#: and goes on to the last round whether one of these is near or not, so that it meets all of its key there.
 STARS, ALL_OF_A_KEY = (2, 6), 4096
-#: Keys aimed at in a subtree of one table; a subtree of over HOT times as many, by equal keys, is dealt to tasks in blocks.
-TABLE, HOT = 1 << 16, 4
+#: Keys aimed at in a subtree of one table; a subtree of over HOT times as many is dealt to tasks in blocks, and so is one with
+#: over ONE_KEY keys that are equal in their first bits, as these are compared each with each.
+TABLE, HOT, ONE_KEY = 1 << 16, 4, 1 << 15
+#: In place of the bits that differ: behind any candidate.
+LAST = 1 << 20
 
 
 def apart(similarity: float) -> float:
@@ -282,8 +291,9 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
 
     forest gives links (a, b) with the components of all such pairs. The others leave out pairs of one `comp`, and pairs
     whose sets can't be that similar by their sizes and how many of their shingles other sets have (`common`): stars gives of
-    each row a the `pick` nearest b with the bits that differ, and all gives every pair; with `places` (table by bit, 1 where
-    its key has the bit) only in the first table in which the pair meets.
+    each row a the `pick` nearest b with the bits that differ, and a itself (off LAST) if its key holds more rows than are all compared
+    then; all gives every pair; with `places` (table by bit, 1 where its key has the bit) only in the first table in which the
+    pair meets.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -311,6 +321,13 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
 
         def within(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             """Rows of one key."""
+            if give == "all":  # those of one component need no link: each component's rows against those of the ones after it
+                rows = rows[np.argsort(comp[rows], kind="stable")]
+                begins = np.flatnonzero(np.diff(comp[rows], prepend=comp[rows[0]] - 1))
+                if 4 * len(begins) < len(rows):
+                    for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                        yield from across(rows[i:j], rows[j:])
+                    return
             if give == "all" or give == "stars" and len(rows) <= ALL_OF_A_KEY:
                 for i in range(0, len(rows), step := max(1, FRONTIER // len(rows))):
                     a, b, off = near(np.repeat(rows[i : i + step], len(rows)), np.tile(rows, len(rows[i : i + step])))
@@ -344,13 +361,15 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
             both = [np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1) for a, b, *_ in found if len(a)]
             both = np.unique(np.concatenate(both), axis=0) if both else np.zeros((0, 2), np.int64)
             return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+        crowd = ids[:mine][np.repeat(many[: len(x)] > ALL_OF_A_KEY, many[: len(x)])]
         best, held = np.zeros((3, 0), np.int64), []
         for a, b, off in found:
             held += [np.stack([a, b, off]), np.stack([b, a, off])]
             if sum(h.shape[1] for h in held) > 4 * FRONTIER:
                 best, held = nearest(np.concatenate([best, *held], axis=1), pick), []
         a, b, off = nearest(np.concatenate([best, *held], axis=1), pick)
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "off": off})
+        more = np.full(len(crowd), LAST)
+        return pd.DataFrame({"a": np.concatenate([ids[a], crowd]), "b": np.concatenate([ids[b], crowd]), "off": np.concatenate([off, more])})
 
     return run
 
@@ -374,12 +393,14 @@ def nearest(found: np.ndarray, pick: int) -> np.ndarray:
     return found[:, rank < pick]
 
 
-def in_blocks(keys: DataFrame, most: int) -> DataFrame:
-    """Adds block to rows (tab, subtree, ...): subtrees of over `most` rows are cut into blocks of about half of that, and each
-    row goes to one task for each pair of blocks that has its own, so every two rows of a subtree still meet, whatever its size.
+def in_blocks(keys: DataFrame, most: int, bits: int = 0) -> DataFrame:
+    """Adds block to rows (tab, subtree, key, id, ...): subtrees of over `most` rows are cut into blocks of about half of that, and
+    such as hold over ONE_KEY keys with the same first `bits` (if any) into blocks of half as many; each row goes to one task
+    for each pair of blocks that has its own, so every two rows of a subtree still meet, whatever its size.
     """
-    hot = keys.groupBy("tab", "subtree").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    hot = stage(hot.select("tab", "subtree", F.ceil(2 * F.col("n") / most).alias("blocks")), "hot")
+    finer = keys.groupBy("tab", "subtree", *[F.shiftrightunsigned("key", 64 - bits).alias("first")] * (bits > 0)).agg(F.count("*").alias("n"))
+    hot = finer.groupBy("tab", "subtree").agg(F.sum("n").alias("n"), F.max(F.when(F.lit(bits > 0), F.col("n")).otherwise(0)).alias("equal")).where((F.col("n") > most) | (F.col("equal") > ONE_KEY))
+    hot = stage(hot.select("tab", "subtree", F.ceil(2 * F.col("n") / F.when(F.col("equal") > ONE_KEY, min(most, ONE_KEY)).otherwise(most)).alias("blocks")), "hot")
     if not hot.take(1):
         return keys.withColumn("block", F.lit(0).cast("long"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
@@ -466,7 +487,7 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         else:  # nothing is known of the sets yet
             keys = keys.select("*", F.col("id").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"))
         keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
-        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp", "size", "common"), HOT * subtree)
+        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp", "size", "common"), HOT * subtree, min(bits, depth + 4))
         return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit(words), give, pick, similarity, places), schema)
 
     of, sets, seen, links, roots = classes, None, None, None, None
@@ -474,12 +495,12 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
         if pick:
             ends = candidates(of, "stars", pick, "a long, b long, off long").groupBy("a").agg(F.collect_set(F.struct("off", "b")).alias("b"))  # at most pick from each table
             ends = stage(ends.select("a", F.slice(F.sort_array("b"), 1, pick)["b"].alias("b")), "stars")
-            pairs = ends.select("a", F.explode("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = ends.select("a", F.explode("b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
             pairs = candidates(of, "all", 0, "a long, b long")
         pairs = pairs.distinct()
         pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if sets is None:  # whoever has a candidate at all is in the first stars; the others go no further
+        if sets is None:  # whoever has a candidate at all is in the first stars, or in a key too full to say; the others go no further
             some = stage(ends.select(F.col("a").alias("id")), "candidates")
             sets = stage(shingle_sets(rows.select(F.col("uid").alias("id"), F.col("row.text").alias("text")).join(some, "id"), width, seed), "shingle-sets")
             of = stage(set_sizes(sets), "candidate-classes")

@@ -60,11 +60,11 @@ def test_near_leaves_no_near_copy_and_keeps_the_rest(stages):
     kept = {r["doc_id"]: grams(r["text"]) for r in after.collect()}
     like = lambda a, b: len(a & b) / len(a | b)
     ids = sorted(kept)
-    left = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if like(kept[a], kept[b]) >= 0.85]
+    left = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if like(kept[a], kept[b]) >= 0.8]
     assert not left
-    for r in before.collect():
-        if r["doc_id"] not in kept:
-            assert max(like(grams(r["text"]), g) for g in kept.values()) > 0.5
+    every = {r["doc_id"]: grams(r["text"]) for r in before.collect()}
+    for i in set(every) - set(kept):
+        assert max(like(every[i], g) for j, g in every.items() if j != i) >= 0.8  # a link of its own, be it to one that goes as well
 
 
 def test_mixed_repeats_whole_rows(stages):
