@@ -82,6 +82,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Steps summed up in one go: appending to an array copies it, so long ones are cut.
+STEPS = 256
+
+
+def starts(steps: Column) -> Column:
+    """From array<struct<b, w>> the places where each w starts, if b and w follow each other: array<int>, in time in proportion.
+
+    Each stretch of STEPS is summed up by itself, then the sums of the stretches, which are added.
+    """
+    def cut(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STEPS).cast("int")), lambda k: F.slice(s, k * STEPS + 1, F.lit(STEPS)))).otherwise(F.array().cast("array<array<struct<b:int,w:int>>>"))
+
+    ints = F.array().cast("array<int>")
+    step = lambda acc, x: F.struct((acc["at"] + x["b"] + x["w"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["b"])).alias("out"))
+    parts = let(steps, lambda s: F.transform(cut(s), lambda c: F.aggregate(c, F.struct(F.lit(0).alias("at"), ints.alias("out")), step)))
+    before = lambda ps: F.aggregate(ps, F.struct(F.lit(0).alias("at"), ints.alias("out")), lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    return let(parts, lambda ps: F.flatten(F.zip_with(ps, before(ps), lambda p, at: F.transform(p["out"], lambda x: x + at))))
+
+
 def document(df: DataFrame) -> Column:
     """The whole row as one struct, so that an operator can carry it whatever its columns are called."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

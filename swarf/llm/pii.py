@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarf.llm.common import let, stage, unstage
+from swarf.llm.common import let, stage, starts, unstage
 
 # Given names by gender in Latin and Cyrillic script, titles and phrases before a name, words before a number.
 GIVEN = {
@@ -300,10 +300,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     per_row = named.groupBy("uid").agg(F.sort_array(F.collect_list("m")).alias("m"))
     whole = hits.select("uid", "doc_id", "between").join(per_row, "uid")
     text = F.array_join(F.zip_with("between", "m", lambda b, m: F.concat(b, F.coalesce(m["new"], F.lit("")))), "")
-    sized = F.zip_with("m", F.slice("between", F.lit(1), F.size("m")), lambda m, b: F.struct(m["n"].alias("n"), m["kind"].alias("kind"), F.length(b).alias("b")))
-    said = lambda acc, x: F.concat_ws(":", x["kind"], (acc["at"] + x["b"]).cast("string"), (acc["at"] + x["b"] + x["n"]).cast("string"))
-    step = lambda acc, x: F.struct((acc["at"] + x["b"] + x["n"]).alias("at"), F.when(x["kind"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(said(acc, x)))).alias("out"))
-    spans = F.aggregate(sized, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+    at = starts(F.zip_with("m", F.slice("between", F.lit(1), F.size("m")), lambda m, b: F.struct(F.length(b).alias("b"), m["n"].alias("w"))))
+    said = F.zip_with("m", at, lambda m, s: F.when(m["kind"].isNotNull(), F.concat_ws(":", m["kind"], s.cast("string"), (s + m["n"]).cast("string"))))
+    spans = F.array_compact(said)
     changed = whole.select("doc_id", text.alias("text"), spans.alias("spans")).select("doc_id", "text", F.size("spans").cast("long").alias("n_entities"), F.array_join("spans", ",").alias("entities"))
     same = rows.where("found is null").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entities"))
     return same.unionByName(changed)

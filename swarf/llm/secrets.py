@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarf.llm.common import exists, stage
+from swarf.llm.common import exists, let, stage, starts
 
 LEDGER = "blob string, scanned array<string>, found array<struct<rule: string, start: int, end: int>>"
 
@@ -63,17 +63,16 @@ def matches(text: Column, rule: Rule) -> Column:
     between = F.split(text, pattern, -1)
     whole, part = F.regexp_extract_all(text, pat, F.lit(0)), F.regexp_extract_all(text, pat, F.lit(rule.group))
     lead = lambda w: F.length(F.substring_index(w, rule.begins, 1)) if rule.begins else F.lit(0)
-    steps = F.zip_with(F.zip_with(whole, part, lambda w, g: F.struct(F.length(w).alias("w"), F.length(g).alias("g"), lead(w).alias("lead"))), between, lambda m, b: F.struct(m["w"].alias("w"), m["g"].alias("g"), m["lead"].alias("lead"), F.length(b).alias("b")))
+    sizes = F.zip_with(whole, part, lambda w, g: F.struct(F.length(w).alias("w"), F.length(g).alias("g"), lead(w).alias("lead")))
     none = F.array().cast(NONE)
-    span = lambda at, s: F.array(F.struct(F.lit(rule.key).alias("rule"), (at + s["b"] + s["lead"]).alias("start"), (at + s["b"] + s["w"]).alias("end")))
-    walked = F.aggregate(
-        F.filter(steps, lambda s: s["w"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, s: F.struct((acc["at"] + s["b"] + s["w"]).alias("at"), F.when(s["g"] >= rule.least, F.concat(acc["out"], span(acc["at"], s))).otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"],
-    )
+
+    def spans(ms: Column) -> Column:
+        at = starts(F.zip_with(ms, F.slice(between, F.lit(1), F.size(ms)), lambda m, b: F.struct(F.length(b).alias("b"), m["w"].alias("w"))))
+        each = F.zip_with(ms, at, lambda m, s: F.struct(F.lit(rule.key).alias("rule"), (s + m["lead"]).alias("start"), (s + m["w"]).alias("end"), (m["g"] >= rule.least).alias("ok")))
+        return F.transform(F.filter(each, lambda x: x["ok"]), lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end")))
+
     found = F.rlike(text, pat)
-    return F.when(F.contains(text, F.lit(rule.begins)) & found if rule.begins else found, walked).otherwise(none)
+    return F.when(F.contains(text, F.lit(rule.begins)) & found if rule.begins else found, let(sizes, spans)).otherwise(none)
 
 
 def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +80,8 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
 
     findings has one row for each version: path, blob, found (array of rule, start, end by start, then in the order of
     rules). A null text is the empty blob; very long texts are scanned whole, in time in proportion. Repeated versions and
-    equal texts are one blob, scanned once. An empty table gives empty results.
+    equal texts are one blob, scanned once. Ledger rows that are there twice, or overlap in rules, count once. An empty table
+    gives empty results.
     """
     text, keys = F.coalesce("text", F.lit("")), F.array(*[F.lit(r.key) for r in rules])
     nothing = F.array().cast("array<string>")
@@ -97,8 +97,12 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     found = F.concat(*[F.when(F.array_contains("scanned", r.key), F.array().cast(NONE)).otherwise(matches(F.col("text"), r)) for r in rules])
     added = stage(fresh.select("blob", F.array_except(keys, "scanned").alias("scanned"), found.alias("found")), "ledger")
     every = added if ledger is None else ledger.select("blob", "scanned", "found").unionByName(added)
-    if ledger is not None:  # a blob has as many rows as runs that scanned it: one for each change of rules
-        every = every.join(paths.select("blob").distinct(), "blob", "left_semi").groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    if ledger is not None:  # a blob has a row for each run that scanned it; what two runs have both scanned counts once
+        every = every.join(paths.select("blob").distinct(), "blob", "left_semi").withColumn("scanned", F.sort_array("scanned"))
+        runs = every.groupBy("blob", "scanned").agg(F.first("found").alias("found")).groupBy("blob").agg(F.collect_list(F.struct("scanned", "found")).alias("runs"))
+        fresh_of = lambda acc, r: F.filter(r["found"], lambda f: ~F.array_contains(acc["seen"], f["rule"]))
+        step = lambda acc, r: F.struct(F.concat(acc["seen"], r["scanned"]).alias("seen"), F.concat(acc["found"], F.array(fresh_of(acc, r))).alias("found"))
+        every = runs.select("blob", F.flatten(F.aggregate("runs", F.struct(nothing.alias("seen"), F.array().cast(f"array<{NONE}>").alias("found")), step)["found"]).alias("found"))
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     ours = F.transform(F.filter("found", lambda f: F.array_contains(keys, f["rule"])), lambda f: F.struct(f["start"].alias("start"), rank[f["rule"]].alias("k"), f["end"].alias("end"), f["rule"].alias("rule")))
     listed = F.transform(F.sort_array(ours), lambda f: F.struct(f["rule"].alias("rule"), f["start"].alias("start"), f["end"].alias("end")))
