@@ -253,3 +253,12 @@ def step_stations(features: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     e = e.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     g = e.groupBy("part_id", "island").agg(F.count_distinct("is_external", "radius").alias("n"), F.avg("z").alias("z")).where("n >= 2")
     return g.select("part_id", F.row_number().over(Window.partitionBy("part_id").orderBy("z")).cast("long").alias("station"), "z", "n")
+
+
+def majority_vote(samples: DataFrame, *keys: str) -> DataFrame:
+    """One row a face: n_internal, n_external, is_internal. samples: the keys and internal, null where a sample is ambiguous.
+
+    Ambiguous samples don't vote; a tie, and a face with none that do, is external.
+    """
+    t = samples.groupBy(*keys).agg(F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_external"))
+    return t.withColumn("is_internal", F.col("n_internal") > F.col("n_external"))

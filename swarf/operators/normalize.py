@@ -100,3 +100,29 @@ def confidence(merged: DataFrame, p: Params = DEFAULT) -> DataFrame:
     m = m.withColumn("confidence", g.clamp(F.col("base") / F.col("k") - cost))
     flags = listed((F.col("k") > 1, "auto_merged"), (F.col("clamped"), "id_assumed_solid"), (thin, "thin_wall"), (brief, "short_segment"), (F.col("confidence") < p.low_confidence, "low_confidence"))
     return m.withColumn("flags", flags)
+
+
+def overall(merged: DataFrame) -> DataFrame:
+    """One row a part: overall (confidence after penalties by length; their mean if there is no length) and total_length."""
+    length = F.col("z1") - F.col("z0")
+    t = merged.groupBy("part_id").agg(F.sum(length).alias("total_length"), F.sum(length * F.col("confidence")).alias("w"), F.avg("confidence").alias("mean"))
+    return t.select("part_id", F.when(F.col("total_length") > 0, F.col("w") / F.col("total_length")).otherwise(F.col("mean")).alias("overall"), "total_length")
+
+
+#: Of the design: from here on a part goes through by itself, or to a review.
+AUTO, REVIEW = 0.85, 0.60
+
+
+def decide(scored: DataFrame) -> DataFrame:
+    """One row a part: overall, n_valid, n, action (auto_use, manual_review or fallback_to_manual).
+
+    scored: part_id, dimension, completeness, consistency (0 to 1 each, by segment), valid, and axis (by part). A segment's
+    confidence weighs the three by 0.4, 0.3, 0.3; overall weighs their mean, the axis and the share of valid segments by 0.6,
+    0.2, 0.2. By itself goes only a part whose segments are all valid, to a review one that has some. Nulls count as 0; sums that reach a limit but for their last bits have reached it.
+    """
+    num = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    one = num("dimension") * 0.4 + num("completeness") * 0.3 + num("consistency") * 0.3
+    t = scored.groupBy("part_id").agg(F.avg(one).alias("mean"), F.max(num("axis")).alias("axis"), F.count_if("valid").alias("n_valid"), F.count("*").alias("n"))
+    t = t.withColumn("overall", 0.6 * F.col("mean") + 0.2 * F.col("axis") + 0.2 * F.col("n_valid") / F.col("n"))
+    action = F.when((F.col("overall") >= AUTO - 1e-9) & (F.col("n_valid") == F.col("n")), "auto_use").when((F.col("overall") >= REVIEW - 1e-9) & (F.col("n_valid") > 0), "manual_review").otherwise("fallback_to_manual")
+    return t.select("part_id", "overall", "n_valid", "n", action.alias("action"))

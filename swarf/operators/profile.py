@@ -1,6 +1,6 @@
-"""Profile loops: building one from segments, and its topology checks as window and join expressions.
+"""Profile loops: building one from segments, and its topology checks as array and column expressions.
 
-A loop is rows (part_id, i, sx, sy, ex, ey) in order; arcs add cx, cy, radius, a0, a1, clockwise.
+A loop is rows (part_id, i, sx, sy, ex, ey) in order; a row with a radius is an arc, by cx, cy, radius, a0, a1, clockwise.
 """
 
 from __future__ import annotations
@@ -35,98 +35,200 @@ def from_segments(seg: DataFrame) -> DataFrame:
     return out.select("part_id", F.row_number().over(order).cast("long").alias("i"), "p.sx", "p.sy", "p.ex", "p.ey")
 
 
+#: What an arc has besides its place i; a line has none of it.
+ARC = {"cx": "double", "cy": "double", "radius": "double", "a0": "double", "a1": "double", "clockwise": "boolean"}
+ENDS = ("sx", "sy", "ex", "ey")
+
+
 def near(ax: Column, ay: Column, bx: Column, by: Column, tolerance: float = CLOSE) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) <= tolerance
 
 
-def loop_checks(loop: DataFrame, tolerance: float = CLOSE, crossing: bool = False) -> DataFrame:
-    """One row a loop: n, degenerate primitives, open joints (cyclic), signed area, winding, perimeter, least radius.
+def sweep_angle(a0: Column, a1: Column, clockwise: Column) -> Column:
+    """Angle that an arc sweeps, never negative."""
+    s, e = F.pmod(a0, F.lit(2 * math.pi)), F.pmod(a1, F.lit(2 * math.pi))
+    return F.when(clockwise, F.pmod(s - e, F.lit(2 * math.pi))).otherwise(F.pmod(e - s, F.lit(2 * math.pi)))
+
+
+def primitives(loop: DataFrame) -> DataFrame:
+    """Lines and arcs alike: part_id, i, both end points, and the columns of ARC, null for a line.
+
+    A row with a radius is an arc, and its end points follow from its angles, whatever the row says.
+    """
+    held = [F.col(c).cast(k).alias(c) if c in loop.columns else F.lit(None).cast(k).alias(c) for c, k in ARC.items()]
+    rows = loop.select("part_id", F.col("i").cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in ENDS], *held)
+    at = {f"{p}{x}": F.col(f"c{x}") + F.col("radius") * f(F.col(a)) for p, a in (("s", "a0"), ("e", "a1")) for x, f in (("x", F.cos), ("y", F.sin))}
+    return rows.select("part_id", "i", *[F.when(F.col("radius").isNull(), F.col(c)).otherwise(at[c]).alias(c) for c in ENDS], *ARC)
+
+
+def arc_length(p: Column) -> Column:
+    return p["radius"] * sweep_angle(p["a0"], p["a1"], p["clockwise"])
+
+
+def line_length(p: Column) -> Column:
+    return F.sqrt((p["ex"] - p["sx"]) * (p["ex"] - p["sx"]) + (p["ey"] - p["sy"]) * (p["ey"] - p["sy"]))
 
-    crossing adds n_crossings, from the same pass over the loop.
+
+def _in_a_row(loop: DataFrame, tolerance: float, axis_x: float = 0.0, touching: bool = True) -> DataFrame:
+    """One row a loop, of tens of primitives: `all` of them in order, and the checks that need no pairs.
+
+    n, n_degenerate (a line whose ends are one point, an arc without radius or sweep), n_open (joints, the last with the first),
+    area (signed, of the polygon of starts and the last end; 0 for less than three), line_area (of the lines alone), perimeter,
+    least_radius (of the ends), n_across (lines that cross the axis x = axis_x; with touching not those that end on it).
     """
-    by, part = Window.partitionBy("part_id").orderBy("i"), Window.partitionBy("part_id")
-    c = F.col
-    nx = F.coalesce(F.lead("sx").over(by), F.first("sx").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ny = F.coalesce(F.lead("sy").over(by), F.first("sy").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    s = loop.select("*", nx.alias("nx"), ny.alias("ny"))
-    t = s.groupBy("part_id").agg(
-        F.count("*").alias("n"), F.count_if(near(c("sx"), c("sy"), c("ex"), c("ey"), tolerance)).alias("n_degenerate"), F.count_if(~near(c("ex"), c("ey"), c("nx"), c("ny"), tolerance)).alias("n_open"),
-        (F.sum(c("sx") * c("ny") - c("nx") * c("sy")) / 2).alias("area"), F.sum(F.sqrt((c("ex") - c("sx")) * (c("ex") - c("sx")) + (c("ey") - c("sy")) * (c("ey") - c("sy")))).alias("perimeter"), F.min(F.least("sx", "ex")).alias("least_radius"), *[F.collect_list(F.expr(PRIMITIVE)).alias("all")] * crossing,
+    t = primitives(loop).groupBy("part_id").agg(F.sort_array(F.collect_list(F.struct("i", *ENDS, *ARC))).alias("all"))
+    t = t.withColumn("n", F.size("all"))
+    last, after = F.element_at("all", -1), F.concat(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 1, 1))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    is_line = lambda p: p["radius"].isNull()
+    bad = lambda p: F.when(is_line(p), near(p["sx"], p["sy"], p["ex"], p["ey"], tolerance)).otherwise((p["radius"] <= 0) | (sweep_angle(p["a0"], p["a1"], p["clockwise"]) < 1e-9))
+    open_ = F.zip_with("all", after, lambda p, q: ~near(p["ex"], p["ey"], q["sx"], q["sy"], tolerance))
+    turn = lambda ax, ay, bx, by: ax * by - bx * ay
+    inner = F.zip_with(F.slice("all", 1, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda p, q: turn(p["sx"], p["sy"], q["sx"], q["sy"]))
+    first = F.element_at("all", 1)
+    area = (add(inner) + turn(last["sx"], last["sy"], last["ex"], last["ey"]) + turn(last["ex"], last["ey"], first["sx"], first["sy"])) / 2
+    lines = F.filter("all", is_line)
+
+    def across(p: Column) -> Column:
+        a, b = p["sx"] - axis_x, p["ex"] - axis_x
+        on = (F.abs(a) < tolerance, F.abs(b) < tolerance)
+        return F.when(a * b < -tolerance, F.lit(not touching) | ~(on[0] | on[1])).otherwise(F.lit(not touching) & on[0] & on[1])
+
+    return t.select(
+        "part_id", "all", "n", F.size(F.filter("all", bad)).alias("n_degenerate"), F.size(F.filter(open_, lambda x: x)).alias("n_open"), F.when(F.col("n") >= 3, area).otherwise(0.0).alias("area"),
+        (add(F.transform(lines, lambda p: turn(p["sx"], p["sy"], p["ex"], p["ey"]))) / 2).alias("line_area"), add(F.transform("all", lambda p: F.when(is_line(p), line_length(p)).otherwise(arc_length(p)))).alias("perimeter"),
+        F.array_min(F.transform("all", lambda p: F.least(p["sx"], p["ex"]))).alias("least_radius"), F.size(F.filter(lines, across)).alias("n_across"),
     )
-    if crossing:
-        t = t.withColumn("all", F.sort_array("all"))
-        hits = _pairs(t.select("part_id", "all")).groupBy("part_id").agg(F.count_if(_meeting(F.col("a"), F.col("b"), F.col("n"), 1e-9)[0]).alias("n_crossings"))
-        t = t.drop("all").join(hits, "part_id", "left").withColumn("n_crossings", F.coalesce("n_crossings", F.lit(0)))
+
+
+def loop_checks(loop: DataFrame, tolerance: float = CLOSE) -> DataFrame:
+    """One row a loop: n, degenerate primitives, open joints (cyclic), signed area, winding, perimeter, least radius."""
+    t, c = _in_a_row(loop, tolerance), F.col
+    t = t.select("part_id", c("n").cast("long").alias("n"), c("n_degenerate").cast("long").alias("n_degenerate"), c("n_open").cast("long").alias("n_open"), "area", "perimeter", "least_radius")
     return t.withColumn("closed", (c("n") >= 2) & (c("n_open") == 0)).withColumn("counterclockwise", (c("n") >= 3) & (c("area") > 0))
 
 
-def _meeting(a: Column, b: Column, n: Column, tolerance: float) -> tuple[Column, Column, Column]:
-    """Whether two primitives (structs) of a loop of n cross, and where; neighbours and shared end points don't count."""
-    pair = (a["i"] < b["i"] - 1) & ~((a["i"] == 1) & (b["i"] == n)) & (n >= 3)
-    touch = F.lit(False)
+def _ends_meet(a: str, b: str, tolerance: float) -> Column:
+    shared = F.lit(False)
     for p in "se":
         for q in "se":
-            touch = touch | near(a[f"{p}x"], a[f"{p}y"], b[f"{q}x"], b[f"{q}y"], tolerance)
-    dx1, dy1, dx2, dy2 = a["ex"] - a["sx"], a["ey"] - a["sy"], b["ex"] - b["sx"], b["ey"] - b["sy"]
-    dx3, dy3 = b["sx"] - a["sx"], b["sy"] - a["sy"]
-    det = dx1 * dy2 - dy1 * dx2
-    safe = F.when(F.abs(det) >= tolerance, det)
-    t, u = (dx3 * dy2 - dy3 * dx2) / safe, (dx3 * dy1 - dy3 * dx1) / safe
-    return pair & ~touch & F.coalesce(t.between(0, 1) & u.between(0, 1), F.lit(False)), a["sx"] + t * dx1, a["sy"] + t * dy1
+            shared = shared | near(*[F.col(f"{a}.{p}{x}") for x in "xy"], *[F.col(f"{b}.{q}{x}") for x in "xy"], tolerance)
+    return shared
 
 
-PRIMITIVE = "struct(i, sx, sy, ex, ey)"
+def with_line_line(pairs: DataFrame, tolerance: float) -> DataFrame:
+    """Adds t: where along the line a (0 to 1) it meets the line b; null if it doesn't, is parallel, or shares an end point.
 
+    Here and below each step is a column of its own: what is used more than once is worked out once.
+    """
+    v = lambda p, x: F.col(f"{p}.e{x}") - F.col(f"{p}.s{x}")
+    d = pairs.withColumns({"dx1": v("a", "x"), "dy1": v("a", "y"), "dx2": v("b", "x"), "dy2": v("b", "y"), "dx3": F.col("b.sx") - F.col("a.sx"), "dy3": F.col("b.sy") - F.col("a.sy"), "apart": ~_ends_meet("a", "b", tolerance)})
+    d = d.withColumn("det", F.expr("dx1 * dy2 - dy1 * dx2")).withColumn("det", F.when(F.abs("det") >= tolerance, F.col("det")))
+    d = d.withColumn("t", F.expr("(dx3 * dy2 - dy3 * dx2) / det")).withColumn("u", F.expr("(dx3 * dy1 - dy3 * dx1) / det"))
+    return d.withColumn("t", F.when(F.col("apart") & F.col("t").between(0, 1) & F.col("u").between(0, 1), F.col("t"))).drop("dx1", "dy1", "dx2", "dy2", "dx3", "dy3", "apart", "det", "u")
+
+
+def with_line_arc(pairs: DataFrame, tolerance: float) -> DataFrame:
+    """Adds t1 and t2: where along the line l it meets the arc c, the nearer and the farther root; null where it doesn't."""
+    d = pairs.withColumns({"dx": F.expr("l.ex - l.sx"), "dy": F.expr("l.ey - l.sy"), "fx": F.expr("l.sx - c.cx"), "fy": F.expr("l.sy - c.cy"), "swept": sweep_angle(F.col("c.a0"), F.col("c.a1"), F.col("c.clockwise"))})
+    d = d.withColumns({"qa": F.expr("dx * dx + dy * dy"), "qb": F.expr("2 * (dx * fx + dy * fy)"), "qc": F.expr("fx * fx + fy * fy - c.radius * c.radius")})
+    d = d.withColumn("disc", F.expr("qb * qb - 4 * qa * qc"))
+    d = d.withColumn("root", F.when((F.col("disc") >= 0) & (F.abs("qa") >= tolerance), F.sqrt("disc")))
+    d = d.withColumns({"t1": F.expr("(-qb - root) / (2 * qa)"), "t2": F.expr("(-qb + root) / (2 * qa)")})
+    d = d.withColumns({f"w{k}": sweep_angle(F.col("c.a0"), F.expr(f"atan2(fy + t{k} * dy, fx + t{k} * dx)"), F.col("c.clockwise")) for k in (1, 2)})
+    held = {f"t{k}": F.when(F.col(f"t{k}").between(0, 1) & (F.col(f"w{k}") <= F.col("swept")), F.col(f"t{k}")) for k in (1, 2)}
+    return d.withColumns(held).drop("dx", "dy", "fx", "fy", "swept", "qa", "qb", "qc", "disc", "root", "w1", "w2")
+
+
+def arc_arc(a: Column, b: Column) -> Column:
+    """Whether two arcs are taken to cross: their circles do, and the centres are clearly less apart than both radii."""
+    apart = F.sqrt((a["cx"] - b["cx"]) * (a["cx"] - b["cx"]) + (a["cy"] - b["cy"]) * (a["cy"] - b["cy"]))
+    return (apart > F.abs(a["radius"] - b["radius"])) & (apart < (a["radius"] + b["radius"]) * 0.9)
 
-def crossings(loop: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(part_id, i, j, x, y): lines of a loop that cross.
 
-    A loop has tens of lines, so its pairs are made within its row: one scan and one shuffle, no self-join.
+def _met(pairs: DataFrame, tolerance: float, touches: bool, arcs: bool = True) -> DataFrame:
+    """Adds crosses, x and y to pairs (a, b) of primitives that aren't neighbours: whether they cross, and where (null for two arcs).
+
+    Without touches, one that meets the other with an end point doesn't cross it; without arcs, only lines cross lines.
+    """
+    kinds = {"a_line": F.col("a.radius").isNull() & F.col("a.i").isNotNull(), "b_line": F.col("b.radius").isNull() & F.col("b.i").isNotNull()}  # b may be null
+    d = with_line_line(pairs.withColumns(kinds), tolerance).withColumn("l", F.when(F.col("a_line"), F.col("a")).otherwise(F.col("b")))
+    hit = F.when(F.col("a_line") & F.col("b_line"), F.col("t"))
+    if arcs:
+        d = with_line_arc(d.withColumn("c", F.when(F.col("a_line"), F.col("b")).otherwise(F.col("a"))), tolerance)
+        hit = hit.when(F.col("a_line") | F.col("b_line"), F.coalesce("t1", "t2"))
+    d = d.withColumn("hit", hit)
+    d = d.withColumns({x: F.expr(f"l.s{x} + hit * (l.e{x} - l.s{x})") for x in "xy"})
+    crosses = F.col("hit").isNotNull()
+    if not touches:
+        for p in "ab":
+            for q in "se":
+                crosses = crosses & ~F.coalesce(near(F.col("x"), F.col("y"), F.col(f"{p}.{q}x"), F.col(f"{p}.{q}y"), tolerance), F.lit(False))
+    if arcs:
+        crosses = crosses | F.coalesce(~F.col("a_line") & ~F.col("b_line") & arc_arc(F.col("a"), F.col("b")), F.lit(False))
+    return d.withColumn("crosses", crosses).drop("a_line", "b_line", "l", "c", "t", "t1", "t2", "hit")
+
+
+def _box(p: str, x: str, tolerance: float) -> tuple[Column, Column]:
+    """From where to where a primitive may reach along x: a line between its ends, an arc within its circle."""
+    s, e, c, r = (F.col(f"{p}.{k}") for k in (f"s{x}", f"e{x}", f"c{x}", "radius"))
+    return F.coalesce(c - r, F.least(s, e)) - tolerance, F.coalesce(c + r, F.greatest(s, e)) + tolerance
+
+
+def _pairs(loops: DataFrame, tolerance: float) -> DataFrame:
+    """Rows with `all`, the ordered primitives, to pairs (a, b) of them that aren't neighbours and whose boxes overlap.
+
+    b is null in one row of each primitive that has no later one, so every loop keeps some rows.
     """
-    whole = loop.groupBy("part_id").agg(F.sort_array(F.collect_list(F.expr(PRIMITIVE))).alias("all"))
-    crosses, x, y = _meeting(F.col("a"), F.col("b"), F.col("n"), tolerance)
-    return _pairs(whole).where(crosses).select("part_id", "a.i", F.col("b.i").alias("j"), x.alias("x"), y.alias("y"))
+    one = loops.withColumn("last", F.element_at("all", -1)["i"]).select("*", F.posexplode("all").alias("at", "a"))
+    both = one.withColumn("later", F.slice("all", F.col("at") + 3, F.greatest(F.size("all") - F.col("at") - 2, F.lit(0)))).drop("all")
+    both = both.select("*", F.explode_outer("later").alias("b")).drop("later")
+    meet = ~((F.col("at") == 0) & (F.col("b.i") == F.col("last")))
+    for x in "xy":
+        (low, high), (other_low, other_high) = _box("a", x, tolerance), _box("b", x, tolerance)
+        meet = meet & (low <= other_high) & (other_low <= high)
+    return both.where(F.col("b").isNull() | meet).drop("at", "last")
 
 
-def _pairs(loops: DataFrame) -> DataFrame:
-    """Rows with `all`, the ordered primitives, to pairs (a, b) of them that aren't neighbours; a loop without pairs is lost."""
-    later = lambda: F.slice("all", F.least(F.col("a.i") + 2, F.col("n") + 1).cast("int"), F.col("n"))
-    one = loops.withColumn("n", F.size("all")).withColumn("a", F.explode("all"))
-    return one.withColumn("b", F.explode(later())).drop("all")
+def crossings(loop: DataFrame, tolerance: float = 1e-9, touches: bool = False) -> DataFrame:
+    """(part_id, i, j, x, y): primitives of a loop that cross, with the point, which is null for two arcs.
+
+    Neighbours and shared end points don't count; touches: an end point on another primitive does. A loop has tens of
+    primitives, so its pairs are made within its row: one scan and one shuffle, no self-join.
+    """
+    d = _met(_pairs(_in_a_row(loop, CLOSE).select("part_id", "all"), tolerance), tolerance, touches, "radius" in loop.columns)
+    hit = F.when(F.col("crosses"), F.array(F.struct(F.col("a.i").alias("i"), F.col("b.i").alias("j"), "x", "y")))  # exploded: a filter would be pushed below all steps
+    return d.select("part_id", F.explode_outer(hit).alias("hit")).where("hit is not null").select("part_id", "hit.*")
 
 
-def topology(loop: DataFrame, strict: bool = False) -> DataFrame:
+def topology(loop: DataFrame, strict: bool = False, axis_x: float = 0.0, touching: bool = True, tolerance: float = CLOSE) -> DataFrame:
     """One row a loop with the first stage it fails: DEGENERATE, OPEN, NO_AREA, CROSSING, or OK.
 
-    strict: NEGATIVE_RADIUS comes first, and an area under 1e-6 fails last.
+    strict: NEGATIVE_RADIUS, AXIS (a line crosses x = axis_x; without touching, it lies on it), OPEN, CROSSING (of lines, an
+    end point on another line included), NO_AREA (of the lines), or OK. One scan and one shuffle: the rows of a loop's pairs
+    are counted where they were made.
     """
-    t = loop_checks(loop, crossing=True)
-    none = F.abs("area") < (1e-6 if strict else 1e-12)
+    t, c = _in_a_row(loop, tolerance, axis_x, touching), F.col
+    numbers = [x for x in t.columns if x not in ("part_id", "all")]
+    t = _met(_pairs(t, tolerance), tolerance, strict, not strict and "radius" in loop.columns).groupBy("part_id").agg(*[F.max(x).alias(x) for x in numbers], F.count_if("crosses").alias("n_crossings"))
+    closed = (c("n") >= (1 if strict else 2)) & (c("n_open") == 0)
     if strict:
-        stage = F.when(F.col("least_radius") < -1e-6, "NEGATIVE_RADIUS").when(F.col("n_degenerate") > 0, "DEGENERATE").when(~F.col("closed"), "OPEN").when(F.col("n_crossings") > 0, "CROSSING").when(none, "NO_AREA").otherwise("OK")
+        stage = F.when(F.col("least_radius") < -tolerance, "NEGATIVE_RADIUS").when(F.col("n_across") > 0, "AXIS").when(~closed, "OPEN").when(F.col("n_crossings") > 0, "CROSSING").when(F.abs("line_area") < tolerance, "NO_AREA").otherwise("OK")
     else:
-        stage = F.when(F.col("n_degenerate") > 0, "DEGENERATE").when(~F.col("closed"), "OPEN").when((F.col("n") < 3) | none, "NO_AREA").when(F.col("n_crossings") > 0, "CROSSING").otherwise("OK")
-    return t.select("part_id", "n", "n_crossings", stage.alias("stage"))
-
-
-def sweep_angle(a0: Column, a1: Column, clockwise: Column) -> Column:
-    """Angle that an arc sweeps, never negative."""
-    s, e = F.pmod(a0, F.lit(2 * math.pi)), F.pmod(a1, F.lit(2 * math.pi))
-    return F.when(clockwise, F.pmod(s - e, F.lit(2 * math.pi))).otherwise(F.pmod(e - s, F.lit(2 * math.pi)))
+        stage = F.when(F.col("n_degenerate") > 0, "DEGENERATE").when(~closed, "OPEN").when((F.col("n") < 3) | (F.abs("area") < tolerance), "NO_AREA").when(F.col("n_crossings") > 0, "CROSSING").otherwise("OK")
+    return t.select("part_id", c("n").cast("long").alias("n"), "n_crossings", stage.alias("stage"))
 
 
 def arc_line_hits(arcs: DataFrame, lines: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """(part_id, arc, line, n): how often each line of a part meets each of its arcs, at most twice."""
-    a, b = arcs.alias("a"), lines.alias("b")
-    p = lambda t, k: F.col(f"{t}.{k}")
-    dx, dy, cx, cy = p("b", "ex") - p("b", "sx"), p("b", "ey") - p("b", "sy"), p("b", "sx") - p("a", "cx"), p("b", "sy") - p("a", "cy")
-    j = a.join(b, p("a", "part_id") == p("b", "part_id")).select(p("a", "part_id"), p("a", "i").alias("arc"), p("b", "i").alias("line"), dx.alias("dx"), dy.alias("dy"), cx.alias("cx"), cy.alias("cy"), (dx * dx + dy * dy).alias("qa"), (2 * (dx * cx + dy * cy)).alias("qb"), (cx * cx + cy * cy - p("a", "radius") * p("a", "radius")).alias("qc"), p("a", "a0"), p("a", "a1"), p("a", "clockwise"))
-    j = j.withColumn("disc", F.col("qb") * F.col("qb") - 4 * F.col("qa") * F.col("qc")).where(f"disc >= 0 and abs(qa) >= {tolerance}")
-
-    def on(sign: int) -> Column:
-        t = (-F.col("qb") + sign * F.sqrt("disc")) / (2 * F.col("qa"))
-        angle = F.atan2(F.col("cy") + t * F.col("dy"), F.col("cx") + t * F.col("dx"))
-        reach = sweep_angle(F.col("a0"), angle, F.col("clockwise")) <= sweep_angle(F.col("a0"), F.col("a1"), F.col("clockwise"))
-        return F.when(t.between(0, 1) & reach, 1).otherwise(0)
-
-    return j.select("part_id", "arc", "line", (on(-1) + on(1)).cast("long").alias("n")).where("n > 0")
+    both = arcs.select("part_id", F.struct("i", *ARC).alias("c")).join(lines.select("part_id", F.struct("i", *ENDS).alias("l")), "part_id")
+    n = F.when(F.col("t1").isNotNull(), 1).otherwise(0) + F.when(F.col("t2").isNotNull(), 1).otherwise(0)
+    hit = with_line_arc(both, tolerance).select("part_id", F.explode_outer(F.when(n > 0, F.array(F.struct(F.col("c.i").alias("arc"), F.col("l.i").alias("line"), n.cast("long").alias("n"))))).alias("hit"))
+    return hit.where("hit is not null").select("part_id", "hit.*")
+
+
+def arc_arc_hits(arcs: DataFrame) -> DataFrame:
+    """(part_id, i, j): arcs of a part, not next to each other, that are taken to cross."""
+    whole = arcs.groupBy("part_id").agg(F.sort_array(F.collect_list(F.struct("i", *ARC))).alias("all"))
+    pairs = whole.select("part_id", "all", F.explode("all").alias("a")).select("part_id", "a", F.explode("all").alias("b"))
+    return pairs.where((F.col("b.i") > F.col("a.i") + 1) & arc_arc(F.col("a"), F.col("b"))).select("part_id", "a.i", F.col("b.i").alias("j"))

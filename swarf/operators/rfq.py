@@ -51,9 +51,11 @@ def autofill(parts: DataFrame, seg: DataFrame, p: Params = DEFAULT) -> DataFrame
 
     parts: part_id, part_no, units, method, validation_passed (null is true), overall, crop_partial, z0, z1 (nullable),
     rm_od_allowance, rm_len_allowance (null: defaults). seg: part_id, seq, z_start, z_end, od_diameter, id_diameter,
-    confidence, low_flag, and z0, z1 where parts lack them.
+    confidence, low_flag, and z0, z1 where parts lack them. Null units are inches, a null method is no anchor, and a null part
+    number is an empty one.
     """
-    m = _measured(parts, seg, p)
+    given = {"units": "in", "method": "unknown", "part_no": ""}
+    m = _measured(parts.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in given.items()}), seg, p)
     c = F.col
     poor = lambda x: F.coalesce(x, F.lit(False))
     m = m.withColumn("valid", F.coalesce("validation_passed", F.lit(True))).withColumn("anchor", c("method") == "anchor_dimension")

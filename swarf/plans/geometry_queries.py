@@ -235,41 +235,109 @@ def w14_profile_loop(spark: SparkSession, d: str) -> DataFrame:
     return pr.from_segments(segments(spark, d, gaps=True)).select("part_id", "i", *[r6(F.col(c)).alias(c) for c in ("sx", "sy", "ex", "ey")])
 
 
-CHECKS = """ck0 AS (SELECT *, coalesce(lead(sx) OVER w, first_value(sx) OVER w) AS nx, coalesce(lead(sy) OVER w, first_value(sy) OVER w) AS ny FROM lp WINDOW w AS (PARTITION BY part_id ORDER BY i)),
-    ck AS (SELECT part_id, count(*) AS n, count(*) FILTER (sqrt((sx - ex) ** 2 + (sy - ey) ** 2) <= 1e-6) AS n_degenerate, count(*) FILTER (NOT sqrt((ex - nx) ** 2 + (ey - ny) ** 2) <= 1e-6) AS n_open, sum(sx * ny - nx * sy) / 2 AS area, sum(sqrt((ex - sx) ** 2 + (ey - sy) ** 2)) AS perimeter, min(least(sx, ex)) AS least_radius FROM ck0 GROUP BY part_id)"""
-
-
-@query(f"WITH {GAPS}, {LOOP}, {CHECKS} SELECT part_id, n, n_degenerate, n_open, {Q6('area + 1e-10')} AS area, {Q6('perimeter')} AS perimeter, {Q6('least_radius')} AS least_radius, n >= 2 AND n_open = 0 AS closed, n >= 3 AND area > 0 AS counterclockwise FROM ck")
-def v05_v07_a22_loop_checks(spark: SparkSession, d: str) -> DataFrame:
-    t = pr.loop_checks(pr.from_segments(segments(spark, d, gaps=True)))
+#: From a loop `lp` of lines: the primitives `pm`, without arcs.
+LINES = "pm AS (SELECT part_id, i, sx, sy, ex, ey, NULL::DOUBLE AS cx, NULL::DOUBLE AS cy, NULL::DOUBLE AS r, NULL::DOUBLE AS a0, NULL::DOUBLE AS a1, NULL::BOOLEAN AS cw FROM lp)"
+TURN = lambda x: f"({x} - 2 * pi() * floor({x} / (2 * pi())))"
+SWEPT = lambda a, b, cw: f"CASE WHEN {cw} THEN {TURN(f'({a} - {b})')} ELSE {TURN(f'({b} - {a})')} END"
+CHECKS = f"""ck0 AS (SELECT *, r IS NULL AS line, {SWEPT("a0", "a1", "cw")} AS swept, i = max(i) OVER w2 AS last, coalesce(lead(sx) OVER w, first_value(sx) OVER w) AS nx, coalesce(lead(sy) OVER w, first_value(sy) OVER w) AS ny FROM pm WINDOW w AS (PARTITION BY part_id ORDER BY i), w2 AS (PARTITION BY part_id)),
+    ck AS (SELECT part_id, count(*) AS n, count(*) FILTER (CASE WHEN line THEN sqrt((sx - ex) ** 2 + (sy - ey) ** 2) <= 1e-6 ELSE r <= 0 OR swept < 1e-9 END) AS n_degenerate, count(*) FILTER (NOT sqrt((ex - nx) ** 2 + (ey - ny) ** 2) <= 1e-6) AS n_open,
+      CASE WHEN count(*) < 3 THEN 0 ELSE sum(CASE WHEN last THEN sx * ey - ex * sy + ex * ny - nx * ey ELSE sx * ny - nx * sy END) / 2 END AS area, sum(CASE WHEN line THEN sx * ey - ex * sy ELSE 0 END) / 2 AS line_area,
+      sum(CASE WHEN line THEN sqrt((ex - sx) ** 2 + (ey - sy) ** 2) ELSE r * swept END) AS perimeter, min(least(sx, ex)) AS least_radius,
+      count(*) FILTER (line AND sx * ex < -1e-6 AND NOT (abs(sx) < 1e-6 OR abs(ex) < 1e-6)) AS n_across FROM ck0 GROUP BY part_id)"""
+CHECKED = f"SELECT part_id, n, n_degenerate, n_open, {Q6('area + 1e-10')} AS area, {Q6('perimeter')} AS perimeter, {Q6('least_radius')} AS least_radius, n >= 2 AND n_open = 0 AS closed, n >= 3 AND area > 0 AS counterclockwise FROM ck"
+
+
+def checked(loop: DataFrame) -> DataFrame:
+    t = pr.loop_checks(loop)
     return t.select("part_id", "n", "n_degenerate", "n_open", r6(F.col("area") + 1e-10).alias("area"), *[r6(F.col(c)).alias(c) for c in ("perimeter", "least_radius")], "closed", "counterclockwise")
 
 
-PT = lambda a, b: f"sqrt(({a[0]} - {b[0]}) ** 2 + ({a[1]} - {b[1]}) ** 2) <= 1e-9"
-TOUCH = " OR ".join(PT((f"a.{p}x", f"a.{p}y"), (f"b.{q}x", f"b.{q}y")) for p in "se" for q in "se")
-CROSS = f"""x0 AS (SELECT a.part_id, a.i, b.i AS j, a.sx, a.sy, a.ex - a.sx AS dx1, a.ey - a.sy AS dy1, b.ex - b.sx AS dx2, b.ey - b.sy AS dy2, b.sx - a.sx AS dx3, b.sy - a.sy AS dy3 FROM lp a JOIN (SELECT *, count(*) OVER (PARTITION BY part_id) AS n FROM lp) b ON a.part_id = b.part_id AND a.i < b.i - 1 AND NOT (a.i = 1 AND b.i = b.n) WHERE NOT ({TOUCH})),
-    x1 AS (SELECT *, dx1 * dy2 - dy1 * dx2 AS det FROM x0), cr AS (SELECT part_id, i, j FROM x1 WHERE abs(det) >= 1e-9 AND (dx3 * dy2 - dy3 * dx2) / det BETWEEN 0 AND 1 AND (dx3 * dy1 - dy3 * dx1) / det BETWEEN 0 AND 1)"""
-
-
-@query(f"WITH {GAPS}, {LOOP}, {CROSS} SELECT * FROM cr")
+@query(f"WITH {GAPS}, {LOOP}, {LINES}, {CHECKS} {CHECKED}")
+def v05_v07_a22_loop_checks(spark: SparkSession, d: str) -> DataFrame:
+    return checked(pr.from_segments(segments(spark, d, gaps=True)))
+
+
+def _crossing_sql(tolerance: str, touches: bool = False, arcs: bool = True) -> str:
+    """cr (part_id, i, j) from pm: pairs that aren't neighbours, by the kinds of both."""
+    close = lambda ax, ay, bx, by: f"sqrt(({ax} - {bx}) ** 2 + ({ay} - {by}) ** 2) <= {tolerance}"
+    shared = " OR ".join(close(f"a.{p}x", f"a.{p}y", f"b.{q}x", f"b.{q}y") for p in "se" for q in "se")
+    of = lambda c, kind: f"CASE WHEN a.r IS NULL THEN {'a' if kind == 'l' else 'b'}.{c} ELSE {'b' if kind == 'l' else 'a'}.{c} END AS {kind}{c}"
+    end = " OR ".join(close("px", "py", f"{p}{q}x", f"{p}{q}y") for p in ("a_", "b_") for q in "se")
+    on = lambda t: f"CASE WHEN {t} BETWEEN 0 AND 1 AND {SWEPT('aa0', f'atan2(lsy - acy + {t} * ldy, lsx - acx + {t} * ldx)', 'acw')} <= {SWEPT('aa0', 'aa1', 'acw')} THEN {t} END"
+    return f"""x0 AS (SELECT a.part_id, a.i, b.i AS j, a.r IS NULL AS a_line, b.r IS NULL AS b_line, {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in ("sx", "sy", "ex", "ey", "cx", "cy", "r"))}, {", ".join(of(c, "l") for c in ("sx", "sy", "ex", "ey"))}, {", ".join(of(c, "a") for c in ("cx", "cy", "r", "a0", "a1", "cw"))}, {shared} AS shared
+        FROM pm a JOIN (SELECT *, count(*) OVER (PARTITION BY part_id) AS n FROM pm) b ON a.part_id = b.part_id AND a.i < b.i - 1 AND NOT (a.i = 1 AND b.i = b.n) AND b.n >= 3),
+    x1 AS (SELECT *, lex - lsx AS ldx, ley - lsy AS ldy, (a_ex - a_sx) * (b_ey - b_sy) - (a_ey - a_sy) * (b_ex - b_sx) AS det, b_sx - a_sx AS dx3, b_sy - a_sy AS dy3, sqrt((a_cx - b_cx) ** 2 + (a_cy - b_cy) ** 2) AS apart FROM x0),
+    x2 AS (SELECT *, ldx * ldx + ldy * ldy AS qa, 2 * (ldx * (lsx - acx) + ldy * (lsy - acy)) AS qb, (lsx - acx) * (lsx - acx) + (lsy - acy) * (lsy - acy) - ar * ar AS qc,
+      CASE WHEN abs(det) >= {tolerance} THEN (dx3 * (b_ey - b_sy) - dy3 * (b_ex - b_sx)) / det END AS t, CASE WHEN abs(det) >= {tolerance} THEN (dx3 * (a_ey - a_sy) - dy3 * (a_ex - a_sx)) / det END AS u FROM x1),
+    x3 AS (SELECT *, CASE WHEN a_line <> b_line AND qb * qb - 4 * qa * qc >= 0 AND abs(qa) >= {tolerance} THEN sqrt(qb * qb - 4 * qa * qc) END AS root FROM x2),
+    x4 AS (SELECT *, (-qb - root) / (2 * qa) AS t1, (-qb + root) / (2 * qa) AS t2 FROM x3),
+    x5 AS (SELECT *, CASE WHEN a_line AND b_line THEN CASE WHEN NOT shared AND t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 THEN t END {f"WHEN a_line <> b_line THEN coalesce({on('t1')}, {on('t2')})" if arcs else ""} END AS hit FROM x4),
+    x6 AS (SELECT *, lsx + hit * ldx AS px, lsy + hit * ldy AS py FROM x5),
+    cr AS (SELECT part_id, i, j FROM x6 WHERE (hit IS NOT NULL{"" if touches else f" AND NOT ({end})"}){" OR (NOT a_line AND NOT b_line AND apart > abs(a_r - b_r) AND apart < (a_r + b_r) * 0.9)" if arcs else ""})"""
+
+
+@query(f"WITH {GAPS}, {LOOP}, {LINES}, {_crossing_sql('1e-9')} SELECT * FROM cr")
 def v08_j04_crossings(spark: SparkSession, d: str) -> DataFrame:
     """Bores over the outside make the loops of some parts cross themselves."""
     return pr.crossings(pr.from_segments(segments(spark, d, gaps=True))).select("part_id", "i", "j")
 
 
 STAGE = "SELECT ck.part_id, n, coalesce(c, 0) AS n_crossings, {case} AS stage FROM ck LEFT JOIN (SELECT part_id, count(*) AS c FROM cr GROUP BY part_id) USING (part_id)"
+LOOSE = STAGE.format(case="CASE WHEN n_degenerate > 0 THEN 'DEGENERATE' WHEN n < 2 OR n_open > 0 THEN 'OPEN' WHEN n < 3 OR abs(area) < 1e-6 THEN 'NO_AREA' WHEN c > 0 THEN 'CROSSING' ELSE 'OK' END")
+STRICT = STAGE.format(case="CASE WHEN least_radius < -1e-6 THEN 'NEGATIVE_RADIUS' WHEN n_across > 0 THEN 'AXIS' WHEN n_open > 0 THEN 'OPEN' WHEN c > 0 THEN 'CROSSING' WHEN abs(line_area) < 1e-6 THEN 'NO_AREA' ELSE 'OK' END")
 
 
-@query(f"WITH {GAPS}, {LOOP}, {CHECKS}, {CROSS} " + STAGE.format(case="CASE WHEN n_degenerate > 0 THEN 'DEGENERATE' WHEN n < 2 OR n_open > 0 THEN 'OPEN' WHEN n < 3 OR abs(area) < 1e-12 THEN 'NO_AREA' WHEN c > 0 THEN 'CROSSING' ELSE 'OK' END"))
+@query(f"WITH {GAPS}, {LOOP}, {LINES}, {CHECKS}, {_crossing_sql('1e-6')} {LOOSE}")
 def v09_topology(spark: SparkSession, d: str) -> DataFrame:
     return pr.topology(pr.from_segments(segments(spark, d, gaps=True)))
 
 
-@query(f"WITH {GAPS}, {LOOP}, {CHECKS}, {CROSS} " + STAGE.format(case="CASE WHEN least_radius < -1e-6 THEN 'NEGATIVE_RADIUS' WHEN n_degenerate > 0 THEN 'DEGENERATE' WHEN n < 2 OR n_open > 0 THEN 'OPEN' WHEN c > 0 THEN 'CROSSING' WHEN abs(area) < 1e-6 THEN 'NO_AREA' ELSE 'OK' END"))
+@query(f"WITH {GAPS}, {LOOP}, {LINES}, {CHECKS}, {_crossing_sql('1e-6', touches=True, arcs=False)} {STRICT}")
 def v10_strict_profile(spark: SparkSession, d: str) -> DataFrame:
     return pr.topology(pr.from_segments(segments(spark, d, gaps=True)), strict=True)
 
 
+#: Half the angle of the arcs below: their cosine is 0.6.
+WIDE = "0.9272952180016122"
+
+
+def mixed_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Every third line of the profiles, if it runs up the outside, as an arc: bulging outward, or with the clock inward; some without radius."""
+    lines, c = pr.from_segments(segments(spark, d, gaps=True)), F.col
+    arc, inward, n = (c("sx") == c("ex")) & (c("ey") > c("sy")) & (c("i") % 3 == 0), c("i") % 6 == 0, c("ey") - c("sy")
+    theta, only = F.lit(float(WIDE)), lambda x: F.when(arc, x)
+    return lines.select(
+        "part_id", "i", *[F.when(~arc, c(x)).alias(x) for x in pr.ENDS], only(c("sx") + F.when(inward, 0.375).otherwise(-0.375) * n).alias("cx"), only((c("sy") + c("ey")) / 2).alias("cy"),
+        only(F.when(F.round(n * 1000) % 700 == 0, 0.0).otherwise(0.625 * n)).alias("radius"), only(F.when(inward, F.pi() + theta).otherwise(-theta)).alias("a0"), only(F.when(inward, F.pi() - theta).otherwise(theta)).alias("a1"), only(inward).alias("clockwise"),
+    )
+
+
+MIXED = f"""mx AS (SELECT *, sx = ex AND ey > sy AND i % 3 = 0 AS arc, i % 6 = 0 AS inward, ey - sy AS n FROM lp),
+    my AS (SELECT part_id, i, sx, sy, ex, ey, arc, CASE WHEN arc THEN sx + CASE WHEN inward THEN 0.375::DOUBLE ELSE -0.375::DOUBLE END * n END AS cx, CASE WHEN arc THEN (sy + ey) / 2 END AS cy, CASE WHEN arc THEN CASE WHEN round(n * 1000) % 700 = 0 THEN 0 ELSE 0.625::DOUBLE * n END END AS r,
+      CASE WHEN arc THEN CASE WHEN inward THEN pi() + {WIDE}::DOUBLE ELSE -{WIDE}::DOUBLE END END AS a0, CASE WHEN arc THEN CASE WHEN inward THEN pi() - {WIDE}::DOUBLE ELSE {WIDE}::DOUBLE END END AS a1, CASE WHEN arc THEN inward END AS cw FROM mx),
+    pm AS (SELECT part_id, i, CASE WHEN arc THEN cx + r * cos(a0) ELSE sx END AS sx, CASE WHEN arc THEN cy + r * sin(a0) ELSE sy END AS sy, CASE WHEN arc THEN cx + r * cos(a1) ELSE ex END AS ex, CASE WHEN arc THEN cy + r * sin(a1) ELSE ey END AS ey, cx, cy, r, a0, a1, cw FROM my)"""
+
+
+@query(f"WITH {GAPS}, {LOOP}, {MIXED}, {CHECKS} {CHECKED}")
+def v05_v06_a22_mixed_checks(spark: SparkSession, d: str) -> DataFrame:
+    return checked(mixed_loops(spark, d))
+
+
+@query(f"WITH {GAPS}, {LOOP}, {MIXED}, {_crossing_sql('1e-9')} SELECT * FROM cr")
+def v08_j04_mixed_crossings(spark: SparkSession, d: str) -> DataFrame:
+    return pr.crossings(mixed_loops(spark, d)).select("part_id", "i", "j")
+
+
+@query(f"WITH {GAPS}, {LOOP}, {MIXED}, {CHECKS}, {_crossing_sql('1e-6')} {LOOSE}")
+def v09_mixed_topology(spark: SparkSession, d: str) -> DataFrame:
+    return pr.topology(mixed_loops(spark, d))
+
+
+@query(f"WITH {GAPS}, {LOOP}, {MIXED}, {CHECKS}, {_crossing_sql('1e-6', touches=True, arcs=False)} {STRICT}")
+def v10_mixed_strict_profile(spark: SparkSession, d: str) -> DataFrame:
+    return pr.topology(mixed_loops(spark, d), strict=True)
+
+
 def arcs(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d)
     a0, a1 = (F.col("seq") % 5) * (math.pi / 4), (F.col("part_id") % 7) * (math.pi / 3)
@@ -282,19 +350,22 @@ def a22_arc_lengths(spark: SparkSession, d: str) -> DataFrame:
     return arcs(spark, d).select("part_id", F.col("i").alias("seq"), r6(F.col("radius") * pr.sweep_angle(F.col("a0"), F.col("a1"), F.col("clockwise"))).alias("length"))
 
 
-@query()
+ARC_LINE = lambda t: f"CASE WHEN {t} BETWEEN 0 AND 1 AND {SWEPT('a0', f'atan2(fy + {t} * dy, fx + {t} * dx)', 'cw')} <= {SWEPT('a0', 'a1', 'cw')} THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {SEG}, {LOOP}, a AS (SELECT part_id, seq AS i, od_diameter / 2 + 0.0137::DOUBLE AS cx, z_start + 0.0071::DOUBLE AS cy, od_diameter / 4 AS r, (seq % 5) * (pi() / 4) AS a0, (part_id % 7) * (pi() / 3) AS a1, seq % 2 = 0 AS cw FROM segments),
+    p AS (SELECT a.*, l.i AS line, ex - sx AS dx, ey - sy AS dy, sx - cx AS fx, sy - cy AS fy FROM a JOIN lp l USING (part_id)), q AS (SELECT *, dx * dx + dy * dy AS qa, 2 * (dx * fx + dy * fy) AS qb, fx * fx + fy * fy - r * r AS qc FROM p),
+    s AS (SELECT *, (-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS t1, (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS t2 FROM q WHERE qb * qb - 4 * qa * qc >= 0 AND abs(qa) >= 1e-9)
+    SELECT * FROM (SELECT part_id, i AS arc, line, {ARC_LINE("t1")} + {ARC_LINE("t2")} AS n FROM s) WHERE n > 0""")
 def j04_arc_line_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Arcs against the lines of the part's profile; held against a model in Python by the tests."""
-    return pr.arc_line_hits(arcs(spark, d), pr.from_segments(segments(spark, d)))
+    """Arcs against the lines of the part's profile; moved off the lattice, where a hit would hang on the last bit."""
+    return pr.arc_line_hits(arcs(spark, d).withColumn("cx", F.col("cx") + 0.0137).withColumn("cy", F.col("cy") + 0.0071), pr.from_segments(segments(spark, d)))
 
 
 @query(f"""WITH {SEG}, a AS (SELECT part_id, seq AS i, od_diameter / 2 AS cx, z_start AS cy, od_diameter / 4 AS r FROM segments), p AS (SELECT a.part_id, a.i, b.i AS j, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS q, a.r AS r, b.r AS s FROM a JOIN a b ON a.part_id = b.part_id AND a.i < b.i - 1)
     SELECT part_id, i, j FROM p WHERE q > abs(r - s) AND q < (r + s) * 0.9""")
 def j04_arc_arc_hits(spark: SparkSession, d: str) -> DataFrame:
-    a, b = arcs(spark, d).alias("a"), arcs(spark, d).alias("b")
-    q = F.sqrt((F.col("a.cx") - F.col("b.cx")) * (F.col("a.cx") - F.col("b.cx")) + (F.col("a.cy") - F.col("b.cy")) * (F.col("a.cy") - F.col("b.cy")))
-    near = (q > F.abs(F.col("a.radius") - F.col("b.radius"))) & (q < (F.col("a.radius") + F.col("b.radius")) * 0.9)
-    return a.join(b, (F.col("a.part_id") == F.col("b.part_id")) & (F.col("a.i") < F.col("b.i") - 1) & near).select("a.part_id", F.col("a.i").alias("i"), F.col("b.i").alias("j"))
+    return pr.arc_arc_hits(arcs(spark, d))
 
 
 @query(f"WITH {SEG} SELECT part_id, seq, greatest(od_diameter, lead(od_diameter) OVER w) AS disc_od, greatest(id_diameter, lead(id_diameter) OVER w) AS disc_id FROM segments WINDOW w AS (PARTITION BY part_id ORDER BY z_start, seq)")

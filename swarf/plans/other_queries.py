@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from swarf.functions import geometry as g
 from swarf.functions import text as tx
 from swarf.operators import jobs as jb
+from swarf.operators import normalize
 from swarf.operators import views as vw
 from swarf.plans.part_queries import Q6
 from swarf.plans.registry import query
 from swarf.sources import files as fl
-from swarf.sources.tables import parts, r6, segments, segments_sql, table
+from swarf.sources.tables import PARTS_SQL, parts, r6, segments, segments_sql, table
 
 SEG = segments_sql()
 
@@ -215,11 +216,16 @@ def j06_j09_positional_confidence(spark: SparkSession, d: str) -> DataFrame:
     return s.select("part_id", "seq").join(o, ["part_id", "seq"], "left").select("part_id", "seq", F.coalesce("inferred", F.lit(0.5)).alias("confidence"))
 
 
-@query(f"WITH {SEG} SELECT part_id, {Q6('0.6 * avg(confidence) + 0.2 * max(confidence) + 0.2 * (count(*) FILTER (id_diameter <= od_diameter) / count(*)) + 1e-10')} AS overall FROM segments GROUP BY part_id")
+@query(f"""WITH {segments_sql(bad=True)}, {PARTS_SQL}, s AS (SELECT s.*, overall AS axis, od_diameter > 0 AND id_diameter >= 0 AND id_diameter <= od_diameter AND z_end > z_start AS valid FROM segments s LEFT JOIN parts USING (part_id)),
+    t AS (SELECT part_id, 0.6::DOUBLE * avg(0.4::DOUBLE * confidence + 0.3::DOUBLE * (((od_diameter > 0)::INT + (id_diameter >= 0)::INT + (z_end > z_start)::INT) / 3::DOUBLE) + 0.3::DOUBLE * (id_diameter <= od_diameter)::INT) + 0.2::DOUBLE * coalesce(max(axis), 0) + 0.2::DOUBLE * (count(*) FILTER (valid)) / count(*) AS overall, count(*) FILTER (valid) AS n_valid, count(*) AS n FROM s GROUP BY part_id)
+    SELECT part_id, {Q6('overall + 1e-10')} AS overall, n_valid, n, CASE WHEN {Q6('overall + 1e-10')} >= 0.85 AND n_valid = n THEN 'auto_use' WHEN {Q6('overall + 1e-10')} >= 0.6 AND n_valid > 0 THEN 'manual_review' ELSE 'fallback_to_manual' END AS action FROM t""")
 def m13_designed_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """Only designed, never wired up: the best segment stands for the axis, valid rows for validity."""
-    t = segments(spark, d).groupBy("part_id").agg(F.avg("confidence").alias("a"), F.max("confidence").alias("b"), (F.count_if(F.col("id_diameter") <= F.col("od_diameter")) / F.count("*")).alias("c"))
-    return t.select("part_id", r6(0.6 * F.col("a") + 0.2 * F.col("b") + 0.2 * F.col("c") + 1e-10).alias("overall"))
+    """Completeness is the share of a segment's three measures that make sense, consistency whether its bore fits, the axis what the part's inference says."""
+    c, one = F.col, lambda x: F.when(x, 1.0).otherwise(0.0)
+    s = segments(spark, d, bad=True).join(parts(spark, d).select("part_id", c("overall").alias("axis")), "part_id", "left")
+    long, out, bore, fits = c("z_end") > c("z_start"), c("od_diameter") > 0, c("id_diameter") >= 0, c("id_diameter") <= c("od_diameter")
+    s = s.select("part_id", c("confidence").alias("dimension"), ((one(out) + one(bore) + one(long)) / 3).alias("completeness"), one(fits).alias("consistency"), (long & out & bore & fits).alias("valid"), "axis")
+    return normalize.decide(s).withColumn("overall", r6(c("overall") + 1e-10))
 
 
 # ---- jobs ----

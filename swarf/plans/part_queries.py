@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swarf.functions import geometry as g
+from swarf.operators import features as fe
 from swarf.operators import rfq, totals, validate, weighted
 from swarf.plans.registry import query
 from swarf.sources.tables import PARTS_SQL, parts, r6, segments, segments_sql, table
@@ -237,9 +238,10 @@ def a19_robust_stats(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d, small=True).groupBy("part_id").agg(F.median(pos("od_diameter")).alias("od_median"), r6(F.stddev_pop(pos("od_diameter"))).alias("od_std"), r6(F.avg(pos("od_diameter"))).alias("od_mean"), F.coalesce(F.median(pos("id_diameter")), F.lit(0.0)).alias("id_median"))
 
 
-@query("SELECT user_id, count(*) AS n_external, CASE WHEN 2 * count(*) FILTER (value > 50) >= count(*) THEN 'EXTERNAL' ELSE 'INTERNAL' END AS vote FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 3 GROUP BY user_id")
+@query("""SELECT user_id, count(*) FILTER (value <= 45) AS n_internal, count(*) FILTER (value > 55) AS n_external, count(*) FILTER (value <= 45) > count(*) FILTER (value > 55) AS is_internal
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 3 GROUP BY user_id""")
 def a20_majority_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Three samples a face; a tie is external."""
+    """Three samples a face, ambiguous from 45 to 55; a tie is external."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").withColumn("k", F.row_number().over(by)).where("k <= 3")
-    return e.groupBy("user_id").agg(F.count("*").alias("n_external"), F.when(2 * F.count_if(F.col("value") > 50) >= F.count("*"), "EXTERNAL").otherwise("INTERNAL").alias("vote"))
+    return fe.majority_vote(e.select("user_id", F.when(F.col("value") <= 45, True).when(F.col("value") > 55, False).alias("internal")), "user_id")

@@ -63,9 +63,12 @@ def w04_w06_two_pass(spark: SparkSession, d: str) -> DataFrame:
 MW = WALL.replace("od_diameter", "od").replace("id_diameter", "bore")
 
 
-@query(f"""{MERGED}, r AS (SELECT m.*, range, {MW} AS wall, (z1 - z0) / range AS rel FROM m JOIN (SELECT part_id, any_value(range) AS range FROM sn GROUP BY part_id) USING (part_id)),
+PENALISED = f"""{MERGED}, r AS (SELECT m.*, range, {MW} AS wall, (z1 - z0) / range AS rel FROM m JOIN (SELECT part_id, any_value(range) AS range FROM sn GROUP BY part_id) USING (part_id)),
     c AS (SELECT *, least(greatest(base / k - (CASE WHEN k > 1 THEN least(0.2::DOUBLE, 0.05::DOUBLE * (k - 1)) ELSE 0 END + CASE WHEN snapped THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN wall > 0 AND wall < 0.05 THEN 0.1::DOUBLE * (1 - wall / 0.05::DOUBLE) ELSE 0 END
-      + CASE WHEN rel < 0.02 THEN 0.1::DOUBLE * (1 - rel / 0.02::DOUBLE) ELSE 0 END), 0), 1) AS conf FROM r)
+      + CASE WHEN rel < 0.02 THEN 0.1::DOUBLE * (1 - rel / 0.02::DOUBLE) ELSE 0 END), 0), 1) AS conf FROM r)"""
+
+
+@query(f"""{PENALISED}
     SELECT part_id, place, {Q6('conf')} AS confidence, concat_ws(',', CASE WHEN k > 1 THEN 'auto_merged' END, CASE WHEN wall > 0 AND wall < 0.05 THEN 'thin_wall' END, CASE WHEN rel < 0.02 THEN 'short_segment' END, CASE WHEN floor(conf * 1e6 + 0.5) / 1e6 < 0.6 THEN 'low_confidence' END) AS flags FROM c""")
 def m03_m04_merged_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Penalties and flags; the last flag compares six decimals, so that both engines agree at the limit."""
@@ -75,12 +78,11 @@ def m03_m04_merged_confidence(spark: SparkSession, d: str) -> DataFrame:
     return m.select("part_id", "place", conf.alias("confidence"), F.array_join(flags, ",").alias("flags"))
 
 
-@query(f"""{MERGED} SELECT part_id, {Q6('CASE WHEN sum(z1 - z0) > 0 THEN sum((z1 - z0) * base / k) / sum(z1 - z0) ELSE avg(base / k) END + 1e-10')} AS overall, {Q6('sum(z1 - z0)')} AS total_length FROM m GROUP BY part_id""")
+@query(f"""{PENALISED} SELECT part_id, {Q6('CASE WHEN sum(z1 - z0) > 0 THEN sum((z1 - z0) * conf) / sum(z1 - z0) ELSE avg(conf) END + 1e-10')} AS overall, {Q6('sum(z1 - z0)')} AS total_length FROM c GROUP BY part_id""")
 def a14_overall_confidence(spark: SparkSession, d: str) -> DataFrame:
     # the nudge keeps exact ties of the sixth decimal alike in both engines
-    m = normalize.normalise(segments(spark, d, **CLOSE)).withColumn("l", F.col("z1") - F.col("z0")).withColumn("c", F.col("base") / F.col("k"))
-    t = m.groupBy("part_id").agg(F.sum("l").alias("l"), F.sum(F.col("l") * F.col("base") / F.col("k")).alias("w"), F.avg("c").alias("mean"))
-    return t.select("part_id", r6(F.when(F.col("l") > 0, F.col("w") / F.col("l")).otherwise(F.col("mean")) + 1e-10).alias("overall"), r6(F.col("l")).alias("total_length"))
+    t = normalize.overall(normalize.confidence(normalize.normalise(segments(spark, d, **CLOSE))))
+    return t.select("part_id", r6(F.col("overall") + 1e-10).alias("overall"), r6(F.col("total_length")).alias("total_length"))
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:

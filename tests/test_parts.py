@@ -73,6 +73,17 @@ def test_quotations(spark):
                 assert r[k] == (pytest.approx(v) if isinstance(v, float) else v), (i, k, r)
 
 
+def test_quotations_of_nulls(spark):
+    """Null units are inches, a null method is an estimate, a null part number an empty one; a null verdict passes."""
+    given = [("P", "in", A, True), ("P", None, A, None), ("P", "in", None, True), (None, "in", A, True), (None, None, None, None)]
+    parts = spark.createDataFrame([(i, no, u, m, v, 0.95, None, 0.0, 2.0, None, None) for i, (no, u, m, v) in enumerate(given)], PART)
+    rows = spark.createDataFrame([(i, 0, 0.0, 2.0, 1.5, 0.5, 0.95, False) for i in range(len(given))], SEG + ", low_flag boolean")
+    got = {r["part_id"]: (r["status"], set(r["reasons"].split(",")) - {""}) for r in rfq.autofill(parts, rows).collect()}
+    assert got[0] == got[1] and got[0][0] == "AUTO_FILLED" and not got[0][1]
+    assert got[2] == ("NEEDS_REVIEW", {"SCALE_ESTIMATED"})
+    assert got[3] == ("AUTO_FILLED", {"INVALID_PART_NO"}) and got[4] == ("NEEDS_REVIEW", {"INVALID_PART_NO", "SCALE_ESTIMATED"})
+
+
 def model(rows, two_pass=False):
     """The normaliser over dicts z0, z1, od, id, in order; the same rules, one segment after the other."""
     low, width = min(r[0] for r in rows), max(r[1] for r in rows) - min(r[0] for r in rows)
@@ -168,6 +179,67 @@ def test_topology_of_loops(spark):
     assert (t["area"], t["perimeter"], t["counterclockwise"]) == (50.0, 30.0, True)
 
 
+def arc_loop(spark, *loops):
+    """Loops of lines (sx, sy, ex, ey) and arcs (cx, cy, radius, a0, a1, clockwise)."""
+    rows = []
+    for k, prims in enumerate(loops):
+        rows += [(k, i + 1, *map(float, p), *[None] * 6) if len(p) == 4 else (k, i + 1, *[None] * 4, *map(float, p[:5]), p[5]) for i, p in enumerate(prims)]
+    return spark.createDataFrame(rows, "part_id long, i long, sx double, sy double, ex double, ey double, cx double, cy double, radius double, a0 double, a1 double, clockwise boolean")
+
+
+def test_touches_are_forgiven_but_not_by_the_strict_check(spark):
+    touch = [(0, 0), (4, 0), (4, 3), (2, 0), (0, 3), (0, 0)]
+    tiny = [(0, 0), (1e-4, 0), (0, 1e-4), (0, 0)]
+    df = loop(spark, touch, tiny)
+    assert [r["stage"] for r in pr.topology(df).orderBy("part_id").collect()] == ["OK", "NO_AREA"]
+    assert [r["stage"] for r in pr.topology(df, strict=True).orderBy("part_id").collect()] == ["CROSSING", "NO_AREA"]
+    assert pr.crossings(df).count() == 0 and {(r["i"], r["j"]) for r in pr.crossings(df, touches=True).collect()} == {(1, 3), (1, 4)}
+
+
+def test_strict_profile_and_its_axis(spark):
+    on = [(0, 0), (2, 0), (2, 3), (0, 3), (0, 0)]
+    df = loop(spark, on, [(x + 1, y) for x, y in on])
+    stages = lambda **k: [r["stage"] for r in pr.topology(df, strict=True, **k).orderBy("part_id").collect()]
+    assert stages() == ["OK", "OK"] and stages(touching=False) == ["AXIS", "OK"]
+    assert stages(axis_x=1.0) == ["AXIS", "OK"] and stages(axis_x=2.5) == ["OK", "AXIS"]
+
+
+def test_loops_of_lines_and_arcs(spark):
+    pi = math.pi
+    round_ = [(1, 0, 3, 0), (3, 1, 1, -pi / 2, pi / 2, False), (3, 2, 1, 2), (1, 2, 1, 0)]  # a slot with one round end
+    dent = [(1, 0, 3, 0), (3, 1, 1, 3 * pi / 2, pi / 2, True), (3, 2, 1, 2), (1, 2, 1, 0)]  # the same, bent inward
+    through = [(1, 0, 3, 0), (3, 1, 1, 3 * pi / 2, pi / 2, True), (3, 2, 2.5, 2), (2.5, 2, 2.5, 0.5), (2.5, 0.5, 1, 0.5), (1, 0.5, 1, 0)]
+    flat, still = [*round_[:1], (3, 1, 0, -pi / 2, pi / 2, False), *round_[2:]], [*round_[:1], (3, 1, 1, 1, 1, False), *round_[2:]]
+    rings = [(0, 0, 2, 0), (2, 1, 1, -pi / 2, pi / 2, False), (2, 2, 0, 2), (0, 1, 1.4, pi / 2, 3 * pi / 2, False)]
+    df = arc_loop(spark, round_, dent, through, flat, still, rings)
+    got = {r["part_id"]: r for r in pr.loop_checks(df).collect()}
+    assert got[0]["perimeter"] == got[1]["perimeter"] == pytest.approx(6 + pi) and got[0]["closed"] and got[0]["area"] == pytest.approx(4)
+    assert [got[k]["n_degenerate"] for k in range(5)] == [0, 0, 0, 1, 1]
+    assert {r["part_id"]: r["stage"] for r in pr.topology(df).collect()} == {0: "OK", 1: "OK", 2: "CROSSING", 3: "DEGENERATE", 4: "DEGENERATE", 5: "OPEN"}
+    hits = {(r["part_id"], r["i"], r["j"]): (r["x"], r["y"]) for r in pr.crossings(df).collect() if r["part_id"] < 3 or r["part_id"] == 5}
+    assert set(hits) == {(2, 2, 4), (2, 2, 5), (5, 2, 4)} and hits[5, 2, 4] == (None, None)
+    assert hits[2, 2, 4] == pytest.approx((2.5, 1 + math.sqrt(0.75))) and hits[2, 2, 5] == pytest.approx((3 - math.sqrt(0.75), 0.5))
+
+
+def test_votes_of_samples(spark):
+    df = spark.createDataFrame([(1, True), (1, True), (1, False), (2, True), (2, False), (2, None), (3, None), (4, False), (4, None), (5, True), (5, None), (5, None)], "face long, internal boolean")
+    got = {r["face"]: (r["n_internal"], r["n_external"], r["is_internal"]) for r in fe.majority_vote(df, "face").collect()}
+    assert got == {1: (2, 1, True), 2: (1, 1, False), 3: (0, 0, False), 4: (0, 1, False), 5: (1, 0, True)}
+
+
+def test_designed_decision(spark):
+    kind = "part_id long, dimension double, completeness double, consistency double, valid boolean, axis double"
+    rows = [(1, 0.9, 1.0, 1.0, True, 0.9), (1, 0.9, 1.0, 1.0, False, 0.9), (2, 1.0, 1.0, 1.0, True, 1.0), (3, 1.0, 1.0, 1.0, False, 1.0), (4, None, None, 0.5, True, None)]
+    got = {r["part_id"]: (r["overall"], r["action"]) for r in normalize.decide(spark.createDataFrame(rows, kind)).collect()}
+    assert got[1] == (pytest.approx(0.6 * 0.96 + 0.18 + 0.1), "manual_review") and got[2] == (pytest.approx(1.0), "auto_use")
+    assert got[3] == (pytest.approx(0.8), "fallback_to_manual") and got[4] == (pytest.approx(0.6 * 0.15 + 0.2), "fallback_to_manual")
+
+
+def test_overall_weighs_what_is_left_after_penalties(spark):
+    m = spark.createDataFrame([(1, 0.0, 3.0, 0.5), (1, 3.0, 4.0, 0.9), (2, 1.0, 1.0, 0.4), (2, 1.0, 1.0, 0.6)], "part_id long, z0 double, z1 double, confidence double")
+    assert {r["part_id"]: (r["overall"], r["total_length"]) for r in normalize.overall(m).collect()} == {1: (pytest.approx(0.6), 4.0), 2: (pytest.approx(0.5), 0.0)}
+
+
 def test_baseline_profile(spark):
     got = [(r["sx"], r["sy"]) for r in pr.from_segments(seg(spark, BASELINE)).orderBy("i").collect()]
     want = [(0.565, 0), (0.815, 0), (0.815, 3.27), (0.403, 3.27), (0.403, 4.25), (0.3765, 4.25), (0.3765, 3.27), (0.565, 3.27)]
