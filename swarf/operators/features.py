@@ -262,3 +262,89 @@ def majority_vote(samples: DataFrame, *keys: str) -> DataFrame:
     """
     t = samples.groupBy(*keys).agg(F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_external"))
     return t.withColumn("is_internal", F.col("n_internal") > F.col("n_external"))
+
+
+FACE = "struct<face:bigint,surface:string,internal:boolean,radius:double,ox:double,oy:double,oz:double,dx:double,dy:double,dz:double,t_min:double,t_max:double>"
+CLUSTER = f"array<struct<grp:int,seed:{FACE},faces:array<bigint>,t_min:double,t_max:double>>"
+
+
+def _beside(axis: Column, o: Column) -> tuple[Column, Column]:
+    """How far along an axis a point lies, and the square of its distance from the axis."""
+    off = [o[f"o{k}"] - axis[f"o{k}"] for k in "xyz"]
+    t = off[0] * axis["dx"] + off[1] * axis["dy"] + off[2] * axis["dz"]
+    return t, F.greatest(F.lit(0.0), off[0] * off[0] + off[1] * off[1] + off[2] * off[2] - t * t)
+
+
+def _parallel(a: Column, b: Column) -> Column:
+    return F.abs(a["dx"] * b["dx"] + a["dy"] * b["dy"] + a["dz"] * b["dz"])
+
+
+def _clusters(faces: Column, tolerance: float) -> Column:
+    """Two levels of greedy groups in one fold over the faces in order: of one axis and side, and therein of one radius.
+
+    A face goes to the first group whose first face it lies beside, else it begins one; a group's first face may have no radius.
+    """
+    groups = f"array<{FACE}>"
+
+    def step(acc: Column, f: Column) -> Column:
+        alike = lambda g: (g["internal"] == f["internal"]) & (_parallel(g, f) >= 1 - tolerance) & (_beside(g, f)[1] <= tolerance * tolerance)
+        of = F.array_position(F.transform(acc["groups"], alike), F.lit(True)).cast("int")
+        grp = F.when(of > 0, of).otherwise(F.size(acc["groups"]) + 1)
+        all_groups = F.when(of > 0, acc["groups"]).otherwise(F.concat(acc["groups"], F.array(f)))
+        mine = F.array_position(F.transform(acc["clusters"], lambda c: (c["grp"] == grp) & (F.abs(c["seed"]["radius"] - f["radius"]) <= tolerance)), F.lit(True))
+        grown = F.transform(acc["clusters"], lambda c, k: F.when(k + 1 == mine, F.struct(c["grp"].alias("grp"), c["seed"].alias("seed"), F.concat(c["faces"], F.array(f["face"])).alias("faces"), F.least(c["t_min"], f["t_min"]).alias("t_min"), F.greatest(c["t_max"], f["t_max"]).alias("t_max"))).otherwise(c))
+        new = F.array(F.struct(grp.alias("grp"), f.alias("seed"), F.array(f["face"]).alias("faces"), f["t_min"].alias("t_min"), f["t_max"].alias("t_max")))
+        return F.struct(all_groups.alias("groups"), F.when(f["radius"].isNull(), acc["clusters"]).when(mine > 0, grown).otherwise(F.concat(acc["clusters"], new)).alias("clusters"))
+
+    start = F.struct(F.array().cast(groups).alias("groups"), F.array().cast(CLUSTER).alias("clusters"))
+    return F.aggregate(F.filter(faces, lambda f: (f["surface"] == "CYLINDER") & f["dx"].isNotNull() & f["ox"].isNotNull()), start, step, lambda acc: acc["clusters"])
+
+
+def from_faces(faces: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """Holes and cylinders of parts, from the faces of their solids, in one shuffle.
+
+    faces: part_id, face (its place), surface, internal, radius, a point ox oy oz and a direction dx dy dz of length 1 (of a
+    cylinder its axis, of a plane the centre and normal), t_min, t_max along the part's axis. Gives part_id, kind (HOLE of inner faces,
+    CYLINDER of outer ones), id, radius, n_faces, n_end_faces, depth (of a hole through if it has no end face, of a cylinder
+    endless unless it has two), bottom_type, t_min, t_max.
+
+    Faces without an axis are left out; a null `internal` is an outer face, a null radius begins no feature. A part without
+    cylinders has no rows.
+    """
+    one = F.struct(F.col("face").cast("long").alias("face"), "surface", F.coalesce("internal", F.lit(False)).alias("internal"), *[F.col(c).cast("double").alias(c) for c in ("radius", "ox", "oy", "oz", "dx", "dy", "dz", "t_min", "t_max")])
+    t = faces.groupBy("part_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    t = t.select("part_id", F.filter("all", lambda f: (f["surface"] == "PLANE") & f["dx"].isNotNull()).alias("planes"), _clusters(F.col("all"), tolerance).alias("c"))
+    # numbered within a kind, by group and then by first face
+    ordered = F.sort_array(F.transform("c", lambda c: F.struct((~c["seed"]["internal"]).alias("outer"), c["grp"].alias("grp"), c["seed"]["face"].alias("at"), c.alias("c"))))
+    t = t.select("part_id", "planes", F.size(F.filter("c", lambda c: c["seed"]["internal"])).alias("n_holes"), F.posexplode(ordered).alias("k", "o"))
+    t = t.select("part_id", "planes", "n_holes", "k", F.col("o.outer").alias("outer"), F.col("o.c.seed").alias("axis"), F.col("o.c.faces").alias("faces"), F.col("o.c.t_min").alias("t_min"), F.col("o.c.t_max").alias("t_max"))
+    axis = F.col("axis")
+    met = F.filter("planes", lambda p: (_parallel(axis, p) > 1 - tolerance) & (_beside(axis, p)[1] < tolerance * tolerance))
+    t = t.withColumn("ends", F.transform(met, lambda p: _beside(axis, p)[0])).withColumn("n", F.size("ends"))
+    span, least = F.array_max("ends") - F.array_min("ends"), F.when(F.col("outer"), 2).otherwise(1)
+    depth = F.when(F.col("n") < least, F.lit(float("inf"))).when(F.col("n") == 1, F.abs(F.get("ends", F.lit(0)))).otherwise(span)
+    name = F.when(F.col("outer"), F.concat(F.lit("cylinder_"), F.col("k") - F.col("n_holes"))).otherwise(F.concat(F.lit("hole_"), F.col("k")))
+    bottom = F.when(~F.col("outer"), F.when(F.col("n") > 0, bottom_type(F.lit("PLANE"))).otherwise("NONE"))
+    return t.select("part_id", F.when(F.col("outer"), "CYLINDER").otherwise("HOLE").alias("kind"), name.alias("id"), axis["radius"].alias("radius"), F.size("faces").cast("long").alias("n_faces"), F.col("n").cast("long").alias("n_end_faces"), depth.alias("depth"), bottom.alias("bottom_type"), "t_min", "t_max")
+
+
+def planar_features(faces: DataFrame) -> DataFrame:
+    """part_id, id, orientation, area of a part's planes; ids count the planes without a normal as well, which are left out."""
+    by = Window.partitionBy("part_id").orderBy("face")
+    p = faces.where("surface = 'PLANE'").withColumn("k", F.row_number().over(by) - 1)
+    return p.where("dz is not null").select("part_id", F.concat(F.lit("planar_face_"), "k").alias("id"), plane_orientation(F.col("dz")).alias("orientation"), "area")
+
+
+def face_histogram(faces: DataFrame) -> DataFrame:
+    """One row a part: n_faces, and of them n_plane, n_cylinder, n_cone, n_sphere and n_other (a null surface among them)."""
+    kinds = {"plane": "PLANE", "cylinder": "CYLINDER", "cone": "CONE", "sphere": "SPHERE"}
+    known = F.coalesce(F.col("surface").isin(*kinds.values()), F.lit(False))
+    return faces.groupBy("part_id").agg(F.count("*").alias("n_faces"), *[F.count_if(F.col("surface") == v).alias(f"n_{k}") for k, v in kinds.items()], F.count_if(~known).alias("n_other"))
+
+
+def feature_summary(faces: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """face_histogram() with n_holes, n_cylinders and n_planar: each a count by part of the same faces, so that the join needs no further shuffle."""
+    found = from_faces(faces, tolerance).groupBy("part_id").agg(F.count_if(F.col("kind") == "HOLE").alias("n_holes"), F.count_if(F.col("kind") == "CYLINDER").alias("n_cylinders"))
+    planar = planar_features(faces).groupBy("part_id").agg(F.count("*").alias("n_planar"))
+    t = face_histogram(faces).join(found, "part_id", "left").join(planar, "part_id", "left")
+    return t.na.fill(0, ["n_holes", "n_cylinders", "n_planar"])

@@ -232,3 +232,70 @@ def arc_arc_hits(arcs: DataFrame) -> DataFrame:
     whole = arcs.groupBy("part_id").agg(F.sort_array(F.collect_list(F.struct("i", *ARC))).alias("all"))
     pairs = whole.select("part_id", "all", F.explode("all").alias("a")).select("part_id", "a", F.explode("all").alias("b"))
     return pairs.where((F.col("b.i") > F.col("a.i") + 1) & arc_arc(F.col("a"), F.col("b"))).select("part_id", "a.i", F.col("b.i").alias("j"))
+
+
+def from_overlapping(seg: DataFrame, by_ends: bool = False) -> DataFrame:
+    """Lines of the profile of segments that may overlap and leave gaps: part_id, i, sx, sy, ex, ey.
+
+    All starts and ends of a part cut it into intervals. Of the segments that cover an interval's middle the one with the
+    greatest end gives both radii, the first in order of start and end where these tie; over a gap the radii before it are
+    carried on. by_ends is the rule as it was surveyed: the segment is looked for at the intervals' ends, where one that
+    begins or ends there goes before one that runs through, and an interval has its outside from its upper end and its bore
+    from the lower one; so an earlier segment loses its last interval to the one that follows, which is why it isn't the default.
+
+    A part of tens of segments is one row of arrays: one shuffle. Rows with a null place or radius count as if they had 0 there;
+    parts of one place have no profile.
+    """
+    num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    one = F.struct(num("z_start"), num("z_end"), F.col("seq"), (num("od_diameter") / 2).alias("ro"), (num("id_diameter") / 2).alias("ri"))
+    t = seg.groupBy("part_id").agg(F.sort_array(F.collect_list(one)).alias("segs"))
+    t = t.withColumn("zs", F.array_sort(F.array_distinct(F.flatten(F.transform("segs", lambda s: F.array(s["z_start"], s["z_end"])))))).where("size(zs) > 1")
+    places = F.transform(F.slice("zs", 2, F.size("zs") - 1), lambda z, k: (z + F.element_at("zs", k + 1)) / 2) if not by_ends else F.col("zs")
+
+    def found(z: Column) -> Column:
+        """ro and ri of the segment that counts at z; null over a gap."""
+        at_end = lambda s: (F.abs(z - s["z_start"]) < 1e-9) | (F.abs(z - s["z_end"]) < 1e-9)
+        weight = lambda s: F.when(at_end(s), 1000 + s["z_end"]).otherwise(s["z_end"]) if by_ends else s["z_end"]
+        here = F.filter(F.transform("segs", lambda s, k: F.struct(weight(s).alias("w"), (-k).alias("k"), s["z_start"].alias("a"), s["z_end"].alias("b"), s["ro"].alias("ro"), s["ri"].alias("ri"))), lambda s: (s["a"] <= z) & (s["b"] >= z) & ((s["w"] > -1) if by_ends else F.lit(True)))
+        return F.array_max(here)
+
+    t = t.withColumn("best", F.transform(places, lambda z: found(z)))
+    # the last one found so far; a part begins with a segment, but one that ends before it starts covers nothing
+    carried = F.aggregate("best", F.array().cast("array<struct<ro:double,ri:double>>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.when(x.isNotNull(), F.struct(x["ro"].alias("ro"), x["ri"].alias("ri"))), F.try_element_at(acc, F.lit(-1)), F.struct(F.col("segs")[0]["ro"].alias("ro"), F.col("segs")[0]["ri"].alias("ri"))))))
+    t = t.withColumn("r", carried).withColumn("m", F.size("zs") - 1)
+    of = lambda s: F.struct(s["ro"].alias("ro"), s["ri"].alias("ri"))
+    if by_ends:  # interval k, from 1, has the outside of place k and the bore of place k - 1, of the first and last segment at both ends
+        t = t.withColumn("r", F.concat(F.array(of(F.col("segs")[0])), F.slice("r", F.lit(2), F.greatest(F.size("r") - 2, F.lit(0))), F.array(of(F.element_at("segs", -1)))))
+        t = t.withColumns({"ro": F.transform(F.slice("r", F.lit(2), F.col("m")), lambda x: x["ro"]), "ri": F.transform(F.slice("r", F.lit(1), F.col("m")), lambda x: x["ri"]), "first": F.col("r")[0], "last": F.element_at("r", -1)})
+    else:
+        t = t.withColumns({"ro": F.transform("r", lambda x: x["ro"]), "ri": F.transform("r", lambda x: x["ri"]), "first": F.col("r")[0], "last": F.element_at("r", -1)})
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    bore = lambda x: F.when(x > CLOSE, x).otherwise(0.0)
+    z = lambda k: F.element_at("zs", k)
+    step = lambda now, before, low, high: F.when(F.abs(now[0] - before) > CLOSE, F.array(point(now[1], low), point(now[1], high))).otherwise(F.array(point(now[1], high)))
+    up = F.flatten(F.transform("ro", lambda r, k: step((r, r), F.when(k == 0, F.col("first.ro")).otherwise(F.get("ro", k - 1)), z(k + 1), z(k + 2))))
+    down = F.flatten(F.transform(F.reverse("ri"), lambda r, k: step((r, bore(r)), F.when(k == 0, bore(F.col("last.ri"))).otherwise(F.get(F.reverse("ri"), k - 1)), z(F.col("m") + 1 - k), z(F.col("m") - k))))
+    start = point(bore(F.col("first.ri")), z(F.lit(1)))
+    t = t.withColumn("p", F.concat(F.array(start, point(F.col("first.ro"), z(F.lit(1)))), up, F.array(point(bore(F.col("last.ri")), z(F.lit(-1)))), down))
+    end = F.element_at("p", -1)
+    t = t.withColumn("p", F.when(near(end["x"], end["y"], start["x"], start["y"]), F.col("p")).otherwise(F.concat("p", F.array(start))))
+    lines = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.struct(a["x"].alias("sx"), a["y"].alias("sy"), b["x"].alias("ex"), b["y"].alias("ey")))
+    return t.select("part_id", F.posexplode(lines).alias("i", "l")).select("part_id", (F.col("i") + 1).cast("long").alias("i"), "l.*")
+
+
+def revolved_faces(loop: DataFrame) -> DataFrame:
+    """The faces of a counterclockwise loop of lines turned about the axis x = 0, in the columns that features.from_faces() takes.
+
+    A line along the axis gives a cylinder, an inner one if it runs down; one across it a plane, which looks down if it runs
+    outward; any other a cone. A line on the axis gives nothing, and neither does one without length.
+    """
+    c = F.col
+    along, across = F.abs(c("sx") - c("ex")) <= CLOSE, F.abs(c("sy") - c("ey")) <= CLOSE
+    surface = F.when(along, "CYLINDER").when(across, "PLANE").otherwise("CONE")
+    plane = surface == "PLANE"
+    rows = loop.where(~(along & (F.greatest("sx", "ex") <= CLOSE)) & ~(along & across))
+    ring = F.abs(c("ex") * c("ex") - c("sx") * c("sx")) * math.pi
+    return rows.select(
+        "part_id", c("i").alias("face"), surface.alias("surface"), F.when(surface == "CYLINDER", c("ey") < c("sy")).alias("internal"), F.when(surface == "CYLINDER", c("sx")).alias("radius"), *[F.lit(0.0).alias(x) for x in ("ox", "oy")], F.when(plane, c("sy")).otherwise(0.0).alias("oz"),
+        *[F.lit(0.0).alias(x) for x in ("dx", "dy")], F.when(plane & (c("ex") > c("sx")), -1.0).otherwise(1.0).alias("dz"), F.least("sy", "ey").alias("t_min"), F.greatest("sy", "ey").alias("t_max"), F.when(plane, ring).alias("area"),
+    )
