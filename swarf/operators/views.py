@@ -105,3 +105,35 @@ def contour_roles(contours: DataFrame) -> DataFrame:
     c = contours.withColumn("ratio", ratio).withColumn("axis", F.floor(F.col("w") / 2))
     inner = (F.col("ratio") < 0.01) & (F.col("area") > 0) & ((F.col("cx") < F.col("axis")) | (F.abs(F.col("cx") - F.col("axis")) < F.col("w") * 0.1))
     return c.select("view_id", "i", F.coalesce(F.col("ratio") > 0.05, F.lit(False)).alias("is_od"), F.coalesce(inner, F.lit(False)).alias("is_id"))
+
+
+def select_view(asked: DataFrame, results: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row a request: job_id, page, view_index, source (given or best), ranked, box, box_pixels, area, image_size, error.
+
+    asked: job_id, page, view_index (a number as text), null where not given. results: job_id, ranked_views (array of page,
+    view_index), best_view (the same, null below the threshold). pages: job_id, page, views (array of box, box_pixels, area), image_size.
+
+    If both page and view are given they count, ranked or not; otherwise the best view does. What stands in the way is said in
+    this order: NO_BEST_VIEW, MISSING_SELECTION (a best view without page or index), MISSING_PAGE, NO_VIEWS, INDEX_NOT_INTEGER,
+    INDEX_OUT_OF_RANGE, MISSING_BOX. With an error there is no box. Two joins by job, and by job and page; look-up by place
+    in the array.
+    """
+    c = F.col
+    a = asked.select("job_id", c("page").cast("long").alias("asked_page"), c("view_index").cast("string").alias("asked_index"))
+    j = a.join(results.select("job_id", "ranked_views", "best_view"), "job_id", "left")
+    given = c("asked_page").isNotNull() & c("asked_index").isNotNull()
+    j = j.withColumn("source", F.when(given, "given").when(c("best_view").isNotNull(), "best"))
+    j = j.withColumn("page", F.when(given, c("asked_page")).otherwise(c("best_view.page").cast("long"))).withColumn("index", F.when(given, c("asked_index")).otherwise(c("best_view.view_index").cast("string")))
+    whole = F.trim("index")
+    j = j.withColumn("k", F.when(whole.rlike(r"^[+-]?\d{1,9}$"), whole.cast("int")))
+    j = j.withColumn("ranked", F.coalesce(given & F.exists("ranked_views", lambda v: (v["page"] == c("page")) & (v["view_index"] == c("k"))), F.lit(False)))
+    j = j.join(pages.select("job_id", c("page").cast("long").alias("page"), "views", "image_size", F.lit(True).alias("there")), ["job_id", "page"], "left")
+    n = F.coalesce(F.size("views"), F.lit(0))
+    j = j.withColumn("view", F.when(c("k") >= 0, F.try_element_at("views", F.when(c("k") >= 0, c("k") + 1).otherwise(1))))
+    error = (
+        F.when(c("source").isNull(), "NO_BEST_VIEW").when(c("page").isNull() | c("index").isNull(), "MISSING_SELECTION").when(c("there").isNull(), "MISSING_PAGE").when(n <= 0, "NO_VIEWS")
+        .when(c("k").isNull(), "INDEX_NOT_INTEGER").when((c("k") < 0) | (c("k") >= n), "INDEX_OUT_OF_RANGE").when(c("view.box_pixels").isNull(), "MISSING_BOX")
+    )
+    j = j.withColumn("error", error)
+    good = lambda x: F.when(c("error").isNull(), x)
+    return j.select("job_id", "page", c("k").alias("view_index"), "source", "ranked", good(c("view.box")).alias("box"), good(c("view.box_pixels")).alias("box_pixels"), good(c("view.area")).alias("area"), good(c("image_size")).alias("image_size"), "error")

@@ -13,6 +13,7 @@ from swarf.operators import normalize
 from swarf.operators import views as vw
 from swarf.plans.part_queries import Q6
 from swarf.plans.registry import query
+from swarf.sources import documents as dc
 from swarf.sources import files as fl
 from swarf.sources.tables import PARTS_SQL, parts, r6, segments, segments_sql, table
 
@@ -373,14 +374,47 @@ def io13_unzip(spark: SparkSession, d: str) -> DataFrame:
     return fl.unzip(packed).select("key", "name", F.length("content").cast("long").alias("size"))
 
 
-@query(f"WITH {SEG} SELECT part_id, count(*) AS n_segments, {Q6('sum(z_end - z_start) + 1e-10')} AS length, false AS corrupt FROM segments GROUP BY part_id")
+@query(f"""WITH {SEG}, p AS (SELECT part_id, count(*) AS n_segments, {Q6('sum(z_end - z_start) + 1e-10')} AS length, max(od_diameter) > 2.4 AS corrupt FROM segments GROUP BY part_id)
+    SELECT CASE WHEN NOT corrupt THEN part_id END AS part_id, CASE WHEN NOT corrupt THEN n_segments END AS n_segments, CASE WHEN NOT corrupt THEN length END AS length, corrupt, count(*) AS n FROM p GROUP BY ALL""")
 def io01_io02_r12_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Stacks written as JSON text and read back with a schema; what doesn't parse would be marked."""
-    s = segments(spark, d).groupBy("part_id").agg(F.to_json(F.struct(F.lit("in").alias("units"), F.collect_list(F.struct("z_start", "z_end", "od_diameter", "id_diameter")).alias("segments"))).alias("doc"))
-    schema = "units string, segments array<struct<z_start: double, z_end: double, od_diameter: double, id_diameter: double>>, bad string"
-    j = s.select("part_id", F.from_json("doc", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}).alias("j"))
-    total = F.aggregate("j.segments", F.lit(0.0), lambda acc, x: acc + (x["z_end"] - x["z_start"]))
-    return j.select("part_id", F.size("j.segments").cast("long").alias("n_segments"), r6(total + 1e-10).alias("length"), F.col("j.bad").isNotNull().alias("corrupt"))
+    """Stacks written as files of JSON and read back with a schema; of parts with a large outside the file holds but half, which is marked."""
+    one = F.struct("part_id", F.lit("in").alias("units"), F.col("s").alias("segments"))
+    s = segments(spark, d).groupBy("part_id").agg(F.collect_list(F.struct("z_start", "z_end", "od_diameter", "id_diameter")).alias("s"), F.max("od_diameter").alias("od")).withColumn("doc", F.to_json(one))
+    folder = dc.scratch(spark, "stacks")
+    dc.save_text(s.withColumn("doc", F.when(F.col("od") > 2.4, F.substring("doc", F.lit(1), F.floor(F.length("doc") / 2).cast("int"))).otherwise(F.col("doc"))), folder)
+    j = dc.load(spark, folder, "part_id long, units string, segments array<struct<z_start: double, z_end: double, od_diameter: double, id_diameter: double>>")
+    total = F.aggregate("segments", F.lit(0.0), lambda acc, x: acc + (x["z_end"] - x["z_start"]))
+    good = lambda x: F.when(F.col("bad").isNull(), x)
+    rows = j.select(good(F.col("part_id")).alias("part_id"), good(F.size("segments").cast("long")).alias("n_segments"), good(r6(total + 1e-10)).alias("length"), F.col("bad").isNotNull().alias("corrupt"))
+    return rows.groupBy("part_id", "n_segments", "length", "corrupt").agg(F.count("*").alias("n"))
+
+
+#: Events as the stage rows that a run appends: below 40 a stage begins, above 90 one fails.
+STAGE_ROWS = "sr AS (SELECT user_id AS job_id, event_type AS name, event_id AS n, ts, CASE WHEN value < 40 THEN 'running' WHEN value > 90 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN value > 90 THEN event_type || ' failed' END AS error FROM events)"
+INTERVALS = f"""{STAGE_ROWS}, sp AS (SELECT *, lead(status) OVER w AS ns, lead(ts) OVER w AS nt, lead(error) OVER w AS ne, coalesce(lag(status) OVER w, '') AS before FROM sr WINDOW w AS (PARTITION BY job_id, name ORDER BY n)),
+    si AS (SELECT job_id, name, n, ts AS started_at, CASE WHEN status <> 'running' THEN ts WHEN ns <> 'running' THEN nt END AS finished_at, CASE WHEN status = 'running' AND ns <> 'running' THEN ns ELSE status END AS status, CASE WHEN status <> 'running' THEN error WHEN ns <> 'running' THEN ne END AS error FROM sp WHERE status = 'running' OR before <> 'running')"""
+
+
+def stage_rows(spark: SparkSession, d: str) -> DataFrame:
+    e, v = table(spark, d, "events"), F.col("value")
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("name"), F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts"), F.when(v < 40, "running").when(v > 90, "failed").otherwise("completed").alias("status"), F.when(v > 90, F.concat("event_type", F.lit(" failed"))).alias("error"))
+
+
+@query(f"WITH {INTERVALS} SELECT job_id, name, n, epoch_us(started_at) AS started_us, epoch_us(finished_at) AS finished_us, status, error, (epoch_us(finished_at) - epoch_us(started_at)) / 1000 AS duration_ms FROM si")
+def r13_stage_intervals(spark: SparkSession, d: str) -> DataFrame:
+    p = jb.paired_stages(stage_rows(spark, d))
+    return p.select("job_id", "name", "n", F.unix_micros("started_at").alias("started_us"), F.unix_micros("finished_at").alias("finished_us"), "status", "error", "duration_ms")
+
+
+@query(f"""WITH {INTERVALS}, c AS (SELECT job_id, count(*) AS stage_count, count(DISTINCT name) AS distinct_stages FROM sr GROUP BY job_id),
+    p AS (SELECT job_id, min(epoch_us(started_at)) AS s, max(epoch_us(finished_at)) AS f, count(*) FILTER (finished_at IS NULL) AS o, count(*) FILTER (status = 'failed') AS x, count(*) AS n_intervals, count(error) AS n_errors FROM si GROUP BY job_id)
+    SELECT job_id, CASE WHEN o > 0 THEN 'running' WHEN x > 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o = 0 THEN (f - s) / 1000 END AS duration_ms, stage_count, distinct_stages, n_intervals, n_errors FROM p JOIN c USING (job_id)""")
+def r13_run_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports written as JSON files and loaded again."""
+    folder = dc.scratch(spark, "run-reports")
+    dc.save(jb.run_reports(stage_rows(spark, d)), folder)
+    r = dc.load(spark, folder, "job_id long, status string, duration_ms double, stage_count long, distinct_stages long, stages array<struct<name: string>>, errors array<string>")
+    return r.select("job_id", "status", "duration_ms", "stage_count", "distinct_stages", F.size("stages").cast("long").alias("n_intervals"), F.size("errors").cast("long").alias("n_errors"))
 
 
 @query(f"WITH {segments_sql(gaps=True, bad=True)}, ok AS (SELECT * FROM segments WHERE z_start < z_end AND od_diameter > 0 AND id_diameter >= 0 AND id_diameter <= od_diameter), g AS (SELECT part_id, count(*) AS n FROM ok GROUP BY part_id) SELECT o_orderkey AS part_id, coalesce(n, 0) AS n_segments, n IS NOT NULL AS saved FROM orders LEFT JOIN g ON part_id = o_orderkey")

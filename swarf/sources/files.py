@@ -60,19 +60,24 @@ def is_upload(path: Column) -> Column:
 
 
 def unzip(archives: DataFrame) -> DataFrame:
-    """From key, content: key, name, content of the PDFs in each archive, flattened; name clashes get _1, _2 ...
+    """From key (of any type), content: key, name, content of the PDFs in each archive, flattened; name clashes get _1, _2 ...
 
-    A row holds one archive; only its members travel on. The suffix is a rank by name, so it needs no state.
+    A row holds one archive; only its members travel on. The suffix is a rank by name, so it needs no state. What isn't an
+    archive, null among it, gives no rows.
     """
+    kind = archives.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, content in zip(b["key"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = [(key, i, m.filename.rpartition("/")[2], z.read(m)) for i, m in enumerate(z.infolist()) if not m.is_dir() and m.filename.lower().endswith(".pdf")]
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                        rows = [(key, i, m.filename.rpartition("/")[2], z.read(m)) for i, m in enumerate(z.infolist()) if not m.is_dir() and m.filename.lower().endswith(".pdf")]
+                except zipfile.BadZipFile:
+                    rows = []
                 yield pd.DataFrame(rows, columns=["key", "i", "name", "content"])
 
-    rows = archives.select("key", "content").mapInPandas(run, "key long, i long, name string, content binary").withColumn("name", clean_name(F.col("name")))
+    rows = archives.select(F.to_json(F.struct("key")).alias("key"), "content").mapInPandas(run, "key string, i long, name string, content binary").withColumn("key", F.from_json("key", f"key {kind}")["key"]).withColumn("name", clean_name(F.col("name")))
     k = F.row_number().over(Window.partitionBy("key", "name").orderBy("i")) - 1
     stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"\.[^.]*$", 0)
     return rows.withColumn("k", k).select("key", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("k").cast("string"), ext)).alias("name"), "content")
