@@ -2,8 +2,9 @@
 
 Memtables are the input tasks: each sorts its rows by digest and flushes them as one Parquet run. Compaction merges the
 runs of a batch into one level that keeps, for each digest, the best identifier and the count; it combines map-side, so a
-group of any size leaves one row a task. Rows that hit a digest of two or more rows are compared byte by byte with the row
-that stays.
+group of any size leaves one row a task. A filter of the digests that some other row has as well goes to all tasks: what it
+doesn't let through is alone, and stays where it is. The others meet the level, and are compared byte by byte with the row that
+stays.
 
 An index in a folder takes further batches. Of each batch it holds a level (sorted by digest), the texts of its new
 entries, and a filter: a bitmap of the hashed digests in small rows. A new batch's digests go to the filters of earlier
@@ -25,6 +26,8 @@ from swarf.llm.common import SPACE, document, exists, listed, remove, stage
 COPIES_A_TEXT = 1000
 #: Levels of an index before they are compacted into one.
 LEVELS = 8
+#: Bytes of a filter that may be sent to all tasks; beyond that (32 million repeated digests) all rows go to the join.
+FILTER_BYTES = 64 << 20
 #: Bits of a filter's row, and the rows of a filter for each so many digests: some 16 bits a digest.
 FILTER_BITS, DIGESTS_A_ROW = 32768, 2048
 
@@ -59,17 +62,30 @@ def compact(runs: DataFrame, *keys: str) -> DataFrame:
 
 def differing(runs: DataFrame, level: DataFrame) -> DataFrame:
     """The digests under which some row's bytes differ from those of the row that stays."""
-    hits = runs.join(level.where("group_size > 1").select("digest", "keep_uid", "group_size"), "digest").select("digest", "uid", "keep_uid", normalised(F.col("row.text")).alias("norm"), F.ceil(F.col("group_size") / COPIES_A_TEXT).alias("salts"))
+    hits = runs.where("maybe").join(level.where("group_size > 1").select("digest", "keep_uid", "group_size"), "digest").select("digest", "uid", "keep_uid", normalised(F.col("row.text")).alias("norm"), F.ceil(F.col("group_size") / COPIES_A_TEXT).alias("salts"))
     hits = stage(hits, "hits")
     stays = hits.where("uid = keep_uid").select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     copies = hits.where("uid <> keep_uid").select("digest", "norm", F.pmod(F.xxhash64("uid"), F.col("salts")).alias("salt"))
     return stage(copies.join(stays, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct(), "differing")
 
 
+def filtered(runs: DataFrame, level: DataFrame) -> DataFrame:
+    """Adds maybe: whether some other row may have the digest, by a filter of those that the level has counted twice or more."""
+    again = level.where("group_size > 1").select("digest")
+    n = again.count()
+    if max(1, -(-n // DIGESTS_A_ROW)) * FILTER_BITS // 8 > FILTER_BYTES:
+        return runs.withColumn("maybe", F.lit(True))
+    bits = stage(filter_of(again, n), "filter").select("row", "bits")  # of that size at most
+    row, bit = place(F.col("digest"), F.lit(max(1, -(-n // DIGESTS_A_ROW))).cast("long"))
+    held = runs.withColumns({"row_": row, "bit_": bit}).join(F.broadcast(bits.withColumnRenamed("row", "row_")), "row_", "left")
+    return held.withColumn("maybe", F.coalesce(is_set(F.col("bits"), F.col("bit_")), F.lit(False))).drop("row_", "bit_", "bits")
+
+
 def grouped(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """The runs of a batch with the digest and bytes ('' unless digests clash) that tell its groups apart, and its level by these."""
     runs = flush_runs(docs, digest)
     level = stage(compact(runs, "digest").withColumn("bytes", F.lit("")).sortWithinPartitions("digest"), "level")
+    runs = filtered(runs, level)
     clashing = differing(runs, level)
     if not clashing.take(1):
         return runs.withColumn("bytes", F.lit("")), level
@@ -85,11 +101,13 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = whole_dige
     one digest, the rows of that digest are grouped by their bytes as well.
     """
     runs, level = grouped(docs, digest)
-    out = runs.join(level.where("group_size > 1").select("digest", "bytes", "keep_uid", "keep_id", "group_size"), ["digest", "bytes"], "left")
-    return out.select(
+    out = runs.where("maybe").join(level.where("group_size > 1").select("digest", "bytes", "keep_uid", "keep_id", "group_size"), ["digest", "bytes"], "left")
+    out = out.select(
         "doc_id", F.when(F.col("keep_uid").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (F.coalesce("keep_uid", "uid") == F.col("uid")).alias("kept"), "text_sha256", "row",
     )
+    alone = runs.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "row")
+    return alone.unionByName(out)
 
 
 def place(digest: Column, rows: Column) -> tuple[Column, Column]:
@@ -104,14 +122,18 @@ def filter_of(digests: DataFrame, n: int) -> DataFrame:
     return digests.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).select(F.lit(rows).cast("long").alias("rows"), "row", "bits")
 
 
+def is_set(bits: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) != 0
+
+
 def passed(digests: DataFrame, filters: DataFrame) -> DataFrame:
     """Of distinct digests those that some filter may hold."""
     sizes = sorted(r["rows"] for r in filters.select("rows").distinct().collect())  # at most one for each level
     looked = digests.select("digest", F.explode(F.array(*[F.lit(r).cast("long") for r in sizes])).alias("rows"))
     row, bit = place(F.col("digest"), F.col("rows"))
     looked = looked.select("digest", "rows", row.alias("row"), bit.alias("bit")).join(filters, ["rows", "row"])
-    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return looked.withColumn("byte", byte).where("(byte >> cast(bit % 8 as int)) & 1 = 1").select("digest").distinct()
+    return looked.where(is_set(F.col("bits"), F.col("bit"))).select("digest").distinct()
 
 
 class Index:
@@ -165,7 +187,8 @@ def add(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = whole
 
     Rows as of exact_dedup(), as things stand after this batch: keep_id and group_size cover all batches so far, and kept is
     true for the row of this batch that stays, if one does. A later batch may hold a longer original; ties stay with the
-    earlier one. Texts of the index are only read where a filter lets a digest through.
+    earlier one. The texts of the index are read whole, once for each batch, and only those of digests that a filter lets through
+go on; so batches should be large.
     """
     spark, index, batch = docs.sparkSession, Index(docs.sparkSession, folder), "b" + uuid.uuid4().hex
     runs, level = grouped(docs, digest)

@@ -318,6 +318,19 @@ def test_exact_dedup(spark, odd, docs, digest):
         assert not r["kept"] or r["doc_id"] == r["keep_id"]
 
 
+def test_the_filter_keeps_lone_rows_from_the_join(spark, docs, monkeypatch):
+    """It lets all rows of repeated digests through and few others; without room for it all rows go, with the same result."""
+    runs = exact_dedup.flush_runs(docs.select("doc_id", "text"), exact_dedup.whole_digest)
+    level = common.stage(exact_dedup.compact(runs, "digest"), "level")
+    again = {r["digest"] for r in level.where("group_size > 1").collect()}
+    rows = exact_dedup.filtered(runs, level).select("digest", "maybe").collect()
+    assert again and all(r["maybe"] for r in rows if r["digest"] in again) and sum(r["maybe"] for r in rows if r["digest"] not in again) <= 0.01 * len(rows) + 3
+    plain = lambda: sorted(map(str, exact_dedup.exact_dedup(docs.select("doc_id", "text")).collect()))
+    want = plain()
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 0)
+    assert plain() == want
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.whole_digest, lambda n: F.substring(F.sha2(n, 256), 1, 2)])
 def test_batches_into_an_index(spark, odd, docs, empty, tmp_path, monkeypatch, digest):
     """Batches, with compactions between, end where one run over all of them ends."""
