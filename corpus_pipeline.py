@@ -9,11 +9,14 @@ further columns of any name (carried along as they are) and empty tables (an emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarf.llm import exact_dedup, mixing, quality_model, sentencepiece, simhash
-from swarf.llm.common import read, stage
+from swarf.llm.common import read, remove, stage, unstage
 from swarf.llm.queries import MODEL_FILE
 
 
@@ -57,7 +60,30 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(docs, MODEL_FILE)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixed", mixed), ("pieces", pieces)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def tidy(k: int, function: Stage) -> Stage:
+    """function as stage k, which first removes the tables that stages before it have staged for themselves.
+
+    Their results are written and read again by then, so nothing reads those tables any more.
+    """
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        left = context._swarf_left = getattr(context, "_swarf_left", {})
+        for folder in [f for j in range(k) for f in left.pop(j, [])]:
+            remove(spark, folder)
+        before = set(getattr(context, "_swarf_staged", []))
+        out = function(spark, docs, sf_dir)
+        left.setdefault(k, []).extend(f for f in getattr(context, "_swarf_staged", []) if f not in before)
+        return out
+
+    return run_stage
+
+
+STAGES = [(f.__name__, tidy(k, f)) for k, f in enumerate((quality, exact, near, mixed, pieces))]
 
 #: SQL can't express the trees, the fingerprints and the lattice; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -66,7 +92,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (name, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
+        after = function(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{name}")
+            after = stage(after, f"pipeline-{name}")
+            if k:  # the result of the stage before, which this one has read
+                unstage(docs)
+        docs = after
     return docs
