@@ -13,7 +13,7 @@ from swarf.operators import jobs as jb
 from swarf.operators import profile as pr
 from swarf.operators import totals, validate
 from swarf.operators import views as vw
-from swarf.plans.geometry_queries import CHECKS, GAPS, LOOP
+from swarf.plans.geometry_queries import CHECKS, GAPS, LINES, LOOP
 from swarf.plans.other_queries import LISTED, LOG, PATHS, lines, log, paths
 from swarf.plans.part_queries import Q6, WALL
 from swarf.plans.registry import query
@@ -38,7 +38,7 @@ def a23_edited_totals(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("part_id").agg(r6(F.sum("volume")).alias("volume"), r6(F.sum("od_area")).alias("od_area"))
 
 
-@query(f"WITH {GAPS}, {LOOP}, {CHECKS.replace('<= 1e-6)', '<= 0.05)')} SELECT part_id, n_open, n >= 2 AND n_open = 0 AS closed FROM ck")
+@query(f"WITH {GAPS}, {LOOP}, {LINES}, {CHECKS.replace('<= 1e-6)', '<= 0.05)')} SELECT part_id, n_open, n >= 2 AND n_open = 0 AS closed FROM ck")
 def r29_loosely_closed(spark: SparkSession, d: str) -> DataFrame:
     t = pr.loop_checks(pr.from_segments(segments(spark, d, gaps=True)), 0.05)
     return t.select("part_id", "n_open", "closed")
