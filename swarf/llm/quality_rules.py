@@ -86,16 +86,16 @@ def histograms(docs: DataFrame, limits: Limits) -> DataFrame:
     """Base figures and both histograms of every document; the text itself goes no further."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
-    words = F.array_remove(F.split("text", SPACE + "+"), "")
+    rows = rows.withColumn("words", F.array_remove(F.split("text", SPACE + "+"), ""))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    common = F.filter(F.transform(words, F.lower), lambda w: w.isin(*WORDS))
+    rows = rows.withColumn("common", F.filter(F.transform("words", F.lower), lambda w: w.isin(*WORDS)))
     rows = rows.select(
         "doc_id", "lang", F.length("text").alias("n_chars"),
         *[F.regexp_count("text", F.lit(p)).cast("double").alias(k) for k, p in CLASSES.items()],
-        F.size(words).cast("long").alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        repeat_words(words).alias("n_repeat_words"),
-        let(common, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, w))).cast("double") for w in WORDS])).alias("common"),
+        repeat_words(F.col("words")).alias("n_repeat_words"),
+        F.array(*[(F.size("common") - F.size(F.array_remove("common", w))).cast("double") for w in WORDS]).alias("common"),
     )
     known = sum((F.col(k) for k in CLASSES), F.lit(0.0))
     return rows.select(
