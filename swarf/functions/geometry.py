@@ -57,6 +57,16 @@ def round3(x: Column) -> Column:
     return F.floor(x * 1000 + 0.5) / F.lit(1000.0)
 
 
+def to_solid(radius: Column, axial: Column) -> Column:
+    """The point of a profile in space: the radius along x, the place on the axis along z, in the plane y = 0."""
+    return F.struct(radius.alias("x"), F.lit(0.0).alias("y"), axial.alias("z"))
+
+
+def to_profile(x: Column, z: Column) -> Column:
+    """Back from the plane y = 0 to the profile."""
+    return F.struct(x.alias("radius"), z.alias("axial"))
+
+
 def weight(vol: Column, g_cm3: Column, lb_in3: Column) -> Column:
     """Pounds; the density in pounds wins; null without one."""
     return vol * F.coalesce(lb_in3, g_cm3 * DEFAULT.lb_per_in3)

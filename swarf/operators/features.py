@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,6 +70,24 @@ def end_faces(axes: DataFrame, planes: DataFrame, parallel: float = 1e-3, distan
     return a.join(b, cond).select(F.col("a.part_id"), F.col("a.id").alias("axis"), F.col("b.id").alias("plane"), t.alias("t"))
 
 
+def axial_extent(cylinders: DataFrame, boxes: DataFrame, ends: DataFrame) -> DataFrame:
+    """part_id, id, t_min, t_max: how far each hole or cylinder reaches along its own axis, from its origin.
+
+    cylinders: part_id, id, from_hole, origin (ox, oy, oz) and unit axis (dx, dy, dz); boxes: part_id, id, x0 to z1, one for each of its
+    faces, in any number; ends: part_id, axis, t as of end_faces. A cylinder reaches from its first end face to its last; one without
+    them, and every hole, over the corners of its boxes. Without either it is 0 to 0. The corner that comes first along an axis
+    has on each side of the box the end that comes first, so the eight needn't be listed.
+    """
+    side = lambda k, which: which(*((F.col(f"{k}{end}") - F.col(f"o{k}")) * F.col(f"d{k}") for end in (0, 1)))
+    reach = lambda which: sum((side(k, which) for k in "xyz"), F.lit(0.0))
+    b = cylinders.join(boxes.select("part_id", "id", *[f"{k}{end}" for k in "xyz" for end in (0, 1)]), ["part_id", "id"])
+    b = b.groupBy("part_id", "id").agg(F.min(reach(F.least)).alias("box_min"), F.max(reach(F.greatest)).alias("box_max"))
+    e = ends.groupBy("part_id", F.col("axis").alias("id")).agg(F.min("t").alias("end_min"), F.max("t").alias("end_max"))
+    c = cylinders.select("part_id", "id", F.coalesce("from_hole", F.lit(False)).alias("from_hole")).join(b, ["part_id", "id"], "left").join(e, ["part_id", "id"], "left")
+    pick = lambda k: F.coalesce(F.when(~F.col("from_hole"), F.col(f"end_{k}")), F.col(f"box_{k}"), F.lit(0.0)).alias(f"t_{k}")
+    return c.select("part_id", "id", pick("min"), pick("max"))
+
+
 # What the surface of a hole's bottom makes of it; any other surface is UNKNOWN.
 BOTTOMS = {"PLANE": "FLAT", "CONE": "CONICAL", "SPHERE": "SPHERICAL"}
 
@@ -94,48 +110,59 @@ def hole_shape(ends: DataFrame, holes: DataFrame) -> DataFrame:
     return h.select("part_id", "id", F.coalesce("n", F.lit(0)).cast("long").alias("n_end_faces"), depth.alias("depth"), F.coalesce("bottom_type", F.lit("NONE")).alias("bottom_type"))
 
 
-Match = Callable[[pd.DataFrame, int], np.ndarray]
+#: Whether a row (second) belongs to the group of a seed (first); both are structs.
+Match = Callable[[Column, Column], Column]
 
 
-def greedy_groups(rows: DataFrame, match: Match) -> DataFrame:
-    """part_id, id, seed: in order of id each row not taken yet seeds a group and takes every later one that matches it.
+def grouped(rows: DataFrame, match: Match) -> DataFrame:
+    """Rows (part_id, id, ...) with the seed of their group: in order of id each row not taken yet seeds a group and takes every later one that matches it.
 
-    The matching is with the seed alone, so it depends on the order and isn't transitive; one part at a time in pandas.
+    The matching is with the seed alone, so it depends on the order and isn't transitive: one fold over a part's ordered rows,
+    in which a row goes to the first seed before it that it matches, or else becomes one. What a null stands in matches nothing.
     """
+    one = F.struct("id", *[c for c in rows.columns if c not in ("part_id", "id")])
+    parts = rows.groupBy("part_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    none = F.array().cast(parts.schema["r"].dataType)
+
+    def step(acc: Column, x: Column) -> Column:
+        seed = F.get(F.filter(acc["seeds"], lambda g: match(g, x)), F.lit(0))["id"]
+        return F.struct(F.when(seed.isNull(), F.concat(acc["seeds"], F.array(x))).otherwise(acc["seeds"]).alias("seeds"), F.concat(acc["of"], F.array(F.coalesce(seed, x["id"]))).alias("of"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", ignore_index=True)
-        seed = np.full(len(part), -1)
-        for i in range(len(part)):
-            if seed[i] < 0:
-                mine = match(part, i) & (seed < 0)
-                mine[:i], mine[i] = False, True
-                seed[mine] = i
-        return pd.DataFrame({"part_id": part["part_id"], "id": part["id"], "seed": part["id"].to_numpy()[seed]})
+    start = F.struct(none.alias("seeds"), F.transform(none, lambda x: x["id"]).alias("of"))
+    seeds = F.aggregate("r", start, step, lambda acc: acc["of"])
+    m = parts.select("part_id", F.explode(F.zip_with("r", seeds, lambda x, s: F.struct(x.alias("row"), s.alias("seed")))).alias("m"))
+    return m.select("part_id", "m.row.*", "m.seed")
 
-    return rows.groupBy("part_id").applyInPandas(run, "part_id long, id long, seed long")
+
+def greedy_groups(rows: DataFrame, match: Match) -> DataFrame:
+    """part_id, id, seed of the groups of `grouped`."""
+    return grouped(rows, match).select("part_id", "id", "seed")
 
 
 def same_radius(tolerance: float = 1e-3) -> Match:
-    return lambda p, i: np.abs(p["radius"].to_numpy() - p["radius"][i]) <= tolerance
+    return lambda a, b: F.abs(b["radius"] - a["radius"]) <= tolerance
+
+
+def _along(a: Column, b: Column) -> tuple[Column, list[Column]]:
+    """Where b lies along the axis of a, and the way from a to b."""
+    off = [b[f"o{k}"] - a[f"o{k}"] for k in "xyz"]
+    return sum((o * a[f"d{k}"] for o, k in zip(off, "xyz", strict=True)), F.lit(0.0)), off
+
+
+def _aligned(a: Column, b: Column, tolerance: float) -> Column:
+    return F.abs(sum((a[f"d{k}"] * b[f"d{k}"] for k in "xyz"), F.lit(0.0))) >= 1 - tolerance
 
 
 def same_axis(parallel: float = 1e-3, distance: float = 1e-3) -> Match:
-    def match(p: pd.DataFrame, i: int) -> np.ndarray:
-        o, d = p[["ox", "oy", "oz"]].to_numpy(), p[["dx", "dy", "dz"]].to_numpy()
-        off = o - o[i]
-        apart = np.sqrt(np.maximum(0, (off**2).sum(1) - (off @ d[i]) ** 2))
-        return (np.abs(d @ d[i]) >= 1 - parallel) & (apart <= distance)
+    def match(a: Column, b: Column) -> Column:
+        along, off = _along(a, b)
+        return _aligned(a, b, parallel) & (F.sqrt(F.greatest(F.lit(0.0), sum((o * o for o in off), F.lit(0.0)) - along * along)) <= distance)
 
     return match
 
 
 def same_plane(parallel: float = 1e-3, distance: float = 1e-3) -> Match:
-    def match(p: pd.DataFrame, i: int) -> np.ndarray:
-        o, d = p[["ox", "oy", "oz"]].to_numpy(), p[["dx", "dy", "dz"]].to_numpy()
-        return (np.abs(d @ d[i]) >= 1 - parallel) & (np.abs((o - o[i]) @ d[i]) <= distance)
-
-    return match
+    return lambda a, b: _aligned(a, b, parallel) & (F.abs(_along(a, b)[0]) <= distance)
 
 
 def numbered(merged: DataFrame, kind: str) -> DataFrame:
@@ -205,11 +232,6 @@ def merge_planes(planes: DataFrame) -> DataFrame:
     return m.select("part_id", "seed", "area", plane_orientation(F.col("dz")).alias("orientation"), "n", "sources", F.lit("COMPLETE").alias("completeness"), F.when(F.col("n") == 1, "HIGH").otherwise("MEDIUM").alias("confidence"))
 
 
-def grouped(rows: DataFrame, match: Match) -> DataFrame:
-    """Rows with the seed of their greedy group."""
-    return rows.join(greedy_groups(rows, match), ["part_id", "id"])
-
-
 def normalise(holes: DataFrame, cylinders: DataFrame, planes: DataFrame, parallel: float = 1e-6, distance: float = 1e-6) -> DataFrame:
     """part_id, normal_id, kind, sources, completeness, confidence: coaxial holes and cylinders and coplanar faces, each grouped and merged."""
     axis, plane = same_axis(parallel, distance), same_plane(parallel, distance)

@@ -85,17 +85,36 @@ def scales(views: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def normalised_axis(lines: DataFrame) -> DataFrame:
-    """From view_id, x1, y1, x2, y2, angle, w, h of the axis: the rotation that makes it vertical, and the shift that centres it.
+    """From view_id, x1, y1, x2, y2, angle, w, h of the axis: the rotation that makes it vertical, and the shift that centres it, with w, h.
 
-    Points map by the same two steps: turned about the middle of the view, then moved along x.
+    normalised_points maps points by the same two steps: turned about the middle of the view, then moved along x. The rule for
+    the rotation makes level and upright axes upright; a slanting one it turns by what it lacks to 90 degrees, whichever way it leans.
     """
     c = F.col
     turn = F.when(F.abs("angle") < 90, 90 - c("angle")).otherwise(-(90 + c("angle")))
-    cx, cy = F.floor(c("w") / 2), F.floor(c("h") / 2)
-    rad = F.radians("turn")
-    at = lambda x, y: F.cos(rad) * (x - cx) + F.sin(rad) * (y - cy) + cx
+    at = lambda x, y: _turned(x, y, c("turn"))[0]
     out = lines.withColumn("turn", turn)
-    return out.select("view_id", c("turn").alias("rotation_angle"), (c("w") / 2 - (at(c("x1"), c("y1")) + at(c("x2"), c("y2"))) / 2).alias("translation_x"))
+    return out.select("view_id", c("turn").alias("rotation_angle"), (c("w") / 2 - (at(c("x1"), c("y1")) + at(c("x2"), c("y2"))) / 2).alias("translation_x"), "w", "h")
+
+
+def _turned(x: Column, y: Column, degrees: Column) -> tuple[Column, Column]:
+    """A point turned about the middle pixel of its view (w, h)."""
+    cx, cy, rad = F.floor(F.col("w") / 2), F.floor(F.col("h") / 2), F.radians(degrees)
+    return F.cos(rad) * (x - cx) + F.sin(rad) * (y - cy) + cx, F.cos(rad) * (y - cy) - F.sin(rad) * (x - cx) + cy
+
+
+def normalised_points(points: DataFrame, axes: DataFrame) -> DataFrame:
+    """Points (view_id, x, y) with x, y where the view's normalised axis (one row a view, of normalised_axis) puts them, and inside.
+
+    inside: whether the point still lies on the view's pixels. The points of a view without an axis stay where they are, with a
+    null there. One join by view; all else that a row holds is carried along, but columns w, h, rotation_angle, translation_x and inside.
+    """
+    c, own = F.col, ("w", "h", "rotation_angle", "translation_x", "inside")
+    j = points.drop(*own).join(axes.select("view_id", *own[:4]), "view_id", "left")
+    x, y = _turned(c("x"), c("y"), c("rotation_angle"))
+    j = j.withColumns({"x": F.coalesce(x + c("translation_x"), c("x").cast("double")), "y": F.coalesce(y, c("y").cast("double"))})
+    on = lambda v, size: (v >= -1e-6) & (v <= size - 1 + 1e-6)
+    return j.withColumn("inside", on(c("x"), c("w")) & on(c("y"), c("h"))).drop(*own[:4])
 
 
 def contour_roles(contours: DataFrame) -> DataFrame:

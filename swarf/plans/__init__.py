@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from swarf.plans import face_queries, geometry_queries, more_queries, other_queries, part_queries, stack_queries  # noqa: F401
+    from swarf.plans import face_queries, geometry_queries, more_queries, other_queries, part_queries, stack_queries, view_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -95,17 +95,28 @@ def c14_hole_depth(spark: SparkSession, d: str) -> DataFrame:
     return h.withColumn("depth", r6(F.when(F.col("depth") == float("inf"), -1.0).otherwise(F.col("depth"))))
 
 
-@query()
+def _greedy(name: str, alike: str) -> str:
+    """The fold over a part's axes as a recursion that carries the seeds found so far; `alike` is between a seed a and a row r."""
+    one = ", ".join(f"'{k}': r.{k}" for k in ("ox", "oy", "oz", "dx", "dy", "dz", "radius"))
+    return f"""{name}(part_id, k, id, seeds, seed) AS (SELECT part_id, 0::BIGINT, 0::BIGINT, []::STRUCT(id BIGINT, ox DOUBLE, oy DOUBLE, oz DOUBLE, dx DOUBLE, dy DOUBLE, dz DOUBLE, radius DOUBLE)[], 0::BIGINT FROM (SELECT DISTINCT part_id FROM axes)
+      UNION ALL SELECT part_id, k, id, CASE WHEN seed IS NULL THEN list_append(seeds, one) ELSE seeds END, coalesce(seed, id)
+      FROM (SELECT s.part_id, r.k, r.id, s.seeds, {{'id': r.id, {one}}} AS one, list_filter(s.seeds, lambda a: {alike.replace("b.", "r.")})[1].id AS seed FROM {name} s JOIN (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY id) AS k FROM axes) r ON r.part_id = s.part_id AND r.k = s.k + 1))"""
+
+
+COAXIAL, COPLANAR = _greedy("ga", f"{DOT} AND {APART} <= 0.75"), f"{DOT} AND abs({ALONG}) <= "
+
+
+@query(f"WITH RECURSIVE {AXES}, {COAXIAL} SELECT part_id, id, seed FROM ga WHERE k > 0")
 def c01_c03_coaxial_groups(spark: SparkSession, d: str) -> DataFrame:
     return fe.greedy_groups(axes(spark, d), fe.same_axis(distance=0.75))
 
 
-@query()
+@query(f"WITH RECURSIVE {AXES}, {_greedy('gr', 'abs(b.radius - a.radius) <= 0.25')} SELECT part_id, id, seed FROM gr WHERE k > 0")
 def c02_radius_groups(spark: SparkSession, d: str) -> DataFrame:
     return fe.greedy_groups(axes(spark, d), fe.same_radius(0.25))
 
 
-@query()
+@query(f"WITH RECURSIVE {AXES}, {_greedy('gp', COPLANAR + '0.25')} SELECT part_id, id, seed FROM gp WHERE k > 0")
 def c04_coplanar_groups(spark: SparkSession, d: str) -> DataFrame:
     return fe.greedy_groups(axes(spark, d), fe.same_plane(distance=0.25))
 
@@ -167,12 +178,21 @@ def _normal(spark: SparkSession, d: str) -> DataFrame:
     return fe.normalise(m, m, m, distance=0.75)
 
 
-@query()
+#: Merged groups of all three kinds; the limit on angles doesn't tell these axes apart, which are parallel or far from it.
+NORMAL = f"""WITH RECURSIVE {AXES}, {COAXIAL}, {_greedy('gp', COPLANAR + '0.75')},
+    mb AS (SELECT a.*, ga.seed AS axis_seed, gp.seed AS plane_seed, CASE WHEN a.id % 4 = 0 THEN NULL ELSE area END AS depth, a.id % 4 >= 2 AS has_bottom FROM axes a JOIN ga USING (part_id, id) JOIN gp USING (part_id, id) WHERE ga.k > 0 AND gp.k > 0),
+    mg AS (SELECT part_id, axis_seed AS seed, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS sources, max(radius) - min(radius) AS spread, max(depth) AS deepest, bool_or(has_bottom) AS blind, sum(id % 5) AS n_faces, arg_min(id % 3, id) AS n_ends FROM mb GROUP BY ALL),
+    nm AS (SELECT part_id, seed, n, 'hole' AS kind, sources, CASE WHEN n_faces > 0 THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS completeness, CASE WHEN n = 1 AND (blind OR deepest IS NULL) OR n > 1 AND 2 * spread < 1e-6 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM mg
+      UNION ALL SELECT part_id, seed, n, 'cylinder', sources, CASE WHEN n_ends >= 2 OR n_ends = 0 AND deepest IS NULL THEN 'COMPLETE' WHEN n_ends = 1 THEN 'PARTIAL' ELSE 'INCOMPLETE' END, CASE WHEN n = 1 OR spread < 1e-6 THEN 'HIGH' ELSE 'MEDIUM' END FROM mg
+      UNION ALL SELECT part_id, plane_seed, count(*), 'planar', string_agg(id::VARCHAR, ',' ORDER BY id), 'COMPLETE', CASE WHEN count(*) = 1 THEN 'HIGH' ELSE 'MEDIUM' END FROM mb GROUP BY part_id, plane_seed)"""
+
+
+@query(f"{NORMAL} SELECT part_id, 'normalized_' || kind || '_' || (row_number() OVER (PARTITION BY part_id, kind ORDER BY seed) - 1) AS normal_id, kind, sources, completeness, confidence FROM nm")
 def r10_normalised(spark: SparkSession, d: str) -> DataFrame:
     return _normal(spark, d)
 
 
-@query()
+@query(f"{NORMAL} SELECT part_id, count(*) AS total_features, (sum(n) - count(*))::BIGINT AS merged_count FROM nm GROUP BY part_id")
 def r10_normalised_counts(spark: SparkSession, d: str) -> DataFrame:
     return fe.normaliser_counts(_normal(spark, d))
 
@@ -221,6 +241,19 @@ def a21_r04_axial_extent(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a.part_id") == F.col("b.part_id")).groupBy("a.part_id", "a.id").agg(r6(F.min(t)).alias("t_min"), r6(F.max(t)).alias("t_max"))
 
 
+@query(f"""WITH {AXES}, {FACES}, bx AS (SELECT part_id, id, ox + 0.5::DOUBLE * k - radius AS x0, ox + 0.5::DOUBLE * k + radius AS x1, oy - radius AS y0, oy + radius + k AS y1, oz - area AS z0, oz + 2 * area AS z1 FROM axes, (SELECT unnest([0, 1]) AS k) WHERE id % 5 <> 1 AND (k = 0 OR id % 3 = 0)),
+    bt AS (SELECT part_id, id, min(t) AS lo, max(t) AS hi FROM (SELECT part_id, id, (CASE WHEN m % 2 = 0 THEN x0 ELSE x1 END - ox) * dx + (CASE WHEN m // 2 % 2 = 0 THEN y0 ELSE y1 END - oy) * dy + (CASE WHEN m // 4 = 0 THEN z0 ELSE z1 END - oz) * dz AS t FROM axes JOIN bx USING (part_id, id), (SELECT unnest(range(8)) AS m)) GROUP BY part_id, id),
+    et AS (SELECT part_id, axis AS id, min(t) AS lo, max(t) AS hi FROM ends WHERE axis <> plane GROUP BY ALL)
+    SELECT part_id, id, {Q6('coalesce(CASE WHEN id % 2 = 1 THEN et.lo END, bt.lo, 0)')} AS t_min, {Q6('coalesce(CASE WHEN id % 2 = 1 THEN et.hi END, bt.hi, 0)')} AS t_max FROM axes LEFT JOIN bt USING (part_id, id) LEFT JOIN et USING (part_id, id)""")
+def r04_axial_extents(spark: SparkSession, d: str) -> DataFrame:
+    """Even ids are holes; some have no box, some two."""
+    a, c = axes(spark, d), F.col
+    two = a.withColumn("k", F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda k: (c("id") % 5 != 1) & ((k == 0) | (c("id") % 3 == 0)))))
+    boxes = two.select("part_id", "id", (c("ox") + 0.5 * c("k") - c("radius")).alias("x0"), (c("ox") + 0.5 * c("k") + c("radius")).alias("x1"), (c("oy") - c("radius")).alias("y0"), (c("oy") + c("radius") + c("k")).alias("y1"), (c("oz") - c("area")).alias("z0"), (c("oz") + 2 * c("area")).alias("z1"))
+    t = fe.axial_extent(a.withColumn("from_hole", c("id") % 2 == 0), boxes, fe.end_faces(a, a, distance=0.75).where("axis <> plane"))
+    return t.select("part_id", "id", r6(c("t_min")).alias("t_min"), r6(c("t_max")).alias("t_max"))
+
+
 LOOP = """l0 AS (SELECT part_id, row_number() OVER w AS k, z_start AS a, z_end AS b, od_diameter / 2 AS ro, id_diameter / 2 AS ri, lag(z_end) OVER w AS pz, lead(z_start) OVER w AS nz, lag(od_diameter) OVER w / 2 AS po, lead(id_diameter) OVER w / 2 AS ni FROM segments WINDOW w AS (PARTITION BY part_id ORDER BY z_start, seq)),
     l1 AS (SELECT part_id, 0 AS leg, k AS key, 0 AS sub, greatest(ri, 0) AS sx, a AS sy, ro AS ex, a AS ey FROM l0 WHERE pz IS NULL
       UNION ALL SELECT part_id, 1, k, 0, po, pz, ro, a FROM l0 WHERE abs(ro - po) > 1e-6 UNION ALL SELECT part_id, 1, k, 1, ro, a, ro, b FROM l0

@@ -172,9 +172,32 @@ def x03_v15_text_hints(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("view_id").agg(has("ø", "dia").alias("dia_conf"), has("section", "view", "a-a").alias("section_conf"), F.coalesce(F.max(F.when(F.col("c") >= 0.5, F.col("c"))), F.lit(0.0)).alias("kept"))
 
 
-@query()
+def _listed(list_: str, one: str, many: str) -> str:
+    """A sentence about the sections of a list, in words for one and for several; null if there are none."""
+    return f"CASE WHEN {list_}.n = 1 THEN {one} ELSE {many} END".replace("{}", f"' || {list_}.said || '").replace("{n}", f"' || {list_}.n || '")
+
+
+X04 = f"""WITH {SEG}, o AS (SELECT part_id, row_number() OVER (PARTITION BY part_id ORDER BY seq) AS i, z_end - z_start AS l, od_diameter, id_diameter, confidence, CASE WHEN part_id % 5 <> 0 THEN (part_id % 50 + 50) / 100.0::DOUBLE END AS overall FROM segments),
+    k AS (SELECT part_id, i, 'thin' AS list FROM o WHERE (od_diameter - id_diameter) / 2 > 0 AND (od_diameter - id_diameter) / 2 < 0.05 UNION ALL SELECT part_id, i, 'bore' FROM o WHERE id_diameter > 0 UNION ALL SELECT part_id, i, 'low' FROM o WHERE overall IS NOT NULL AND confidence < 0.65
+      UNION ALL SELECT part_id, i, 'thin_wall' FROM o WHERE od_diameter - id_diameter < 0.1 UNION ALL SELECT part_id, i, 'low_confidence' FROM o WHERE confidence < 0.6),
+    r AS (SELECT part_id, list, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY part_id, list ORDER BY i) AS run FROM k) GROUP BY part_id, list, run),
+    q AS (SELECT part_id, list, sum(n)::BIGINT AS n, min(a) AS first, list(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END ORDER BY a) AS runs FROM r GROUP BY part_id, list),
+    t AS (SELECT part_id, list, n, first, CASE len(runs) WHEN 1 THEN runs[1] WHEN 2 THEN runs[1] || ' and ' || runs[2] ELSE array_to_string(runs[:len(runs) - 1], ', ') || ', and ' || runs[len(runs)] END AS said FROM q),
+    p AS (SELECT part_id, count(*) AS n, any_value(overall) AS overall, max(l) AS l FROM o GROUP BY part_id), g AS (SELECT part_id, min(i) AS i FROM o JOIN p USING (part_id, l) GROUP BY part_id),
+    f AS (SELECT p.part_id, fa.first AS first_a, fb.first AS first_b, {_listed("fa", "'Section {} has thin walls.'", "'Sections {} have thin walls.'")} AS a, {_listed("fb", "'Section {} has low confidence.'", "'Sections {} have low confidence.'")} AS b
+      FROM p LEFT JOIN t fa ON fa.part_id = p.part_id AND fa.list = 'thin_wall' LEFT JOIN t fb ON fb.part_id = p.part_id AND fb.list = 'low_confidence')
+    SELECT p.part_id, trim(regexp_replace(concat_ws(' ', 'This part has ' || p.n || CASE WHEN p.n = 1 THEN ' turned section.' ELSE ' turned sections.' END, CASE WHEN l > 0 THEN 'The longest section is ' || printf('%.2f', l) || ' in (section ' || g.i || ').' END,
+      {_listed("th", "'One thin-wall area was detected in section {} and needs review.'", "'{n} thin-wall areas were detected in sections {} and need review.'")},
+      CASE WHEN bo.n IS NULL THEN 'No internal bore detected (solid part).' WHEN bo.n = p.n THEN 'Internal bore is present throughout all sections.' ELSE {_listed("bo", "'Internal bore appears only in section {}.'", "'Internal bore appears in sections {}.'")} END,
+      {_listed("lo", "'Section {} has low confidence and may need manual review.'", "'Sections {} have low confidence and may need manual review.'")},
+      CASE WHEN first_b < first_a THEN concat_ws(' ', b, a) ELSE concat_ws(' ', a, b) END,
+      CASE WHEN overall IS NOT NULL THEN 'Overall detection confidence is ' || CASE WHEN overall >= 0.85 THEN 'high' WHEN overall >= 0.65 THEN 'medium' ELSE 'low' END || ' (' || printf('%.0f', overall * 100) || '%).' END), '  +', ' ', 'g')) AS explanation
+    FROM p JOIN g USING (part_id) JOIN f USING (part_id) LEFT JOIN t th ON th.part_id = p.part_id AND th.list = 'thin' LEFT JOIN t bo ON bo.part_id = p.part_id AND bo.list = 'bore' LEFT JOIN t lo ON lo.part_id = p.part_id AND lo.list = 'low'"""
+
+
+@query(X04)
 def x04_explanations(spark: SparkSession, d: str) -> DataFrame:
-    """Held against a model in Python by the tests."""
+    """Paragraphs about all parts; a model in Python follows them in the tests too."""
     flags = F.filter(F.array(F.when(F.col("od_diameter") - F.col("id_diameter") < 0.1, "thin_wall"), F.when(F.col("confidence") < 0.6, "low_confidence")), lambda x: x.isNotNull())
     s = F.struct("seq", "z_start", "z_end", F.col("od_diameter").alias("od"), F.col("id_diameter").alias("bore"), "confidence", flags.alias("flags"))
     stacks = segments(spark, d).groupBy("part_id").agg(F.sort_array(F.collect_list(s)).alias("seg")).withColumn("overall", F.when(F.col("part_id") % 5 != 0, (F.col("part_id") % 50 + 50) / F.lit(100.0)))
@@ -355,9 +378,8 @@ def io10_r15_listing(spark: SparkSession, d: str) -> DataFrame:
     return fl.listing(spark, d).select("path", "length", fl.is_upload(F.col("path")).alias("upload"))
 
 
-@query()
-def io13_unzip(spark: SparkSession, d: str) -> DataFrame:
-    """Archives made from documents, then taken apart again."""
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    """key, content: an archive of four files for each document, each with its text."""
     import io
     import zipfile
 
@@ -371,8 +393,36 @@ def io13_unzip(spark: SparkSession, d: str) -> DataFrame:
                 out.append((k, buf.getvalue()))
             yield b.iloc[:0].assign(key=[], content=[])[["key", "content"]] if not out else type(b)(out, columns=["key", "content"])
 
-    packed = table(spark, d, "documents").select("doc_id", "text").mapInPandas(pack, "key long, content binary")
-    return fl.unzip(packed).select("key", "name", F.length("content").cast("long").alias("size"))
+    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(pack, "key long, content binary")
+
+
+@query("SELECT doc_id AS key, unnest(['x.pdf', 'x_1.pdf', 'y.PDF']) AS name, strlen(coalesce(text, '')) AS size FROM documents")
+def io13_unzip(spark: SparkSession, d: str) -> DataFrame:
+    """Archives made from documents, then taken apart again."""
+    return fl.unzip(packed(spark, d)).select("key", "name", F.length("content").cast("long").alias("size"))
+
+
+def uploaded(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads of a job for each document: a plan, notes, an archive, and one that is none; of every third job the notes alone."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), (F.col("doc_id") % 3 != 0).alias("all"))
+    one = lambda name: F.struct(F.lit(name).alias("name"), F.col("text").alias("content"))
+    plain = t.select("job", F.explode(F.when(F.col("all"), F.array(one("in/the plan..PDF"), one("notes.txt"), one("broken.zip"))).otherwise(F.array(one("notes.txt")))).alias("f")).select("job", "f.*")
+    zips = packed(spark, d).where("key % 3 <> 0").select(F.col("key").cast("string").alias("job"), F.lit("all.ZIP").alias("name"), "content")
+    return plain.unionByName(zips).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+KEPT = "kept AS (SELECT doc_id::VARCHAR AS job, unnest([{'name': 'the plan_PDF', 'source': 'pdf'}, {'name': 'x.pdf', 'source': 'zip'}, {'name': 'x_1.pdf', 'source': 'zip'}, {'name': 'y.PDF', 'source': 'zip'}], recursive := true), strlen(coalesce(text, '')) AS size FROM documents WHERE doc_id % 3 <> 0)"
+
+
+@query(f"WITH {KEPT} SELECT job, name, source, size FROM kept")
+def r15_uploaded_files(spark: SparkSession, d: str) -> DataFrame:
+    return dc.ingest(uploaded(spark, d))[0].select("job", "name", "source", "size")
+
+
+@query(f"WITH {KEPT} SELECT job, count(*) AS n_files, 'CREATED' AS status FROM kept GROUP BY job")
+def r15_created_events(spark: SparkSession, d: str) -> DataFrame:
+    """A job with nothing but notes has no event."""
+    return dc.ingest(uploaded(spark, d))[1].select("job", "n_files", "status")
 
 
 @query(f"""WITH {SEG}, p AS (SELECT part_id, count(*) AS n_segments, {Q6('sum(z_end - z_start) + 1e-10')} AS length, max(od_diameter) > 2.4 AS corrupt FROM segments GROUP BY part_id)

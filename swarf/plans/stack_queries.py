@@ -23,12 +23,15 @@ def w02_w03_snap_and_shift(spark: SparkSession, d: str) -> DataFrame:
     return normalize.snap(segments(spark, d, gaps=True)).select("part_id", "seq", r6(F.col("z0")).alias("z0"), r6(F.col("z1")).alias("z1"), "snapped")
 
 
-def _fold(short: bool, similar: bool) -> str:
+SNAPPED = "SELECT part_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY part_id) AS n, z0, z1, od_diameter AS od, id_diameter AS bore, 1 AS k, snapped, confidence AS base, range FROM sn WINDOW w AS (PARTITION BY part_id ORDER BY z_start, seq)"
+
+
+def _fold(short: bool, similar: bool, of: str = SNAPPED) -> str:
     """The same pass as a recursion: one row for each state of the last merged segment."""
     mean = lambda c: f"CASE WHEN (a.z1 - a.z0) + (b.z1 - b.z0) > 0 THEN (a.{c} * (a.z1 - a.z0) + b.{c} * (b.z1 - b.z0)) / ((a.z1 - a.z0) + (b.z1 - b.z0)) ELSE a.{c} END"
     both = lambda: f"a.z0, b.z1, {mean('od')} AS od, {mean('bore')} AS bore, a.k + b.k AS k, a.snapped OR b.snapped AS snapped, a.base + b.base AS base"
     brief = f"{'true' if short else 'false'} AND b.i < b.n AND b.z1 - b.z0 < greatest(0.005, 0.002 * b.range)"
-    return f"""s AS (SELECT part_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY part_id) AS n, z0, z1, od_diameter AS od, id_diameter AS bore, 1 AS k, snapped, confidence AS base, range FROM sn WINDOW w AS (PARTITION BY part_id ORDER BY z_start, seq)),
+    return f"""s AS ({of}),
     pairs AS (SELECT a.part_id, a.i, {both()} FROM s a JOIN s b ON a.part_id = b.part_id AND b.i = a.i + 1),
     f AS (SELECT part_id, 0::BIGINT AS step, 1::BIGINT AS next, 0::BIGINT AS grp, 0::DOUBLE AS z0, 0::DOUBLE AS z1, 0::DOUBLE AS od, 0::DOUBLE AS bore, 0 AS k, false AS snapped, 0::DOUBLE AS base FROM s WHERE i = 1
       UNION ALL
@@ -36,7 +39,7 @@ def _fold(short: bool, similar: bool) -> str:
         CASE WHEN NOT ({brief}) AND alike THEN a.grp ELSE a.grp + 1 END AS grp,
         CASE WHEN {brief} THEN p.z0 WHEN alike THEN a.z0 ELSE b.z0 END AS z0, CASE WHEN {brief} THEN p.z1 ELSE b.z1 END AS z1,
         CASE WHEN {brief} THEN p.od WHEN alike THEN {mean('od')} ELSE b.od END AS od, CASE WHEN {brief} THEN p.bore WHEN alike THEN {mean('bore')} ELSE b.bore END AS bore,
-        CASE WHEN {brief} THEN p.k WHEN alike THEN a.k + 1 ELSE 1 END AS k, CASE WHEN {brief} THEN p.snapped WHEN alike THEN a.snapped OR b.snapped ELSE b.snapped END AS snapped,
+        CASE WHEN {brief} THEN p.k WHEN alike THEN a.k + b.k ELSE b.k END AS k, CASE WHEN {brief} THEN p.snapped WHEN alike THEN a.snapped OR b.snapped ELSE b.snapped END AS snapped,
         CASE WHEN {brief} THEN p.base WHEN alike THEN a.base + b.base ELSE b.base END AS base
         FROM (SELECT f.*, s2.od AS bod, s2.bore AS bbore, {'true' if similar else 'false'} AND f.grp > 0 AND abs(f.od - s2.od) < greatest(0.02, 0.01 * ((f.od + s2.od) / 2)) AND abs(f.bore - s2.bore) < greatest(0.02, 0.01 * ((f.od + s2.od) / 2)) AS alike FROM f JOIN s s2 ON s2.part_id = f.part_id AND s2.i = f.next) a
         JOIN s b ON b.part_id = a.part_id AND b.i = a.next LEFT JOIN pairs p ON p.part_id = a.part_id AND p.i = a.next)),
@@ -53,9 +56,12 @@ def w04_w06_normalise(spark: SparkSession, d: str) -> DataFrame:
     return m.select("part_id", "place", *[r6(F.col(c)).alias(c) for c in ("z0", "z1", "od", "bore")], F.col("k").cast("long").alias("k"), "snapped")
 
 
-@query()
+TWICE = _fold(False, True, "SELECT part_id, place AS i, count(*) OVER (PARTITION BY part_id) AS n, z0, z1, od, bore, k, snapped, base, range FROM one JOIN (SELECT part_id, any_value(range) AS range FROM sn GROUP BY part_id) USING (part_id)")
+
+
+@query(f"WITH RECURSIVE {segments_sql(**CLOSE)}, {SNAP}, one AS (WITH RECURSIVE {_fold(True, False)} SELECT * FROM m), {TWICE} SELECT part_id, place, {Q6('z0')} AS z0, {Q6('z1')} AS z1, {Q6('od')} AS od, {Q6('bore')} AS bore, k::BIGINT AS k, snapped FROM m")
 def w04_w06_two_pass(spark: SparkSession, d: str) -> DataFrame:
-    """The variant that merges short segments first; held against a model in Python by the tests."""
+    """The variant that merges short segments first."""
     m = normalize.normalise(segments(spark, d, **CLOSE), two_pass=True)
     return m.select("part_id", "place", *[r6(F.col(c)).alias(c) for c in ("z0", "z1", "od", "bore")], F.col("k").cast("long").alias("k"), "snapped")
 
