@@ -7,15 +7,17 @@ doesn't let through is alone, and stays where it is. The others meet the level,
 stays.
 
 An index in a folder takes further batches. Of each batch it holds a level (sorted by digest), the texts of its new
-entries, and a filter: a bitmap of the hashed digests in small rows. A new batch's digests go to the filters of earlier
-levels first; only what these let through is joined with the levels, and hits are verified by their bytes. When the levels
-get too many they are compacted into one, which keeps each entry's best identifier.
+entries on shelves by hashed digest (a folder each), and a filter: a bitmap of the hashed digests in small rows. A new batch's
+digests go to the filters of earlier levels first; only what these let through is joined with the levels, and hits are verified
+by their bytes, for which the shelves that hold none of them aren't read. When the levels get too many they are compacted into
+one, which keeps each entry's best identifier.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ LEVELS = 8
 FILTER_BYTES = 64 << 20
 #: Bits of a filter's row, and the rows of a filter for each so many digests: some 16 bits a digest.
 FILTER_BITS, DIGESTS_A_ROW = 32768, 2048
+#: Texts of a level on one shelf, and the most shelves of a level.
+TEXTS_A_SHELF, SHELVES = 8192, 4096
 
 
 def normalised(text: Column) -> Column:
@@ -136,6 +140,11 @@ def passed(digests: DataFrame, filters: DataFrame) -> DataFrame:
     return looked.where(is_set(F.col("bits"), F.col("bit"))).select("digest").distinct()
 
 
+def shelf(digest: Column, shelves: Column) -> Column:
+    """The shelf of a digest in a level of so many: both numbers, as levels differ in size."""
+    return F.concat_ws("-", shelves.cast("string"), F.pmod(F.xxhash64(digest, F.lit("shelf")), shelves.cast("long")).cast("string"))
+
+
 class Index:
     """Levels, filters and texts in a folder. Each compaction begins a generation; the newest one with a finished level counts,
     and in it the levels that are finished, so that a batch or a compaction which fails midway leaves the index as it was.
@@ -163,16 +172,30 @@ class Index:
         return e.select("digest", "entry", F.col("first.doc_id").alias("doc_id"), (-F.col("first.p")).cast("int").alias("points"), "group_size")
 
     def filters(self) -> DataFrame:
-        return self.read("filter", "rows long, row long, bits binary")
-
-    def texts(self) -> DataFrame:
-        return self.read("texts", "digest string, entry string, norm string")
+        return self.read("filter", "rows long, row long, bits binary, shelves int")
+
+    def texts(self, of: DataFrame | None = None) -> DataFrame:
+        """digest, entry, norm of all entries, or of those with the digests of another table, for which only their shelves are read.
+
+        The names of the shelves that hold one go through the driver: SHELVES for a level at most, of LEVELS + 1 levels.
+        """
+        at = [f"{self.folder}/{self.generation}/{b}/texts" for b in self.batches]
+        found = [self.spark.read.schema("digest string, entry string, norm string, shelf string").parquet(a) for a in at]
+        if of is not None:
+            sizes = [r["shelves"] for r in self.filters().select("shelves").distinct().collect()]  # at most one for each level
+            wanted = of.select(F.explode(F.array(*[shelf(F.col("digest"), F.lit(n)) for n in sizes])).alias("shelf")).distinct()
+            names = [r["shelf"] for r in wanted.collect()]
+            found = [f.where(F.col("shelf").isin(names)).join(of.select("digest"), "digest", "left_semi") for f in found]
+        return reduce(DataFrame.unionByName, [f.select("digest", "entry", "norm") for f in found])
 
     def write(self, batch: str, texts: DataFrame, level: DataFrame, generation: str | None = None) -> None:
         """The level last: only then does the batch count."""
         at = f"{self.folder}/{generation or self.generation}/{batch}"
-        texts.select("digest", "entry", "norm").write.option("compression", "zstd").parquet(f"{at}/texts")
-        filter_of(level, level.count()).write.parquet(f"{at}/filter")
+        n = level.count()
+        shelves = max(1, min(SHELVES, n // TEXTS_A_SHELF))
+        on = texts.select("digest", "entry", "norm", shelf(F.col("digest"), F.lit(shelves)).alias("shelf"))
+        on.repartitionByRange("shelf", "digest").sortWithinPartitions("shelf", "digest").write.partitionBy("shelf").option("compression", "zstd").parquet(f"{at}/texts")
+        filter_of(level, n).withColumn("shelves", F.lit(shelves)).write.parquet(f"{at}/filter")
         level.select("digest", "entry", "doc_id", "points", "group_size").sortWithinPartitions("digest").write.parquet(f"{at}/level")
 
     def compact(self) -> None:
@@ -187,8 +210,8 @@ def add(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = whole
 
     Rows as of exact_dedup(), as things stand after this batch: keep_id and group_size cover all batches so far, and kept is
     true for the row of this batch that stays, if one does. A later batch may hold a longer original; ties stay with the
-    earlier one. The texts of the index are read whole, once for each batch, and only those of digests that a filter lets through
-go on; so batches should be large.
+    earlier one. Of the texts of the index only the shelves are read that hold a digest which a filter lets through, and only the texts of
+    such digests go on. New texts are shuffled once, to their shelves.
     """
     spark, index, batch = docs.sparkSession, Index(docs.sparkSession, folder), "b" + uuid.uuid4().hex
     runs, level = grouped(docs, digest)
@@ -197,7 +220,7 @@ go on; so batches should be large.
     if index.batches:
         maybe = stage(passed(level.select("digest").distinct(), index.filters()), "maybe")
         here = mine.join(maybe, "digest", "left_semi").join(norms.select("digest", "bytes", F.col("uid").alias("keep_uid"), "norm"), ["digest", "bytes", "keep_uid"])
-        there = index.texts().join(maybe, "digest", "left_semi").withColumnRenamed("norm", "old_norm")
+        there = index.texts(maybe).withColumnRenamed("norm", "old_norm")
         same = here.join(there, "digest").where("norm = old_norm").select("digest", "bytes", "entry")
         old = index.entries().join(maybe, "digest", "left_semi").select("digest", "entry", *[F.col(c).alias(f"old_{c}") for c in ("doc_id", "points", "group_size")])
         mine = mine.join(same.join(old, ["digest", "entry"]), ["digest", "bytes"], "left")

@@ -335,6 +335,7 @@ def test_the_filter_keeps_lone_rows_from_the_join(spark, docs, monkeypatch):
 def test_batches_into_an_index(spark, odd, docs, empty, tmp_path, monkeypatch, digest):
     """Batches, with compactions between, end where one run over all of them ends."""
     monkeypatch.setattr(exact_dedup, "LEVELS", 2)
+    monkeypatch.setattr(exact_dedup, "TEXTS_A_SHELF", 40)
     folder, every = f"file://{tmp_path}/index", odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
     batches = [every.where("pmod(xxhash64(text), 4) = 0 or doc_id % 2 = 0"), every.where("doc_id % 2 = 1 and pmod(xxhash64(text), 4) <> 0"), empty.select("doc_id", "text"), every.where("doc_id is null and pmod(xxhash64(text), 4) <> 0"), docs.select((F.col("doc_id") + 10_000).alias("doc_id"), F.concat(F.lit(" "), "text").alias("text"))]
     whole = None
@@ -356,6 +357,29 @@ def test_batches_into_an_index(spark, odd, docs, empty, tmp_path, monkeypatch, d
         assert exact_dedup.passed(other, index.filters()).count() < 4000
 
 
+def test_a_batch_reads_only_the_shelves_of_its_hits(spark, tmp_path, monkeypatch):
+    """All other shelves are spoilt, and the next batch doesn't notice."""
+    monkeypatch.setattr(exact_dedup, "TEXTS_A_SHELF", 50)
+    folder = f"file://{tmp_path}/index"
+    texts = lambda ids: ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    exact_dedup.add(texts(spark.range(3000)), folder)
+    hits = spark.createDataFrame([(5000, "text number 7"), (5001, "textnumber2999"), (5002, "something else"), (5003, None)], "doc_id long, text string")
+    digests = hits.select(exact_dedup.whole_digest(exact_dedup.normalised(F.col("text"))).alias("digest"))
+    index = exact_dedup.Index(spark, folder)
+    through = exact_dedup.passed(digests, index.filters())
+    needed = {r[0] for r in through.select(exact_dedup.shelf(F.col("digest"), F.lit(60))).collect()}
+    files = list((tmp_path / "index" / index.generation / index.batches[0] / "texts").glob("shelf=*/*.parquet"))
+    assert len({f.parent.name for f in files}) == 60 and 2 <= len(needed) <= 4
+    assert index.texts().count() == 3000 and index.texts(through).count() == 2
+    for f in files:
+        if f.parent.name.removeprefix("shelf=") not in needed:
+            f.write_bytes(b"spoilt")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.add(hits, folder).collect()}
+    assert got == {5000: (7, 2, False), 5001: (2999, 2, False), 5002: (5002, 1, True), 5003: (5003, 1, True)}
+    with pytest.raises(Exception, match="(?i)parquet|checksum"):
+        index.texts().count()
+
+
 def test_exact_dedup_of_nothing(empty, odd):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert exact_dedup.exact_dedup(odd).select("row.*").columns == odd.columns
