@@ -269,6 +269,13 @@ def positions(table: int, bits: int) -> np.ndarray:
     return np.random.default_rng([17, table]).choice(256, bits, replace=False)
 
 
+def key_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The key that the bits at these positions make up, from the bytes of fingerprints as rows; its first bit is the highest."""
+    key = np.zeros((len(flat), 64), np.uint8)
+    key[:, : len(at)] = flat[:, at >> 3] >> (at & 7).astype(np.uint8) & 1
+    return np.packbits(key, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def keys_of(bits: int, count: int):
     """The mapInArrow function from (id, fp) to (tab, key, id, fp), one row for each table."""
     where = [positions(t, bits) for t in range(count)]
@@ -276,11 +283,8 @@ def keys_of(bits: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)[:, : 8 * WIDE] if b.num_rows else np.zeros((0, 8 * WIDE), np.uint8)
-            ones = np.unpackbits(flat, axis=1, bitorder="little")
             for t, at in enumerate(where):
-                key = np.zeros((len(flat), 64), np.uint8)
-                key[:, :bits] = ones[:, at]
-                key = np.packbits(key, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+                key = key_at(flat, at).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), t, np.int32)), pa.array(key), b.column("id"), b.column("fp")], ["tab", "key", "id", "fp"])
 
     return run
@@ -293,15 +297,19 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
     whose sets can't be that similar by their sizes and how many of their shingles other sets have (`common`): stars gives of
     each row a the `pick` nearest b with the bits that differ, and a itself (off LAST) if its key holds more rows than are all compared
     then; all gives every pair; with `places` (table by bit, 1 where its key has the bit) only in the first table in which the
-    pair meets.
+    pair meets. Rows without a `key` have that of their table, made again from the fingerprint; without `comp` each is a
+    component of its own, and nothing is known of the sets.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        key, home, ids = group["key"].to_numpy().view(np.uint64), group["home"].to_numpy(), group["id"].to_numpy()
+        words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)
+        key = group["key"].to_numpy().view(np.uint64) if "key" in group else key_at(np.ascontiguousarray(words[:, :WIDE]).view(np.uint8), positions(int(group["tab"].iloc[0]), bits))
+        home, ids = group["home"].to_numpy(), group["id"].to_numpy()
         order = np.lexsort((ids, key, ~home))  # those at home first, keys unsigned
         key, ids, mine = key[order], ids[order], int(home.sum())
-        comp, size, common = (group[c].to_numpy()[order] for c in ("comp", "size", "common")) if give != "forest" else (None, None, None)
-        words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)[order]
+        words, comp, size, common = words[order], None, None, None
+        if give != "forest":
+            comp, size, common = (group[c].to_numpy()[order] for c in ("comp", "size", "common")) if "comp" in group else (ids, *np.ones((2, len(ids)), np.int64))
         x, fx = np.unique(key[:mine], return_index=True)
         y, fy = np.unique(key[mine:], return_index=True)
         first = np.concatenate([fx, fy + mine])
@@ -482,12 +490,11 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     def candidates(of: DataFrame, give: str, pick: int, schema: str) -> DataFrame:
         keys = of.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
         words = WIDEST if "comp" in of.columns else WIDE
-        if "comp" in of.columns:
-            keys = keys.join(of.select("id", "comp", "size", "common"), "id")
-        else:  # nothing is known of the sets yet
-            keys = keys.select("*", F.col("id").alias("comp"), F.lit(1).alias("size"), F.lit(1).alias("common"))
+        known = [c for c in ("comp", "size", "common") if c in of.columns]
+        if known:
+            keys = keys.join(of.select("id", *known), "id")
         keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
-        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", "comp", "size", "common"), HOT * subtree, min(bits, depth + 4))
+        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", *known), HOT * subtree, min(bits, depth + 4)).drop("key")  # the fingerprint has it
         return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit(words), give, pick, similarity, places), schema)
 
     of, sets, seen, links, roots = classes, None, None, None, None
