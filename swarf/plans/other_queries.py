@@ -383,17 +383,14 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
     import io
     import zipfile
 
-    def pack(batches):
-        for b in batches:
-            out = []
-            for k, t in zip(b["doc_id"], b["text"], strict=True):
-                with zipfile.ZipFile(buf := io.BytesIO(), "w") as z:
-                    for name in ("a/x.pdf", "b/x.pdf", "c/y.PDF", "d/z.txt"):
-                        z.writestr(name, t or "")
-                out.append((k, buf.getvalue()))
-            yield b.iloc[:0].assign(key=[], content=[])[["key", "content"]] if not out else type(b)(out, columns=["key", "content"])
-
-    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(pack, "key long, content binary")
+    def pack(text):
+        with zipfile.ZipFile(buf := io.BytesIO(), "w") as z:
+            for name in ("a/x.pdf", "b/x.pdf", "c/y.PDF", "d/z.txt"):
+                z.writestr(name, text or "")
+        return buf.getvalue()
+
+    pack = F.udf(pack, "binary", useArrow=False)
+    return table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("key"), pack("text").alias("content"))
 
 
 @query("SELECT doc_id AS key, unnest(['x.pdf', 'x_1.pdf', 'y.PDF']) AS name, strlen(coalesce(text, '')) AS size FROM documents")

@@ -108,6 +108,18 @@ def test_archives(spark):
     assert {(r["name"], bytes(r["content"]).decode()) for r in rows} == {("a.pdf", "a.pdf"), ("a_1.pdf", "in/a.pdf"), ("a_2.pdf", "deep/er/a.pdf"), ("b.PDF", "in/b.PDF")}
 
 
+def test_archives_are_taken_apart_without_a_shuffle(spark):
+    with zipfile.ZipFile(buf := io.BytesIO(), "w") as z:
+        for k in range(300):
+            z.writestr(f"{k}/a.pdf", str(k))
+            z.writestr(f"{k}/..pdf", "")
+    rows = fl.unzip(spark.createDataFrame([("x", buf.getvalue()), ("y", None), (None, b"none"), ("z", buf.getvalue())], "key string, content binary"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InPandas" not in plan and "Arrow" not in plan
+    got = {(r["key"], r["name"], bytes(r["content"]).decode()) for r in rows.collect()}
+    assert got == {(key, name.format(f"_{k}" if k else ""), text) for key in "xz" for k in range(300) for name, text in (("a{}.pdf", str(k)), ("_pdf{}", ""))}
+
+
 def test_log_as_a_stream(spark, tmp_path):
     rows = other_queries.log(spark, SF)
     rows.repartition(3).write.parquet(str(tmp_path / "log"))
