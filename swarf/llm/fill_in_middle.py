@@ -16,7 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swarf.llm.common import document, ship
+from swarf.llm.common import document
+from swarf.shipping import ship
 
 #: What stands before prefix, suffix and middle.
 TOKENS = ("<P>", "<S>", "<M>")

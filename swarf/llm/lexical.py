@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from swarf.llm.common import ship, stage, unstage
+from swarf.llm.common import stage, unstage
+from swarf.shipping import ship
 
 #: Documents of a window: an array of 64-bit scores of 256 KB.
 WINDOW = 1 << 15

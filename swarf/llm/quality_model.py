@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swarf.llm.common import document, ship
+from swarf.llm.common import document
+from swarf.shipping import ship
 
 #: Most labelled documents that a fit reads; they are taken in the order of a hash of doc_id.
 SAMPLE = 20_000

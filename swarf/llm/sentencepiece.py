@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swarf.llm.common import ship
+from swarf.shipping import ship
 
 #: How the model files write a space.
 MARK = "▁"

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swarf.llm.common import components, document, ship, stage, unstage
+from swarf.llm.common import components, document, stage, unstage
+from swarf.shipping import ship
 
 #: Fingerprints aimed at in a subtree, and the deepest cut.
 SUBTREE, DEEPEST = 1024, 22

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from swarf.llm.common import ship, stage, unstage
+from swarf.llm.common import stage, unstage
+from swarf.shipping import ship
 
 
 #: Bytes of the rolling hash, a power of two.

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from conftest import SF
 
 from swarf.operators import features as fe
 from swarf.operators import profile as pr
@@ -139,3 +140,26 @@ def test_features_of_random_faces(spark):
     assert fe.from_faces(df.limit(0)).count() == 0 and fe.feature_summary(df.where("part_id = 99")).first()["n_holes"] == 0
     h = fe.face_histogram(df).agg({"n_faces": "sum", "n_other": "sum"}).first()
     assert h[0] + h[1] == len(rows) + sum(r[2] is None for r in rows)
+
+
+def test_pairs_of_a_long_loop_stay_in_its_row(spark):
+    """A comb of 600 lines that one long line crosses, among small loops; more pairs than are looked at together."""
+    rows = [(1, 2 * k + 1, float(k), 0.0, float(k), 2.0) for k in range(300)] + [(1, 2 * k + 2, float(k), 2.0, k + 1.0, 0.0) for k in range(300)] + [(1, 601, 300.0, 0.0, 300.0, 1.0), (1, 602, 300.0, 1.0, -1.0, 1.0), (1, 603, -1.0, 1.0, 0.0, 0.0)]
+    rows += [(p, k + 1, *[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)][k], *[(2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)][k]) for p in range(2, 9) for k in range(4)]
+    df = spark.createDataFrame(rows, "part_id long, i long, sx double, sy double, ex double, ey double")
+    got = {r["part_id"]: (r["n"], r["n_crossings"], r["stage"]) for r in pr.topology(df).collect()}
+    assert got == {1: (603, 600, "CROSSING")} | {p: (4, 0, "OK") for p in range(2, 9)}
+    assert {(r["i"], r["j"], r["y"]) for r in pr.crossings(df).collect()} == {(k, 602, 1.0) for k in range(1, 601)}
+    assert "Generate" not in pr.topology(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_are_spread_by_their_number(spark, monkeypatch):
+    from swarf.sources import tables
+
+    want = sorted(map(tuple, tables.segments(spark, SF).collect()))
+    monkeypatch.setattr(tables, "SEGMENTS", 100)
+    s = tables.segments(spark, SF)
+    n = -(-tables.table(spark, SF, "lineitem").count() // 100)
+    assert s.rdd.getNumPartitions() == n and sorted(map(tuple, s.collect())) == want
+    plan = pr.topology(pr.from_segments(s))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(part_id" in plan
