@@ -147,10 +147,11 @@ def test_pairs_of_a_long_loop_stay_in_its_row(spark):
     rows = [(1, 2 * k + 1, float(k), 0.0, float(k), 2.0) for k in range(300)] + [(1, 2 * k + 2, float(k), 2.0, k + 1.0, 0.0) for k in range(300)] + [(1, 601, 300.0, 0.0, 300.0, 1.0), (1, 602, 300.0, 1.0, -1.0, 1.0), (1, 603, -1.0, 1.0, 0.0, 0.0)]
     rows += [(p, k + 1, *[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)][k], *[(2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)][k]) for p in range(2, 9) for k in range(4)]
     df = spark.createDataFrame(rows, "part_id long, i long, sx double, sy double, ex double, ey double")
-    got = {r["part_id"]: (r["n"], r["n_crossings"], r["stage"]) for r in pr.topology(df).collect()}
+    arcs = df.selectExpr("*", *[f"cast(null as {k}) as {c}" for c, k in pr.ARC.items()])
+    got = {r["part_id"]: (r["n"], r["n_crossings"], r["stage"]) for r in pr.topology(arcs).collect()}
     assert got == {1: (603, 600, "CROSSING")} | {p: (4, 0, "OK") for p in range(2, 9)}
-    assert {(r["i"], r["j"], r["y"]) for r in pr.crossings(df).collect()} == {(k, 602, 1.0) for k in range(1, 601)}
-    assert "Generate" not in pr.topology(df)._jdf.queryExecution().executedPlan().toString()
+    assert {(r["i"], r["j"], r["y"]) for r in pr.crossings(arcs).collect()} == {(k, 602, 1.0) for k in range(1, 601)}
+    assert "Generate" not in pr.topology(arcs)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_segments_are_spread_by_their_number(spark, monkeypatch):
