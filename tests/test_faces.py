@@ -208,3 +208,9 @@ def test_faces_without_a_part_have_no_features(spark, duck, tmp_path):
     con.execute(f"CREATE TEMP VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     for name in ("i10_features_from_faces", "a17_r02_face_summary"):
         same_rows(plans.queries()[name](spark, str(tmp_path)), con, plans.oracle_sql()[name])
+
+
+def test_a_plane_without_a_place_is_no_end_face(spark):
+    rows = [(1, 1, "CYLINDER", True, 1.0, *[0.0] * 5, 1.0, 0.0, 2.0, None), (1, 2, "PLANE", None, None, 0.0, 0.0, None, 0.0, 0.0, 1.0, None, None, 1.0)]
+    r = fe.from_faces(spark.createDataFrame(rows, FACE)).first()
+    assert (r["n_faces"], r["n_end_faces"], r["depth"], r["bottom_type"]) == (1, 0, math.inf, "NONE")
