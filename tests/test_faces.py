@@ -214,3 +214,24 @@ def test_a_plane_without_a_place_is_no_end_face(spark):
     rows = [(1, 1, "CYLINDER", True, 1.0, *[0.0] * 5, 1.0, 0.0, 2.0, None), (1, 2, "PLANE", None, None, 0.0, 0.0, None, 0.0, 0.0, 1.0, None, None, 1.0)]
     r = fe.from_faces(spark.createDataFrame(rows, FACE)).first()
     assert (r["n_faces"], r["n_end_faces"], r["depth"], r["bottom_type"]) == (1, 0, math.inf, "NONE")
+
+
+def test_odd_lines_have_the_features_of_the_sql(spark, duck, tmp_path):
+    """Lines without a number, part, supplier or quantity, and quantities of hundredths and halves of them."""
+    from swarf import plans
+
+    quantity = "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_quantity / 100 + l_suppkey % 40 / 200.0::DOUBLE + 0.01 END"
+    odd = {"l_linenumber": "nullif(l_linenumber, 3)", "l_partkey": "CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey END", "l_suppkey": "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_suppkey END", "l_quantity": quantity}
+    con = duck.cursor()
+    con.execute(f"COPY (SELECT * REPLACE ({', '.join(f'{x} AS {c}' for c, x in odd.items())}) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE TEMP VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    for name in ("w14_profile_loop", "i10_features_from_faces", "a17_r02_face_summary", "i11_planar_features"):
+        same_rows(plans.queries()[name](spark, str(tmp_path)), con, plans.oracle_sql()[name])
+
+
+def test_a_cylinder_without_a_radius_is_a_feature_if_asked(spark):
+    rows = [(1, k, "CYLINDER", True, r, *[0.0] * 5, 1.0, float(k), k + 1.0, None) for k, r in ((1, None), (2, 1.0), (3, None), (4, 1.0))]
+    df = spark.createDataFrame(rows, FACE)
+    got = {r["id"]: (r["radius"], r["n_faces"], r["t_min"], r["t_max"]) for r in fe.from_faces(df, unmeasured=True).collect()}
+    assert got == {"hole_0": (None, 1, 1.0, 2.0), "hole_1": (1.0, 2, 2.0, 5.0), "hole_2": (None, 1, 3.0, 4.0)}
+    assert [fe.feature_summary(df, unmeasured=u).first()["n_holes"] for u in (False, True)] == [1, 3]
