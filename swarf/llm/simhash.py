@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -248,7 +249,9 @@ TIES = 0.011
 STARS, ALL_OF_A_KEY = (2, 6), 4096
 #: Keys aimed at in a subtree of one table; a subtree of over HOT times as many is dealt to tasks in blocks, and so is one with
 #: over ONE_KEY keys that are equal in their first bits, as these are compared each with each.
-TABLE, HOT, ONE_KEY = 1 << 16, 4, 1 << 15
+TABLE, HOT, ONE_KEY = 1 << 18, 2, 1 << 15
+#: Bytes of keys, about, that are dealt to subtrees at once; of more, some tables come after the others (one at a time at least).
+AT_ONCE = 1 << 30
 #: In place of the bits that differ: behind any candidate.
 LAST = 1 << 20
 
@@ -277,20 +280,30 @@ def key_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(key, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def keys_of(bits: int, count: int):
-    """The mapInArrow function from (id, fp) to (tab, key, id, fp), one row for each table."""
-    where = [positions(t, bits) for t in range(count)]
+def keys_of(bits: int, some: range):
+    """The mapInArrow function from (id, fp, ...) to (tab, key, id, fp, ...), one row for each of these tables."""
+    where = [(t, positions(t, bits)) for t in some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)[:, : 8 * WIDE] if b.num_rows else np.zeros((0, 8 * WIDE), np.uint8)
-            for t, at in enumerate(where):
+            for t, at in where:
                 key = key_at(flat, at).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), t, np.int32)), pa.array(key), b.column("id"), b.column("fp")], ["tab", "key", "id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), t, np.int32)), pa.array(key), *b.columns], ["tab", "key", *b.schema.names])
 
     return run
 
 
+def by_parts(keys: DataFrame, depth: int, bits: int) -> DataFrame:
+    """Each row once for each of the first three parts of `depth` bits of its key (once without depth): adds subtree, by the number and
+    the bits of the part, and turns key so that these come first. Keys within two bits have one of the three parts in common, so
+    they meet, and however many subtrees there are, a row goes to three.
+    """
+    turned = lambda k: F.shiftleft("key", k * depth).bitwiseOR(F.shiftleft(F.shiftrightunsigned("key", 64 - k * depth), 64 - bits)) if k else F.col("key")
+    parts = [F.struct((F.shiftrightunsigned(turned(k), 64 - depth) + (k << depth)).alias("subtree"), turned(k).alias("key")) for k in range(3)] if depth else [F.struct(F.lit(0).cast("long").alias("subtree"), F.col("key"))]
+    return keys.withColumn("part", F.explode(F.array(*parts))).select(*[c for c in keys.columns if c != "key"], "part.*")
+
+
 def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int = 0, similarity: float = 0.0, places: np.ndarray | None = None):
     """The applyInPandas function for one subtree of one table: rows whose fingerprints differ in few bits.
 
@@ -299,18 +312,21 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
     each row a the `pick` nearest b with the bits that differ, and a itself (off LAST) if its key holds more rows than are all compared
     then; all gives every pair; with `places` (table by bit, 1 where its key has the bit) only in the first table in which the
     pair meets. Rows without a `key` have that of their table, made again from the fingerprint; without `comp` each is a
-    component of its own, and nothing is known of the sets.
+    component of its own, and nothing is known of the sets. Subtrees are those of by_parts(), where a pair is given by the
+    first part that it has in common; with `home` they are those of visits().
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         words = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)
-        key = group["key"].to_numpy().view(np.uint64) if "key" in group else key_at(np.ascontiguousarray(words[:, :WIDE]).view(np.uint8), positions(int(group["tab"].iloc[0]), bits))
-        home, ids = group["home"].to_numpy(), group["id"].to_numpy()
+        part = int(group["subtree"].iloc[0]) >> depth if "subtree" in group and "home" not in group else 0
+        key = group["key"].to_numpy().view(np.uint64) if "key" in group else key_at(np.ascontiguousarray(words[:, :WIDE]).view(np.uint8), np.roll(positions(int(group["tab"].iloc[0]), bits), -part * depth))
+        earlier = [np.uint64(((1 << depth) - 1) << (64 - bits + k * depth)) for k in range(part)]  # parts that were in front, now behind
+        home, ids = group["home"].to_numpy() if "home" in group else np.ones(len(group), bool), group["id"].to_numpy()
         order = np.lexsort((ids, key, ~home))  # those at home first, keys unsigned
         key, ids, mine = key[order], ids[order], int(home.sum())
-        words, comp, size, common = words[order], None, None, None
+        words, comp, sizes, common = words[order], None, None, None
         if give != "forest":
-            comp, size, common = (group[c].to_numpy()[order] for c in ("comp", "size", "common")) if "comp" in group else (ids, *np.ones((2, len(ids)), np.int64))
+            comp, sizes, common = (group[c].to_numpy()[order] for c in ("comp", "size", "common")) if "comp" in group else (ids, *np.ones((2, len(ids)), np.int64))
         x, fx = np.unique(key[:mine], return_index=True)
         y, fy = np.unique(key[mine:], return_index=True)
         first = np.concatenate([fx, fy + mine])
@@ -320,7 +336,7 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
             off = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
             ok = off <= limit
             if comp is not None:
-                ok &= (comp[a] != comp[b]) & ((1 + similarity) * np.minimum(common[a], common[b]) >= similarity * (size[a] + size[b]) - 1e-6)
+                ok &= (comp[a] != comp[b]) & ((1 + similarity) * np.minimum(common[a], common[b]) >= similarity * (sizes[a] + sizes[b]) - 1e-6)
             return a[ok], b[ok], off[ok]
 
         def across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -351,9 +367,13 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
             yield from across(np.setdiff1d(rows[1:], b), rows)
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            for k in np.flatnonzero(many[: len(x)] > 1).tolist():
+            for k in np.flatnonzero(many[: len(x)] > 1).tolist() if not part else ():
                 yield from within(np.arange(first[k], first[k] + many[k]))
+            both = np.concatenate([x, y])
             for a, b in node_pairs(x, y, depth, 2, bits):
+                if part:
+                    new = np.all([(both[a] ^ both[b]) & bits_of != 0 for bits_of in earlier], axis=0)
+                    a, b = a[new], b[new]
                 small = many[a] * many[b] == 1
                 yield near(first[a[small]], first[b[small]])
                 for i, j in zip(a[~small].tolist(), b[~small].tolist(), strict=True):
@@ -370,12 +390,13 @@ def alike_at(depth: int, bits: int, limit: int, give: str = "forest", pick: int
             both = [np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1) for a, b, *_ in found if len(a)]
             both = np.unique(np.concatenate(both), axis=0) if both else np.zeros((0, 2), np.int64)
             return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-        crowd = ids[:mine][np.repeat(many[: len(x)] > ALL_OF_A_KEY, many[: len(x)])]
-        best, held = np.zeros((3, 0), np.int64), []
+        crowd = ids[:mine][np.repeat((many[: len(x)] > ALL_OF_A_KEY) & (not part), many[: len(x)])]
+        best, held, size = np.zeros((3, 0), np.int64), [], 0
         for a, b, off in found:
-            held += [np.stack([a, b, off]), np.stack([b, a, off])]
-            if sum(h.shape[1] for h in held) > 4 * FRONTIER:
-                best, held = nearest(np.concatenate([best, *held], axis=1), pick), []
+            held += [np.stack([a, b, off]), np.stack([b, a, off])] if len(a) else []
+            size += 2 * len(a)
+            if size > 4 * FRONTIER:
+                best, held, size = nearest(np.concatenate([best, *held], axis=1), pick), [], 0
         a, b, off = nearest(np.concatenate([best, *held], axis=1), pick)
         more = np.full(len(crowd), LAST)
         return pd.DataFrame({"a": np.concatenate([ids[a], crowd]), "b": np.concatenate([ids[b], crowd]), "off": np.concatenate([off, more])})
@@ -481,37 +502,43 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed
     classes = stage(by_class(rows).withColumn("id", F.col("least.uid")), "classes")
     n = classes.count()
     bits, count = tables(n, similarity)
-    depth = min(bits, DEEPEST, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
+    depth = min(bits // 3, max(0, math.ceil(math.log2(max(n, 1) / subtree))))
     limit = lambda n: round(64 * n * (apart(similarity) + TIES) + slack * math.sqrt(n / WIDE))  # noqa: E731  bits, of n words
 
     places = np.zeros((count, 64 * WIDE), np.float32)
     for t in range(count):
         places[t, positions(t, bits)] = 1
 
-    def candidates(of: DataFrame, give: str, pick: int, schema: str) -> DataFrame:
-        keys = of.select("id", "fp").mapInArrow(keys_of(bits, count), "tab int, key long, id long, fp binary")
+    def candidates(of: DataFrame, rows_of: int, give: str, pick: int, schema: str) -> DataFrame:
         words = WIDEST if "comp" in of.columns else WIDE
         known = [c for c in ("comp", "size", "common") if c in of.columns]
-        if known:
-            keys = keys.join(of.select("id", *known), "id")
-        keys = visits(keys.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")), depth, 2)
-        keys = in_blocks(keys.select("tab", "subtree", "home", "key", "id", "fp", *known), HOT * subtree, min(bits, depth + 4)).drop("key")  # the fingerprint has it
-        return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit(words), give, pick, similarity, places), schema)
+
+        def found(some: range) -> DataFrame:
+            row = of.select("id", "fp", *known)
+            keys = row.mapInArrow(keys_of(bits, some), T.StructType([T.StructField("tab", T.IntegerType()), T.StructField("key", T.LongType()), *row.schema]))
+            keys = in_blocks(by_parts(keys, depth, bits), HOT * subtree, min(bits, depth + 4)).drop("key")  # the fingerprint has it
+            return keys.groupBy("tab", "subtree", "block").applyInPandas(alike_at(depth, bits, limit(words), give, pick, similarity, places), schema)
+
+        step = max(1, AT_ONCE // max(1, rows_of * (3 if depth else 1) * (8 * words + 24)))
+        if step >= count:
+            return found(range(count))
+        return reduce(DataFrame.unionByName, [stage(found(range(t, min(t + step, count))), "found") for t in range(0, count, step)])
 
     of, sets, seen, links, roots = classes, None, None, None, None
     for turn, pick in enumerate((*STARS, 0)):
         if pick:
-            ends = candidates(of, "stars", pick, "a long, b long, off long").groupBy("a").agg(F.collect_set(F.struct("off", "b")).alias("b"))  # at most pick from each table
+            ends = candidates(of, n, "stars", pick, "a long, b long, off long").groupBy("a").agg(F.collect_set(F.struct("off", "b")).alias("b"))  # at most pick from each table
             ends = stage(ends.select("a", F.slice(F.sort_array("b"), 1, pick)["b"].alias("b")), "stars")
             pairs = ends.select("a", F.explode("b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            pairs = candidates(of, "all", 0, "a long, b long")
+            pairs = candidates(of, n, "all", 0, "a long, b long")
         pairs = pairs.distinct()
         pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if sets is None:  # whoever has a candidate at all is in the first stars, or in a key too full to say; the others go no further
             some = stage(ends.select(F.col("a").alias("id")), "candidates")
             sets = stage(shingle_sets(rows.select(F.col("uid").alias("id"), F.col("row.text").alias("text")).join(some, "id"), width, seed), "shingle-sets")
             of = stage(set_sizes(sets), "candidate-classes")
+            n = of.count()
         good = verified(pairs, sets, similarity)
         seen, links = (pairs, good) if seen is None else (seen.unionByName(pairs), links.unionByName(good))
         roots = components(links)

@@ -788,6 +788,45 @@ def test_one_full_key_loses_no_pair():
     assert set(simhash.alike_at(0, 14, 60, "all", 0, 0.8)(part).itertuples(index=False, name=None)) == {p for p in planted if p[1] >= n - 20}
 
 
+def test_a_key_goes_to_three_subtrees_however_many_there_are(spark):
+    """Every two keys within two bits meet in one of them, and are given there alone."""
+    rng, bits, depth = np.random.default_rng(3), 20, 6
+    base = rng.integers(0, 256, (60, 32)).astype(np.uint8)
+    fps = [np.bitwise_xor(base[i], np.packbits(rng.random(256) < rng.choice([0.0, 0.02, 0.1]))) for i in rng.integers(0, 60, 500)]
+    key = simhash.key_at(np.stack(fps), simhash.positions(0, bits))
+    a, b = (x.ravel() for x in np.triu_indices(500, 1))
+    met = np.bitwise_count(key[a] ^ key[b]) <= 2
+    df = spark.createDataFrame([(0, int(k), i, bytearray(f.tobytes())) for i, (k, f) in enumerate(zip(key.view(np.int64).tolist(), fps))], "tab int, key long, id long, fp binary")
+    dealt = simhash.by_parts(df, depth, bits)
+    assert dealt.count() == 3 * 500
+    for keyed in (dealt, dealt.drop("key")):
+        got = [(r["a"], r["b"]) for r in keyed.groupBy("tab", "subtree").applyInPandas(simhash.alike_at(depth, bits, 256, "all"), "a long, b long").collect()]
+        assert sorted(got) == sorted(zip(a[met].tolist(), b[met].tolist())) and len(set(key.tolist())) < 500
+
+
+def test_tables_that_come_one_after_the_other_find_the_same(spark, monkeypatch):
+    rng, rows = random.Random(21), []
+    for k in range(40):
+        base = [f"w{rng.getrandbits(40):x}" for _ in range(120)]
+        rows += [(3 * k + v, " ".join([*base[:-1], f"e{k}{v}"] if v else base)) for v in range(3)]
+    src, made, real = spark.createDataFrame(rows, "doc_id long, text string"), [], simhash.stage
+    monkeypatch.setattr(simhash, "AT_ONCE", 1)
+    monkeypatch.setattr(simhash, "stage", lambda df, name, **o: (made.append(name), real(df, name, **o))[1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_dedup(src, subtree=16).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
+    assert made.count("found") == 3 * simhash.tables(120, 0.8)[1]
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in re.findall(r"shuffle_[0-9_]+\.data", disk.getAllFiles().mkString(" "))}
+    before = files()
+    df = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    out = common.stage(df, "tidy")
+    assert not files() - before and out.count() == df.count() == 7
+    assert spark.conf.get(common.TIDY) == "false"
+
+
 def test_hot_subtrees_of_the_deepest_cut(spark, monkeypatch):
     """Fingerprints that share more bits than the trie is cut at: dealt in blocks, with the links of brute force."""
     monkeypatch.setattr(simhash, "DEEPEST", 4)
