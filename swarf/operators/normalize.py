w04_w06_two_pass: long parts folded in blocks, and each part folded once

Symptom: with a fifth of the lines in one part, ten times the lines took 55 times the CPU seconds (0.48 at sf0.001, 26.3 at sf0.01); shuffle grew in proportion before and after.
Evidence: the fold kept all merged segments in its state, which Spark copies at each step; and the optimizer put a filter "size > 0" for posexplode below the fold, which worked out both folds several times more for every part.
Fix: what is merged last is carried from block to block of 64 segments and the output made block by block, the segments merged are told by place and count; posexplode_outer, as every part has a segment.
Effect: at 1 GB of input CPU 2186 -> 1388 s, shuffle 1.51 -> 1.51 GB, spill 0.00 -> 0.00 GB, read 0.82 -> 0.82 GB, longest task 14 -> 12 s, most memory of a task 369 -> 369 MB; at 6 GB of input CPU 10233 -> 6148 s, shuffle 9.41 -> 9.41 GB, spill 0.00 -> 0.00 GB, read 5.66 -> 5.66 GB, longest task 17 -> 17 s, most memory of a task 604 -> 604 MB.

@@ -1,6 +1,7 @@
 """Stack normaliser: boundary snap by windows, then one ordered fold a part that merges short and similar segments.
 
-The fold is a higher-order `aggregate` over the part's ordered array, inside the JVM; a part has tens of segments.
+The fold is a higher-order `aggregate` over the part's ordered array, inside the JVM; a part has tens of segments, and one of
+very many is folded in blocks.
 """
 
 from __future__ import annotations
@@ -35,32 +36,56 @@ def _merged(a: Column, b: Column) -> Column:
     mean = lambda c: F.when(la + lb > 0, (a[c] * la + b[c] * lb) / F.when(la + lb > 0, la + lb)).otherwise(a[c])
     return F.struct(
         a["z0"].alias("z0"), b["z1"].alias("z1"), mean("od").alias("od"), mean("bore").alias("bore"), (a["k"] + b["k"]).alias("k"), (a["snapped"] | b["snapped"]).alias("snapped"),
-        (a["clamped"] | b["clamped"]).alias("clamped"), (a["base"] + b["base"]).alias("base"), F.concat(a["seqs"], b["seqs"]).alias("seqs"),
+        (a["clamped"] | b["clamped"]).alias("clamped"), (a["base"] + b["base"]).alias("base"), a["at"].alias("at"),
     )
 
 
+#: What the fold knows of a merged segment; at is the place of its first segment, from 1: with k it tells which they are.
+FIELDS = ("z0", "z1", "od", "bore", "k", "snapped", "clamped", "base")
+MERGED = "struct<z0:double,z1:double,od:double,bore:double,k:int,snapped:boolean,clamped:boolean,base:double,at:int>"
+
+#: So many segments are folded into one array. Spark copies the state of a fold at each step, so it must not hold all that came before.
+BLOCK = 64
+
+
 def _fields(s: Column) -> Column:
-    return F.struct(*[s[c].alias(c) for c in ("z0", "z1", "od", "bore", "k", "snapped", "clamped", "base", "seqs")])
+    return F.struct(*[s[c].alias(c) for c in (*FIELDS, "at")])
 
 
 def _pass(segs: Column, width: Column, p: Params, short: bool, similar: bool) -> Column:
-    """The fold over ordered segments, each knowing its successor."""
+    """The fold over ordered segments, each knowing its successor.
+
+    It goes on by what it has merged last, so a long part is folded in blocks: first for what each of them begins with, then
+    for what it gives.
+    """
     near = F.greatest(F.lit(p.short[0]), p.short[1] * width)
+    none = F.lit(None).cast(MERGED)
+    state = lambda last, skip, done: F.struct(last.alias("last"), F.lit(skip).alias("skip"), done.alias("done"))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc["out"], -1)
+    def step(now: Column, s: Column) -> Column:
+        """What is merged last, whether the next one is in it, and the one before if that is done."""
+        last = now["last"]
         mean = (last["od"] + s["od"]) / 2
         limit = F.greatest(F.lit(p.similar[0]), p.similar[1] * mean)
-        alike = (F.size(acc["out"]) > 0) & (F.abs(last["od"] - s["od"]) < limit) & (F.abs(last["bore"] - s["bore"]) < limit)
-        push = lambda x: F.concat(acc["out"], F.array(x))
-        swap = F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(_merged(last, s)))
+        alike = (F.abs(last["od"] - s["od"]) < limit) & (F.abs(last["bore"] - s["bore"]) < limit)
         eat = F.lit(short) & s["next"].isNotNull() & (s["z1"] - s["z0"] < near)
-        state = lambda out, skip: F.struct(out.alias("out"), F.lit(skip).alias("skip"))
-        grown = F.when(F.lit(similar) & alike, state(swap, False)).otherwise(state(push(_fields(s)), False))
-        return F.when(acc["skip"], state(acc["out"], False)).when(eat, state(push(_merged(s, s["next"])), True)).otherwise(grown)
+        grown = F.when(F.lit(similar) & alike, state(_merged(last, s), False, none)).otherwise(state(_fields(s), False, last))
+        return F.when(now["skip"], state(last, False, none)).when(eat, state(_merged(s, s["next"]), True, last)).otherwise(grown)
+
+    def given(block: Column, start: Column, at_end: Column) -> Column:
+        """What is done before the last one of a block, and that too at the end of the part."""
+        add = lambda out, *xs: F.concat(out, F.filter(F.array(*xs), lambda x: x.isNotNull()))
+        out = lambda acc: F.when(acc["now"]["done"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]["done"])))
+        begin = F.struct(F.array().cast(f"array<{MERGED}>").alias("out"), start.alias("now"))
+        return F.aggregate(block, begin, lambda acc, s: F.struct(out(acc).alias("out"), step(acc["now"], s).alias("now")), lambda acc: F.when(at_end, add(acc["out"], acc["now"]["done"], acc["now"]["last"])).otherwise(acc["out"]))
 
-    start = F.struct(F.array().cast("array<struct<z0:double,z1:double,od:double,bore:double,k:int,snapped:boolean,clamped:boolean,base:double,seqs:array<bigint>>>").alias("out"), F.lit(False).alias("skip"))
-    return F.aggregate(segs, start, step, lambda acc: acc["out"])
+    first = state(none, False, none)
+    n = F.ceil(F.size(segs) / BLOCK).cast("int")
+    block = lambda k: F.slice(segs, k * BLOCK + 1, F.lit(BLOCK))
+    seen = lambda acc: F.concat(acc["starts"], F.array(acc["now"]))
+    begin = F.struct(F.array().cast(f"array<struct<last:{MERGED},skip:boolean,done:{MERGED}>>").alias("starts"), first.alias("now"))
+    starts = F.aggregate(F.sequence(F.lit(0), n - 2), begin, lambda acc, k: F.struct(seen(acc).alias("starts"), F.aggregate(block(k), acc["now"], step).alias("now")), seen)
+    return F.when(n > 1, F.flatten(F.transform(starts, lambda start, k: given(block(k), start, k == n - 1)))).otherwise(given(segs, first, F.lit(True)))
 
 
 def normalise(seg: DataFrame, p: Params = DEFAULT, two_pass: bool = False) -> DataFrame:
@@ -72,20 +97,19 @@ def normalise(seg: DataFrame, p: Params = DEFAULT, two_pass: bool = False) -> Da
     cols = seg.columns
     seg = seg.withColumn("clamped", F.col("clamped") if "clamped" in cols else F.lit(False)).withColumn("base", F.col("base") if "base" in cols else F.col("confidence"))
     s = snap(seg, p)
-    one = F.struct("z_start", "seq", F.struct("z0", "z1", F.col("od_diameter").alias("od"), F.col("id_diameter").alias("bore"), F.lit(1).alias("k"), "snapped", "clamped", "base", F.array("seq").alias("seqs")).alias("s"))
+    one = F.struct("z_start", "seq", F.struct("z0", "z1", F.col("od_diameter").alias("od"), F.col("id_diameter").alias("bore"), F.lit(1).alias("k"), "snapped", "clamped", "base").alias("s"))
     parts = s.groupBy("part_id").agg(F.sort_array(F.collect_list(one)).alias("a"), F.first("range").alias("range"))
 
     def linked(a: Column) -> Column:
-        names = ("z0", "z1", "od", "bore", "k", "snapped", "clamped", "base", "seqs")
-        return F.zip_with(a, F.slice(a, F.lit(2), F.greatest(F.size(a), F.lit(1))), lambda x, n: F.struct(*[x[c].alias(c) for c in names], n.alias("next")))
-
-    parts = parts.withColumn("a", F.transform("a", lambda x: x["s"]))
-    if two_pass:
-        parts = parts.withColumn("m", _pass(linked(F.col("a")), F.col("range"), p, True, False)).withColumn("m", _pass(linked(F.col("m")), F.col("range"), p, False, True))
-    else:
-        parts = parts.withColumn("m", _pass(linked(F.col("a")), F.col("range"), p, True, True))
+        return F.zip_with(a, F.slice(a, F.lit(2), F.greatest(F.size(a), F.lit(1))), lambda x, n: F.struct(*[x[c].alias(c) for c in (*FIELDS, "at")], n.alias("next")))
+
+    parts = parts.withColumn("seqs", F.transform("a", lambda x: x["seq"].cast("bigint"))).withColumn("a", F.transform("a", lambda x, k: F.struct(*[x["s"][c].alias(c) for c in FIELDS], (k + 1).alias("at"))))
+    for short, similar in ((True, False), (False, True)) if two_pass else ((True, True),):
+        parts = parts.withColumn("l", linked(F.col("m" if similar and two_pass else "a"))).withColumn("m", _pass(F.col("l"), F.col("range"), p, short, similar))
     out = parts.withColumn("m", F.when(F.col("range") > 0, F.col("m")).otherwise(F.transform("a", _fields)))
-    return out.select("part_id", "range", F.posexplode("m").alias("place", "s")).select("part_id", (F.col("place") + 1).cast("long").alias("place"), "s.*", "range")
+    # every part has a segment; for an inner explode the optimizer would filter by the size of m first, and fold again for that
+    out = out.select("part_id", "range", "seqs", F.posexplode_outer("m").alias("place", "s"))
+    return out.select("part_id", (F.col("place") + 1).cast("long").alias("place"), *[f"s.{c}" for c in FIELDS], F.slice("seqs", F.col("s.at"), F.col("s.k")).alias("seqs"), "range")
 
 
 def confidence(merged: DataFrame, p: Params = DEFAULT) -> DataFrame:

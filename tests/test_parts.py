@@ -1,6 +1,7 @@
 """Golden numbers of parts, and models in Python of the order-dependent folds."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -149,6 +150,33 @@ def test_normaliser_follows_the_model(spark, parts, two_pass):
         assert got[i][-1]["z1"] == pytest.approx(w[-1]["z1"])
 
 
+@pytest.mark.parametrize("two_pass", [False, True])
+def test_long_parts_are_folded_in_blocks(spark, two_pass):
+    """Parts about as long as some blocks follow the model too, and say which segments each merged one comes from."""
+    rng, rows, want = random.Random(5), [], {}
+    for i, n in enumerate((1, normalize.BLOCK - 1, normalize.BLOCK, normalize.BLOCK + 1, 3 * normalize.BLOCK, 1000)):
+        z, mine = 0.0, []
+        for k in range(n):
+            mine.append((z, z + rng.choice([0.001, 0.004, 1.0, 2.0, 3.0]), rng.choice([1.0, 1.015, 1.03, 1.2]), rng.choice([0.0, 0.0, 0.25])))
+            rows.append((i, k + 10, *mine[-1], 0.9))
+            z = mine[-1][1]
+        want[i] = model(mine, two_pass)
+    rows += [(50, 1, None, None, 1.0, 0.0, None), (50, 2, 0.0, None, None, 0.0, 0.9), (51, 7, 1.0, 1.0, 1.0, None, 0.9), (None, 1, 0.0, 1.0, 1.0, 0.0, 0.9)]
+    got = {}
+    for r in normalize.normalise(seg(spark, rows), two_pass=two_pass).orderBy("part_id", "place").collect():
+        got.setdefault(r["part_id"], []).append(r)
+    for i, w in want.items():
+        assert [(x["k"], x["snapped"]) for x in got[i]] == [(x["k"], x["snapped"]) for x in w]
+        assert all(math.isclose(a[c], b[c], abs_tol=1e-9) for a, b in zip(got[i], w) for c in ("z0", "z1", "od", "bore"))
+        assert [q for x in got[i] for q in x["seqs"]] == [r[1] for r in rows if r[0] == i] and all(len(x["seqs"]) == x["k"] for x in got[i])
+    assert [x["seqs"] for p in (50, 51, None) for x in got[p]] == [[1], [2], [7], [1]]
+
+
+def test_parts_are_folded_once(spark):
+    """No filter works out the fold of a part to see that it gives something."""
+    assert "Filter" not in normalize.normalise(seg(spark, []), two_pass=True)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_greedy_groups_follow_the_seed(spark):
     rows = spark.createDataFrame([(1, i, r) for i, r in enumerate([1.0, 1.4, 1.8, 1.2, 5.0])], "part_id long, id long, radius double")
     got = {r["id"]: r["seed"] for r in fe.greedy_groups(rows, fe.same_radius(0.5)).collect()}
