@@ -80,6 +80,36 @@ def test_profiles_of_overlapping_segments(spark, by_ends):
     assert pr.from_overlapping(spark.createDataFrame([], SEG)).count() == 0
 
 
+@pytest.mark.parametrize("by_ends", [False, True])
+def test_profiles_of_odd_places(spark, by_ends):
+    """Places less than 1e-9 apart, segments longer than the weight of an end, places below zero, repeated and null numbers, and a part of many segments."""
+    rng, rows = random.Random(7), []
+    starts = (lambda: 1 + rng.randrange(5) * 4e-10, lambda: rng.randrange(3), lambda: -1000 * rng.randrange(4), lambda: rng.randrange(4) * 0.1)
+    for p in range(40):
+        for k in range(rng.randint(2, 6)):
+            a = float(starts[p % 4]())
+            rows.append((p, k, a, a + rng.choice([(0, 3e-10, 9e-10, 1), (1, 999.5, 1000, 2000), (0, 1, 500, 1500), (0, 0.1, 0.2, 1e-16)][p % 4]), rng.randrange(1, 9) / 2, rng.choice([0.0, 0.25, 3.0])))
+    rows += [(50, k, k // 2 + 0.0, k // 2 + rng.choice([0.5, 1.0, 3.0]), rng.randrange(1, 5) / 2, 0.0) for k in range(600)]
+    rows += [(51, None, 0.0, 1.0, 2.0, 0.0), (51, None, 0.0, 1.0, 2.0, 0.5), (51, 1, 0.0, 1.0, 1.0, 0.0), (None, 1, 0.0, 1.0, 2.0, 0.5)]
+    got = {}
+    for r in pr.from_overlapping(spark.createDataFrame(rows, SEG), by_ends).orderBy("part_id", "i").collect():
+        got.setdefault(r["part_id"], []).append(r)
+    for p in {r[0] for r in rows}:
+        want = walked([(-1 if r[1] is None else r[1], *r[2:]) for r in rows if r[0] == p], by_ends)
+        if want is None:
+            assert p not in got
+        else:
+            assert [(round(r["sx"], 9), round(r["sy"], 9)) for r in got[p]] + [(round(got[p][-1]["ex"], 9), round(got[p][-1]["ey"], 9))] == want, p
+
+
+@pytest.mark.parametrize("by_ends", [False, True])
+def test_profiles_are_made_once_and_in_proportion(spark, by_ends):
+    """Nothing goes through all segments at each place or copies what came before, no filter makes the lines first, and one shuffle is enough."""
+    plan = pr.from_overlapping(spark.createDataFrame([], SEG), by_ends)._jdf.queryExecution()
+    assert "aggregate(" not in (text := plan.optimizedPlan().toString()) and "size(zip_with" not in text and "array_max(" not in text.replace("array_max(transform(filter(around", "")
+    assert plan.executedPlan().toString().count("Exchange") == 1
+
+
 def test_baseline_with_overlap_resolved_is_its_profile(spark):
     """Segments that only touch: the same loop as without the sweep. By ends, the first segment's outside goes, as surveyed."""
     df = spark.createDataFrame(BASELINE, SEG)
