@@ -207,6 +207,49 @@ def test_topology_of_loops(spark):
     assert (t["area"], t["perimeter"], t["counterclockwise"]) == (50.0, 30.0, True)
 
 
+def crossed(p, q):
+    """Whether two lines meet, of which none has an end point of the other."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = p, q
+    if any(math.dist(e, f) <= 1e-6 for e in ((ax, ay), (bx, by)) for f in ((cx, cy), (dx, dy))):
+        return False
+    det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+    if abs(det) < 1e-6:
+        return False
+    t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
+    return 0 <= t <= 1 and 0 <= u <= 1
+
+
+def test_crossings_of_long_loops(spark):
+    """Loops about as long as those whose lines are sorted before they are paired, wild ones and rising ones, with null lines and repeated places."""
+    rng, loops = random.Random(11), {}
+    for k, n in enumerate((3, pr.FEW - 1, pr.FEW, pr.FEW + 1, 150, 300)):
+        for kind in range(3):
+            at = [(float(rng.randrange(9)), float(rng.randrange(9))) if kind == 0 else (rng.random() * 3, i + rng.random() * 3) if kind == 1 else (float(i % 3), float(i // 3)) for i in range(n)]
+            loops[3 * k + kind] = [(*a, *b) for a, b in zip(at, at[1:] + at[:1])]
+    rows = [(k, i + 1, *line) for k, lines in loops.items() for i, line in enumerate(lines)]
+    rows += [(90, i + 1, None, None, 1.0, None) for i in range(100)] + [(91, 5, float(i % 7), float(i), float((i + 3) % 7), float(i + 1)) for i in range(100)] + [(None, 1, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "part_id long, i long, sx double, sy double, ex double, ey double")
+    got = {}
+    for r in pr.crossings(df, tolerance=1e-6, touches=True).collect():
+        got.setdefault(r["part_id"], set()).add((r["i"], r["j"]))
+        x, y = loops[r["part_id"]][r["i"] - 1][:2]
+        assert math.dist((r["x"], r["y"]), (x, y)) <= math.dist((x, y), loops[r["part_id"]][r["i"] - 1][2:]) + 1e-9
+    want = {k: {(i + 1, j + 1) for i in range(len(p)) for j in range(i + 2, len(p)) if (i, j) != (0, len(p) - 1) and crossed(p[i], p[j])} for k, p in loops.items()}
+    assert got == {k: w for k, w in want.items() if w}
+    counts = {r["part_id"]: (r["n"], r["n_crossings"]) for r in pr.topology(df, strict=True).collect()}
+    assert counts == {**{k: (len(p), len(want[k])) for k, p in loops.items()}, 90: (100, 0), 91: (100, 0), None: (1, 0)}
+
+
+def test_lines_of_a_long_loop_are_paired_where_they_overlap(spark):
+    """A long profile has few pairs more than lines, and not the half of its square."""
+    n = 500
+    lines = loop(spark, [(1, z / 10) for z in range(n + 1)])
+    few = pr._by_height(pr._whole(lines), 1e-6).select(F.zip_with("reach", "rank", lambda a, b: a - b - 1).alias("x")).first()["x"]
+    assert len(few) == n and max(few) <= 2
+    assert pr._boxed_pairs(pr._whole(lines), 1e-6).where("b is not null").count() == 0
+    assert pr._by_height(pr._whole(lines.where("i <= 64")), 1e-6).first()["order"] is None
+
+
 def arc_loop(spark, *loops):
     """Loops of lines (sx, sy, ex, ey) and arcs (cx, cy, radius, a0, a1, clockwise)."""
     rows = []
