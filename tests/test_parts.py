@@ -207,6 +207,14 @@ def test_topology_of_loops(spark):
     assert (t["area"], t["perimeter"], t["counterclockwise"]) == (50.0, 30.0, True)
 
 
+def test_lines_of_segments_are_a_column_before_they_are_rows(spark):
+    """An expression within explode is asked for its type at every row; an inner explode of a column would make the lines twice, for a filter."""
+    text = pr.from_segments(seg(spark, []))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(lines" in text and "size(" not in text
+    odd = seg(spark, [(1, 1, None, None, None, None, None), (2, 1, 0.0, None, 1.0, None, 0.9), (2, 1, 0.0, 1.0, None, 0.5, 0.9), (None, None, 0.0, 1.0, 2.0, 0.0, 0.9)])
+    assert {r["part_id"]: r["count"] for r in pr.from_segments(odd).groupBy("part_id").count().collect()} == {1: 4, 2: 7, None: 4}
+
+
 def crossed(p, q):
     """Whether two lines meet, of which none has an end point of the other."""
     (ax, ay, bx, by), (cx, cy, dx, dy) = p, q
